@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrook.llm import bpe, chat_template, decontaminate, lang_id, licenses, media, quality, sharding
+from tallyrook.llm import bpe, chat_template, decontaminate, jaccard_join, lang_id, licenses, media, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(_table(spark, sf_dir, "documents"), 40)
 
@@ -55,6 +63,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_decontamination, op4_chat_format, op5_language_id, op8_sharding, op9_license_scan, op10_byte_bpe)
+    f.__name__: f
+    for f in (op1_quality_rules, op2_media_columns, op3_decontamination, op4_chat_format, op5_language_id, op6_jaccard_join, op7_substring_dedup, op8_sharding, op9_license_scan, op10_byte_bpe)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op4_chat_format": chat_template.CONVERSATION_SQL,
+    "op6_jaccard_join": jaccard_join.COMPONENTS_SQL,
+    "op7_substring_dedup": substring_dedup.REPEATS_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.CONTAMINATION_SQL, "op4_chat_format": chat_template.CONVERSATION_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,12 @@ def small(frame: DataFrame, rows: int | None = None) -> DataFrame:
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, read by column."""
+    spark = frame.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
