@@ -49,7 +49,7 @@ def dealt(docs: DataFrame, plan: Layout) -> DataFrame:
 def packed(values: np.ndarray) -> bytes:
     """Sorted or small unsigned numbers as differences, byte by byte, so that the exchange's compression finds the zeros."""
     gaps = np.diff(values, prepend=values.dtype.type(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(len(values), gaps.itemsize).T).tobytes()
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
