@@ -1,6 +1,6 @@
 """Queries over the tables of a folder."""
 
-from tallyrook.jobs import records, search  # noqa: F401
+from tallyrook.jobs import graph, records, search, store, streams  # noqa: F401
 from tallyrook.jobs.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
