@@ -3,7 +3,7 @@
 A document's set is its distinct shingles of five words. Shingles are hashed into GROUPS groups, and the counts of the groups
 are a point. Two sets share at most the sum of the lesser coordinates of their points; a node of an R-tree over points
 holds, for each coordinate, the greatest below it, and the same sum with those bounds what any set below it shares. Trees
-are descended with all points of a block at once; the pairs that survive are verified on the sets themselves.
+are descended by many points of a block at once; the pairs that survive are verified on the sets themselves.
 
 Points of unrelated texts of one length are alike, so one tree over all documents would prune little; what goes into a
 tree together is decided exactly first:
@@ -12,13 +12,14 @@ tree together is decided exactly first:
    has no link. Which shingles are shared is asked through tallyrook.llm.repeats. Most documents end here.
 2. Equal sets become one class.
 3. Ordered by hash, two linked sets share one of their first shingles (the prefix: what is left if three quarters are
-   missing, plus one). Classes with a prefix shingle in common make a block.
-4. In each block all are compared with one pivot, and what is linked is joined. A large group of near copies is one component
-   after that, and pairs within a component are never compared again. Of blocks that still hold several components, trees are
-   built, block by block (large ones in pairs of chunks by size), and yield the pairs of different components that survive.
+   missing, plus one). Each shingle's smallest class is its pivot, and all classes that share prefix shingles with one pivot
+   make a block. A large block is cut into chunks by size, each with the pivot.
+4. In a chunk, points are searched a batch at a time, and pairs that survive are verified unless links already connect them; nodes
+   with one component are passed over. So a chunk yields at most one link for each of its classes, however many of its sets
+   are alike. Then chunks of one block are taken in pairs, where components still differ.
 
-All links between different sets are found or implied by others; components are exact. Classes meet as rows of joins, not in
-one task; nothing is collected but counts.
+No link between different sets is lost: it is given, or implied by given ones. Classes meet as rows of joins, in tasks of bounded
+size; nothing is collected but counts.
 
 Null and empty texts have no shingles and no links. Texts of fewer than five words are one shingle. Repeated rows, and
 rows with equal texts, are of one class. A null doc_id takes part, and takes the least id of its component. An empty table gives
@@ -42,12 +43,12 @@ from tallyrook.llm.shared import cut, written
 SHINGLE, GROUPS = 5, 256
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Points in a leaf, nodes in a node, and points of a block (or of either chunk) that one tree takes.
-LEAF, FANOUT, CHUNK = 16, 16, 2048
-#: Rows that one task of trees takes, about.
-TREE_ROWS = 50_000
+#: Points in a leaf, nodes in a node, and points that search at once.
+LEAF, FANOUT, BATCH = 16, 16, 64
+#: A chunk's shingles, each set counted as if it had SET_COST more; rows that one task of trees takes, about.
+CHUNK, SET_COST, TREE_ROWS = 1_000_000, 500, 4000
 
-SETS = "doc_id long, n_shingles long, class long, shingles array<long>, point array<int>"
+SETS = "doc_id long, n_shingles long, class long, shingles array<long>"
 
 
 class _Sets:
@@ -86,7 +87,7 @@ def _classes(sets: _Sets) -> np.ndarray:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """A row for each of docs: SETS. Only where a link is possible is there a class, and there, once in a part, the shingles that
-    other documents have too (sorted) and the point of their counts."""
+    other documents have too, sorted."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     plan = r.layout(docs)
     bits = plan.bits
@@ -108,32 +109,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         told &= able
         pick = shared & told[sets.row]
         offsets = np.append(0, np.cumsum(np.where(told, count, 0))).astype(np.int32)
-        points = np.zeros((n, GROUPS), np.int32)
-        np.add.at(points, (sets.row[pick], (sets.hashes[pick] & np.uint64(GROUPS - 1)).astype(int)), 1)
         shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.hashes[pick].view(np.int64)))
-        point = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(told * GROUPS)).astype(np.int32)), pa.array(points[told].ravel()))
-        mask = pa.array(told)
         columns = [part.column("doc_id"), pa.array(sets.size.astype(np.int64)), pc.if_else(pa.array(able), pa.array(classes), None)]
-        columns += [pc.if_else(mask, x, pa.nulls(n, x.type)) for x in (shingles, point)]
-        return pa.Table.from_arrays(columns, ["doc_id", "n_shingles", "class", "shingles", "point"])
+        columns.append(pc.if_else(pa.array(told), shingles, pa.nulls(n, shingles.type)))
+        return pa.Table.from_arrays(columns, ["doc_id", "n_shingles", "class", "shingles"])
 
     answers = dealt.groupBy("part").applyInArrow(ask, r.QUESTION).groupBy("bucket").applyInArrow(r.shared_by_parts(0, flagged=False), r.ANSWER)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(tell, SETS)
 
 
-def _fits(a, b):
-    """Whether sets of sizes a and b can link at all."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of classes that link."""
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-
-
 # --- trees -------------------------------------------------------------------------------------------------------
 class CountTree:
     """An R-tree over points of counts, of which only upper bounds matter. Its nodes also have the least size of the sets
@@ -174,72 +158,93 @@ class CountTree:
         return query[keep], node[keep]
 
 
-def tree_pairs(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, chunk: np.ndarray, wanted: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block's classes, of different labels, that survive: between the two chunks, or within the one."""
-    order = np.lexsort((classes, sizes, labels))
-    classes, labels, sizes, points, chunk = (x[order] for x in (classes, labels, sizes, points, chunk))
-    a, b = np.flatnonzero(chunk == wanted[0]), np.flatnonzero(chunk == wanted[1])
-    tree, left, right = CountTree(points[b], sizes[b], labels[b]), [], []
-    for i in range(0, len(a), 256):
-        own = a[i : i + 256]
-        q, k = tree.search(points[own], sizes[own], labels[own])
-        q = q + i
-        once = q < k if wanted[0] == wanted[1] else np.ones(len(q), bool)
-        left.append(classes[a[q[once]]])
-        right.append(classes[b[k[once]]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _block_pairs(blocks: DataFrame) -> DataFrame:
-    """Distinct surviving pairs of blocks (token, class, label, n, point)."""
-    ranked = blocks.withColumn("chunk", ((F.row_number().over(Window.partitionBy("token").orderBy("n", "class")) - 1) / CHUNK).cast("int"))
-    ranked = cut(ranked)
-    ranges = ranked.groupBy("token", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = ranges.select("token", F.col("chunk").alias("c2"), F.col("low").alias("l2"))
-    meet = ranges.join(other, "token").filter((F.col("chunk") <= F.col("c2")) & (100 * F.col("high") >= PERCENT * F.col("l2")))
-    meet = meet.select("token", F.col("chunk").alias("c1"), "c2")
-    sides = meet.select("token", "c1", "c2", F.col("c1").alias("chunk")).unionByName(meet.select("token", "c1", "c2", F.col("c2").alias("chunk")).filter("c1 != c2"))
-    rows = ranked.join(sides, ["token", "chunk"])
-    tasks = max(1, ranked.count() // TREE_ROWS)
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("token", "c1", "c2"), F.lit(tasks)).cast("int"))
-
-    def search(block: pa.Table) -> pa.Table:
-        token, c1, c2, classes, labels, sizes, chunk = (block.column(c).to_numpy() for c in ("token", "c1", "c2", "class", "label", "n", "chunk"))
-        points = block.column("point").combine_chunks().flatten().to_numpy().reshape(len(token), GROUPS)
-        order = np.lexsort((c2, c1, token))
-        change = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)) + 1
-        found = []
-        for own in np.split(order, change):
-            found.append(tree_pairs(classes[own], labels[own], sizes[own], points[own], chunk[own], (c1[own[0]], c2[own[0]])))
-        a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return rows.select("task", "token", "c1", "c2", "class", "label", "n", "chunk", "point").groupBy("task").applyInArrow(search, "a long, b long").distinct()
+def points_of(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Counts of shingles by group of the sets that begin at begin[i] and end before begin[i + 1]."""
+    n = len(begin) - 1
+    cells = np.repeat(np.arange(n), np.diff(begin)) * GROUPS + (shingles.view(np.uint64) & np.uint64(GROUPS - 1)).astype(np.int64)
+    return np.bincount(cells, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+
+
+def chunk_links(labels: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, begin: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that links between the sets `first` and the sets `second` connect (either may be all).
+
+    labels: of what is connected already; sizes: of whole sets, of which shingles has those that others share, sorted.
+    """
+    points = points_of(shingles, begin)
+    _, root = np.unique(labels, return_inverse=True)
+    found = []
+    for i in range(0, len(first), BATCH):
+        asking = first[i : i + BATCH]
+        among = second[np.lexsort((sizes[second], root[second]))]
+        q, k = CountTree(points[among], sizes[among], root[among]).search(points[asking], sizes[asking], root[asking])
+        for a, b in zip(asking[q].tolist(), among[k].tolist(), strict=True):
+            if root[a] != root[b]:
+                x, y = shingles[begin[a] : begin[a + 1]], shingles[begin[b] : begin[b + 1]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= PERCENT * (sizes[a] + sizes[b] - common):
+                    root[root == root[b]] = root[a]
+                    found.append((a, b))
+    return found
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of chunks: rows (block, c1, c2, chunk, class, label, n, shingles); within c1, or between c1 and c2."""
+    tasks = max(1, rows.count() // TREE_ROWS)
+    keyed = rows.withColumn("task", F.pmod(F.xxhash64("block", "c1", "c2"), F.lit(tasks)).cast("int"))
+
+    def search(task: pa.Table) -> pa.Table:
+        block, c1, c2, chunk, classes, labels, sizes = (task.column(c).to_numpy() for c in ("block", "c1", "c2", "chunk", "class", "label", "n"))
+        lists = task.column("shingles").combine_chunks()
+        values, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        order = np.lexsort((classes, c2, c1, block))
+        change = np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)) + 1
+        a, b = [], []
+        for own in np.split(order, change) if len(order) else []:
+            shingles = np.concatenate([values[ends[i] : ends[i + 1]] for i in own])
+            begin = np.append(0, np.cumsum(ends[own + 1] - ends[own]))
+            first, second = np.flatnonzero(chunk[own] == c1[own[0]]), np.flatnonzero(chunk[own] == c2[own[0]])
+            for x, y in chunk_links(labels[own], sizes[own], shingles, begin, first, second):
+                a.append(classes[own[x]])
+                b.append(classes[own[y]])
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return keyed.groupBy("task").applyInArrow(search, "a long, b long").distinct()
 
 
 # --- the join ----------------------------------------------------------------------------------------------------
+def class_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes, from sets (class, n, shingles), that connect all that are linked."""
+    m, needed = F.size("shingles"), F.expr(f"cast(div({PERCENT} * n + 99, 100) as int)")
+    prefix = sets.select("class", "n", F.explode(F.slice("shingles", F.lit(1), F.greatest(m - needed + 1, F.lit(0)))).alias("token"))
+    pivots = prefix.groupBy("token").agg(F.min(F.struct("n", "class")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    members = prefix.join(pivots, "token").select(F.col("pivot.class").alias("block"), "class").distinct()
+    up_to = Window.partitionBy("block").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, 0)
+    sized = members.join(sets.select("class", "n", m.alias("m")), "class")
+    chunked = cut(sized.withColumn("chunk", (F.sum(F.col("m") + SET_COST).over(up_to) / CHUNK).cast("int")).drop("m"))
+    shingles = sets.select("class", "shingles")
+    with_pivot = chunked.select("block", "chunk").distinct().join(sets.select(F.col("class").alias("block"), "n"), "block").select("block", F.col("block").alias("class"), "n", "chunk")
+    within = chunked.select("block", "class", "n", "chunk").unionByName(with_pivot).distinct()
+    within = within.withColumns({"c1": F.col("chunk"), "c2": F.col("chunk"), "label": F.col("class")})
+    links = cut(_linked(within.join(shingles, "class")))
+    many = chunked.filter("chunk > 0").select("block").distinct()
+    if many.isEmpty():
+        return links
+    labels = connected_components(links).withColumnRenamed("node", "class")
+    large = cut(chunked.join(many, "block", "left_semi").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    ranges = large.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    other = ranges.select("block", F.col("chunk").alias("c2"), F.col("low").alias("low2"), F.col("l1").alias("l3"), F.col("l2").alias("l4"))
+    apart = ~((F.col("l1") == F.col("l2")) & (F.col("l3") == F.col("l4")) & (F.col("l1") == F.col("l3")))
+    meet = ranges.join(other, "block").filter((F.col("chunk") < F.col("c2")) & (100 * F.col("high") >= PERCENT * F.col("low2")) & apart).select("block", F.col("chunk").alias("c1"), "c2")
+    sides = meet.withColumn("chunk", F.explode(F.array("c1", "c2")))
+    return links.unionByName(_linked(large.join(sides, ["block", "chunk"]).join(shingles, "class")))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each of docs."""
     rows = written(shingle_sets(docs))
     able = rows.filter(F.col("class").isNotNull())
-    sets = able.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles"), F.first("point", ignorenulls=True).alias("point"))
-    sets = written(sets)
-    m, needed = F.size("shingles"), F.expr(f"cast(div({PERCENT} * n + 99, 100) as int)")
-    prefix = sets.select("class", "n", F.explode(F.slice("shingles", F.lit(1), F.greatest(m - needed + 1, F.lit(0)))).alias("token"))
-    pivots = prefix.groupBy("token").agg(F.min(F.struct("n", "class")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    prefix = cut(prefix.join(pivots, "token"))
-    stars = prefix.filter((F.col("class") != F.col("pivot.class")) & _fits(F.col("n"), F.col("pivot.n")))
-    stars = stars.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
-    links = cut(verified(stars, sets))
-    labels = connected_components(links)
-    labelled = prefix.select("token", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    labelled = cut(labelled)
-    several = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    blocks = labelled.join(several, "token", "left_semi").join(sets.select("class", "point"), "class")
-    more = verified(_block_pairs(blocks).join(stars, ["a", "b"], "left_anti"), sets)
-    every = cut(links.unionByName(more))
-    found = connected_components(every).withColumnRenamed("node", "class")
+    sets = written(able.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")))
+    found = connected_components(class_links(sets.select("class", "n", "shingles"))).withColumnRenamed("node", "class")
     of_class = sets.select("class", "least").join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = of_class.join(least, "label").select("class", "component_id")

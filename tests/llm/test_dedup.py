@@ -112,7 +112,7 @@ def test_no_documents(spark):
     assert jaccard_join.keep_one_of_each(none).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [8, jaccard_join.CHUNK])
+@pytest.mark.parametrize("chunk", [6000, jaccard_join.CHUNK])
 def test_components(spark, monkeypatch, chunk):
     monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
     rows = [*ROWS, ROWS[11], (None, ROWS[12][1], *ROWS[12][2:]), (None, "alone and without an id here", *ROWS[12][2:])]
@@ -132,18 +132,38 @@ def test_tree_loses_no_pair():
         n = 300
         centres = rng.integers(0, 4, (6, 32))
         points = np.maximum(centres[rng.integers(0, 6, n)] + rng.integers(-1, 2, (n, 32)), 0).astype(np.int32)
-        sizes, labels = points.sum(axis=1).astype(np.int64), rng.integers(0, 5, n)
-        chunk = (np.arange(n) % 2) if trial % 2 else np.zeros(n, int)
-        wanted = (0, 1) if trial % 2 else (0, 0)
-        a, b = jaccard_join.tree_pairs(np.arange(n), labels, sizes, points, chunk, wanted)
-        found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-        assert len(found) == len(a)
-        for i, j in itertools.combinations(range(n), 2):
+        sizes, labels = points.sum(axis=1).astype(np.int64), np.sort(rng.integers(0, 5 if trial % 2 else 300, n))
+        q, k = jaccard_join.CountTree(points, sizes, labels).search(points, sizes, labels)
+        found = set(zip(q.tolist(), k.tolist(), strict=True))
+        for i, j in itertools.permutations(range(n), 2):
             bound = int(np.minimum(points[i], points[j]).sum())
-            apart = labels[i] != labels[j] and {chunk[i], chunk[j]} == set(wanted)
-            links = 100 * bound >= 75 * (sizes[i] + sizes[j] - bound)
-            assert not (apart and links) or (i, j) in found
-            assert not ((i, j) in found) or apart
+            links = labels[i] != labels[j] and 100 * bound >= 75 * (sizes[i] + sizes[j] - bound)
+            assert not links or (i, j) in found
+        assert all(labels[i] != labels[j] for i, j in found)
+
+
+def test_chunk_links_connect_what_links_connect():
+    for trial in range(15):
+        base = [rng.choice(2**40, 60, replace=False) for _ in range(3)]
+        sets = []
+        for _ in range(150):
+            own = set(rng.permutation(base[rng.integers(0, 3)])[: rng.integers(45, 61)].tolist())
+            sets.append(np.array(sorted(own | set(rng.integers(0, 2**40, rng.integers(0, 12)).tolist()))))
+        begin = np.append(0, np.cumsum([len(x) for x in sets]))
+        sizes, labels = np.diff(begin), np.arange(150) if trial % 2 else np.arange(150) // 2
+        half = (np.arange(75), np.arange(75, 150)) if trial % 3 else (np.arange(150), np.arange(150))
+        got = jaccard_join.chunk_links(labels, sizes, np.concatenate(sets), begin, *half)
+
+        def roots(links):
+            root = labels.copy()
+            for a, b in links:
+                root[root == root[b]] = root[a]
+            return [np.flatnonzero(root == root[i])[0] for i in range(150)]
+
+        alike = lambda a, b: 100 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 75 * len(set(sets[a].tolist()) | set(sets[b].tolist()))
+        every = [(a, b) for a in half[0].tolist() for b in half[1].tolist() if a != b and alike(a, b)]
+        assert set(got) <= set(every) | {(b, a) for a, b in every} and len(got) < 150
+        assert roots(got) == roots(every)
 
 
 @pytest.mark.parametrize("name", ["op6_jaccard_join", "op7_substring_dedup"])
