@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyrook.llm.shared import text_bytes
 
 #: Bytes of text in a part: at 0 bytes, at most; and the size of the table at which they have doubled.
-PART_BYTES, PART_MOST, DOUBLES_AT = 8 << 20, 64 << 20, 1 << 38
+PART_BYTES, PART_MOST, DOUBLES_AT = 5 << 20, 64 << 20, 1 << 38
 QUESTION = "part int, bucket int, n int, hashes binary, flags binary"
 ANSWER = "part int, bucket int, kind int, bits binary, extra binary"
 
