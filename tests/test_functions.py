@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrook import jobs
 from tallyrook.functions import ids, lifecycle, safety, text
+from tallyrook.jobs.exchange import fit_units
 from tallyrook.operators import graph, metrics, ranking, store
 from tallyrook.schemas import DAY_MS
 
@@ -170,3 +171,9 @@ def test_stream_counts_each_event_once(spark, sf_dir, oracle):
     sql = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
     rows, expect = sorted(map(tuple, found.collect())), oracle(sql, sf_dir, found.columns)
     assert [r[:3] for r in rows] == [e[:3] for e in expect] and all(abs(r[3] - e[3]) < 1e-3 for r, e in zip(rows, expect, strict=True))
+
+
+def test_extraction_units():
+    rows = pd.DataFrame({"conv_id": 1, "turn": [2, 0, 1, 3, 4], "role": "user", "text": ["é" * 600, "a" * 1200, " ", "b" * 600, "c" * 500]})
+    got = list(map(tuple, fit_units(rows).itertuples(index=False)))
+    assert got == [(1, 0, 1000, None), (1, 1, 0, "empty"), (1, 2, 1000, None), (1, 3, 0, "budget"), (1, 4, 500, None)]
