@@ -16,7 +16,8 @@ tree together is decided exactly first:
    make a block. A large block is cut into chunks by size, each with the pivot.
 4. In a chunk, points are searched a batch at a time, and pairs that survive are verified unless links already connect them; nodes
    with one component are passed over. So a chunk yields at most one link for each of its classes, however many of its sets
-   are alike. Then chunks of one block are taken in pairs, where components still differ.
+   are alike. A first pass has each class in one block only, that with which it shares most; a second has whole blocks, chunks
+   and pairs of chunks, where components still differ.
 
 No link between different sets is lost: it is given, or implied by given ones. Classes meet as rows of joins, in tasks of bounded
 size; nothing is collected but counts.
@@ -212,30 +213,38 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 
 # --- the join ----------------------------------------------------------------------------------------------------
+def _chunks(members: DataFrame) -> DataFrame:
+    """members (block, class, n, m) with a chunk: runs by size of about CHUNK shingles."""
+    up_to = Window.partitionBy("block").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, 0)
+    return members.withColumn("chunk", (F.sum(F.col("m") + SET_COST).over(up_to) / CHUNK).cast("int"))
+
+
 def class_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes, from sets (class, n, shingles), that connect all that are linked."""
     m, needed = F.size("shingles"), F.expr(f"cast(div({PERCENT} * n + 99, 100) as int)")
     prefix = sets.select("class", "n", F.explode(F.slice("shingles", F.lit(1), F.greatest(m - needed + 1, F.lit(0)))).alias("token"))
     pivots = prefix.groupBy("token").agg(F.min(F.struct("n", "class")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    members = prefix.join(pivots, "token").select(F.col("pivot.class").alias("block"), "class").distinct()
-    up_to = Window.partitionBy("block").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, 0)
-    sized = members.join(sets.select("class", "n", m.alias("m")), "class")
-    chunked = cut(sized.withColumn("chunk", (F.sum(F.col("m") + SET_COST).over(up_to) / CHUNK).cast("int")).drop("m"))
+    pairs = prefix.join(pivots, "token").groupBy(F.col("pivot.class").alias("block"), "class").agg(F.count("*").alias("tokens"))
+    members = cut(pairs.join(sets.select("class", "n", m.alias("m")), "class"))
     shingles = sets.select("class", "shingles")
-    with_pivot = chunked.select("block", "chunk").distinct().join(sets.select(F.col("class").alias("block"), "n"), "block").select("block", F.col("block").alias("class"), "n", "chunk")
-    within = chunked.select("block", "class", "n", "chunk").unionByName(with_pivot).distinct()
-    within = within.withColumns({"c1": F.col("chunk"), "c2": F.col("chunk"), "label": F.col("class")})
+
+    # First each class in one block, that with which it shares most, and with that block's pivot.
+    best = members.filter("class != block").groupBy("class").agg(F.max(F.struct("tokens", "block", "n", "m")).alias("x")).select(F.col("x.block").alias("block"), "class", "x.n", "x.m")
+    own = _chunks(best).select("block", "class", "n", "chunk")
+    pivot_too = own.select("block", "chunk").distinct().join(sets.select(F.col("class").alias("block"), "n"), "block").select("block", F.col("block").alias("class"), "n", "chunk")
+    within = own.unionByName(pivot_too).withColumns({"c1": F.col("chunk"), "c2": F.col("chunk"), "label": F.col("class")})
     links = cut(_linked(within.join(shingles, "class")))
-    many = chunked.filter("chunk > 0").select("block").distinct()
-    if many.isEmpty():
-        return links
+
+    # Then whole blocks, where classes are still apart.
     labels = connected_components(links).withColumnRenamed("node", "class")
-    large = cut(chunked.join(many, "block", "left_semi").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    labelled = members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    apart = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("block")
+    large = cut(_chunks(labelled.join(apart, "block", "left_semi")).select("block", "class", "label", "n", "chunk"))
     ranges = large.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
     other = ranges.select("block", F.col("chunk").alias("c2"), F.col("low").alias("low2"), F.col("l1").alias("l3"), F.col("l2").alias("l4"))
-    apart = ~((F.col("l1") == F.col("l2")) & (F.col("l3") == F.col("l4")) & (F.col("l1") == F.col("l3")))
-    meet = ranges.join(other, "block").filter((F.col("chunk") < F.col("c2")) & (100 * F.col("high") >= PERCENT * F.col("low2")) & apart).select("block", F.col("chunk").alias("c1"), "c2")
-    sides = meet.withColumn("chunk", F.explode(F.array("c1", "c2")))
+    several = (F.col("l1") != F.col("l2")) | (F.col("l3") != F.col("l4")) | (F.col("l1") != F.col("l3"))
+    meet = ranges.join(other, "block").filter((F.col("chunk") <= F.col("c2")) & (100 * F.col("high") >= PERCENT * F.col("low2")) & several).select("block", F.col("chunk").alias("c1"), "c2")
+    sides = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("c1", "c2"))))
     return links.unionByName(_linked(large.join(sides, ["block", "chunk"]).join(shingles, "class")))
 
 
