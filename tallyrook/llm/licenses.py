@@ -213,3 +213,39 @@ def license_digests(docs: DataFrame) -> DataFrame:
         labels("base", "matches").alias("labels"),
         F.when(F.size("matches") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
     )
+
+
+def _pattern(template: str) -> str:
+    """A regular expression for the template, over words that each have one blank after them."""
+    found, at = "", 0
+    for m in [*_MARK.finditer(template), None]:
+        words = template[at : m.start() if m else len(template)].lower().split()
+        found += "".join(f"{x} " for x in words)
+        if m is None:
+            return found
+        at = m.end()
+        found += "(?:" if m[1] == "beginOptional" else ")?" if m[1] == "endOptional" else f"(?:[^ ]+ ){{0,{m[2]}}}"
+    return found
+
+
+def _base_sql() -> str:
+    rows = []
+    for phrase, label in BASE:
+        test = " AND ".join(f"ws[i + {j}] = '{x}'" for j, x in enumerate(phrase.split()))
+        rows.append(f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: {test}), lambda i: {{'s': i - 1, 'label': '{label}'}})")
+    return f"list_concat({rows[0]}, list_concat({rows[1]}, {rows[2]}))"
+
+
+LICENSE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), f AS (
+  SELECT doc_id, ws, {_base_sql()} AS base, ' ' || array_to_string(ws, ' ') || ' ' AS flat FROM d
+), m AS (
+  SELECT *, list_transform(base, lambda x: x.label) AS bl, list_transform(base, lambda x: x.s) AS places,
+    list_filter([{", ".join(f"CASE WHEN regexp_matches(flat, ' {_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())}], lambda x: x IS NOT NULL) AS own FROM f
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, own))), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM m
+"""

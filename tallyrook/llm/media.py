@@ -11,7 +11,6 @@ an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator

@@ -71,4 +71,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": chat_template.CONVERSATION_SQL,
     "op6_jaccard_join": jaccard_join.COMPONENTS_SQL,
     "op7_substring_dedup": substring_dedup.REPEATS_SQL,
+    "op9_license_scan": licenses.LICENSE_SQL,
 }

@@ -78,7 +78,7 @@ def test_contamination_empty(spark):
     assert decontaminate.contamination_digests(docs.limit(0), none).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_decontamination", "op4_chat_format"])
+@pytest.mark.parametrize("name", ["op3_decontamination", "op4_chat_format", "op9_license_scan"])
 def test_sql(spark, sf_dir, oracle, name):
     found = registry.QUERIES[name](spark, sf_dir)
     assert sorted(map(tuple, found.collect()), key=repr) == oracle(registry.ORACLE_SQL[name], sf_dir, found.columns)
