@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from tallyrook.jobs.catalog import query
 from tallyrook.jobs.store import millis
 from tallyrook.operators import graph, ranking
-from tallyrook.schemas import DAY_MS, FANOUT
 from tallyrook.sources.tables import table
 
 c = F.col
