@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from tallyrook.llm import repeats as r
 from tallyrook.llm import words as w
 from tallyrook.llm.components import connected_components
-from tallyrook.llm.shared import cut, written
+from tallyrook.llm.shared import cut, small, written
 
 SHINGLE, GROUPS = 5, 256
 #: A link: 100 * intersection >= PERCENT * union.
@@ -265,7 +265,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = similar_components(docs)
     counts = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     dropped = cut(counts.filter((F.col("n") > 1) | (F.col("doc_id") != F.col("component_id"))))
-    gone = dropped.filter("doc_id != component_id").select("doc_id")
+    gone = small(dropped.filter("doc_id != component_id").select("doc_id"))
     kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     if not dropped.filter("n > 1").isEmpty():
         named = kept.filter(kept["doc_id"].isNotNull()).dropDuplicates(["doc_id"])
