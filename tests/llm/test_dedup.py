@@ -43,7 +43,7 @@ ROWS = corpus()
 
 @pytest.fixture(autouse=True)
 def small_parts(monkeypatch):
-    monkeypatch.setattr(repeats, "PART_BYTES", 3000)
+    monkeypatch.setattr(repeats, "PART_BYTES", 12_000)
 
 
 def removed(rows):
