@@ -73,7 +73,7 @@ def _rarity(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...]) -> dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(held.value), np.int64)
-        for batch in batches:
+        for batch in w.slices(batches):
             _, which = _places(w.split(batch.column("text"), w.ALNUM, lower=True), sizes, held.value)
             total += np.bincount(which, minlength=len(total))
         some = np.flatnonzero(total)
@@ -156,7 +156,7 @@ def _pass(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in w.slices(batches):
             found = w.split(batch.column("text").cast(pa.string()), w.ALNUM, lower=True)
             begin, entry = index.value.find(found, sizes)
             row = np.searchsorted(found.first, begin, "right") - 1

@@ -184,7 +184,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = compiled(held)
         kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in w.slices(batches):
             found = w.split(batch.column("text"), w.ALNUM, lower=True)
             base: list[list] = [[] for _ in range(batch.num_rows)]
             for at, k in sorted(zip(*(x.tolist() for x in base_places(found)), strict=True)):

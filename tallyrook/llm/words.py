@@ -7,6 +7,7 @@ bytes alone, so equal words have equal hashes in every task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,13 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is computed for each word of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
