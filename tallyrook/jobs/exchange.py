@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,23 +99,41 @@ def evidence_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.agg(F.coalesce(F.bool_or(c("text").contains(c("quote"))), F.lit(False)).alias("supported"))
 
 
+#: UTF-8 bytes of a unit and of all units of a conversation (the reference's MAX_GRAPH_TEXT_BYTES and MAX_GRAPH_TOTAL_TEXT_BYTES).
+UNIT_BYTES, CONVERSATION_BYTES = 32 * 1024, 256 * 1024
+
+
+def _fitted(rows: Iterable[tuple], each: int, total: int) -> Iterator[tuple]:
+    """conv_id, turn, bytes and rejected of rows (conv_id, turn, text), each conversation's together and in order."""
+    for _, own in groupby(rows, key=lambda row: row[0]):
+        left = total
+        for conv, turn, unit in own:
+            kept = (unit or "").encode()[:each].decode(errors="ignore")
+            size = len(kept.encode())
+            code = "empty" if not kept.strip() else "budget" if size > left else None
+            left -= 0 if code else size
+            yield conv, turn, 0 if code else size, code
+
+
 def fit_units(rows: pd.DataFrame, each: int = 1000, total: int = 2500) -> pd.DataFrame:
     """Units in order: cut to `each` UTF-8 bytes at a character's end; one that no longer fits `total` is rejected, later ones may fit."""
-    rows, left, out = rows.sort_values(["turn", "role", "text"], kind="stable", na_position="first"), total, []
-    for conv, turn, unit in zip(rows["conv_id"], rows["turn"], rows["text"], strict=True):
-        kept = (unit or "").encode()[:each].decode(errors="ignore")
-        size = len(kept.encode())
-        code = "empty" if not kept.strip() else "budget" if size > left else None
-        left -= 0 if code else size
-        out.append((conv, turn, 0 if code else size, code))
-    return pd.DataFrame(out, columns=["conv_id", "turn", "bytes", "rejected"])
+    rows = rows.sort_values(["turn", "role", "text"], kind="stable", na_position="first")
+    return pd.DataFrame(_fitted(zip(rows["conv_id"], rows["turn"], rows["text"], strict=True), each, total), columns=["conv_id", "turn", "bytes", "rejected"])
 
 
 @query()
 def extraction_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of each conversation that an extraction may read, within a budget of bytes."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 1000).alias("text"))
-    return t.groupBy("conv_id").applyInPandas(lambda rows: fit_units(rows), "conv_id long, turn long, bytes long, rejected string")
+    """Units of each conversation that an extraction may read, within a budget of bytes. Conversations stream turn by turn."""
+    t = table(spark, sf_dir, "conversations").select(c("conv_id").cast("long"), c("turn").cast("long"), "role", F.substring("text", 1, UNIT_BYTES).alias("text"))
+    ordered = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "text")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _fitted((row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True)), UNIT_BYTES, CONVERSATION_BYTES)
+        while some := list(islice(units, 2000)):
+            columns = (pa.array(x, kind) for x, kind in zip(zip(*some, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))
+            yield pa.RecordBatch.from_arrays(list(columns), ["conv_id", "turn", "bytes", "rejected"])
+
+    return ordered.mapInArrow(fit, "conv_id long, turn long, bytes long, rejected string")
 
 
 @query(

@@ -177,3 +177,15 @@ def test_extraction_units():
     rows = pd.DataFrame({"conv_id": 1, "turn": [2, 0, 1, 3, 4], "role": "user", "text": ["é" * 600, "a" * 1200, " ", "b" * 600, "c" * 500]})
     got = list(map(tuple, fit_units(rows).itertuples(index=False)))
     assert got == [(1, 0, 1000, None), (1, 1, 0, "empty"), (1, 2, 1000, None), (1, 3, 0, "budget"), (1, 4, 500, None)]
+
+
+def test_extraction_takes_whole_turns(spark, tmp_path):
+    texts = {0: "é" * 700, 1: "a" * 2078, 2: "b" * 40_000, **{turn: "c" * 30_000 for turn in range(3, 11)}, 11: "d" * 5000, 12: " ", 13: None}
+    rows = [(conv, turn, "user", text) for turn, text in reversed(texts.items()) for conv in (1, 2)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, jobs.QUERIES["extraction_units"](spark, str(tmp_path)).collect()))
+    taken = {0: 1400, 1: 2078, 2: 32_768, **{turn: 30_000 for turn in range(3, 10)}}
+    left = 262_144 - sum(taken.values())
+    rest = {10: "budget", 11: None, 12: "empty", 13: "empty"}
+    assert 5000 <= left < 30_000
+    assert got == [(conv, turn, taken.get(turn, 5000 if turn == 11 else 0), rest.get(turn)) for conv in (1, 2) for turn in texts]
