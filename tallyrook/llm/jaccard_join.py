@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,7 +49,7 @@ LEAF, FANOUT, BATCH = 16, 16, 64
 #: A chunk's shingles, each set counted as if it had SET_COST more; rows that one task of trees takes, about.
 CHUNK, SET_COST, TREE_ROWS = 1_000_000, 500, 4000
 
-SETS = "doc_id long, n_shingles long, class long, shingles array<long>"
+SETS = "doc_id long, mark long, n_shingles long, class long, shingles array<long>"
 
 
 class _Sets:
@@ -86,10 +86,15 @@ def _classes(sets: _Sets) -> np.ndarray:
     return w.mix(total[sets.begin[1:]] - total[sets.begin[:-1]] + sets.size.astype(np.uint64)).view(np.int64)
 
 
+def _mark(docs: DataFrame) -> Column:
+    """A hash of a row's id and text: rows with one id and one mark are one row repeated."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """A row for each of docs: SETS. Only where a link is possible is there a class, and there, once in a part, the shingles that
     other documents have too, sorted."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark(docs).alias("mark"))
     plan = r.layout(docs)
     bits = plan.bits
     dealt = r.dealt(docs, plan)
@@ -111,9 +116,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         pick = shared & told[sets.row]
         offsets = np.append(0, np.cumsum(np.where(told, count, 0))).astype(np.int32)
         shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.hashes[pick].view(np.int64)))
-        columns = [part.column("doc_id"), pa.array(sets.size.astype(np.int64)), pc.if_else(pa.array(able), pa.array(classes), None)]
+        columns = [part.column("doc_id"), part.column("mark"), pa.array(sets.size.astype(np.int64)), pc.if_else(pa.array(able), pa.array(classes), None)]
         columns.append(pc.if_else(pa.array(told), shingles, pa.nulls(n, shingles.type)))
-        return pa.Table.from_arrays(columns, ["doc_id", "n_shingles", "class", "shingles"])
+        return pa.Table.from_arrays(columns, ["doc_id", "mark", "n_shingles", "class", "shingles"])
 
     answers = dealt.groupBy("part").applyInArrow(ask, r.QUESTION).groupBy("bucket").applyInArrow(r.shared_by_parts(0, flagged=False), r.ANSWER)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(tell, SETS)
@@ -248,29 +253,49 @@ def class_links(sets: DataFrame) -> DataFrame:
     return links.unionByName(_linked(large.join(sides, ["block", "chunk"]).join(shingles, "class")))
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each of docs."""
-    rows = written(shingle_sets(docs))
+def _least(rows: DataFrame) -> DataFrame:
+    """class and least (none, doc_id, class, mark), the least row of its component, of rows of shingle_sets(). Null ids come last."""
     able = rows.filter(F.col("class").isNotNull())
-    sets = written(able.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "mark")
+    sets = written(able.groupBy("class").agg(F.min(key).alias("least"), F.min("n_shingles").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")))
     found = connected_components(class_links(sets.select("class", "n", "shingles"))).withColumnRenamed("node", "class")
     of_class = sets.select("class", "least").join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(least, "label").select("class", "component_id")
+    least = of_class.groupBy("label").agg(F.min("least").alias("least"))
+    return of_class.select("class", "label").join(least, "label").select("class", "least")
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each of docs."""
+    rows = written(shingle_sets(docs))
+    of_class = _least(rows).select("class", F.col("least.doc_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are not the least of their component; of rows with one doc_id, one stays. Null ids stay."""
-    found = similar_components(docs)
-    counts = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    dropped = cut(counts.filter((F.col("n") > 1) | (F.col("doc_id") != F.col("component_id"))))
-    gone = small(dropped.filter("doc_id != component_id").select("doc_id"))
-    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    if not dropped.filter("n > 1").isEmpty():
-        named = kept.filter(kept["doc_id"].isNotNull()).dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter(kept["doc_id"].isNull()))
-    return kept.select(*docs.columns)
+    """docs without the rows that are not the least of their component (null ids last), whatever other rows have their id.
+
+    Rows with one id (or none) and one text are one row repeated, of which the least stays; but texts without words have no links,
+    and those without an id stay too.
+    """
+    rows = written(shingle_sets(docs))
+    keys = rows.select("doc_id", "mark", "class").join(_least(rows), "class")
+    gone = cut(keys.filter(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")))).select("doc_id", "mark").distinct())
+    able = rows.filter(F.col("class").isNotNull() | ((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()))
+    counts = able.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1")
+    again = cut(_of(counts, counts["mark"], gone, "left_anti").select("doc_id", "mark"))
+    kept = _of(docs, _mark(docs), small(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    fields = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    repeated = _of(kept, _mark(kept), again, "left_semi")
+    single = repeated.groupBy(repeated["doc_id"].alias("id"), _mark(repeated).alias("mark")).agg(F.min_by(fields, F.to_json(fields)).alias("least"))
+    return _of(kept, _mark(kept), again, "left_anti").unionByName(single.select("least.*"))
+
+
+def _of(rows: DataFrame, mark: Column, keys: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join of rows with keys (doc_id, mark), with null ids as one."""
+    return rows.join(keys, (mark == keys["mark"]) & rows["doc_id"].cast("long").eqNullSafe(keys["doc_id"]), how)
 
 
 #: A shingle's words are joined by one blank: no word contains one.

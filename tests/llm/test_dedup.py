@@ -127,6 +127,18 @@ def test_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components(rows)})
 
 
+def test_one_of_each_stays_by_row(spark):
+    """One id with unlinked texts, with a copy elsewhere, with a repeated row; and copies without an id."""
+    one, two, three, four, five, six = (f"{k} " + text(30, 10**6) for k in "abcdef")
+    given = [(7, one), (7, two), (7, two), (7, three), (3, three), (7, four), (8, four), (None, five), (None, five), (None, six), (9, six), (2, None), (2, None), (None, None), (None, "")]
+    rows = [(i, t, "en", f"s{k}", k, "clash", "clash", "clash") for k, (i, t) in enumerate(given)]
+    stay = [(7, one), (7, two), (3, three), (7, four), (None, five), (9, six), (2, None), (None, None), (None, "")]
+    for order in (rows, rows[::-1]):
+        kept = jaccard_join.keep_one_of_each(spark.createDataFrame(order, SCHEMA).repartition(3)).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(stay, key=repr)
+        assert {r.source for r in kept if r.text in (two, five)} == {"s1", "s7"}
+
+
 def test_tree_loses_no_pair():
     for trial in range(20):
         n = 300
