@@ -147,6 +147,27 @@ def test_languages(spark):
     assert lang_id.Models.entropy(models, [long + "\n"])[0].argmin() == split.argmin() == models.languages.index("de")
 
 
+def test_rare_languages_reject(spark):
+    """One language with few documents, one with a single document: junk that falls to either goes, their own texts stay."""
+    rng = np.random.default_rng(4)
+    stems = {"aa": ["kalo", "mira", "tesun", "doba", "relik", "sano"], "bb": ["жура", "полан", "тесик", "мору", "вадел", "синот"], "cc": ["γαλο", "πετρυ", "μαρικ", "σενα"]}
+    prose = lambda lang, n=80: " ".join(rng.choice(stems[lang], n))
+    learned = [(lang, prose(lang)) for lang, n in (("aa", 80), ("bb", 12), ("cc", 1)) for _ in range(n)]
+    docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(learned)], "doc_id long, lang string, text string")
+    models = lang_id.learn(docs, docs["doc_id"] >= 0)
+    junk = {lang: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(80)) for lang, letters in (("bb", "щъыэюфцчшх"), ("cc", "ωψξζθφχδηβ"))}
+    for lang, text in junk.items():
+        assert models.predict([text])[0][2], lang
+    for lang in stems:
+        assert [p[0] == lang and not p[2] for p in models.predict([prose(lang), *(t for x, t in learned if x == lang)])].count(False) == 0
+
+
+def test_one_document_without_an_id_is_learned(spark):
+    docs = spark.createDataFrame([(None, "aa", "kalo mira tesun doba")] * 3, "doc_id long, lang string, text string")
+    models = lang_id.learn(docs, docs["lang"] == "aa")
+    assert models.languages == ["aa"] and not models.predict(["kalo mira tesun doba"])[0][2]
+
+
 def test_languages_without_labels(spark):
     docs = frame(spark, ODD).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string"))
     assert {r.lang_pred for r in lang_id.language_digests(docs).collect()} == {"und"}
