@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Encoding: long texts are cut where no match of the split pattern can reach across, so that no single call grows with
-the text. Such a place lies between a letter or digit and a blank after it: every alternative of the pattern takes
-white space only at its front or alone. A long run of white space is one match (but for its last character, which
+the text. Such a place lies between any character and white space after it, since every alternative of the pattern takes
+white space only at its front or alone; and between a letter or digit and punctuation after it, which no alternative spans.
+A run of letters alone is one match, of any length. A long run of white space is one match (but for its last character, which
 goes with what follows); it is encoded as such, since the library's own regular expression overflows its stack there.
 
 Nulls and empty texts: no ids, no bytes. Repeated rows: encoded each. Extra columns stay; the new columns replace any
@@ -20,10 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 #: Texts of up to so many characters are encoded in one call.
 LONG = 100_000
-_CUT = regex.compile(r"[A-Za-z0-9](?=[ \n])")
+_CUT = regex.compile(r"\P{White_Space}(?=\p{White_Space})|[\p{L}\p{N}](?=\p{P})")
 _BLANK = regex.compile(r"\p{White_Space}{256,}")
 
 
@@ -71,7 +73,7 @@ def encode(text: str, ranks_path: str, pattern: str, long: int = LONG) -> list[i
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids, array<int>."""
     docs = docs.drop(ids) if ids in docs.columns else docs
-    schema = f"{_ddl(docs)}, `{ids}` array<int>"
+    schema = StructType(list(docs.schema.fields)).add(ids, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +87,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """encoded with a column of the raw bytes that the ids stand for; they need not be valid UTF-8."""
     encoded = encoded.drop(to) if to in encoded.columns else encoded
-    schema = f"{_ddl(encoded)}, `{to}` binary"
+    schema = StructType(list(encoded.schema.fields)).add(to, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(ranks_path, pattern)[0].decode_bytes
@@ -114,10 +116,6 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _ddl(frame: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-
-
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

@@ -5,15 +5,16 @@ shingles of three consecutive words; a text holds the window only if it holds al
 necessary and enough to find it: shingles are ordered by how rare they are in all documents, and the rarest of each
 window is its prefix. A place where a document has such a shingle is a candidate for every window with that prefix; it
 survives the length bound (the document is as long as the window), the positional bound (the window, laid so that the
-shingles meet, lies within the document) and the comparison of all words.
+shingles meet, lies within the document), the comparison of the words' hashes, and that of the words themselves.
 
-The benchmark is taken in blocks of whole windows, each with a bounded index that is broadcast; beyond one block the
-documents are passed through the blocks in turn. So the result does not depend on the bound, and nothing is shuffled but
-counts of benchmark shingles. A passage that a third of all documents share costs no more than its places.
+The benchmark is taken in blocks of windows, each with a bounded index that is broadcast; beyond one block the
+documents are passed through the blocks in turn, twice each. So the result does not depend on the bound, and nothing is
+shuffled but counts of benchmark shingles. Windows are dealt to blocks with their item, so that one that many items share
+fills no block. A passage that a third of all documents share costs no more than its places.
 
 Null texts have no words and, as items, no windows; items without words have none; repeated items and documents are
-matched each; an empty benchmark hits nothing; an empty table of documents gives an empty table; extra columns stay, and
-the new ones replace any of the same name.
+matched each; an empty benchmark hits nothing; an empty table of documents gives an empty table; extra columns of any name
+stay, and in find_overlaps() the new ones replace any of the same name.
 """
 
 from __future__ import annotations
@@ -24,34 +25,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tallyrook.llm import words as w
-from tallyrook.llm.shared import cut
+from tallyrook.llm.shared import bundled, cut, unbundled, with_new
 
 WINDOW, SHINGLE = 10, 3
-#: Windows of a block: its index holds about 150 bytes for each.
+#: Windows of a block: its index holds about 250 bytes for each.
 BLOCK = 200_000
+NEW = ("n_words", "spans", "items")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item, words (hashes, in order) and shingles (hashes, in order) of each window of each item."""
+    """item, words (hashes, in order), shingles (hashes, in order) and wording (the words, one blank between) of each window of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = w.split(batch.column("text"), w.ALNUM, lower=True)
-            items, runs, sets = [], [], []
+            items, runs, sets, wordings = [], [], [], []
             for i, item in enumerate(batch.column("item").to_pylist()):
                 own = found.hash[found.first[i] : found.first[i + 1]]
-                for s in range(max(1, len(own) - WINDOW + 1) if len(own) else 0):
-                    run_ = own[s : s + WINDOW]
-                    size = min(SHINGLE, len(run_))
-                    one = w.Words(run_, run_, run_, np.array([0, len(run_)]), run_)
+                spelled = [found.lower(k) for k in range(found.first[i], found.first[i + 1])]
+                size = min(WINDOW, len(own))
+                shingles = w.rolled(own, min(SHINGLE, size)).view(np.int64) if size else own
+                for s in range(len(own) - size + 1 if size else 0):
                     items.append(item)
-                    runs.append(run_.view(np.int64))
-                    sets.append(w.windows(one, size)[0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(runs, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["item", "words", "shingles"])
+                    runs.append(own[s : s + size].view(np.int64))
+                    sets.append(shingles[s : s + size - min(SHINGLE, size) + 1])
+                    wordings.append(b" ".join(spelled[s : s + size]))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(runs, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array(wordings, pa.binary())], ["item", "words", "shingles", "wording"])
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).mapInArrow(run, "item string, words array<long>, shingles array<long>")
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).mapInArrow(run, "item string, words array<long>, shingles array<long>, wording binary")
 
 
 def _places(found: w.Words, sizes: tuple[int, ...], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +71,7 @@ def _places(found: w.Words, sizes: tuple[int, ...], wanted: np.ndarray) -> tuple
     return np.concatenate(at), np.concatenate(which)
 
 
-def _rarity(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...]) -> dict[int, int]:
+def _rarity(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     """How often each wanted shingle stands in all documents. The counts are as many as the block's shingles."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -79,30 +83,46 @@ def _rarity(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...]) -> dict
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["which", "n"])
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "which long, n long").groupBy("which").agg(F.sum("n").alias("n"))
-    return {r["which"]: r["n"] for r in counts.collect()}
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "which long, n long").groupBy("which").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(wanted), np.int64)
+    out[counts["which"].to_numpy()] = counts["n"].to_numpy()
+    return out
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins (and the last ends)."""
+    lists = column.combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.append(0, ends)
 
 
 class _Index:
     """Windows of a block by their prefix: for the i-th of the sorted prefixes, those from first[i] to first[i + 1]."""
 
-    def __init__(self, rows: list, counts: dict[int, int], wanted: np.ndarray):
-        entries = []
-        for r in rows:
-            shingles = np.array(r["shingles"], np.int64).view(np.uint64)
-            ranked = [(counts.get(int(k), 0), int(h), j) for j, (k, h) in enumerate(zip(np.searchsorted(wanted, shingles), shingles, strict=True))]
-            if all(n for n, _, _ in ranked):  # one that no document has: the window is nowhere
-                entries.append((min(ranked)[1:], r))
-        entries.sort(key=lambda e: (e[0], e[1]["item"] or "", e[1]["words"]))
-        prefix = np.array([e[0][0] for e in entries], np.uint64)
+    def __init__(self, windows: pa.Table, counts: np.ndarray, wanted: np.ndarray):
+        shingles, at = _lists(windows["shingles"])
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        often = counts[np.searchsorted(wanted, shingles)] if len(shingles) else np.zeros(0, np.int64)
+        best = np.lexsort((shingles, often, row))  # the rarest of each window comes first
+        best = best[at[:-1]] if len(at) > 1 else best[:0]
+        # Where no document has a shingle of a window, the window is nowhere.
+        nowhere = np.zeros(len(at) - 1, bool)
+        nowhere[row[often == 0]] = True
+        kept = np.flatnonzero(~nowhere)
+        kept = kept[np.argsort(shingles[best[kept]], kind="stable")]
+        best = best[kept]
+        prefix = shingles[best]
         self.prefix, first = np.unique(prefix, return_index=True)
         self.first = np.append(first, len(prefix)).astype(np.int64)
-        self.offset = np.array([e[0][1] for e in entries], np.int64)
-        self.size = np.array([len(e[1]["words"]) for e in entries], np.int64)
-        self.words = np.zeros((len(entries), WINDOW), np.uint64)
-        for i, (_, r) in enumerate(entries):
-            self.words[i, : len(r["words"])] = np.array(r["words"], np.int64).view(np.uint64)
-        self.items = [e[1]["item"] for e in entries]
+        self.offset = best - at[kept]
+        words, begin = _lists(windows["words"])
+        self.size = np.diff(begin)[kept]
+        self.words = np.zeros((len(kept), WINDOW), np.uint64)
+        for j in range(WINDOW):
+            has = self.size > j
+            self.words[has, j] = words[begin[kept[has]] + j]
+        items, wordings = windows["item"].to_pylist(), windows["wording"].to_pylist()
+        self.items, self.wording = [items[i] for i in kept.tolist()], [wordings[i] for i in kept.tolist()]
 
     def find(self, found: w.Words, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of every occurrence in the column."""
@@ -117,7 +137,9 @@ class _Index:
             place = np.minimum(begin + j, max(len(found.hash) - 1, 0))
             keep = (j >= self.size[entry]) | (found.hash[place] == self.words[entry, j])
             begin, entry = begin[keep], entry[keep]
-        return begin, entry
+        same = [b" ".join([found.lower(k) for k in range(b, b + n)]) == self.wording[e] for b, e, n in zip(begin.tolist(), entry.tolist(), self.size[entry].tolist(), strict=True)]
+        keep = np.array(same, bool)
+        return begin[keep], entry[keep]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -131,33 +153,30 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs with n_words, spans (begin and end words of hits, flat) and items (item_ids as strings, sorted)."""
-    spark = docs.sparkSession
-    new = ("n_words", "spans", "items")
-    docs = docs.drop(*new)
+def _overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of bundled documents: doc_id, text, row and NEW."""
     windows = cut(benchmark_windows(benchmark))
-    count = windows.count()
-    blocks = max(1, -(-count // block))
+    blocks = max(1, -(-windows.count() // block))
     if blocks > 1:
-        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))))
+        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks))))
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
     for b in range(blocks):
-        rows = (windows.filter(F.col("block") == b) if blocks > 1 else windows).collect()  # about `block` of them
-        wanted = np.unique(np.array([h for r in rows for h in r["shingles"]], np.int64).view(np.uint64))
-        sizes = tuple(sorted({min(SHINGLE, len(r["words"])) for r in rows}))
-        counts = _rarity(docs, wanted, sizes) if rows else {}
-        out = _pass(out, spark.sparkContext.broadcast(_Index(rows, counts, wanted)), sizes)
+        held = (windows.filter(F.col("block") == b) if blocks > 1 else windows).toArrow()  # about `block` of them
+        shingles, _ = _lists(held["shingles"])
+        wanted = np.unique(shingles)
+        sizes = tuple(sorted({min(SHINGLE, n) for n in np.unique(np.diff(_lists(held["words"])[1])).tolist()}))
+        counts = _rarity(docs, wanted, sizes) if len(wanted) else np.zeros(0, np.int64)
+        out = _pass(out, docs.sparkSession.sparkContext.broadcast(_Index(held, counts, wanted)), sizes)
     return out
 
 
 def _pass(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns
+    schema = StructType([f for f in docs.schema.fields if f.name not in NEW]).add("n_words", LongType()).add("spans", ArrayType(LongType())).add("items", ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.slices(batches):
-            found = w.split(batch.column("text").cast(pa.string()), w.ALNUM, lower=True)
+            found = w.split(batch.column("text"), w.ALNUM, lower=True)
             begin, entry = index.value.find(found, sizes)
             row = np.searchsorted(found.first, begin, "right") - 1
             new: dict[int, tuple[list, set]] = {}
@@ -176,6 +195,11 @@ def _pass(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs with n_words, spans (begin and end words of hits, flat) and items (item_ids as strings, sorted)."""
+    return with_new(_overlaps(bundled(docs), benchmark, block), docs.columns, NEW)
+
+
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_overlaps(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark)
     ends = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["n"] + x * s["sign"]).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"])
@@ -184,8 +208,7 @@ def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with the columns they came with."""
-    found = find_overlaps(docs, benchmark)
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    return unbundled(_overlaps(bundled(docs), benchmark).filter(F.size("spans") == 0), docs.columns)
 
 
 #: A window's words are joined by one blank: no word contains one.

@@ -11,13 +11,15 @@ tree together is decided exactly first:
 1. A link takes three quarters of either set, so a document with fewer than that of its shingles in any other document
    has no link. Which shingles are shared is asked through tallyrook.llm.repeats. Most documents end here.
 2. Equal sets become one class.
-3. Ordered by hash, two linked sets share one of their first shingles (the prefix: what is left if three quarters are
-   missing, plus one). Each shingle's smallest class is its pivot, and all classes that share prefix shingles with one pivot
-   make a block. A large block is cut into chunks by size, each with the pivot.
-4. In a chunk, points are searched a batch at a time, and pairs that survive are verified unless links already connect them; nodes
-   with one component are passed over. So a chunk yields at most one link for each of its classes, however many of its sets
-   are alike. A first pass has each class in one block only, that with which it shares most; a second has whole blocks, chunks
-   and pairs of chunks, where components still differ.
+3. Ordered by how few parts of the table have them, two linked sets share one of their first shingles (the prefix: what is left
+   if three quarters are missing, plus one). Each shingle's smallest class is its pivot, and all classes that share prefix
+   shingles with one pivot make a block: blocks only say which points meet. What many texts share comes late in the order, so
+   that a common passage makes no block unless it is most of a text. A large block is cut into chunks by size, each with the pivot.
+4. In a chunk, an R-tree over the points yields the candidates, a batch of points at a time, and candidates are verified unless
+   links already connect them; nodes with one component are passed over. So a chunk yields at most one link for each of its
+   classes, however many of its sets are alike. A first pass has each class in one block only, that with which it shares most; a
+   second has whole blocks, chunks and pairs of chunks, where components still differ. There a chunk is sent once for each
+   chunk of sizes within three quarters of its own that has another component.
 
 No link between different sets is lost: it is given, or implied by given ones. Classes meet as rows of joins, in tasks of bounded
 size; nothing is collected but counts.
@@ -39,21 +41,21 @@ from pyspark.sql.window import Window
 from tallyrook.llm import repeats as r
 from tallyrook.llm import words as w
 from tallyrook.llm.components import connected_components
-from tallyrook.llm.shared import cut, small, written
+from tallyrook.llm.shared import cut, quoted, small, written
 
 SHINGLE, GROUPS = 5, 256
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Points in a leaf, nodes in a node, and points that search at once.
 LEAF, FANOUT, BATCH = 16, 16, 64
-#: A chunk's shingles, each set counted as if it had SET_COST more; rows that one task of trees takes, about.
-CHUNK, SET_COST, TREE_ROWS = 1_000_000, 500, 4000
+#: A chunk's shingles, each set counted as if it had SET_COST more; what a task of trees takes, so counted, about.
+CHUNK, SET_COST, TASK = 1_000_000, 500, 2_000_000
 
 SETS = "doc_id long, mark long, n_shingles long, class long, shingles array<long>"
 
 
 class _Sets:
-    """Distinct shingles of the texts of one part, each text's together and sorted by hash."""
+    """Distinct shingles of the texts of one part, each text's together."""
 
     def __init__(self, docs: pa.Table):
         words = w.split(docs.column("text"), w.SPACE, lower=True)
@@ -74,9 +76,10 @@ class _Sets:
         self.runs = r.Runs.of(self.hashes)
         self.several = np.diff(np.append(self.runs.begin, len(self.hashes))) > 1
 
-    def shared(self, answers: pa.Table, bits: int) -> np.ndarray:
-        elsewhere, _ = r.heard(answers, 0, self.runs.hashes, bits)
-        return self.runs.spread(elsewhere | self.several)
+    def shared(self, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each shingle, whether another text has it, and how many parts have it, roughly."""
+        elsewhere, level = r.heard(answers, 0, self.runs.hashes, bits, wide=False)
+        return self.runs.spread(elsewhere | self.several), self.runs.spread(level)
 
 
 def _classes(sets: _Sets) -> np.ndarray:
@@ -93,18 +96,17 @@ def _mark(docs: DataFrame) -> Column:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """A row for each of docs: SETS. Only where a link is possible is there a class, and there, once in a part, the shingles that
-    other documents have too, sorted."""
+    other documents have too, those that fewest parts have first."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark(docs).alias("mark"))
-    plan = r.layout(docs)
+    plan, dealt = r.layout(docs)
     bits = plan.bits
-    dealt = r.dealt(docs, plan)
 
     def ask(key: tuple, part: pa.Table) -> pa.Table:
         return r.question(key[0].as_py(), _Sets(part).runs.hashes, None, bits)
 
     def tell(key: tuple, part: pa.Table, answers: pa.Table) -> pa.Table:
         sets = _Sets(part)
-        shared = sets.shared(answers, bits)
+        shared, level = sets.shared(answers, bits)
         n = len(sets.size)
         count = np.bincount(sets.row[shared], minlength=n)
         able = (sets.size > 0) & (100 * count >= PERCENT * sets.size)
@@ -113,14 +115,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         told = np.zeros(n, bool)
         told[first] = True
         told &= able
-        pick = shared & told[sets.row]
+        pick = np.flatnonzero(shared & told[sets.row])
+        pick = pick[np.lexsort((sets.hashes[pick], level[pick], sets.row[pick]))]
         offsets = np.append(0, np.cumsum(np.where(told, count, 0))).astype(np.int32)
         shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.hashes[pick].view(np.int64)))
         columns = [part.column("doc_id"), part.column("mark"), pa.array(sets.size.astype(np.int64)), pc.if_else(pa.array(able), pa.array(classes), None)]
         columns.append(pc.if_else(pa.array(told), shingles, pa.nulls(n, shingles.type)))
         return pa.Table.from_arrays(columns, ["doc_id", "mark", "n_shingles", "class", "shingles"])
 
-    answers = dealt.groupBy("part").applyInArrow(ask, r.QUESTION).groupBy("bucket").applyInArrow(r.shared_by_parts(0, flagged=False), r.ANSWER)
+    answers = dealt.groupBy("part").applyInArrow(ask, r.QUESTION).groupBy("bucket").applyInArrow(r.shared_by_parts(0, flagged=False, counted=True), r.ANSWER)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(tell, SETS)
 
 
@@ -193,10 +196,11 @@ def chunk_links(labels: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, beg
     return found
 
 
-def _linked(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of chunks: rows (block, c1, c2, chunk, class, label, n, shingles); within c1, or between c1 and c2."""
-    tasks = max(1, rows.count() // TREE_ROWS)
-    keyed = rows.withColumn("task", F.pmod(F.xxhash64("block", "c1", "c2"), F.lit(tasks)).cast("int"))
+def _linked(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links (a, b) of chunks: rows (block, c1, c2, chunk, class, label, n, m); within c1, or between c1 and c2."""
+    weight = rows.agg(F.sum(F.col("m") + SET_COST)).first()[0] or 0
+    tasks = max(1, weight // TASK)
+    keyed = rows.join(shingles, "class").withColumn("task", F.pmod(F.xxhash64("block", "c1", "c2"), F.lit(tasks)).cast("int")).repartition(tasks, "task")
 
     def search(task: pa.Table) -> pa.Table:
         block, c1, c2, chunk, classes, labels, sizes = (task.column(c).to_numpy() for c in ("block", "c1", "c2", "chunk", "class", "label", "n"))
@@ -219,9 +223,13 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 # --- the join ----------------------------------------------------------------------------------------------------
 def _chunks(members: DataFrame) -> DataFrame:
-    """members (block, class, n, m) with a chunk: runs by size of about CHUNK shingles."""
-    up_to = Window.partitionBy("block").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, 0)
-    return members.withColumn("chunk", (F.sum(F.col("m") + SET_COST).over(up_to) / CHUNK).cast("int"))
+    """members (block, class, n, m, ...) with a chunk: stretches by size of about CHUNK shingles. Sets of one size are spread over
+    the stretch they take by a hash, so that only sizes are added up, not members."""
+    weights = members.groupBy("block", "n").agg(F.sum(F.col("m") + SET_COST).alias("own"))
+    before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = weights.withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    spread = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / (1 << 20)
+    return members.join(placed, ["block", "n"]).withColumn("chunk", ((F.col("before") + F.col("own") * spread) / CHUNK).cast("int"))
 
 
 def class_links(sets: DataFrame) -> DataFrame:
@@ -235,22 +243,23 @@ def class_links(sets: DataFrame) -> DataFrame:
 
     # First each class in one block, that with which it shares most, and with that block's pivot.
     best = members.filter("class != block").groupBy("class").agg(F.max(F.struct("tokens", "block", "n", "m")).alias("x")).select(F.col("x.block").alias("block"), "class", "x.n", "x.m")
-    own = _chunks(best).select("block", "class", "n", "chunk")
-    pivot_too = own.select("block", "chunk").distinct().join(sets.select(F.col("class").alias("block"), "n"), "block").select("block", F.col("block").alias("class"), "n", "chunk")
+    own = cut(_chunks(best).select("block", "class", "n", "m", "chunk"))
+    pivots = own.select("block", "chunk").distinct().join(sets.select(F.col("class").alias("block"), "n", m.alias("m")), "block")
+    pivot_too = pivots.select("block", F.col("block").alias("class"), "n", "m", "chunk")
     within = own.unionByName(pivot_too).withColumns({"c1": F.col("chunk"), "c2": F.col("chunk"), "label": F.col("class")})
-    links = cut(_linked(within.join(shingles, "class")))
+    links = cut(_linked(within, shingles))
 
     # Then whole blocks, where classes are still apart.
     labels = connected_components(links).withColumnRenamed("node", "class")
     labelled = members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     apart = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("block")
-    large = cut(_chunks(labelled.join(apart, "block", "left_semi")).select("block", "class", "label", "n", "chunk"))
+    large = cut(_chunks(labelled.join(apart, "block", "left_semi")).select("block", "class", "label", "n", "m", "chunk"))
     ranges = large.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
     other = ranges.select("block", F.col("chunk").alias("c2"), F.col("low").alias("low2"), F.col("l1").alias("l3"), F.col("l2").alias("l4"))
     several = (F.col("l1") != F.col("l2")) | (F.col("l3") != F.col("l4")) | (F.col("l1") != F.col("l3"))
     meet = ranges.join(other, "block").filter((F.col("chunk") <= F.col("c2")) & (100 * F.col("high") >= PERCENT * F.col("low2")) & several).select("block", F.col("chunk").alias("c1"), "c2")
     sides = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("c1", "c2"))))
-    return links.unionByName(_linked(large.join(sides, ["block", "chunk"]).join(shingles, "class")))
+    return links.unionByName(_linked(large.join(sides, ["block", "chunk"]), shingles))
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -287,7 +296,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return kept
     again = small(again)
-    fields = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    fields = F.struct(*(docs[quoted(c)] for c in docs.columns))
     repeated = _of(kept, _mark(kept), again, "left_semi")
     single = repeated.groupBy(repeated["doc_id"].alias("id"), _mark(repeated).alias("mark")).agg(F.min_by(fields, F.to_json(fields)).alias("least"))
     return _of(kept, _mark(kept), again, "left_anti").unionByName(single.select("least.*"))

@@ -5,9 +5,10 @@ buckets by their leading bits; a bucket sees all parts' hashes of its range, and
 question: a bit for each hash, and values where an operator needs them. So the exchange holds a few bytes for each
 different hash of a part, whatever the number of copies of a text, and a hash that a third of all rows have comes to its
 bucket once from each part. A part is a pure function of the row: a task that is computed again asks the same question.
+A row that is repeated so often that its copies would fill a part is dealt by a number that is written beside it first.
 
-Parts and buckets are about as many, and grow with the table; so do the bytes of a part, with the square root of the
-whole, up to a bound, so that packed pieces stay of a useful size.
+Parts have PART_BYTES of text at any size of the table, so the memory of a task does not grow with it; their number does,
+and that of buckets.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrook.llm.shared import text_bytes
+from tallyrook.llm.shared import quoted, written
 
-#: Bytes of text in a part: at 0 bytes, at most; and the size of the table at which they have doubled.
-PART_BYTES, PART_MOST, DOUBLES_AT = 5 << 20, 64 << 20, 1 << 38
-QUESTION = "part int, bucket int, n int, hashes binary, flags binary"
+#: Bytes of text in a part, about. A bucket has the hashes of FEWER times as many.
+PART_BYTES, FEWER = 2 << 20, 4
+QUESTION = "part int, bucket int, n int, hashes binary, flags binary, more binary"
 ANSWER = "part int, bucket int, kind int, bits binary, extra binary"
 
 
@@ -34,16 +35,20 @@ class Layout:
     bits: int
 
 
-def layout(docs: DataFrame) -> Layout:
-    total = text_bytes(docs)
-    each = min(PART_MOST, PART_BYTES * (1 + (total / DOUBLES_AT) ** 0.5))
-    parts = max(1, int(-(-total // each)))
-    return Layout(parts, max(1, (parts - 1).bit_length()))
-
-
-def dealt(docs: DataFrame, plan: Layout) -> DataFrame:
-    """docs with their part, together."""
-    return docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.parts)).cast("int")).repartition(plan.parts, "part")
+def layout(docs: DataFrame) -> tuple[Layout, DataFrame]:
+    """How many parts and buckets; and docs with the column part, together."""
+    row = F.xxhash64(*(F.col(quoted(c)) for c in docs.columns))
+    of_row = docs.groupBy(row.alias("hash")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"))
+    repeated = F.when(F.col("n") > 1, F.col("bytes") + 64 * F.col("n"))
+    total, most = of_row.agg(F.sum("bytes"), F.max(repeated)).first()
+    parts = max(1, int(-(-(total or 0) // PART_BYTES)))
+    salt = F.lit(0).cast("long")
+    if parts > 1 and (most or 0) > PART_BYTES:
+        hot = [r["hash"] for r in of_row.filter(repeated > PART_BYTES).select("hash").collect()]  # at most as many as parts
+        docs = written(docs.withColumn("salt", F.when(row.isin(hot), F.monotonically_increasing_id()).otherwise(salt)))
+        salt = docs["salt"]
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(parts)).cast("int"))
+    return Layout(parts, max(1, (max(1, parts // FEWER) - 1).bit_length())), dealt.drop("salt").repartition(parts, "part")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -63,34 +68,39 @@ def edges(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(hashes))
 
 
-def question(part: int, hashes: np.ndarray, flags: np.ndarray | None, bits: int, whole: bool = False) -> pa.Table:
-    """A row for each bucket. whole: all 64 bits are sent, else the 32 after the bucket's; flags: a bit or a number each."""
+def question(part: int, hashes: np.ndarray, flags: np.ndarray | None, bits: int, more: np.ndarray | None = None) -> pa.Table:
+    """A row for each bucket, of the 32 bits after the bucket's; of all 64, where there is a second hash (more). flags: a bit or a number each."""
+    whole = more is not None
     cuts = edges(hashes, bits)
     some = np.flatnonzero(np.diff(cuts)).tolist()
     own = hashes if whole else ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     rows = [(own[cuts[b] : cuts[b + 1]], None if flags is None else flags[cuts[b] : cuts[b + 1]]) for b in some]
     bare = lambda f: b"" if f is None else np.packbits(f).tobytes() if f.dtype == bool else packed(f)
     columns = [pa.array([part] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([len(h) for h, _ in rows], pa.int32()), pa.array([packed(h) for h, _ in rows], pa.binary()), pa.array([bare(f) for _, f in rows], pa.binary())]
-    return pa.Table.from_arrays(columns, ["part", "bucket", "n", "hashes", "flags"])
+    columns.append(pa.array([more[cuts[b] : cuts[b + 1]].tobytes() if whole else b"" for b in some], pa.binary()))
+    return pa.Table.from_arrays(columns, ["part", "bucket", "n", "hashes", "flags", "more"])
 
 
 def bits_of(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def shared_by_parts(kind: int, flagged: bool) -> Callable[[pa.Table], pa.Table]:
-    """Answers of a bucket: which hashes another part has too; flagged: only those that some part has flagged."""
+def shared_by_parts(kind: int, flagged: bool, counted: bool = False) -> Callable[[pa.Table], pa.Table]:
+    """Answers of a bucket: which hashes another part has too; flagged: only those that some part has flagged; counted: with
+    how many parts have each (8 times its binary logarithm)."""
 
     def answer(asked: pa.Table) -> pa.Table:
         parts, buckets, ns = (asked.column(c).to_pylist() for c in ("part", "bucket", "n"))
         hashes = [unpacked(x, np.uint32) for x in asked.column("hashes").to_pylist()]
         every = np.sort(np.concatenate(hashes))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        shared, again = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+        level = np.round(8 * np.log2(again + 1)).astype(np.uint8)
         if flagged:
             marked = [h[bits_of(f, n)] for h, f, n in zip(hashes, asked.column("flags").to_pylist(), ns, strict=True)]
             shared = np.intersect1d(shared, np.concatenate(marked))
-        replies = [np.packbits(among(h, shared)).tobytes() for h in hashes]
-        return replied(parts, buckets, kind, replies, [b""] * len(parts))
+        found = [among(h, shared) for h in hashes]
+        extra = [level[np.searchsorted(shared, h[f])].tobytes() if counted else b"" for h, f in zip(hashes, found, strict=True)]
+        return replied(parts, buckets, kind, [np.packbits(f).tobytes() for f in found], extra)
 
     return answer
 
@@ -105,16 +115,16 @@ def replied(parts: list, buckets: list, kind: int, bits: list[bytes], extra: lis
     return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array(buckets, pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())], ["part", "bucket", "kind", "bits", "extra"])
 
 
-def heard(answers: pa.Table, kind: int, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bit of each of the sorted hashes, and the extra numbers of those whose bit is set."""
+def heard(answers: pa.Table, kind: int, hashes: np.ndarray, bits: int, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The bit of each of the sorted hashes, and the extra numbers (wide: of 64 bits, packed, else of 8) of those whose bit is set."""
     cuts = edges(hashes, bits)
-    found, extra = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+    found, extra = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64 if wide else np.uint8)
     for own, bucket, data, more in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "bits", "extra")), strict=True):
         if own == kind:
             a, b = cuts[bucket], cuts[bucket + 1]
             found[a:b] = bits_of(data, b - a)
             if more:
-                extra[a:b][found[a:b]] = unpacked(more, np.uint64).view(np.int64)
+                extra[a:b][found[a:b]] = unpacked(more, np.uint64).view(np.int64) if wide else np.frombuffer(more, np.uint8)
     return found, extra
 
 
@@ -127,12 +137,20 @@ class Runs:
     begin: np.ndarray
 
     @classmethod
-    def of(cls, hashes: np.ndarray) -> Runs:
-        order = np.argsort(hashes, kind="stable")
+    def of(cls, hashes: np.ndarray, more: np.ndarray | None = None) -> Runs:
+        """more: a second hash of each, so that only what is equal in both is one."""
+        order = np.argsort(hashes, kind="stable") if more is None else np.lexsort((more, hashes))
         ordered = hashes[order]
-        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        change = ordered[1:] != ordered[:-1]
+        if more is not None:
+            change |= np.diff(more[order]) != 0
+        begin = np.flatnonzero(np.append(True, change)) if len(ordered) else np.zeros(0, np.int64)
         return cls(ordered[begin], order, begin)
 
+    def first(self, values: np.ndarray) -> np.ndarray:
+        """The value of each hash's first occurrence."""
+        return values[self.order[self.begin]]
+
     def each(self, f: np.ufunc, values: np.ndarray) -> np.ndarray:
         """f over the values of each hash's occurrences."""
         return f.reduceat(values[self.order], self.begin) if len(self.begin) else values[:0]

@@ -2,16 +2,17 @@
 
 A window of 13 words that stands in two documents contains, in either, a whole block of 7 words that begins at a
 multiple of 7. So each document's non-overlapping blocks are indexed, and every rolling window of 7 words of every
-document probes the index: what hits is an anchor. Around anchors the hits are extended: windows of 13 words that hold an
-anchor are compared over all documents, and each learns the smallest doc_id it starts in. Runs of windows that start
-in a document with a smaller id are maximal exact repeats, and their words are removed.
+document probes the index: what hits is an anchor. Anchors are extended on both sides, by up to six words in all: each
+extension of 13 words is compared with those of all documents, and learns the smallest doc_id that it starts in. Extensions
+that start in a document with a smaller id join to maximal exact repeats, whose words are removed.
 
 Both comparisons go through tallyrook.llm.repeats: a few bytes for each different hash of a part of the table. The texts are
-exchanged once, by part, and that exchange is read by all steps.
+exchanged once, by part, and that exchange is read by all steps. Anchors are found by 39 bits or more of a hash, which only adds
+some; extensions are compared by two independent hashes of 64 bits each over the hashes of their words (see words.py).
 
 Null texts have no words. A null doc_id is larger than any other. Rows with equal doc_id do not remove from each other.
-Hashes have 64 bits where they decide. An empty table gives an empty table; extra columns stay, and the new ones replace
-any of the same name.
+An empty table gives an empty table; extra columns of any name stay, and in remove_repeats() the new ones replace any of the
+same name.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tallyrook.llm import repeats as r
 from tallyrook.llm import words as w
+from tallyrook.llm.shared import bundled, unbundled, with_new
 
 WINDOW = 13
 #: The longest block of which every window of WINDOW words holds a whole one, wherever it begins.
 BLOCK = (WINDOW + 1) // 2
 _LAST = np.iinfo(np.int64).max
+_OTHER_STEP = np.uint64(0xA0761D6478BD642F)
 NEW = ("n_words", "removed", "kept")
 
 
@@ -57,14 +60,17 @@ class _Part:
         anchor = np.zeros(len(self.words.hash) + 1, np.int64)
         anchor[self.at + 1] = self.probes.spread(elsewhere | (self.several & self.indexed))
         anchors = np.cumsum(anchor)
+        del self.at, self.probes, self.indexed, self.several, anchor
         h, inside = w.windows(self.words, WINDOW)
         span = WINDOW - BLOCK + 1
         self.windows = np.flatnonzero(inside & (anchors[span : span + len(h)] > anchors[: len(h)]))
-        self.found = r.Runs.of(h[self.windows])
+        other = w.rolled(w.mix(self.words.hash ^ _OTHER_STEP), WINDOW, _OTHER_STEP)[self.windows]
+        self.found = r.Runs.of(h[self.windows], other)
+        self.other = self.found.first(other)
         self.own = self.found.each(np.minimum, self.ids[self.rows[self.windows]])
 
     def starts(self, part: int) -> pa.Table:
-        return r.question(part, self.found.hashes, self.own.view(np.uint64), self.bits, whole=True)
+        return r.question(part, self.found.hashes, self.own.view(np.uint64), self.bits, self.other)
 
     def removed(self, answers: pa.Table) -> np.ndarray:
         """Which words are covered by a window that starts in a document with a smaller id."""
@@ -78,18 +84,16 @@ class _Part:
 
 
 def _smallest(asked: pa.Table) -> pa.Table:
-    """Of each hash, whether another part has a smaller id, and that id."""
-    parts, buckets = (asked.column(c).to_pylist() for c in ("part", "bucket"))
-    hashes = [r.unpacked(x, np.uint64) for x in asked.column("hashes").to_pylist()]
-    ids = [r.unpacked(x, np.uint64).view(np.int64) for x in asked.column("flags").to_pylist()]
-    runs = r.Runs.of(np.concatenate(hashes))
-    least = runs.each(np.minimum, np.concatenate(ids))
-    bits, extra = [], []
-    for h, own in zip(hashes, ids, strict=True):
-        first = least[np.searchsorted(runs.hashes, h)]
-        smaller = first < own
-        bits.append(np.packbits(smaller).tobytes())
-        extra.append(r.packed(first[smaller].view(np.uint64)))
+    """Of each extension, whether another part has it in a document with a smaller id, and that id."""
+    parts, buckets, ns = (asked.column(c).to_pylist() for c in ("part", "bucket", "n"))
+    hashes = np.concatenate([r.unpacked(x, np.uint64) for x in asked.column("hashes").to_pylist()])
+    others = np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column("more").to_pylist()])
+    own = np.concatenate([r.unpacked(x, np.uint64).view(np.int64) for x in asked.column("flags").to_pylist()])
+    runs = r.Runs.of(hashes, others)
+    first = runs.spread(runs.each(np.minimum, own))
+    smaller, ends = first < own, np.cumsum(ns)[:-1]
+    bits = [np.packbits(x).tobytes() for x in np.split(smaller, ends)]
+    extra = [r.packed(x[s].view(np.uint64)) for x, s in zip(np.split(first, ends), np.split(smaller, ends), strict=True)]
     return r.replied(parts, buckets, 1, bits, extra)
 
 
@@ -97,13 +101,11 @@ def _spans(covered: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]))).tolist()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with n_words, removed (begin and end words of what goes, flat) and kept (the other words, one blank between)."""
-    docs = docs.drop(*NEW, "part").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    plan = r.layout(docs)
+def _repeats(docs: DataFrame) -> DataFrame:
+    """Of bundled documents: doc_id, text, row and NEW."""
+    plan, dealt = r.layout(docs)
     bits, names = plan.bits, docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_words long, removed array<long>, kept string"])
-    dealt = r.dealt(docs, plan)
+    schema = StructType(list(docs.schema.fields)).add("n_words", LongType()).add("removed", ArrayType(LongType())).add("kept", StringType())
 
     def ask_blocks(key: tuple, part: pa.Table) -> pa.Table:
         return _Part(part, bits).blocks(key[0].as_py())
@@ -134,7 +136,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchors = asked(dealt.groupBy("part").applyInArrow(ask_blocks, r.QUESTION), r.shared_by_parts(0, flagged=True))
     starts = asked(dealt.groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(ask_starts, r.QUESTION), _smallest)
     answers = anchors.unionByName(starts)
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(cut_out, StructType.fromDDL(schema))
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(cut_out, schema)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """docs with n_words, removed (begin and end words of what goes, flat) and kept (the other words, one blank between)."""
+    return with_new(_repeats(bundled(docs)), docs.columns, NEW)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
@@ -145,12 +152,12 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeats cut out of text (n_chars follows, if there is one); texts without repeats stay as they are."""
-    found = remove_repeats(docs)
+    found = _repeats(bundled(docs))
     changed = F.size("removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unbundled(found, docs.columns, **new)
 
 
 #: A window's words are joined by one blank: no word contains one.

@@ -1,12 +1,14 @@
 """Words of whole Arrow string columns as 64-bit hashes, without a Python loop over words.
 
 Both word patterns of the library break at ASCII bytes only, so they can be applied to UTF-8 bytes. A word's hash is
-a polynomial over a random table of its bytes, read off one running sum per slice of the column; it depends on the
-bytes alone, so equal words have equal hashes in every task.
+a polynomial over a random table of its bytes, read off one running sum per slice of the column; that of a word of more than
+LONG bytes is cut from a digest of them instead, since polynomials modulo 2 ** 64 coincide for some long words whatever
+the table. A hash depends on the bytes alone, so equal words have equal hashes in every task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = _U(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
-SLICE = 1 << 20
+#: Bytes of a slice; the longest words whose hash is a polynomial.
+SLICE, LONG = 1 << 18, 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -77,6 +80,9 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def lower(self, i: int) -> bytes:
+        return _LOWER[self.data[self.start[i] : self.end[i]]].tobytes()
+
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones, so that what is computed for each word of a batch stays small."""
@@ -120,7 +126,10 @@ def split(column: pa.Array | pa.ChunkedArray, between: np.ndarray, lower: bool)
         up, down = _pow(len(x) + 1)
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(_BYTES[x] * up[:-1], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * down[s]))
+        own = mix((total[e] - total[s]) * down[s])
+        for i in np.flatnonzero(e - s > LONG).tolist():
+            own[i] = int.from_bytes(hashlib.blake2b(x[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+        hashes.append(own)
         starts.append(s + begin)
         ends.append(e + begin)
         begin = stop
@@ -149,15 +158,21 @@ def _cut(data: np.ndarray, at: np.ndarray, begin: int, between: np.ndarray, lowe
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words, and of each whether it lies within one row."""
-    n = len(words.hash) - k + 1
+    rows = words.rows()
+    n = max(len(rows) - k + 1, 0)
+    return rolled(words.hash, k), rows[:n] == rows[k - 1 :] if n else np.zeros(0, bool)
+
+
+def rolled(hashes: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
+    """Hashes of all runs of k; another step gives independent ones."""
+    n = len(hashes) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = words.hash[k - 1 : k - 1 + n].copy()
+        return np.zeros(0, np.uint64)
+    h = hashes[k - 1 : k - 1 + n].copy()
     for j in range(k - 2, -1, -1):
-        h *= _STEP
-        h += words.hash[j : j + n]
-    rows = words.rows()
-    return mix(h + _U(k)), rows[:n] == rows[k - 1 :]
+        h *= step
+        h += hashes[j : j + n]
+    return mix(h + _U(k))
 
 
 def sequence(hashes: np.ndarray) -> int:

@@ -125,7 +125,7 @@ def test_probabilities_sum_to_one():
         g = np.unique(rng.integers(97, 103, (60, 4)), axis=0).astype(np.uint64)
         packed = g[:, 0] << np.uint64(48) | g[:, 1] << np.uint64(32) | g[:, 2] << np.uint64(16) | g[:, 3]
         counts[lang] = (np.sort(packed), rng.integers(1, 5, len(packed)))
-    models = kneser_ney(counts)
+    models = kneser_ney({lang: lang_id.all_orders(*own) for lang, own in counts.items()})
     letters = np.unique(np.concatenate([c[0] & np.uint64(0xFFFF) for c in counts.values()]))
     for context in [*(counts["a"][0][:5] >> np.uint64(16)), np.uint64(0x7A007A007A)]:
         p = np.exp2(models.log_prob((context << np.uint64(16)) | np.append(letters, np.uint64(0x41)), 4))
