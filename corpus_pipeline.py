@@ -1,7 +1,12 @@
 """From raw documents to token ids, in stages: each works on all that the one before kept.
 
 All but the last return the columns of documents. The last returns doc_id, n_tokens, ids (array<int>) and ids_sha256.
-Language models are learned from the documents given, benchmark items come from sf_dir.
+Language models are learned from the documents given, benchmark items come from sf_dir. run() writes what each stage keeps to the
+shared folder, so that no stage is computed again for a later one.
+
+Null texts and those without a letter go in the first stage. Of repeated rows (one id, or none, and one text) one stays; rows with
+one id and different texts are different documents. Texts that are all repeats stay, empty. Ties between copies go to the
+least id. Empty tables give empty tables; extra columns of any name stay until the last stage.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrook.llm import bpe, decontaminate, jaccard_join, lang_id, registry, substring_dedup
+from tallyrook.llm.shared import written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +57,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
