@@ -14,8 +14,8 @@ from tallyrook.schemas import CONTENT_CHARS, EXCERPT_CHARS, TITLE_CHARS, TRUNCAT
 
 
 def collapse(text: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
+    """White space runs (of Unicode) as one blank, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
 def truncate(text: Column, chars: int) -> Column:
@@ -25,8 +25,8 @@ def truncate(text: Column, chars: int) -> Column:
 
 def title(text: Column) -> Column:
     """The first line that is not blank."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
-    line = F.regexp_replace(F.get(lines, 0), r"^\s+|\s+$", "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
+    line = F.regexp_replace(F.get(lines, 0), r"(?U)^\s+|\s+$", "")
     return truncate(F.coalesce(line, F.lit("Memory")), TITLE_CHARS)
 
 
@@ -43,11 +43,6 @@ def search_text(title_: Column, kind: Column, tags: Column, content: Column) ->
     return F.concat(title_, F.lit("\nkind: "), kind, F.lit("\ntags: "), F.array_join(tags, ", "), F.lit("\n"), content)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
-
-
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -58,10 +53,14 @@ def normal_name(name: Column) -> Column:
     return collapse(F.lower(_nfkc(name)))
 
 
+#: Chunks of a text at most.
+MOST_CHUNKS = 100
+
+
 def _pack(content: str, limit: int) -> list[str]:
     """Blocks between blank lines (none inside fences), packed up to the limit; longer blocks are cut at words."""
     blocks, block, fenced = [], [], False
-    for line in [*content.split("\n"), None]:
+    for line in [*content.replace("\r\n", "\n").split("\n"), None]:
         if line is not None and line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
         if line is None or (not line.strip() and not fenced):
@@ -107,6 +106,11 @@ def chunks(text: Column, limit: int = CONTENT_CHARS) -> Column:
     return run(text)
 
 
+def chunk_reject(parts: Column) -> Column:
+    """Why a text's chunks are refused, or null."""
+    return F.when(F.size(parts) == 0, "empty").when(F.size(parts) > MOST_CHUNKS, "too_many_chunks")
+
+
 class _Text(HTMLParser):
     _BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table"}
     _HIDDEN = {"script", "style", "noscript", "template", "head"}

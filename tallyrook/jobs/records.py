@@ -13,7 +13,7 @@ from tallyrook.sources.tables import RECORDS_SQL
 
 c = F.col
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\pL\\pN]+'), lambda x: length(x) >= 2))"
-_COLLAPSE = "regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+_COLLAPSE = "regexp_replace(regexp_replace({0}, '[\\t-\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g')"
 _EXCERPT = f"CASE WHEN length({{0}}) > {EXCERPT_CHARS} THEN substr({{0}}, 1, {EXCERPT_CHARS - 16}) || chr(10) || '...[truncated]' ELSE {{0}} END"
 
 
@@ -97,11 +97,17 @@ def taxonomy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VISIBLE = "(scope NOT IN ('session', 'agent') OR (scope = 'session' AND scope_key = 's3') OR (scope = 'agent' AND scope_key = 'a1'))"
 
 
-def eligible(spark: SparkSession, sf_dir: str, session: str = "s3", agent: str = "a1") -> DataFrame:
-    """Visible, unexpired records that nothing supersedes."""
+def eligible(spark: SparkSession, sf_dir: str, session: str = "s3", agent: str = "a1", *, kinds=(), scopes=(), taxonomies=(), include_superseded: bool = False, pending: DataFrame | None = None, stale: DataFrame | None = None) -> DataFrame:
+    """Records that a search may return: not pending, visible, unexpired, superseded by nothing, of the kinds, scopes and taxonomies asked
+    for (all, where none is named), and not stale."""
     rows = tables.records(spark, sf_dir)
     live = tables.visible(rows, session, agent).filter(~lifecycle.expired(c("pinned"), c("expires_ms"), NOW_MS))
-    return live.join(tables.superseded(rows), "doc_id", "left_anti")
+    for column, asked in (("kind", kinds), ("scope", scopes), ("taxonomy", taxonomies)):
+        live = live.filter(c(column).isin(*asked)) if asked else live
+    gone = [x for x in (pending, None if include_superseded else tables.superseded(rows), stale) if x is not None]
+    for ids_ in gone:
+        live = live.join(ids_.select("doc_id"), "doc_id", "left_anti")
+    return live
 
 
 ELIGIBLE_SQL = f"eligible AS (SELECT * FROM mem WHERE {_VISIBLE} AND NOT (NOT pinned AND coalesce(expires_ms <= {NOW_MS}, false)) AND doc_id NOT IN (SELECT doc_id FROM superseded))"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrook.jobs.catalog import query
-from tallyrook.jobs.records import _COLLAPSE, _EXCERPT, _TOKENS, _WEIGHT, ELIGIBLE_SQL, FACTOR_SQL, QUALITY_SQL, RETENTION_SQL, eligible, with_feedback
-from tallyrook.operators import channels, metrics, ranking
+from tallyrook.jobs.records import _COLLAPSE, _EXCERPT, _TOKENS, _VISIBLE, _WEIGHT, ELIGIBLE_SQL, FACTOR_SQL, QUALITY_SQL, RETENTION_SQL, eligible, with_feedback
+from tallyrook.operators import channels, metrics, ranking, store
+from tallyrook.operators.store import written
 from tallyrook.functions import text
 from tallyrook.schemas import BUDGET_CHARS, CANDIDATES, MAX_RESULTS, NOW_MS
 from tallyrook.sources import tables
@@ -25,28 +26,61 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.embeddings(spark, sf_dir).select(c("vec_id").alias("doc_id"), "vector")
 
 
-def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels.bm25(questions(spark, sf_dir), tables.records(spark, sf_dir).select("doc_id", "content"), CANDIDATES)
+def dense_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).join(vectors(spark, sf_dir).withColumnRenamed("doc_id", "qid"), "qid").select("qid", "vector")
 
 
-def dense_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = vectors(spark, sf_dir)
-    asked = questions(spark, sf_dir).join(own.withColumnRenamed("doc_id", "qid"), "qid").select("qid", "vector")
-    return channels.cosine_top(asked, own, CANDIDATES)
+def postings(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, int, float]:
+    """Words of the records' search texts that some question has."""
+    whole = rows.select("doc_id", text.search_text(c("title"), c("kind"), c("tags"), c("content")).alias("content"))
+    return channels.postings(whole, channels.query_words(questions(spark, sf_dir)).select("token").distinct())
+
 
+def hay_words(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id and token of postings() whose word stands in title, tags or content, not in the labels of a search text alone."""
+    label = (c("token") == c("kind")).cast("int") + c("token").isin("kind", "tags").cast("int")
+    return found.join(rows.select("doc_id", "kind"), "doc_id").filter(c("tf") > label).select("doc_id", "token")
 
-def search(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    """Scored rows of all queries, one a layer, before they are diversified and packed."""
-    dense = dense_channel(spark, sf_dir) if mode != "lexical" else None
-    lexical = lexical_channel(spark, sf_dir) if mode != "dense" else None
-    rows = with_feedback(spark, sf_dir, eligible(spark, sf_dir))
-    met = ranking.merge(dense, lexical).join(rows, "doc_id").join(questions(spark, sf_dir), "qid")
-    met = met.withColumns({"lexical": ranking.lexical_score(c("text"), c("title"), c("tags"), c("content")), "shown": text.excerpt(c("content"))})
-    return ranking.collapse_layers(ranking.scored(met, mode, NOW_MS))
+
+def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channels.bm25(questions(spark, sf_dir), postings(spark, sf_dir, tables.records(spark, sf_dir)), CANDIDATES)
 
 
-CHANNELS_SQL = rf"""q AS (SELECT item_id AS qid, coalesce(text, '') AS qtext FROM benchmark
-), words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '[^\pL\pN]+'), lambda x: length(x) >= 2) AS ws FROM mem
+def dense_channel(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    own = vectors(spark, sf_dir)
+    return channels.cosine_top(dense_queries(spark, sf_dir), own if rows is None else own.join(rows.select("doc_id"), "doc_id", "left_semi"), CANDIDATES)
+
+
+def mode_for(asked: str, vectors_there: bool, words_there: bool = True) -> tuple[str, str | None]:
+    """The mode that can be had, and a warning where it is not the one asked for."""
+    if asked != "lexical" and not vectors_there:
+        return "lexical", "dense channel failed: lexical results only"
+    if asked == "hybrid" and not words_there:
+        return "dense", "lexical channel failed: dense results only"
+    return asked, None
+
+
+def search(spark: SparkSession, sf_dir: str, mode: str, graph_ranks: DataFrame | None = None, **filters) -> DataFrame:
+    """Scored rows of all queries, one a layer, before they are diversified and packed. filters: as eligible() has them; kinds
+    hold below the channels already, all others after them."""
+    rows = tables.records(spark, sf_dir)
+    rows = rows.filter(c("kind").isin(*filters["kinds"])) if filters.get("kinds") else rows
+    asked = questions(spark, sf_dir)
+    held = postings(spark, sf_dir, rows)
+    dense = dense_channel(spark, sf_dir, rows if filters.get("kinds") else None) if mode != "lexical" else None
+    lexical = channels.bm25(asked, held, CANDIDATES) if mode != "dense" else None
+    keys = F.sha2(F.concat_ws("\0", "kind", text.collapse(text.excerpt(c("content")))), 256)
+    live = with_feedback(spark, sf_dir, eligible(spark, sf_dir, **filters)).withColumn("dedup", keys).drop("content", "tags", "title")
+    met = ranking.merge(dense, lexical).join(live, "doc_id")
+    found = ranking.scored(ranking.lexical_scores(written(met), asked, hay_words(held[0], rows), rows), mode, NOW_MS)
+    if graph_ranks is not None:
+        found = ranking.with_graph(found, graph_ranks, live)
+    return ranking.collapse_layers(found)
+
+
+def channels_sql(where: str = "true") -> str:
+    return rf"""q AS (SELECT item_id AS qid, coalesce(text, '') AS qtext FROM benchmark
+), words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(title || chr(10) || 'kind: ' || kind || chr(10) || 'tags: ' || array_to_string(tags, ', ') || chr(10) || content), '[^\pL\pN]+'), lambda x: length(x) >= 2) AS ws FROM mem WHERE {where}
 ), stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM words
 ), asked AS (SELECT qid, unnest({_TOKENS.format("qtext")}) AS token FROM q
 ), tf AS (SELECT doc_id, size, token, count(*) AS tf FROM (SELECT doc_id, len(ws) AS size, unnest(ws) AS token FROM words) WHERE token IN (SELECT token FROM asked) GROUP BY ALL
@@ -58,12 +92,14 @@ CHANNELS_SQL = rf"""q AS (SELECT item_id AS qid, coalesce(text, '') AS qtext FRO
 ), vec AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
 ), den AS (
   SELECT qid, doc_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) - 1 AS rank
-  FROM (SELECT a.vec_id AS qid, b.vec_id AS doc_id, least(greatest(round((list_inner_product(a.v, b.v) + 1) / 2, 9), 0), 1) AS similarity FROM vec a, vec b WHERE a.vec_id IN (SELECT qid FROM q))
+  FROM (SELECT a.vec_id AS qid, b.vec_id AS doc_id, least(greatest(round((list_inner_product(a.v, b.v) + 1) / 2, 9), 0), 1) AS similarity FROM vec a, vec b
+    WHERE a.vec_id IN (SELECT qid FROM q) AND ({where == "true"} OR b.vec_id IN (SELECT doc_id FROM words)))
   QUALIFY rank < {CANDIDATES}
 )"""
 
 
-def _search_sql(mode: str) -> str:
+def search_ctes(mode: str, where: str = "true", eligible_sql: str = ELIGIBLE_SQL) -> str:
+    """Up to `hits`: the rows of search(), with what packing needs."""
     rr = lambda x: f"coalesce(61.0::DOUBLE / (61 + {x}), 0)"
     w = [f"({_WEIGHT(i)})" for i in range(4)]
     sim = "coalesce(similarity, 0)"
@@ -77,73 +113,153 @@ def _search_sql(mode: str) -> str:
         "dense": "SELECT qid, doc_id, similarity, rank AS dense_rank, NULL::INT AS lexical_rank FROM den",
         "hybrid": "SELECT qid, doc_id, similarity, den.rank AS dense_rank, lex.rank AS lexical_rank FROM den FULL JOIN lex USING (qid, doc_id)",
     }[mode]
-    hay = "lower(title || chr(10) || array_to_string(tags, chr(10)) || chr(10) || content)"
-    return rf"""WITH {RECORDS_SQL}, {ELIGIBLE_SQL}, {CHANNELS_SQL}, cand AS ({cand}
+    hay = "lower(title || chr(10) || array_to_string(tags, ' ') || chr(10) || content)"
+    return rf"""{RECORDS_SQL}, {eligible_sql}, {channels_sql(where)}, cand AS ({cand}
 ), hay AS (SELECT *, {hay} AS hay, {_EXCERPT.format("content")} AS shown FROM eligible LEFT JOIN feedback ON owner = doc_id % 150
 ), met AS (SELECT *, CASE WHEN contains(hay, lower(qtext)) THEN 1.0 WHEN len({_TOKENS.format("qtext")}) = 0 THEN 0.0
     ELSE len(list_intersect({_TOKENS.format("qtext")}, {_TOKENS.format("hay")}))::DOUBLE / len({_TOKENS.format("qtext")}) END AS lexical FROM cand JOIN hay USING (doc_id) JOIN q USING (qid)
 ), sc AS (SELECT *, round(least(greatest(1 / (1 + exp(-10 * (({raw}) - 0.55::DOUBLE))) * ({RETENTION_SQL}) * ({FACTOR_SQL}) * ({QUALITY_SQL}), 0), 1), 9) AS score FROM met
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY qid, sha256(concat_ws(chr(0), kind, {_COLLAPSE.format("shown")})) ORDER BY CASE scope WHEN 'session' THEN 4 WHEN 'agent' THEN 3 WHEN 'project' THEN 2 ELSE 1 END DESC, score DESC, updated_ms DESC, doc_id) AS place
-  FROM sc WHERE score >= 0.42)
-SELECT qid, doc_id, score, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank FROM ranked WHERE place = 1"""
+), kept AS (SELECT * FROM sc WHERE score >= 0.42
+), hits AS ({_layers_sql("kept")})"""
+
+
+def _layers_sql(source: str) -> str:
+    return f"""SELECT *, row_number() OVER (PARTITION BY qid, sha256(concat_ws(chr(0), kind, {_COLLAPSE.format("shown")})) ORDER BY CASE scope WHEN 'session' THEN 4 WHEN 'agent' THEN 3 WHEN 'project' THEN 2 ELSE 1 END DESC, score DESC, updated_ms DESC, doc_id) AS place
+  FROM {source} QUALIFY place = 1"""
+
+
+_RESULTS_SQL = "SELECT qid, doc_id, score, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank FROM hits"
 
 
 def _results(rows: DataFrame) -> DataFrame:
     return rows.select("qid", "doc_id", "score", c("dense_rank").cast("int"), c("lexical_rank").cast("int"))
 
 
-@query(_search_sql("lexical"))
+@query(f"WITH {search_ctes('lexical')} {_RESULTS_SQL}")
 def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(search(spark, sf_dir, "lexical"))
 
 
-@query(_search_sql("dense"))
+@query(f"WITH {search_ctes('dense')} {_RESULTS_SQL}")
 def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(search(spark, sf_dir, "dense"))
 
 
-@query(_search_sql("hybrid"))
+@query(f"WITH {search_ctes('hybrid')} {_RESULTS_SQL}")
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(search(spark, sf_dir, "hybrid"))
+    return _results(search(spark, sf_dir, mode_for("hybrid", not dense_queries(spark, sf_dir).isEmpty())[0]))
+
+
+_FILTERS = {"kinds": ("decision", "preference", "fact", "gotcha"), "scopes": ("project", "session", "repository"), "taxonomies": ("decision", "workflow_pref", "codebase_fact", "fix_pattern", "project_standard"), "include_superseded": True}
+_IN = lambda values: ", ".join(f"'{x}'" for x in values)
+_FILTERED_SQL = f"""eligible AS (SELECT * FROM mem WHERE doc_id % 61 <> 5 AND {_VISIBLE} AND NOT (NOT pinned AND coalesce(expires_ms <= {NOW_MS}, false)) AND kind IN ({_IN(_FILTERS["kinds"])}) AND scope IN ({_IN(_FILTERS["scopes"])})
+  AND taxonomy IN ({_IN(_FILTERS["taxonomies"])}) AND doc_id NOT IN (SELECT doc_id FROM stale))"""
+
+
+@query(f"WITH {search_ctes('hybrid', f'kind IN ({_IN(_FILTERS["kinds"])})', _FILTERED_SQL)} {_RESULTS_SQL}")
+def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of named kinds, scopes and taxonomies, superseded records too, without pending deletions and stale anchors."""
+    rows = tables.records(spark, sf_dir)
+    gone = store.stale(tables.anchors(rows), tables.files(spark, sf_dir))
+    return _results(search(spark, sf_dir, "hybrid", pending=tables.pending_deletes(rows), stale=gone, **_FILTERS))
+
+
+def memory_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of a graph search for each question: its vector's label is the concept it names, whose first records it gets, by id."""
+    every = tables.embeddings(spark, sf_dir).select(c("vec_id").alias("doc_id"), "label")
+    place = F.row_number().over(ranking.Window.partitionBy("label").orderBy("doc_id")) - 1
+    first = every.withColumn("rank", place).filter("rank < 20")  # Spark cuts each partition to 20 a label first
+    asked = questions(spark, sf_dir).select("qid").join(every.withColumnRenamed("doc_id", "qid"), "qid")
+    return asked.join(first, "label").select("qid", "doc_id", "rank")
+
 
+_GRAPH_RANKS_SQL = "g AS (SELECT q.qid, f.vec_id AS doc_id, graph_rank FROM q JOIN embeddings e ON e.vec_id = q.qid JOIN (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS graph_rank FROM embeddings QUALIFY graph_rank < 20) f ON f.label = e.label)"
+_FUSE = "round(CASE WHEN score IS NULL THEN 0.45::DOUBLE * (61.0::DOUBLE / (61 + graph_rank)) WHEN graph_rank IS NULL THEN score ELSE 0.75::DOUBLE * score + 0.25::DOUBLE * (61.0::DOUBLE / (61 + graph_rank)) END, 9)"
+_ALL_GRAPH_SQL = f"""{_GRAPH_RANKS_SQL}, every AS (
+  SELECT k.qid, k.doc_id, k.score, graph_rank, dense_rank, lexical_rank, kind, shown, scope, updated_ms FROM kept k LEFT JOIN g USING (qid, doc_id)
+  UNION ALL SELECT g.qid, g.doc_id, NULL, graph_rank, NULL, NULL, kind, shown, scope, updated_ms FROM g JOIN hay USING (doc_id) ANTI JOIN kept USING (qid, doc_id)
+), fused AS (SELECT * REPLACE ({_FUSE} AS score) FROM every WHERE {_FUSE} >= 0.42
+), layered AS ({_layers_sql("fused")})"""
 
-@query(f"WITH {RECORDS_SQL}, {CHANNELS_SQL} SELECT qid, doc_id, score, CAST(rank AS INT) AS rank FROM lex")
+
+@query(f"WITH {search_ctes('hybrid')}, {_ALL_GRAPH_SQL} SELECT qid, doc_id, score, CAST(graph_rank AS INT) AS graph_rank FROM layered")
+def search_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hybrid search fused with ranks of a graph search; what only the graph found comes in if it is eligible."""
+    return search(spark, sf_dir, "hybrid", graph_ranks=memory_ranks(spark, sf_dir)).select("qid", "doc_id", "score", c("graph_rank").cast("int"))
+
+
+@query(f"WITH {RECORDS_SQL}, {channels_sql()} SELECT qid, doc_id, score, CAST(rank AS INT) AS rank FROM lex")
 def bm25_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_channel(spark, sf_dir).select("qid", "doc_id", "score", "rank")
 
 
-@query(f"WITH {RECORDS_SQL}, {CHANNELS_SQL} SELECT qid, doc_id, similarity, CAST(rank AS INT) AS rank FROM den")
+@query(f"WITH {RECORDS_SQL}, {channels_sql()} SELECT qid, doc_id, similarity, CAST(rank AS INT) AS rank FROM den")
 def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_channel(spark, sf_dir).select("qid", "doc_id", "similarity", "rank")
 
 
-@query()
+#: Greedy packing as a recursion: of each query's rows that are left, the best goes in if it fits, and goes either way.
+_PACK_SQL = f"""item AS (
+  SELECT qid, doc_id, score, CAST(length(title) + length(shown) + coalesce(list_sum(list_transform(tags, lambda t: length(t))), 0) + 320 AS BIGINT) AS size,
+    {_TOKENS.format("title || ' ' || array_to_string(tags, ' ') || ' ' || shown")} AS words FROM hits
+), pack(qid, step, doc_id, score, size, taken, gone, sets, n, spent) AS (
+  SELECT DISTINCT qid, 0, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT, false, []::BIGINT[], []::VARCHAR[][], 0, 0::BIGINT FROM item
+  UNION ALL
+  SELECT qid, step + 1, doc_id, score, size, fits, list_append(gone, doc_id), CASE WHEN fits THEN list_append(sets, words) ELSE sets END, n + fits::INT, spent + CASE WHEN fits THEN size ELSE 0 END
+  FROM (
+    SELECT p.qid, step, i.doc_id, i.score, i.size, gone, sets, words, n, spent, spent + i.size <= {BUDGET_CHARS} AS fits,
+      row_number() OVER (PARTITION BY p.qid ORDER BY round(0.75::DOUBLE * i.score - 0.25::DOUBLE * coalesce(list_max(list_transform(sets, lambda s: CASE WHEN len(s) + len(words) = 0 THEN 0 ELSE len(list_intersect(s, words))::DOUBLE / len(list_distinct(list_concat(s, words))) END)), 0), 12) DESC, i.score DESC, i.doc_id) AS best
+    FROM pack p JOIN item i ON i.qid = p.qid AND NOT list_contains(gone, i.doc_id) WHERE n < {MAX_RESULTS}
+  ) WHERE best = 1
+), packed AS (SELECT qid, doc_id, score, size, n - 1 AS place FROM pack WHERE taken)"""
+_WITH_PACKED = f"WITH RECURSIVE {search_ctes('hybrid')}, {_PACK_SQL}"
+
+
+@query(f"{_WITH_PACKED} SELECT qid, doc_id, score, size, CAST(place AS INT) AS place FROM packed")
 def search_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten results a query at most, diversified, within the budget of characters."""
-    return ranking.diversified(search(spark, sf_dir, "hybrid"), MAX_RESULTS, BUDGET_CHARS)
+    found = search(spark, sf_dir, "hybrid").select("qid", "doc_id", "score")
+    shown = tables.records(spark, sf_dir).select("doc_id", "title", "tags", text.excerpt(c("content")).alias("shown"))
+    return ranking.diversified(found.join(shown, "doc_id"), MAX_RESULTS, BUDGET_CHARS)
 
 
-@query()
+@query(
+    f"""{_WITH_PACKED}, n AS (SELECT qid, count(*) AS n FROM packed GROUP BY qid)
+SELECT qid, coalesce(n, 0) AS results, CASE WHEN n IS NULL THEN CASE WHEN NOT EXISTS (SELECT 1 FROM mem) THEN 'empty_store' WHEN qid NOT IN (SELECT qid FROM cand) THEN 'no_candidates' ELSE 'low_relevance_or_ineligible' END END AS abstained FROM q LEFT JOIN n USING (qid)"""
+)
 def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results each query gets, and why it gets none."""
-    return ranking.outcome(questions(spark, sf_dir), search_packed(spark, sf_dir), lexical_channel(spark, sf_dir))
+    asked = questions(spark, sf_dir)
+    rows = tables.records(spark, sf_dir)
+    met = asked.join(dense_queries(spark, sf_dir), "qid", "left_semi").select("qid").unionByName(channels.query_words(asked).join(postings(spark, sf_dir, rows)[0].select("token").distinct(), "token").select("qid"))
+    return ranking.outcome(asked, search_packed(spark, sf_dir), met, rows)
+
+
+@query(
+    f"""{_WITH_PACKED}, r AS (SELECT qid, list(doc_id ORDER BY place) AS doc_ids FROM packed GROUP BY qid)
+SELECT 'ret_' || substr(sha256(concat_ws(chr(0), qtext, '{NOW_MS}', 'g1', array_to_string(list_transform(doc_ids, lambda x: x || ','), ''))), 1, 24) AS retrieval_id, qid, array_to_string(doc_ids, ',') AS doc_ids, {NOW_MS}::BIGINT AS at_ms, 'hybrid-v1' AS version FROM r JOIN q USING (qid)"""
+)
+def retrieval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search leaves for feedback: a row for each query that got results."""
+    rows = ranking.retrievals(questions(spark, sf_dir), search_packed(spark, sf_dir), NOW_MS, "g1", ranking.score_version("hybrid"))
+    return rows.withColumn("doc_ids", F.array_join("doc_ids", ","))
+
+
+# --- evaluation: of the registered channels, over vectors; those of a query's label are relevant -----------------
+_EVALUATED = ("lexical", "dense", "hybrid", "no_memory")
 
 
-# --- evaluation: vectors of the same label are relevant ----------------------------------------------------------
 def _evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    every = tables.embeddings(spark, sf_dir)
-    asked = every.filter("vec_id % 50 = 0")
-    top = channels.cosine_top(asked.select(c("vec_id").alias("qid"), "vector"), every.select(c("vec_id").alias("doc_id"), "vector"), 11)
-    dense = top.filter("qid != doc_id").select(F.lit("dense").alias("mode"), "qid", "doc_id", "rank")
-    near = asked.select(c("vec_id").alias("qid")).withColumn("doc_id", F.explode(F.sequence(c("qid") + 1, c("qid") + 10)))
-    near = near.join(every.select(c("vec_id").alias("doc_id")), "doc_id").select(F.lit("next_ids").alias("mode"), "qid", "doc_id", (c("doc_id") - c("qid")).cast("int").alias("rank"))
-    returned = dense.unionByName(near).filter("NOT (mode = 'dense' AND qid % 450 = 0)")
-    place = F.row_number().over(ranking.Window.partitionBy("mode", "qid").orderBy("rank", "doc_id")) - 1
-    returned = returned.withColumn("place", place).filter("place < 10")
-    relevant = asked.select(c("vec_id").alias("qid"), "label").join(every.select(c("vec_id").alias("doc_id"), "label"), "label").filter("qid != doc_id AND qid % 150 != 0")
-    relevance = relevant.select("qid", "doc_id", F.when((c("doc_id") - c("qid")) % 2 == 0, 2).otherwise(1).alias("grade"))
-    return returned, relevance, asked.select(c("vec_id").alias("qid"), (c("vec_id") % 150 != 0).alias("answerable"))
+    """mode, qid, doc_id and place of what each search returns; the labels of vectors; and the queries (qid, label).
+
+    A question is answerable if its vector has a label that other records have. Relevant rows are counted by label, not listed.
+    """
+    labels = tables.embeddings(spark, sf_dir).select("vec_id", "label")
+    asked = questions(spark, sf_dir).join(labels.withColumnRenamed("vec_id", "qid"), "qid", "left").select("qid", "label")
+    found = [search(spark, sf_dir, mode).select(F.lit(mode).alias("mode"), "qid", "doc_id", "score") for mode in _EVALUATED[:3]]
+    place = F.row_number().over(ranking.Window.partitionBy("mode", "qid").orderBy(F.desc("score"), "doc_id")) - 1
+    returned = written(found[0].unionByName(found[1]).unionByName(found[2]).withColumn("place", place).filter("place < 10"))
+    return returned, labels, asked
 
 
 _K_SQL = ", ".join(
@@ -154,31 +270,37 @@ _K_SQL = ", ".join(
 )
 
 
-@query(
-    f"""WITH vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
-), asked AS (SELECT vec_id AS qid, label, v, vec_id % 150 <> 0 AS answerable FROM vec WHERE vec_id % 50 = 0
-), den AS (SELECT 'dense' AS mode, qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank
-  FROM (SELECT qid, vec_id AS doc_id, least(greatest(round((list_inner_product(a.v, b.v) + 1) / 2, 9), 0), 1) AS s FROM asked a, vec b) QUALIFY rank <= 11
-), near AS (SELECT 'next_ids' AS mode, qid, vec_id AS doc_id, vec_id - qid AS rank FROM asked JOIN vec ON vec_id BETWEEN qid + 1 AND qid + 10
-), returned AS (SELECT mode, qid, doc_id, row_number() OVER (PARTITION BY mode, qid ORDER BY rank, doc_id) - 1 AS place
-  FROM (SELECT * FROM den WHERE qid <> doc_id UNION ALL SELECT * FROM near) WHERE NOT (mode = 'dense' AND qid % 450 = 0) QUALIFY place < 10
-), rel AS (SELECT qid, vec_id AS doc_id, CASE WHEN (vec_id - qid) % 2 = 0 THEN 2 ELSE 1 END AS grade FROM asked JOIN vec USING (label) WHERE qid <> vec_id AND qid % 150 <> 0
-), ideal AS (SELECT qid, count(*) AS relevant, sum(CASE WHEN p < 10 THEN (pow(2.0, grade) - 1) / log2(p + 2.0) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) - 1 AS p FROM rel) GROUP BY qid
+def _evaluated_sql() -> str:
+    per_mode = [f"(WITH RECURSIVE {search_ctes(m)} SELECT '{m}' AS mode, qid, doc_id, place FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS place FROM (SELECT qid, doc_id, score FROM hits)) WHERE place < 10)" for m in _EVALUATED[:3]]
+    return f"""WITH asked AS (SELECT item_id AS qid, label FROM benchmark LEFT JOIN embeddings ON vec_id = item_id
+), sizes AS (SELECT label, count(*) AS members, count(*) FILTER (vec_id % 5 = 0) AS near FROM embeddings GROUP BY label
+), queries AS (SELECT qid, asked.label, coalesce(members, 0) - 1 > 0 AS answerable, greatest(coalesce(members, 0) - 1, 0) AS relevant, greatest(coalesce(near, 0) - CASE WHEN qid % 5 = 0 THEN 1 ELSE 0 END, 0) AS high FROM asked LEFT JOIN sizes USING (label)
+), ideal AS (SELECT qid, sum((CASE WHEN p < high THEN 3.0::DOUBLE ELSE 1 END) / log2(p + 2.0)) AS ideal FROM queries, range(10) r(p) WHERE p < relevant GROUP BY qid
+), returned AS ({" UNION ALL ".join(per_mode)}
+), graded AS (SELECT mode, r.qid, r.doc_id, place, CASE WHEN e.label = asked.label AND r.doc_id <> r.qid THEN CASE WHEN r.doc_id % 5 = 0 THEN 2 ELSE 1 END END AS grade FROM returned r JOIN asked USING (qid) LEFT JOIN embeddings e ON e.vec_id = r.doc_id
 ), got AS (SELECT mode, qid, {", ".join(f"count(*) FILTER (grade IS NOT NULL AND place < {k}) AS hits_{k}, count(*) FILTER (place < {k}) AS returned_{k}" for k in metrics.KS)},
-    min(CASE WHEN grade IS NOT NULL THEN place END) AS first_hit, sum(CASE WHEN grade IS NOT NULL THEN (pow(2.0, grade) - 1) / log2(place + 2.0) END) AS dcg, count(*) AS returned
-  FROM returned LEFT JOIN rel USING (qid, doc_id) GROUP BY mode, qid
-), per AS (SELECT m.mode, qid, answerable, COLUMNS(c -> c LIKE 'hits_%' OR c LIKE 'returned%' OR c IN ('first_hit', 'dcg', 'relevant', 'ideal')) FROM (VALUES ('dense'), ('next_ids'), ('no_memory')) m(mode) CROSS JOIN asked LEFT JOIN got USING (mode, qid) LEFT JOIN ideal USING (qid)
-), filled AS (SELECT mode, qid, answerable, {", ".join(f"coalesce({x}, 0) AS {x}" for x in [*(f"hits_{k}" for k in metrics.KS), *(f"returned_{k}" for k in metrics.KS), "returned", "first_hit", "dcg", "relevant", "ideal"])} FROM per)
+    min(CASE WHEN grade IS NOT NULL THEN place END) AS first_hit, sum(CASE WHEN grade IS NOT NULL THEN (pow(2.0, grade) - 1) / log2(place + 2.0) END) AS dcg, count(*) AS returned FROM graded GROUP BY mode, qid
+), filled AS (SELECT m.mode, qid, answerable, {", ".join(f"coalesce({x}, 0) AS {x}" for x in [*(f"hits_{k}" for k in metrics.KS), *(f"returned_{k}" for k in metrics.KS), "returned", "first_hit", "dcg", "relevant", "ideal"])}
+  FROM (VALUES {", ".join(f"('{m}')" for m in _EVALUATED)}) m(mode) CROSS JOIN queries LEFT JOIN got USING (mode, qid) LEFT JOIN ideal USING (qid))
 SELECT mode, count(*) AS queries, {_K_SQL}, round(coalesce(avg(CASE WHEN answerable THEN CASE WHEN hits_10 > 0 THEN 1 / (first_hit + 1.0::DOUBLE) ELSE 0 END END), 0), 9) AS mrr_10,
   round(coalesce(avg(CASE WHEN answerable THEN CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END END), 0), 9) AS ndcg_10,
+  round(coalesce(avg(CASE WHEN answerable THEN CASE WHEN returned > 0 THEN 1.0 ELSE 0 END END), 0), 9) AS answerable_coverage,
   round(coalesce(avg(CASE WHEN answerable THEN CASE WHEN returned = 0 THEN 1.0 ELSE 0 END END), 0), 9) AS false_abstention,
-  round(coalesce(avg(CASE WHEN NOT answerable THEN CASE WHEN returned = 0 THEN 1.0 ELSE 0 END END), 0), 9) AS specificity FROM filled GROUP BY mode""".replace("COLUMNS(c -> ", "COLUMNS(lambda c: ")
-)
+  round(coalesce(avg(CASE WHEN NOT answerable THEN CASE WHEN returned = 0 THEN 1.0 ELSE 0 END END), 0), 9) AS specificity FROM filled GROUP BY mode"""
+
+
+@query(_evaluated_sql())
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval metrics of three modes over the same queries."""
-    returned, relevance, asked = _evaluation(spark, sf_dir)
-    rows = None
-    for mode in ("dense", "next_ids", "no_memory"):
-        own = metrics.per_query(returned.filter(c("mode") == mode).drop("mode"), relevance, asked).withColumn("mode", F.lit(mode))
-        rows = own if rows is None else rows.unionByName(own)
-    return metrics.summary(rows)
+    """Retrieval metrics of lexical, dense and hybrid search and of no memory, over the same questions.
+
+    A record is relevant to a question if their vectors share a label, at grade 2 where its id is divisible by 5.
+    """
+    returned, labels, asked = _evaluation(spark, sf_dir)
+    high = F.pmod("vec_id", F.lit(5)) == 0
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"), F.count_if(high).alias("near"))
+    others = F.greatest(F.coalesce("members", F.lit(0)) - 1, F.lit(0))
+    queries = asked.join(sizes, "label", "left").select("qid", (others > 0).alias("answerable"), others.alias("relevant"), F.greatest(F.coalesce("near", F.lit(0)) - (F.pmod("qid", F.lit(5)) == 0).cast("int"), F.lit(0)).alias("high"))
+    of = asked.withColumnRenamed("label", "asked").join(returned, "qid").join(labels.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    grade = F.when((c("label") == c("asked")) & (c("doc_id") != c("qid")), F.when(F.pmod("doc_id", F.lit(5)) == 0, 2).otherwise(1))
+    graded = of.select("mode", "qid", "doc_id", "place", grade.alias("grade"))
+    return metrics.summary(metrics.per_query(graded, queries, _EVALUATED))

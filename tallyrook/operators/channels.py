@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrook.functions.text import tokens
+from tallyrook.operators.store import small, written
 
 K1, B = 1.2, 0.75
-#: Rows of queries (or their tokens) that are broadcast at most; beyond, Spark shuffles.
-BROADCAST_ROWS = 100_000
-
-
-def _small(frame: DataFrame) -> DataFrame:
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
-
 
 def ranked(scored: DataFrame, score: str, k: int) -> DataFrame:
     """The k best of each query, by score, then id, with 0-based rank. Spark cuts each partition to k before it exchanges."""
@@ -25,23 +21,32 @@ def ranked(scored: DataFrame, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """qid, doc_id, score, rank from queries (qid, text) and docs (doc_id, content).
+def query_words(queries: DataFrame) -> DataFrame:
+    """qid, token and words (how many different ones the query has) of queries (qid, text)."""
+    held = queries.select("qid", tokens(F.col("text")).alias("tokens"))
+    return held.select("qid", F.explode("tokens").alias("token"), F.size("tokens").alias("words"))
+
+
+def postings(docs: DataFrame, wanted: DataFrame, text: str = "content") -> tuple[DataFrame, int, float]:
+    """doc_id, size, token and tf of the wanted tokens, written once to the shared folder; the number of docs and their mean size."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)
+    split_ = docs.select("doc_id", words.alias("words")).withColumn("size", F.size("words"))
+    n, mean = split_.agg(F.count("*"), F.avg("size")).first()
+    met = split_.select("doc_id", "size", F.explode("words").alias("token")).join(small(wanted), "token", "left_semi")
+    return written(met.groupBy("doc_id", "size", "token").agg(F.count("*").alias("tf"))), n, mean or 1.0
+
 
-    A document sends a row for each different word that some query has; document frequencies and lengths are sums of those
-    and of one count a document. Scores are rounded so that ranks do not hang on the order of sums.
+def bm25(queries: DataFrame, held: tuple[DataFrame, int, float], k: int, digits: int = 6) -> DataFrame:
+    """qid, doc_id, score, rank from queries (qid, text) and postings().
+
+    Scores are rounded so that ranks do not hang on the order of sums.
     """
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("token"))
-    wanted = _small(asked.select("token").distinct())
-    words = F.filter(F.split(F.lower(F.col("content")), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)
-    split_ = docs.select("doc_id", words.alias("words"))
-    n, mean = split_.agg(F.count("*"), F.avg(F.size("words"))).first()
-    found = split_.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "size", "token").agg(F.count("*").alias("tf"))
+    found, n, mean = held
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = _small(asked.join(df, "token").select("qid", "token", weight.alias("weight")))
+    terms = small(query_words(queries).join(df, "token").select("qid", "token", weight.alias("weight")))
     tf = F.col("tf")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
     scored = found.join(terms, "token").groupBy("qid", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
     return ranked(scored, "score", k)
 
@@ -50,19 +55,45 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def renormalised(vector: Column, dimensions: int) -> Column:
+    """The first dimensions of a vector, at norm 1; null where they are all zero."""
+    head = F.slice(vector, 1, dimensions)
+    norm = F.sqrt(dot(head, head))
+    return F.when(norm > 0, F.transform(head, lambda x: x / norm))
+
+
+#: Queries of a dense search at most: each is compared with every vector.
+MOST_QUERIES = 20_000
+
+
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9, block: int = 256) -> DataFrame:
     """qid, doc_id, similarity (0 to 1), rank from queries (qid, vector) and vectors (doc_id, vector), all of norm 1.
 
-    A stated set of queries is compared with all vectors; the query side is broadcast after its size has been checked,
-    and taken in blocks beyond that.
+    A stated set of queries is compared with all vectors: exact matrix products, a block of queries by an Arrow batch of vectors,
+    of which each task hands on no more than k rows a query. The query side (MOST_QUERIES at most, checked) is broadcast.
     """
-    blocks = max(1, math.ceil(queries.count() / 2000))
-    out = None
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        q = F.broadcast(own.select("qid", F.col("vector").alias("q")))
-        cosine = F.round((dot(F.col("q"), F.col("vector")) + 1) / 2, digits)
-        scored = vectors.crossJoin(q).select("qid", "doc_id", F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)).alias("similarity"))
-        best = ranked(scored, "similarity", k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    rows = queries.select("qid", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"a dense search takes at most {MOST_QUERIES} queries")
+    qids = np.array([r["qid"] for r in rows], np.int64)
+    held = queries.sparkSession.sparkContext.broadcast((qids, np.array([r["vector"] for r in rows], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_, q = held.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids_]
+        for batch in batches:
+            if not len(ids_) or not batch.num_rows:
+                continue
+            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            for a in range(0, len(ids_), block):
+                likeness = np.clip(np.round((q[a : a + block] @ v.T + 1) / 2, digits), 0, 1)
+                for i, row in enumerate(likeness):
+                    score, of = np.append(best[a + i][0], row), np.append(best[a + i][1], own)
+                    kept = np.lexsort((of, -score))[:k]
+                    best[a + i] = score[kept], of[kept]
+        for qid, (score, of) in zip(ids_.tolist(), best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), qid), pa.int64()), pa.array(of, pa.int64()), pa.array(score, pa.float64())], ["qid", "doc_id", "similarity"])
+
+    size = len(rows[0]["vector"]) if rows else 0  # vectors of another dimension have no likeness
+    return ranked(vectors.filter(F.size("vector") == size).select("doc_id", "vector").mapInArrow(run, "qid long, doc_id long, similarity double"), "similarity", k)

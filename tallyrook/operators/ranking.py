@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrook.functions import ids, lifecycle, text
+from tallyrook.operators.channels import query_words
 from tallyrook.schemas import ABSTAIN_BELOW, DENSE_SHARE, GRAPH_ONLY_WEIGHT, GRAPH_WEIGHT, LEXICAL_SHARE, MMR_RELEVANCE, PRECEDENCE, RANK_OFFSET, RECORD_OVERHEAD
 
 c = F.col
@@ -27,12 +28,26 @@ def merge(dense: DataFrame | None, lexical: DataFrame | None) -> DataFrame:
     return dense.join(lexical, ["qid", "doc_id"], "full_outer")
 
 
-def lexical_score(query: Column, title: Column, tags: Column, content: Column) -> Column:
-    """1 where the query stands in the record, else the share of its words that do."""
-    hay = F.lower(F.concat(title, F.lit("\n"), F.array_join(tags, "\n"), F.lit("\n"), content))
-    words = text.tokens(query)
-    share = F.size(F.array_intersect(words, text.tokens(hay))) / F.size(words)
-    return F.when(hay.contains(F.lower(query)), 1.0).when(F.size(words) == 0, 0.0).otherwise(share)
+def haystack(title: Column, tags: Column, content: Column) -> Column:
+    return F.lower(F.concat(title, F.lit("\n"), F.array_join(tags, " "), F.lit("\n"), content))
+
+
+def lexical_scores(pairs: DataFrame, queries: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
+    """pairs (qid, doc_id, ...) with lexical: 1 where the query stands in the record, else the share of its words that do.
+
+    found: doc_id and token of words that records have (see channels.postings); records: doc_id, title, kind, tags, content. Words are
+    counted by joins. Texts are read only for pairs where all words meet but the first and the last, which may be parts of longer ones.
+    """
+    words = query_words(queries)
+    met = pairs.select("qid", "doc_id").join(words, "qid").join(found.select("doc_id", "token"), ["doc_id", "token"])
+    n = met.groupBy("qid", "doc_id").agg(F.count("*").alias("matched"))
+    sizes = queries.select("qid", F.lower("text").alias("query"), F.size(text.tokens(c("text"))).alias("words"))
+    counted = pairs.join(n, ["qid", "doc_id"], "left").join(sizes, "qid").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    whole = counted.filter(c("matched") >= c("words") - 2).select("qid", "doc_id", "query")
+    hay = records.select("doc_id", haystack(c("title"), c("tags"), c("content")).alias("hay"))
+    held = whole.join(hay, "doc_id").filter(c("hay").contains(c("query"))).select("qid", "doc_id", F.lit(True).alias("whole"))
+    score = F.when(c("whole"), 1.0).when(c("words") == 0, 0.0).otherwise(c("matched") / c("words"))
+    return counted.join(held, ["qid", "doc_id"], "left").withColumn("lexical", score).drop("matched", "words", "query", "whole")
 
 
 def reciprocal(rank: Column) -> Column:
@@ -71,11 +86,23 @@ def fused(score: Column, graph_rank: Column, digits: int = 9) -> Column:
     return F.round(found, digits)
 
 
+def with_graph(rows: DataFrame, graph_ranks: DataFrame, eligible: DataFrame, digits: int = 9) -> DataFrame:
+    """rows (qid, doc_id, score, ...) fused with the ranks of a graph search (qid, doc_id, rank).
+
+    What only the graph found comes in with its rank alone, if it is eligible; the threshold holds for all again.
+    """
+    ranks = graph_ranks.select("qid", "doc_id", c("rank").alias("graph_rank"))
+    known = rows.join(ranks, ["qid", "doc_id"], "left")
+    alone = ranks.join(rows.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").join(eligible, "doc_id").withColumn("score", F.lit(None).cast("double"))
+    every = known.unionByName(alone, allowMissingColumns=True)
+    return every.withColumn("score", fused(c("score"), c("graph_rank"), digits)).filter(c("score") >= ABSTAIN_BELOW)
+
+
 def collapse_layers(rows: DataFrame) -> DataFrame:
-    """Of a query's rows with one kind and content (as shown), the one of the scope that comes first, then score, time, id."""
+    """Of a query's rows with one dedup key (kind and content as shown), the one of the scope that comes first, then score, time, id."""
     order = Window.partitionBy("qid", "dedup").orderBy(F.desc("precedence"), F.desc("score"), F.desc("updated_ms"), "doc_id")
-    keyed = rows.withColumns({"dedup": ids.dedup_key(c("kind"), c("shown")), "precedence": lifecycle.lookup(PRECEDENCE, c("scope"))})
-    return keyed.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("dedup", "precedence", "place")
+    keyed = rows.withColumn("precedence", lifecycle.lookup(PRECEDENCE, c("scope")))
+    return keyed.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("precedence", "place")
 
 
 def _diversify(rows: pd.DataFrame, results: int, budget: int) -> pd.DataFrame:
@@ -108,9 +135,22 @@ def diversified(rows: DataFrame, results: int, budget: int) -> DataFrame:
     return slim.groupBy("qid").applyInPandas(lambda pdf: _diversify(pdf, results, budget), "qid long, doc_id long, score double, size long, place int")
 
 
-def outcome(queries: DataFrame, results: DataFrame, candidates: DataFrame) -> DataFrame:
-    """qid, results, and why there are none."""
+def outcome(queries: DataFrame, results: DataFrame, candidates: DataFrame, records: DataFrame) -> DataFrame:
+    """qid, results, and why there are none: nothing is stored, no channel found anything, or nothing found was good enough."""
     n = results.groupBy("qid").agg(F.count("*").alias("results"))
     seen = candidates.select("qid").distinct().withColumn("seen", F.lit(True))
-    reason = F.when(c("results").isNull() & c("seen").isNull(), "no_candidates").when(c("results").isNull(), "low_relevance_or_ineligible")
+    empty = F.lit(records.isEmpty())
+    reason = F.when(c("results").isNull(), F.when(empty, "empty_store").when(c("seen").isNull(), "no_candidates").otherwise("low_relevance_or_ineligible"))
     return queries.select("qid").join(n, "qid", "left").join(seen, "qid", "left").select("qid", F.coalesce("results", F.lit(0)).cast("long").alias("results"), reason.alias("abstained"))
+
+
+def score_version(mode: str, graph: bool = False) -> str:
+    """What a score was made by: those of different versions are not comparable."""
+    return f"{mode}{'+graph' if graph else ''}-v1"
+
+
+def retrievals(queries: DataFrame, packed: DataFrame, now_ms: int, generation: str, version: str) -> DataFrame:
+    """A row for each query that got results: retrieval_id, qid, doc_ids in order, at_ms, version."""
+    lists = packed.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    own = ids.retrieval_id(c("text"), F.lit(now_ms), F.lit(generation), c("doc_ids"))
+    return lists.join(queries, "qid").select(own.alias("retrieval_id"), "qid", "doc_ids", F.lit(now_ms).cast("long").alias("at_ms"), F.lit(version).alias("version"))

@@ -3,22 +3,58 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 c = F.col
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Written to the shared folder that the cluster names, so that a loop's lineage ends there."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and written to the shared folder, so that a loop's lineage ends there."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, read by column."""
+    path = fresh_path(frame.sparkSession, "table")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+#: A side of a join is broadcast up to so many rows; beyond, Spark shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """The frame with a broadcast hint, if it has at most BROADCAST_ROWS rows: it is written first, so that counting is free."""
+    held = cut(frame)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
+def stale(anchors: DataFrame, files: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id of what has an anchor (doc_id, path, sha256) whose file (path, sha256, bytes) is missing, too large or changed."""
+    now = files.select("path", c("sha256").alias("now"), "bytes")
+    met = anchors.join(now, "path", "left")
+    return met.filter(c("now").isNull() | (c("now") != c("sha256")) | (c("bytes") > most_bytes)).select("doc_id").distinct()
+
+
 def index_diff(known: DataFrame, found: DataFrame, complete: bool = True) -> DataFrame:
     """path and action from known (path, digest, alive) and found (path, digest).
 
@@ -68,8 +104,3 @@ def bridged(links: DataFrame, deleted: DataFrame) -> DataFrame:
 def newest(rows: DataFrame, by: Column, keep: int, *tie: str) -> DataFrame:
     """The newest rows. The cut is found in partitions first: no more than `keep` rows of each meet."""
     return rows.orderBy(by.desc(), *tie).limit(keep)
-
-
-def first_events(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One event for each of keys: the first by order."""
-    return events.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrook.functions import lifecycle, text
+from tallyrook.operators.store import small
 from tallyrook.schemas import DAY_MS, KINDS, NOW_MS
 
 
@@ -41,7 +42,8 @@ def superseded(records_: DataFrame) -> DataFrame:
     """
     digests = records_.select("doc_id", F.sha2("content", 256).alias("digest"))
     heads = digests.groupBy("digest").agg(F.max("doc_id").alias("superseded_by"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return digests.join(heads, "digest").filter("doc_id < superseded_by").select("doc_id", "superseded_by")
+    # Few texts have copies: their heads are broadcast after a check, so that a text of very many copies is no hot key.
+    return digests.join(small(heads), "digest").filter("doc_id < superseded_by").select("doc_id", "superseded_by")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,26 @@ def visible(rows: DataFrame, session: str, agent: str) -> DataFrame:
     return rows.filter((~scope.isin("session", "agent")) | ((scope == "session") & key.eqNullSafe(session)) | ((scope == "agent") & key.eqNullSafe(agent)))
 
 
+def pending_deletes(rows: DataFrame) -> DataFrame:
+    """doc_id of records whose deletion is under way."""
+    return rows.filter(F.pmod("doc_id", F.lit(61)) == 5).select("doc_id")
+
+
+def anchors(rows: DataFrame) -> DataFrame:
+    """doc_id, path and sha256 of the files that anchored records were learned from: two a record."""
+    i = F.col("doc_id")
+    path = F.explode(F.array_distinct(F.array(*(F.concat(F.lit("src/"), (F.pmod(n, F.lit(3000)) + 1).cast("string")) for n in (i, i * 7)))))
+    own = rows.filter(F.pmod(i, F.lit(4)) == 0).select("doc_id", path.alias("path"))
+    return own.withColumn("sha256", F.sha2(F.concat("path", F.lit(" v1")), 256))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, sha256 and bytes of the files as they are now: one a part, every fifth changed, some too large."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), key.cast("string")).alias("path"), F.when(key % 5 == 0, " v2").otherwise(" v1").alias("v"), (F.col("p_size") * 45_000).cast("long").alias("bytes"))
+    return rows.select("path", F.sha2(F.concat("path", "v"), 256).alias("sha256"), "bytes")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "label")
 
@@ -75,7 +97,7 @@ raw AS (
     doc_id % 53 = 0 AND doc_id % 10 <> 2 AS pinned, doc_id % 77 = 0 AND doc_id % 10 <> 2 AS locked
   FROM documents
 ), lined AS (
-  SELECT *, coalesce(regexp_replace(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\S'))[1], '^\s+|\s+$', '', 'g'), 'Memory') AS line FROM raw
+  SELECT *, coalesce(regexp_replace(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '[^\t-\r \x{{85}}\p{{Z}}]'))[1], '^[\t-\r \x{{85}}\p{{Z}}]+|[\t-\r \x{{85}}\p{{Z}}]+$', '', 'g'), 'Memory') AS line FROM raw
 ), mem AS (
   SELECT *, CASE WHEN length(line) > 96 THEN substr(line, 1, 80) || chr(10) || '...[truncated]' ELSE line END AS title,
     updated_ms + CASE WHEN scope = 'session' THEN 7 WHEN kind = 'fact' THEN 365 WHEN kind = 'pattern' THEN 540 WHEN kind = 'gotcha' THEN 730 WHEN kind = 'summary' THEN 30 END * {DAY_MS}::BIGINT AS expires_ms,
@@ -89,4 +111,7 @@ raw AS (
 ), feedback AS (
   SELECT user_id AS owner, count(*) FILTER (event_type = 'view') AS injected, count(*) FILTER (event_type = 'purchase') AS used,
     count(*) FILTER (event_type = 'click') AS ignored, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1
+), anchor AS (SELECT DISTINCT doc_id, path, sha256(path || ' v1') AS sha256 FROM (SELECT doc_id, 'src/' || (unnest([doc_id, doc_id * 7]) % 3000 + 1) AS path FROM mem WHERE doc_id % 4 = 0)
+), file AS (SELECT 'src/' || p_partkey AS path, sha256('src/' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN ' v2' ELSE ' v1' END) AS sha256, p_size * 45000 AS bytes FROM part
+), stale AS (SELECT DISTINCT doc_id FROM anchor LEFT JOIN file USING (path) WHERE file.sha256 IS NULL OR file.sha256 <> anchor.sha256 OR bytes > 2097152
 )"""
