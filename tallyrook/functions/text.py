@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,6 +55,19 @@ def normal_name(name: Column) -> Column:
     return collapse(F.lower(_nfkc(name)))
 
 
+# Suffixes of files with code.
+CODE_SUFFIXES = (".rs", ".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".java", ".c", ".cpp", ".h", ".hpp", ".cs", ".swift", ".kt", ".kts", ".sql", ".sh", ".yaml", ".yml", ".json")
+
+
+def code_like(source: Column) -> Column:
+    """Whether a source names a file with code."""
+    return reduce(or_, (F.lower(source).contains(x) for x in CODE_SUFFIXES))
+
+
+def code_like_sql(source: str) -> str:
+    return " OR ".join(f"contains(lower({source}), '{x}')" for x in CODE_SUFFIXES)
+
+
 #: Chunks of a text at most.
 MOST_CHUNKS = 100
 

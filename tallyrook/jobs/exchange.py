@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 from tallyrook.functions import ids, text
 from tallyrook.jobs.catalog import query
-from tallyrook.jobs.graph import GRAPH_SQL, entities, relations
 from tallyrook.jobs.records import _COLLAPSE
+from tallyrook.operators import store
+from tallyrook.sources import graph as held
 from tallyrook.sources import tables
+from tallyrook.sources.graph import GRAPH_SQL, entities, relations
 from tallyrook.sources.tables import RECORDS_SQL, table
 
 c = F.col
@@ -52,11 +54,15 @@ def record_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.records(spark, sf_dir).select("doc_id", outcome.alias("outcome"), F.when(~refused & ~stale & ~same, new).alias("new_id"))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT section, id FROM (SELECT 1 AS section, entity AS id FROM ent UNION ALL SELECT 2, CAST(relation AS VARCHAR) FROM rel) ORDER BY section, id LIMIT 100 OFFSET 100")
+@query(
+    f"""WITH {GRAPH_SQL}, rows_ AS (SELECT 1 AS section, entity AS id FROM ent UNION ALL SELECT 2, CAST(relation AS VARCHAR) FROM rel UNION ALL SELECT 3, CAST(fact AS VARCHAR) FROM fct UNION ALL SELECT DISTINCT 4, CAST(observation AS VARCHAR) FROM obs)
+SELECT section, id, n, n // 100 AS page FROM (SELECT *, row_number() OVER (ORDER BY section, id) - 1 AS n FROM rows_)"""
+)
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of an export: sections one after another, each by id."""
-    rows = entities(spark, sf_dir).select(F.lit(1).alias("section"), c("entity").alias("id")).unionByName(relations(spark, sf_dir).select(F.lit(2).alias("section"), c("relation").cast("string").alias("id")))
-    return rows.orderBy("section", "id").offset(100).limit(100)
+    """All pages of an export: entities, relations, facts, observations, each by id; a cursor is a row's number."""
+    of = lambda n, rows, key: rows.select(F.lit(n).alias("section"), c(key).cast("string").alias("id"))
+    rows = store.union(of(1, entities(spark, sf_dir), "entity"), of(2, relations(spark, sf_dir), "relation"), of(3, held.facts(spark, sf_dir), "fact"), of(4, held.observations(spark, sf_dir), "observation").distinct())
+    return store.numbered(rows, "section", "id").select("section", "id", "n", F.expr("n div 100").alias("page"))
 
 
 @query(

@@ -12,16 +12,12 @@ from tallyrook.operators import store
 from tallyrook.operators.channels import dot
 from tallyrook.schemas import DAY_MS, NOW_MS
 from tallyrook.sources import tables
+from tallyrook.sources.graph import millis
 from tallyrook.sources.tables import RECORDS_SQL
 
 c = F.col
 
 
-def millis(column: str):
-    """Milliseconds of a timestamp without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
-
-
 @query(
     """WITH known AS (SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN sha256('old ' || coalesce(text, '')) ELSE sha256(coalesce(text, '')) END AS digest, doc_id % 17 <> 0 AS alive FROM documents WHERE doc_id % 7 <> 0
 ), found AS (SELECT 'doc/' || doc_id AS path, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 11 <> 0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyrook.operators.store import cut
-from tallyrook.schemas import FANOUT, SAME_ENTITY
+from tallyrook.functions import text
+from tallyrook.operators.channels import dot
+from tallyrook.operators.store import cut, small
+from tallyrook.schemas import FANOUT, GRAPH_DEPTH, GRAPH_RESULTS, SAME_ENTITY
 
 c = F.col
 
@@ -23,18 +27,125 @@ def overlaps(start: Column, end: Column, after: int, before: int) -> Column:
     return F.coalesce((last >= after) & (first <= before), F.lit(False))
 
 
-def field_score(query: Column, words: Column, field: Column) -> Column:
-    """1 for an equal field, 0.75 for one that contains the query, else 0.6 of the share of words found in it."""
-    hit = F.size(F.array_intersect(words, F.split(field, " ")))
-    return F.when(field == query, 1.0).when(field.contains(query), 0.75).otherwise(0.6 * hit / F.size(words))
+@dataclass(frozen=True)
+class TimeFilter:
+    """Bounds in milliseconds, all inclusive; a range that is inverted is an error."""
+
+    valid_after: int | None = None
+    valid_before: int | None = None
+    extracted_after: int | None = None
+    extracted_before: int | None = None
+    occurred_after: int | None = None
+    occurred_before: int | None = None
+
+    def __post_init__(self) -> None:
+        for kind in ("valid", "extracted", "occurred"):
+            after, before = getattr(self, f"{kind}_after"), getattr(self, f"{kind}_before")
+            if after is not None and before is not None and after > before:
+                raise ValueError(f"the range of {kind} times is inverted")
+
+    def relations(self, now_ms: int) -> Column:
+        """Over valid_ms, invalid_ms and extracted_ms: valid now, or at the time that both bounds name; a range asks for a start in it."""
+        exact = self.valid_after is not None and self.valid_after == self.valid_before
+        found = valid_at(c("valid_ms"), c("invalid_ms"), F.lit(self.valid_after if exact else now_ms))
+        if not exact:
+            found = found & _within(c("valid_ms"), self.valid_after, self.valid_before)
+        return found & _within(c("extracted_ms"), self.extracted_after, self.extracted_before)
+
+    def facts(self) -> Column:
+        """Over start_ms, end_ms and learned_ms. Bounds of validity do not concern facts."""
+        first, last = F.coalesce("start_ms", "end_ms"), F.coalesce("end_ms", "start_ms")
+        return _within(last, self.occurred_after, None) & _within(first, None, self.occurred_before) & _within(c("learned_ms"), self.extracted_after, self.extracted_before)
+
+
+def _within(x: Column, after: int | None, before: int | None) -> Column:
+    """Null is within no bound."""
+    low = F.lit(True) if after is None else F.coalesce(x >= after, F.lit(False))
+    return low if before is None else low & F.coalesce(x <= before, F.lit(False))
+
+
+def scope_matches(kind: str | None, key: str | None) -> Column:
+    """Over scope and scope_key: either part of the filter may be missing."""
+    found = F.lit(True) if kind is None else c("scope") == kind
+    return found if key is None else found & (F.coalesce("scope_key", F.lit("")) == key)
+
+
+def current(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """The evidence whose source is eligible and still the one that it was taken from: unit, text, revision and scope."""
+    live = sources.filter("eligible").select("unit", "content_hash", "revision", c("scope").alias("own_scope"), c("scope_key").alias("own_key"))
+    same = (evidence["scope"] == live["own_scope"]) & evidence["scope_key"].eqNullSafe(live["own_key"])
+    on = [evidence[x] == live[x] for x in ("unit", "content_hash", "revision")]
+    return evidence.join(live, [*on, same], "left_semi")
+
+
+@dataclass
+class Eligible:
+    """What a graph search may read: current evidence by kind, and the rows that it carries."""
+
+    evidence: dict[str, DataFrame]
+    entities: DataFrame
+    relations: DataFrame
+    facts: DataFrame
+    observations: DataFrame
+
+
+def eligible(entities: DataFrame, relations: DataFrame, facts: DataFrame, observations: DataFrame, evidence: dict[str, DataFrame], sources: DataFrame, now_ms: int, time: TimeFilter | None = None, entity_scope: str = "project") -> Eligible:
+    """Entities with a current mention in their scope; relations with current evidence, in time, between such; facts with current evidence,
+    in time; current observations that rest on such a fact. A chain of semi-joins."""
+    time = time or TimeFilter()
+    now = {kind: cut(current(rows, sources)) for kind, rows in evidence.items()}
+    now["entity"] = now["entity"].filter(c("scope") == entity_scope)
+    e = cut(entities.join(now["entity"], "entity", "left_semi"))
+    r = relations.filter(time.relations(now_ms)).join(now["relation"], "relation", "left_semi")
+    for side in ("subject", "object"):
+        r = r.join(e.select(c("entity").alias(side)), side, "left_semi")
+    f = cut(facts.filter(time.facts()).join(now["fact"], "fact", "left_semi"))
+    now["observation"] = observations.join(now["fact"].select("fact", "doc_id"), "fact").select("observation", "doc_id")
+    o = observations.filter(c("freshness") == "current").join(f, "fact", "left_semi").select("observation", "statement").distinct()
+    return Eligible(now, e, cut(r.select(*relations.columns)), f, o)
 
 
-def seeds(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """qid, entity, score of the entities that a query's text names. A stated set of queries, broadcast, against all."""
-    q = queries.select("qid", "text").withColumn("words", F.array_distinct(F.split("text", " ")))
-    met = entities.crossJoin(F.broadcast(q))
-    score = F.greatest(*(field_score(c("text"), c("words"), c(f)) for f in ("name", "type")))
-    return met.select("qid", "entity", F.round(score, 9).alias("score")).filter("score > 0")
+#: Queries of one or two words whose text may stand inside of words, at most: they are compared with every field.
+SHORT_QUERIES = 10_000
+
+
+def named(queries: DataFrame, rows: DataFrame, key: str, fields: list[Column], digits: int = 9) -> DataFrame:
+    """qid, key and score of the rows that a query's text (normal) names in one of its fields (columns of arrays, normal).
+
+    1 for an equal field, 0.75 for one that contains the text, else 0.6 of the share of the text's words (each as often as it stands) that
+    are words of one field. Words and texts meet by joins; only texts of one or two words, which a field may contain without
+    sharing a word, are compared with all fields, after a check of their number.
+    """
+    q = queries.filter(c("text") != "").select("qid", "text", F.split("text", " ").alias("words"))
+    f = rows.select(c(key), F.explode(F.array_distinct(F.concat(*fields))).alias("field"))
+    asked = q.select("qid", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("qid", "n", "word").agg(F.count("*").alias("times"))
+    held = f.select(key, "field", F.explode(F.array_distinct(F.split("field", " "))).alias("word"))
+    met = held.join(small(asked), "word").groupBy("qid", key, "field", "n").agg(F.sum("times").alias("hit"))
+    long = q.filter(F.size("words") > 2).select("qid", "text")
+    # All words of a text that a field contains are words of the field, but for the first and the last.
+    close = met.join(long, "qid", "left").withColumn("within", F.coalesce((c("hit") >= c("n") - 2) & c("field").contains(c("text")), F.lit(False)))
+    by_word = close.select("qid", key, F.when(c("within"), 0.75).otherwise(0.6 * c("hit") / c("n")).alias("score"))
+    equal = f.join(small(q.select("qid", c("text").alias("field"))), "field").select("qid", key, F.lit(1.0).alias("score"))
+    short = cut(q.filter(F.size("words") <= 2).select("qid", "text"))
+    if short.count() > SHORT_QUERIES:
+        raise ValueError(f"at most {SHORT_QUERIES} queries of one or two words")
+    inside = f.join(F.broadcast(short), c("field").contains(c("text"))).select("qid", key, F.lit(0.75).alias("score"))
+    every = by_word.unionByName(equal).unionByName(inside)
+    return every.groupBy("qid", key).agg(F.round(F.max("score"), digits).alias("score"))
+
+
+def semantic(query: Column, passage: Column, active: Column, generation: Column) -> Column:
+    """Likeness of two vectors of one dimension and generation, the active one; else 0."""
+    fits = (active == generation) & (active != "") & (F.size(query) == F.size(passage)) & (F.size(query) > 0)
+    return F.when(fits, F.least(F.greatest((dot(query, passage) + 1) / 2, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
+def seeds(queries: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """qid, entity, score of the entities that a query names, by name, type or alias, or whose relations it names."""
+    own = named(queries, entities, "entity", [F.array("name", "type"), c("aliases")])
+    by = named(queries, relations, "relation", [F.array(*(text.normal_name(c(x)) for x in ("predicate",)))])
+    ends = by.join(relations, "relation").select("qid", F.explode(F.array("subject", "object")).alias("entity"), "score")
+    return own.unionByName(ends).groupBy("qid", "entity").agg(F.max("score").alias("score"))
 
 
 def adjacency(relations: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -56,6 +167,40 @@ def bounded_search(seeds_: DataFrame, relations: DataFrame, depth: int = 2, fano
     return found
 
 
+def results(queries: DataFrame, live: Eligible, most: int = GRAPH_RESULTS, depth: int = GRAPH_DEPTH, fanout: int = FANOUT) -> DataFrame:
+    """qid, place, kind, id, score and memory (the least record of its current evidence) of what a search finds, best first: entities
+    within reach of the seeds, facts and observations that the query names. At most `most` a query."""
+    reached = bounded_search(seeds(queries, live.entities, live.relations), live.relations, depth, fanout).select("qid", F.lit("entity").alias("kind"), c("entity").alias("id"), "score")
+    facts = named(queries, live.facts, "fact", [F.array("text", "context", "type")])
+    seen = named(queries, live.observations, "observation", [F.array("statement")])
+    of = lambda rows, kind: rows.select("qid", F.lit(kind).alias("kind"), c(kind).cast("string").alias("id"), "score")
+    every = reached.unionByName(of(facts, "fact")).unionByName(of(seen, "observation"))
+    first = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "kind")
+    best = every.withColumn("place", F.row_number().over(first) - 1).filter(c("place") < most)
+    memory = lambda kind: live.evidence[kind].groupBy(c(kind).cast("string").alias("id")).agg(F.min("doc_id").alias("memory")).withColumn("kind", F.lit(kind))
+    memories = memory("entity").unionByName(memory("fact")).unionByName(memory("observation"))
+    return best.join(memories, ["kind", "id"], "left").select("qid", "place", "kind", "id", "score", "memory")
+
+
+def memory_ranks(found: DataFrame) -> DataFrame:
+    """qid, doc_id and rank of the distinct records of results(), by where each comes first."""
+    first = found.filter(c("memory").isNotNull()).groupBy("qid", c("memory").alias("doc_id")).agg(F.min("place").alias("place"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place", "doc_id")) - 1).select("qid", "doc_id", "rank")
+
+
+def assembled(found: DataFrame, live: Eligible, most: int = GRAPH_RESULTS, fanout: int = FANOUT) -> DataFrame:
+    """A row for each query with results: how many of each kind, the relations that come with the entities (each entity's first), and
+    whether a list is full (which counts as truncated)."""
+    both = live.relations.select("relation", F.explode(F.array("subject", "object")).alias("id"))
+    own = both.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("relation"))).filter(c("n") <= fanout)
+    with_entities = found.filter("kind = 'entity'").join(own, "id").groupBy("qid").agg(F.count_distinct("relation").alias("relations"))
+    counts = found.groupBy("qid").agg(*(F.count_if(c("kind") == k).alias(f"{k[:-1]}ies" if k[-1] == "y" else f"{k}s") for k in ("entity", "fact", "observation")), F.count_distinct("memory").alias("memories"))
+    met = counts.join(with_entities, "qid", "left").withColumn("relations", F.coalesce("relations", F.lit(0)))
+    lists = ("memories", "entities", "relations", "facts", "observations")
+    full = F.greatest(*(c(x) for x in lists)) >= most
+    return met.select("qid", *(F.least(c(x), F.lit(most)).alias(x) for x in lists), full.alias("truncated"))
+
+
 def resolve(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """candidate, matches, entity, outcome of candidates (candidate, scope, name) among entities (entity, scope, name, aliases).
 
@@ -76,20 +221,38 @@ def resolve(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     return met.select("candidate", "matches", F.when(c("matches") == 1, c("entity")).alias("entity"), outcome.alias("outcome"))
 
 
-def triples(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Subject, predicate and object of an RDF projection."""
-    e = entities.select(c("entity").alias("s"), F.explode(F.create_map(F.lit("rdf:type"), F.lit("Entity"), F.lit("name"), c("name"), F.lit("type"), c("type"))).alias("p", "o"))
-    parts = {"rdf:type": F.lit("Relation"), "subject": c("subject"), "object": c("object"), "predicate": c("predicate")}
-    pairs = F.create_map(*(x for k, v in parts.items() for x in (F.lit(k), v)))
-    r = relations.select(F.concat(F.lit("rel:"), c("relation").cast("string")).alias("s"), F.explode(pairs).alias("p", "o"))
-    return e.unionByName(r)
+def triples(entities: DataFrame, relations: DataFrame, facts: DataFrame, observations: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
+    """Subject, predicate and object of an RDF projection: entities, relations, facts (about entities, caused by facts, with the records of
+    their evidence) and observations (with the facts that support them and how fresh they are)."""
+
+    def of(rows: DataFrame, kind: str, key: str, **parts: Column) -> DataFrame:
+        pairs = F.create_map(*(x for k, v in {"rdf:type": F.lit(kind), **parts}.items() for x in (F.lit(k), v.cast("string"))))
+        return rows.select(F.concat(F.lit(f"{key}:"), c(key).cast("string")).alias("s"), F.explode(pairs).alias("p", "o")).filter(c("o").isNotNull())
+
+    out = of(entities, "Entity", "entity", name=c("name"), type=c("type"))
+    out = out.unionByName(of(relations, "Relation", "relation", subject=c("subject"), object=c("object"), predicate=c("predicate")))
+    out = out.unionByName(of(facts, "Fact", "fact", text=c("text"), about=c("about"), causedBy=F.concat(F.lit("fact:"), c("cause").cast("string"))))
+    out = out.unionByName(of(observations.select("observation", "statement", "freshness").distinct(), "Observation", "observation", statement=c("statement"), freshness=c("freshness")))
+    pair = lambda rows, key, p, o: rows.select(F.concat(F.lit(f"{key}:"), c(key).cast("string")).alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    out = out.unionByName(pair(observations, "observation", "supportedBy", F.concat(F.lit("fact:"), c("fact").cast("string"))))
+    for kind, rows in evidence.items():
+        out = out.unionByName(pair(rows, kind, "evidenceSource", c("doc_id").cast("string")))
+    return out.distinct()
 
 
-def erase(source_facts: DataFrame, erased: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts left (with evidence from another source), and edges whose both ends are left.
+def erase(erased: DataFrame, entities: DataFrame, relations: DataFrame, facts: DataFrame, observations: DataFrame, evidence: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of a graph when sources (doc_id) are erased, by kind.
 
-    source_facts: fact, source; erased: source; edges: a, b between facts.
+    Facts and relations keep what evidence is left, and go without any; a fact's cause goes with it. Observations lose the facts that
+    went, and go with the last. Relations go with either end's last mention; entities with their last mention.
     """
-    left = cut(source_facts.join(erased, "source", "left_anti").select("fact").distinct())
-    kept = edges.join(left.withColumnRenamed("fact", "a"), "a", "left_semi").join(left.withColumnRenamed("fact", "b"), "b", "left_semi")
-    return left, kept
+    left = {kind: cut(rows.join(erased, "doc_id", "left_anti")) for kind, rows in evidence.items()}
+    f = cut(facts.join(left["fact"], "fact", "left_semi"))
+    causes = f.select(c("fact").alias("cause"), F.lit(True).alias("stays"))
+    f = f.join(small(causes) if f.filter("cause IS NOT NULL").limit(1).count() else causes, "cause", "left").withColumn("cause", F.when(c("stays"), c("cause"))).select(*facts.columns)
+    o = observations.join(f.select("fact"), "fact", "left_semi").select(*observations.columns)
+    mentioned = left["entity"].select("entity").distinct()
+    r = relations.join(left["relation"], "relation", "left_semi")
+    for side in ("subject", "object"):
+        r = r.join(mentioned.select(c("entity").alias(side)), side, "left_semi")
+    return {"entity": entities.join(mentioned, "entity", "left_semi"), "relation": r.select(*relations.columns), "fact": f, "observation": o, "mention": left["entity"].select("entity", "doc_id").distinct()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
+def union(*frames: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def stale(anchors: DataFrame, files: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     """doc_id of what has an anchor (doc_id, path, sha256) whose file (path, sha256, bytes) is missing, too large or changed."""
     now = files.select("path", c("sha256").alias("now"), "bytes")
@@ -104,3 +109,15 @@ def bridged(links: DataFrame, deleted: DataFrame) -> DataFrame:
 def newest(rows: DataFrame, by: Column, keep: int, *tie: str) -> DataFrame:
     """The newest rows. The cut is found in partitions first: no more than `keep` rows of each meet."""
     return rows.orderBy(by.desc(), *tie).limit(keep)
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """rows with their place (from 0) in the order: ranges are sorted apart and their sizes added up, so that no task has all rows."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = written(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = sorted_.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))  # as many rows as ranges
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return sorted_.withColumn("__place", place).join(F.broadcast(offsets), "__range").withColumn(name, (c("__offset") + c("__place")).cast("long")).drop("__range", "__place", "__offset")

@@ -18,6 +18,11 @@ SIGNIFICANT, ACTIONABLE, COMPACTED_CONFIDENCE = 0.5, 0.5, 0.6
 # Graph.
 FANOUT, EVIDENCE, SAME_ENTITY = 32, 8, 0.9
 
+#: What a graph search returns at most, its depth, attempts and leases of jobs, receipts kept.
+GRAPH_RESULTS, GRAPH_DEPTH, ATTEMPTS, LEASE_MS, TERMINAL_JOBS, RETRY_MS, RETRY_MOST_MS = 64, 2, 3, 60_000, 1024, 1000, 60_000
+#: The extraction policy that revisions are bound to.
+POLICY = "policy-v1"
+# Kinds of records.
 KINDS = ("decision", "preference", "fact", "pattern", "gotcha", "summary")
 #: Half-life and default expiry in days, by kind.
 HALF_LIFE = {"decision": 730, "preference": 365, "fact": 180, "pattern": 270, "gotcha": 365, "summary": 14}
