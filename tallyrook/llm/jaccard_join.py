@@ -49,7 +49,7 @@ PERCENT = 75
 #: Points in a leaf, nodes in a node, and points that search at once.
 LEAF, FANOUT, BATCH = 16, 16, 64
 #: A chunk's shingles, each set counted as if it had SET_COST more; what a task of trees takes, so counted, about.
-CHUNK, SET_COST, TASK = 1_000_000, 500, 2_000_000
+CHUNK, SET_COST, TASK = 1_000_000, 500, 500_000
 
 SETS = "doc_id long, mark long, n_shingles long, class long, shingles array<long>"
 
