@@ -12,7 +12,8 @@ so that a conversation of any length is rendered turn by turn, and its messages
 
 Spark: rows are dealt by conversation and sorted by turn within partitions, and each conversation streams through the
 closures and, as formatted text, through a reader that finds turns and loss spans again. At no time is more than one
-turn held, so a conversation with a third of all rows needs no more memory than another.
+turn held, so a conversation with a third of all rows needs no more memory than another; its turns are one after another, so it
+is one task's time.
 
 Null texts and roles are empty; a null conversation id is one conversation; turns with equal numbers are ordered by role
 and text, null turn numbers first; repeated rows are repeated turns; an empty table gives an empty table; extra columns

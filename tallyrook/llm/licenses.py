@@ -4,9 +4,11 @@ A template is wording with markup: <<beginOptional>> ... <<endOptional>> around
 <<var;max=N>> for up to N words that may stand there. It is compiled to an automaton over words: optional regions are
 bypasses, replaceable ones are chains of steps that any word takes. The automaton is made deterministic state by state as
 texts reach them. A text is accepted from a word on if every mandatory word follows as written; the longest such
-stretch is taken. Documents without all words that a template demands are passed over by one vectorised test.
+stretch is taken. Documents without all words that a template demands are passed over by one vectorised test. Words are met by
+hash, and those that meet are compared letter by letter.
 
-Beside templates there are base phrases, found wherever their words stand consecutively.
+There are templates of whole licence texts (their grade is 1), of grants and notices that name a licence (0.75), and of reservations
+(0.25). Beside templates there are base phrases (0.5), found wherever their words stand consecutively. The score is the highest grade.
 
 Null and empty texts have no words and no labels; equal texts have equal results; an empty table gives an empty table;
 extra columns are ignored.
@@ -28,15 +30,63 @@ from tallyrook.llm import words as w
 #: Phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label and template.
-TEMPLATES = {
+_HOLDERS = "<<beginOptional>>the copyright holder<<endOptional>> <<var;max=8>>"
+_DISCLAIMER = f"""this software is provided by {_HOLDERS} as is and any express or implied warranties including but not limited to the implied
+ warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {_HOLDERS} be liable for any direct
+ indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+ loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability
+ or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such
+ damage"""
+_CONDITIONS = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+ conditions are met <<var;max=1>> redistributions of source code must retain the above copyright notice this list of conditions and the
+ following disclaimer <<var;max=1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and
+ the following disclaimer in the documentation and or other materials provided with the distribution"""
+#: Label, template and grade. The wording of public licences.
+WHOLE = {
+    "MIT": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+ the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+ distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
+ following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>>
+ shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+ express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+ in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract
+ tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "ISC": """permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without
+ fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided
+ as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and
+ fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever
+ resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in
+ connection with the use or performance of this software""",
+    "BSD-2-Clause": f"{_CONDITIONS} {_DISCLAIMER}",
+    "BSD-3-Clause": f"""{_CONDITIONS} <<var;max=1>> neither the name of <<var;max=8>> nor the names of its contributors may be used to endorse
+ or promote products derived from this software without specific prior written permission {_DISCLAIMER}""",
+    "Zlib": """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
+ damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+ applications and to alter it and redistribute it freely subject to the following restrictions <<var;max=1>> the origin of this software
+ must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an
+ acknowledgment in the product documentation would be appreciated but is not required <<var;max=1>> altered source versions must be
+ plainly marked as such and must not be misrepresented as being the original software <<var;max=1>> this notice may not be removed or
+ altered from any source distribution""",
+}
+NOTICES = {
     "mit-notice": "<<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction",
     "apache-2.0": "licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>>",
+    "apache-2.0-header": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the
+ license you may obtain a copy of the license at <<beginOptional>>http www apache org licenses license 2 0<<endOptional>> unless required by
+ applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
+ conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under
+ the license""",
     "gpl-3.0": "<<beginOptional>>this <<var;max=3>> is<<endOptional>> licensed under the gnu <<beginOptional>>lesser<<endOptional>> general public license version 3 <<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
+    "gpl-notice": """<<var;max=4>> is free software you can redistribute it and or modify it under the terms of the gnu
+ <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license as published by the free software
+ foundation either version <<var;max=2>> of the license or at your option any later version""",
     "cc-by-nc-4.0": "licensed under <<beginOptional>>the<<endOptional>> CC BY NC 4 0 <<beginOptional>>license<<endOptional>>",
-    "reserved": "copyright <<var;max=10>> all rights reserved",
 }
+RESERVED = {"reserved": "copyright <<var;max=10>> all rights reserved"}
+TEMPLATES = WHOLE | NOTICES | RESERVED
+GRADES = dict.fromkeys(WHOLE, 1.0) | dict.fromkeys(NOTICES, 0.75) | dict.fromkeys(RESERVED, 0.25)
+BASE_GRADE = 0.5
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;max=(\d+))>>")
 
 
@@ -44,6 +94,12 @@ def _hashes(text: str) -> list[int]:
     return w.split(pa.array([text]), w.ALNUM, lower=True).hash.tolist()
 
 
+def _known(*texts: str) -> dict[int, bytes]:
+    """The words of texts by their hashes."""
+    found = w.split(pa.array(list(texts)), w.ALNUM, lower=True)
+    return {h: found.lower(i) for i, h in enumerate(found.hash.tolist())}
+
+
 class Automaton:
     """Of one template. State 0 is the start; step() gives the next state, or -1."""
 
@@ -183,9 +239,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = compiled(held)
+        known = _known(*(p for p, _ in BASE), *(_MARK.sub(" ", t) for _, t in held))
         kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
         for batch in w.slices(batches):
-            found = w.split(batch.column("text"), w.ALNUM, lower=True)
+            found = w.without_impostors(w.split(batch.column("text"), w.ALNUM, lower=True), known)
             base: list[list] = [[] for _ in range(batch.num_rows)]
             for at, k in sorted(zip(*(x.tolist() for x in base_places(found)), strict=True)):
                 r = int(np.searchsorted(found.first, at, "right")) - 1
@@ -200,8 +257,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
 
 def license_digests(docs: DataFrame) -> DataFrame:
-    """score: 1 where a template accepts a stretch, 0.5 where only a base phrase stands, else 0."""
+    """What scan_licenses() finds, as counts, labels and the highest grade."""
     found = scan_licenses(docs)
+    grades = F.create_map(*(F.lit(x) for pair in GRADES.items() for x in pair))
     labels = lambda *spans: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.col(f"{s}.label") for s in spans)))), ",")
     return found.select(
         "doc_id",
@@ -211,7 +269,7 @@ def license_digests(docs: DataFrame) -> DataFrame:
         F.array_max("base.first").alias("last_word"),
         labels("base").alias("base_labels"),
         labels("base", "matches").alias("labels"),
-        F.when(F.size("matches") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+        F.greatest(F.coalesce(F.array_max(F.transform("matches", lambda m: grades[m["label"]])), F.lit(0.0)), F.when(F.size("base") > 0, BASE_GRADE).otherwise(0.0)).alias("score"),
     )
 
 
@@ -247,5 +305,5 @@ WITH d AS (
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
   array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, own))), ',') AS labels,
-  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM m
+  greatest({" , ".join(f"CASE WHEN list_contains(own, '{label}') THEN {grade} ELSE 0 END" for label, grade in GRADES.items())}, CASE WHEN len(base) > 0 THEN {BASE_GRADE} ELSE 0 END)::DOUBLE AS score FROM m
 """

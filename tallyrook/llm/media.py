@@ -5,8 +5,8 @@ are filtered by that of the filters None, Sub and Up that leaves the least sum o
 chunk's checksum and the stream's own, and takes all five filter types off with numpy. A picture with a fault raises
 ValueError, naming it.
 
-Nulls and empty texts give one block of zero bytes. Equal texts give equal bytes and features. An empty table gives
-an empty table.
+Nulls and empty texts give one block of zero bytes. Equal texts give equal bytes and features; repeated rows are stored each. A text
+of any length is one picture, whose memory is a few times the text's. An empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Bytes of an IDAT chunk at most, side of the picture before the transform, side of the block of low frequencies.
 CHUNK, SIDE, LOW = 1 << 20, 32, 8
-#: Weights for pictures of up to so many rows are kept.
-TALL = 512
 
 
 def payload(text: str | None) -> bytes:
@@ -125,26 +123,23 @@ def _by_sample(kind: int, x: np.ndarray, above: np.ndarray, out: np.ndarray) ->
         out[j] = left
 
 
-def _means(n: int) -> np.ndarray:
-    """SIDE x n weights that average n samples to SIDE; where there are fewer than SIDE, samples are repeated."""
-    edge = np.arange(SIDE + 1) * n // SIDE
-    at = np.arange(n)[None, :]
-    lo, hi = edge[:-1, None], np.maximum(edge[1:], edge[:-1] + 1)[:, None]
-    return ((at >= lo) & (at < hi)) / (hi - lo)
+def _means(samples: np.ndarray) -> np.ndarray:
+    """Rows of samples averaged to SIDE; where there are fewer than SIDE, rows are repeated."""
+    edge = np.arange(SIDE + 1) * len(samples) // SIDE
+    return np.stack([samples[a : max(b, a + 1)].mean(axis=0, dtype=np.float64) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)])
 
 
-@lru_cache(maxsize=1024)
-def _frequencies(n: int) -> np.ndarray:
-    """LOW x n: the lowest frequencies of the cosine transform of n samples averaged to SIDE."""
+@lru_cache(maxsize=1)
+def _frequencies() -> np.ndarray:
+    """LOW x SIDE: the lowest frequencies of the cosine transform."""
     k, i = np.arange(LOW)[:, None], np.arange(SIDE)[None, :]
-    return np.cos(np.pi * k * (2 * i + 1) / (2 * SIDE)) @ _means(n)
+    return np.cos(np.pi * k * (2 * i + 1) / (2 * SIDE))
 
 
 def cosine_hash(pixels: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest frequencies lie above the median of all but the constant one."""
-    height, width = pixels.shape
-    tall = _frequencies(height) if height <= TALL else _frequencies.__wrapped__(height)
-    flat = np.round(tall @ pixels.astype(np.float64) @ _frequencies(width).T, 6).ravel()
+    small = _means(_means(pixels).T).T
+    flat = np.round(_frequencies() @ small @ _frequencies().T, 6).ravel()
     return np.packbits(flat > np.median(flat[1:])).tobytes()
 
 
@@ -168,9 +163,11 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pictures = [read_png(x) for x in batch.column("media").to_pylist()]
-            batch = batch.append_column("payload", pa.array([p.tobytes() for p in pictures], pa.binary()))
-            yield batch.append_column("feature", pa.array([cosine_hash(p) for p in pictures], pa.binary()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                pictures = [read_png(x) for x in part.column("media").to_pylist()]
+                part = part.append_column("payload", pa.array([p.tobytes() for p in pictures], pa.binary()))
+                yield part.append_column("feature", pa.array([cosine_hash(p) for p in pictures], pa.binary()))
 
     return stored.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature binary")
 

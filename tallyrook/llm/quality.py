@@ -10,7 +10,8 @@ from their number); everything is scored.
 
 Null and empty texts have statistics of zero and are scored like others; labels with a null quality are left out; a
 document labelled twice is learned from twice. With no labels, or one class only, the score is that class's, or 0.5.
-Repeated rows are scored each; an empty table gives an empty table; extra columns stay.
+Repeated rows are scored each; an empty table gives an empty table; extra columns stay in with_statistics() (which replaces
+columns named like a statistic) and are ignored in quality_scores().
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tallyrook.llm import words as w
 from tallyrook.llm.shared import cut
@@ -91,7 +93,9 @@ def statistics(column: pa.Array) -> np.ndarray:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with a column for each of STATISTICS."""
     docs = docs.drop(*STATISTICS)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{s} double" for s in STATISTICS])
+    schema = StructType(list(docs.schema.fields))
+    for name in STATISTICS:
+        schema = schema.add(name, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,8 @@ splitter falls into, until every splitter is within the tolerance or cannot be m
 sized; a text that fills a range of its own many times over is spread by the hash of the id.
 
 A null text has no bytes; a null id is a value of its own. Rows equal in text and id cannot be told apart and stay in
-one shard. An empty table gives an empty table.
+one shard. An empty table gives an empty table; extra columns are ignored. Slots are numbered by key within ranges, whose width
+follows from the size of the table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyrook.llm.shared import cut
+from tallyrook.llm.shared import cut, small
 
 #: Hexadecimal digits of the whole key, those of its first half (the text), and those refined per round.
 DIGITS, HALF, STEP = 32, 16, 3
@@ -91,7 +92,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = 0.001,
     sized = cut(keyed.select("key", "size"))
     bounds = splitters(sized, shards, tolerance)
     total, n = sized.agg(F.sum("size"), F.count("*")).first()
-    digits = next((d for d in (1, 2, 3) if 16**d * range_bytes >= (total or 0)), 4)
+    digits = next((d for d in range(1, HALF) if 16**d * range_bytes >= (total or 0)), HALF)
     most = max(1000, 8 * (n or 0) // 16**digits)
     ranges = sized.groupBy(F.substring("key", 1, digits).alias("at")).count().filter(F.col("count") > most)
     crowded = [r["at"] for r in ranges.collect()]
@@ -105,8 +106,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = 0.001,
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "part").orderBy("key", "doc_id")
     numbered = placed(keyed).withColumn("rank", F.row_number().over(within).cast("long") - 1)
-    # At most 16**4 ranges, a cut per shard and 256 per hot text, of which there are at most n / most <= 2 * 16**3.
-    placed_rows = numbered.join(F.broadcast(offsets), ["shard", "part"])
+    placed_rows = numbered.join(small(offsets), ["shard", "part"])
     return placed_rows.select("doc_id", "text", "size", "shard", (F.col("offset") + F.col("rank")).alias("slot"))
 
 

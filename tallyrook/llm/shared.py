@@ -1,30 +1,16 @@
-"""The shared folder for checkpoints, and the check of a size before a broadcast."""
+"""The check of a size before a broadcast, and input columns carried past working ones; tables in the shared folder are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to so many rows of ids or counts; beyond, Spark shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or context.getCheckpointDir()
+from tallyrook.operators.store import cut, written
 
+__all__ = ["bundled", "cut", "quoted", "small", "unbundled", "with_new", "written"]
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the shared folder."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+#: A side of a join is broadcast up to so many rows of ids or counts; beyond, Spark shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def small(frame: DataFrame, rows: int | None = None) -> DataFrame:
@@ -52,12 +38,3 @@ def with_new(frame: DataFrame, columns: list[str], names: tuple[str, ...]) -> Da
     """The columns as bundled() took them, and those of the frame by the names given, which replace any of the same name."""
     rest = [c for c in columns if c not in names]
     return unbundled(frame, [*rest, *names], **{c: F.col(c) for c in names})
-
-
-def written(frame: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, read by column."""
-    spark = frame.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)

@@ -156,6 +156,29 @@ def _cut(data: np.ndarray, at: np.ndarray, begin: int, between: np.ndarray, lowe
     return end
 
 
+def without_impostors(words: Words, known: dict[int, bytes]) -> Words:
+    """words, where the hash of each word that has a known one's hash, but other letters (lower-cased), is made 0."""
+    keys = np.array(sorted(known), np.uint64)
+    at = np.searchsorted(keys, words.hash)
+    at[at == len(keys)] = 0
+    same = np.flatnonzero(keys[at] == words.hash) if len(keys) else np.zeros(0, np.int64)
+    if not len(same):
+        return words
+    spelled = [known[k] for k in keys.tolist()]
+    width = max(map(len, spelled))
+    letters = np.zeros((len(keys), width), np.uint8)
+    for i, x in enumerate(spelled):
+        letters[i, : len(x)] = np.frombuffer(x, np.uint8)
+    size = np.array([len(x) for x in spelled])[at[same]]
+    wrong = words.end[same] - words.start[same] != size
+    for j in range(width):
+        own = _LOWER[words.data[np.minimum(words.start[same] + j, len(words.data) - 1)]]
+        wrong |= (j < size) & (own != letters[at[same], j])
+    if wrong.any():
+        words.hash[same[wrong]] = 0
+    return words
+
+
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words, and of each whether it lies within one row."""
     rows = words.rows()
