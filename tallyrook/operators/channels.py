@@ -62,6 +62,12 @@ def renormalised(vector: Column, dimensions: int) -> Column:
     return F.when(norm > 0, F.transform(head, lambda x: x / norm))
 
 
+def sound(vector: Column, dimensions: int, tolerance: float = 0.02) -> Column:
+    """Whether a vector is of the dimension, finite throughout, and of norm 1, nearly."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) == dimensions) & finite & (F.abs(F.sqrt(dot(vector, vector)) - 1) <= tolerance), F.lit(False))
+
+
 #: Queries of a dense search at most: each is compared with every vector.
 MOST_QUERIES = 20_000
 

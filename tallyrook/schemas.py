@@ -9,6 +9,10 @@ NOW_MS = 1_767_225_600_000
 # Limits of texts.
 CONTENT_CHARS, TITLE_CHARS, EXCERPT_CHARS = 6000, 96, 1600
 TRUNCATED, TRUNCATED_ROOM = "\n...[truncated]", 16
+STORED_TITLE_CHARS, QUERY_CHARS, TAGS, TAG_CHARS = 160, 2000, 12, 64
+# Limits of requests.
+RESULTS, IDS, MIN_BUDGET_CHARS, MAX_BUDGET_CHARS = 20, 100, 512, 24_000
+BUDGET = "budget_out_of_range"
 # Ranking.
 CANDIDATES, ABSTAIN_BELOW, RANK_OFFSET = 1000, 0.42, 61.0
 DENSE_SHARE, LEXICAL_SHARE, GRAPH_WEIGHT, GRAPH_ONLY_WEIGHT = 0.65, 0.35, 0.25, 0.45
