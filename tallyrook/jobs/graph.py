@@ -238,19 +238,6 @@ def source_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.union(of(left["fact"], "fact", c("cause")), of(proofs, "observation", c("proofs")), of(left["mention"], "mention", c("doc_id")), of(left["relation"], "relation"), of(left["entity"], "entity"), of(runs, "run", told), of(runs, "job", state))
 
 
-@query(
-    """WITH o AS (SELECT user_id AS scope, event_type AS statement, date_trunc('day', ts) AS day, array_to_string(list_sort(list_distinct(list(event_id % 7))), ',') AS facts, max(event_id) AS made FROM events GROUP BY 1, 2, 3)
-SELECT scope, statement, facts, made, CASE WHEN made = max(made) OVER (PARTITION BY scope, facts) THEN 'current' ELSE 'retired' END AS status, len(string_split(facts, ',')) AS proofs FROM o"""
-)
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations over the same facts in a scope: the newest is current, older ones are retired."""
-    events = table(spark, sf_dir, "events")
-    made = events.groupBy(c("user_id").alias("scope"), c("event_type").alias("statement"), F.expr("date_trunc('day', ts)").alias("day")).agg(F.array_sort(F.collect_set(c("event_id") % 7)).alias("set"), F.max("event_id").alias("made"))
-    made = made.select("scope", "statement", F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("facts"), "made", F.size("set").cast("long").alias("proofs"))
-    newest = made.groupBy("scope", "facts").agg(F.max("made").alias("newest"))
-    return made.join(newest, ["scope", "facts"]).select("scope", "statement", "facts", "made", F.when(c("made") == c("newest"), "current").otherwise("retired").alias("status"), "proofs")
-
-
 @query(
     f"""WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM ok_entity) AS entities, (SELECT count(*) FROM ok_relation) AS relations, (SELECT count(*) FROM ok_fact) AS facts, (SELECT count(*) FROM ok_obs) AS observations,
   count(*) FILTER (o_orderstatus <> 'F') AS pending_jobs, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS latest_run FROM orders"""

@@ -24,6 +24,9 @@ FANOUT, EVIDENCE, SAME_ENTITY = 32, 8, 0.9
 
 #: What a graph search returns at most, its depth, attempts and leases of jobs, receipts kept.
 GRAPH_RESULTS, GRAPH_DEPTH, ATTEMPTS, LEASE_MS, TERMINAL_JOBS, RETRY_MS, RETRY_MOST_MS = 64, 2, 3, 60_000, 1024, 1000, 60_000
+#: Candidates of a run at most, characters of names and quotes, predicates.
+MOST, NAME_CHARS, QUOTE_CHARS = 64, 512, 1024
+PREDICATES = ("uses", "depends_on", "implements", "causes", "related_to", "supports", "contradicts")
 #: The extraction policy that revisions are bound to.
 POLICY = "policy-v1"
 # Kinds of records.
