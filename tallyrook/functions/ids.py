@@ -61,3 +61,15 @@ def retrieval_id(query: Column, now_ms: Column, generation: Column, ids: Column)
 def revision(content_hash: Column, scope: Column, scope_key: Column, origin: Column, source: Column, policy: Column) -> Column:
     """What an extraction was made from: another policy or another text gives another."""
     return digest(content_hash, scope, scope_key, origin, source, policy)
+
+
+def fields_fingerprint(*fields: Column) -> Column:
+    """SHA-256 over fields of any bytes, each after its length in eight bytes, the lowest first."""
+
+    def counted(field: Column) -> Column:
+        raw = F.encode(F.coalesce(field, F.lit("")), "UTF-8")
+        size = F.lpad(F.hex(F.octet_length(raw).cast("long")), 16, "0")
+        low_first = F.array_join(F.reverse(F.regexp_extract_all(size, F.lit("(..)"))), "")
+        return F.concat(F.unhex(low_first), raw)
+
+    return F.sha2(F.concat(*map(counted, fields)), 256)

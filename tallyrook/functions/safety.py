@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,23 +35,24 @@ INSTRUCTIONS = (
     "call this tool",
     "act as system",
 )
+# Spans of code.
 CODE_SPAN = r"(?s)```.*?```|``[^`\r\n]+``|`[^`\r\n]+`"
 
 
 def _any(text: Column, parts: tuple[str, ...]) -> Column:
-    return reduce(or_, (text.contains(p) for p in parts))
+    """Whether one of the parts stands in the text: one pass, so that a text that is computed is computed once."""
+    return text.rlike("|".join(rf"\Q{p}\E" for p in parts))
 
 
 def has_secret(text: Column) -> Column:
-    lower = F.lower(text)
-    key = lower.contains("-----begin ") & lower.contains("private key-----")
+    key = text.rlike("(?iu)-----begin ") & text.rlike("(?iu)private key-----")
 
     def assigned(line: Column) -> Column:
         value = F.regexp_replace(F.lower(F.regexp_extract(line, ASSIGNMENT, 1)), "^[\"']+|[\"']+$", "")
         return (F.length(value) >= 16) & ~_any(value, PLACEHOLDERS)
 
     # Few lines name a credential at all: the regular expression runs on those.
-    named = lower.rlike("key|token|secret|passw")
+    named = text.rlike("(?i)key|token|secret|passw")
     return key | text.rlike(KNOWN_CREDENTIAL) | (named & F.exists(F.split(text, "\n"), assigned))
 
 

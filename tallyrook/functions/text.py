@@ -45,6 +45,25 @@ def search_text(title_: Column, kind: Column, tags: Column, content: Column) ->
     return F.concat(title_, F.lit("\nkind: "), kind, F.lit("\ntags: "), F.array_join(tags, ", "), F.lit("\n"), content)
 
 
+def metadata(text: Column, chars: int = 512) -> Column:
+    """Control characters as blanks, trimmed, truncated; null where nothing is left."""
+    plain = F.trim(F.regexp_replace(text, r"[\x00-\x1f\x7f]", " "))
+    return F.when(plain != "", truncate(plain, chars))
+
+
+def safe_json(json: Column) -> Column:
+    """JSON that can stand in markup."""
+    return F.replace(F.replace(json, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e"))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

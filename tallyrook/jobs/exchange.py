@@ -127,7 +127,14 @@ def fit_units(rows: pd.DataFrame, each: int = 1000, total: int = 2500) -> pd.Dat
     return pd.DataFrame(_fitted(zip(rows["conv_id"], rows["turn"], rows["text"], strict=True), each, total), columns=["conv_id", "turn", "bytes", "rejected"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, octet_length(encode(coalesce(text, ''))) AS size, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' AS empty FROM conversations
+), fold(conv_id, turn, n, bytes, rejected, spent) AS (
+  SELECT DISTINCT conv_id, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT FROM t
+  UNION ALL SELECT t.conv_id, t.turn, t.n, CASE WHEN empty OR spent + size > {256 * 1024} THEN 0 ELSE size END, CASE WHEN empty THEN 'empty' WHEN spent + size > {256 * 1024} THEN 'budget' END, spent + CASE WHEN empty OR spent + size > {256 * 1024} THEN 0 ELSE size END
+  FROM fold JOIN t ON t.conv_id = fold.conv_id AND t.n = fold.n + 1)
+SELECT conv_id, turn, bytes, rejected FROM fold WHERE n > 0"""
+)
 def extraction_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of each conversation that an extraction may read, within a budget of bytes. Conversations stream turn by turn."""
     t = table(spark, sf_dir, "conversations").select(c("conv_id").cast("long"), c("turn").cast("long"), "role", F.substring("text", 1, UNIT_BYTES).alias("text"))
@@ -142,25 +149,24 @@ def extraction_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.mapInArrow(fit, "conv_id long, turn long, bytes long, rejected string")
 
 
+_LEVEL = lambda source, digits: f"SELECT scope, substr(slot, 1, {digits}) AS slot, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {source} GROUP BY 1, 2"
+
+
 @query(
-    f"""WITH {RECORDS_SQL}, r AS (SELECT scope, doc_id % 64 AS slot, sha256(concat_ws('|', doc_id, kind, scope, updated_ms, expires_ms, pinned::INT, locked::INT)) AS h FROM mem), s AS (SELECT scope, slot, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY ALL)
-SELECT scope, sha256(string_agg(h, '' ORDER BY slot)) AS digest FROM s GROUP BY scope"""
+    f"""WITH {RECORDS_SQL}, r AS (SELECT scope, sha256(concat_ws('|', doc_id, kind, scope, updated_ms, expires_ms, pinned::INT, locked::INT)) AS h FROM mem), s AS (SELECT scope, substr(h, 1, 2) AS slot, h FROM r), l2 AS ({_LEVEL("s", 2)}), l1 AS ({_LEVEL("l2", 1)})
+SELECT scope, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM l1 GROUP BY scope"""
 )
 def metadata_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of the metadata of each scope, without feedback: of the digests of 64 slots, so that no row list is whole anywhere."""
+    """A digest of the metadata of each scope, without feedback, level by level, so that no list of rows grows with the table."""
     parts = ["doc_id", "kind", "scope", "updated_ms", "expires_ms"]
     row = F.sha2(F.concat_ws("|", *(c(p).cast("string") for p in parts), c("pinned").cast("int").cast("string"), c("locked").cast("int").cast("string")), 256)
-    rows = tables.records(spark, sf_dir).select("scope", F.pmod("doc_id", F.lit(64)).alias("slot"), row.alias("h"))
-    slots = rows.groupBy("scope", "slot").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    ordered = F.array_sort(F.collect_list(F.struct("slot", "h")))
-    return slots.groupBy("scope").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("digest"))
+    return store.tree_digest(tables.records(spark, sf_dir).select("scope", row.alias("h")), "scope", "h")
 
 
 @query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    return store.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(
@@ -194,3 +200,27 @@ def tag_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", tags.alias("tags")).withColumn("lower", F.transform("tags", lambda x: F.lower(x)))
     first = F.filter("tags", lambda x, i: F.array_position(c("lower"), F.lower(x)) == i + 1)
     return rows.select("doc_id", F.array_join(first, ",").alias("tags"))
+
+
+_LE = lambda x: f"from_hex(array_to_string(list_reverse(regexp_extract_all(printf('%016x', octet_length({x})), '..')), ''))"
+_CONTROL = "[\\x00-\\x1f\\x7f]"
+
+
+@query(
+    f"""WITH {RECORDS_SQL}, t AS (SELECT doc_id, title, content, kind, {_COLLAPSE.format("content")} AS flat, trim(regexp_replace(title || chr(9) || substr(content, 1, 600), '{_CONTROL}', ' ', 'g')) AS meta FROM mem)
+SELECT doc_id, sha256(flat) AS evidence_sha256, CASE WHEN length(meta) > 512 THEN substr(meta, 1, 496) || chr(10) || '...[truncated]' ELSE meta END AS metadata, replace(replace(CAST(to_json({{'title': title}}) AS VARCHAR), '<', '\\u003c'), '>', '\\u003e') AS json,
+  sha256(unhex(hex({_LE("encode(kind)")}) || hex(encode(kind)) || hex({_LE("encode(title)")}) || hex(encode(title)))) AS fingerprint, sha256(replace('passage: {{text}}', '{{text}}', content)) AS passage_sha256, lower({_COLLAPSE.format("title")}) AS name FROM t"""
+)
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence and metadata made plain, JSON that opens no tag, fingerprints of fields with their lengths, templates, normal names."""
+    rows = tables.records(spark, sf_dir)
+    meta = F.concat("title", F.lit("\t"), F.substring("content", 1, 600))
+    return rows.select(
+        "doc_id",
+        F.sha2(text.collapse(c("content")), 256).alias("evidence_sha256"),
+        text.metadata(meta).alias("metadata"),
+        text.safe_json(F.to_json(F.struct("title"))).alias("json"),
+        ids.fields_fingerprint(c("kind"), c("title")).alias("fingerprint"),
+        F.sha2(text.filled("passage: {text}", text=c("content")), 256).alias("passage_sha256"),
+        text.normal_name(c("title")).alias("name"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrook.functions import ids, lifecycle, safety, text
 from tallyrook.jobs.catalog import query
+from tallyrook.operators import store
 from tallyrook.schemas import DAY_MS, EXCERPT_CHARS, HALF_LIFE, NOW_MS, PROFILE, WEIGHTS
 from tallyrook.sources import tables
 from tallyrook.sources.tables import RECORDS_SQL
@@ -125,11 +126,35 @@ def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("updated_ms"), "doc_id").offset(50).limit(100).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
-@query(f"WITH {RECORDS_SQL}, asked AS (SELECT CAST((user_id * 7 + event_id * 13) % 2000 AS BIGINT) AS doc_id, event_id AS pos FROM events WHERE event_type = 'view') SELECT pos, doc_id, title FROM asked JOIN mem USING (doc_id) WHERE {_VISIBLE}")
+@query(f"WITH {RECORDS_SQL}, n AS (SELECT count(*) + 10 AS n FROM documents), asked AS (SELECT CAST((user_id * 7 + event_id * 13) % n AS BIGINT) AS doc_id, event_id AS pos FROM events, n WHERE event_type = 'view') SELECT pos, doc_id, title FROM asked JOIN mem USING (doc_id) WHERE {_VISIBLE} ORDER BY pos")
 def ordered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested records with the place of the request; what is missing or hidden drops out."""
-    asked = tables.table(spark, sf_dir, "events").filter("event_type = 'view'").select(((c("user_id") * 7 + c("event_id") * 13) % 2000).alias("doc_id"), c("event_id").alias("pos"))
-    return asked.join(tables.visible(tables.records(spark, sf_dir), "s3", "a1").select("doc_id", "title"), "doc_id").select("pos", "doc_id", "title")
+    """Requested records in the order of the request; what is missing or hidden drops out."""
+    n = tables.table(spark, sf_dir, "documents").count() + 10
+    asked = tables.table(spark, sf_dir, "events").filter("event_type = 'view'").select(((c("user_id") * 7 + c("event_id") * 13) % n).alias("doc_id"), c("event_id").alias("pos"))
+    return asked.join(tables.visible(tables.records(spark, sf_dir), "s3", "a1").select("doc_id", "title"), "doc_id").select("pos", "doc_id", "title").orderBy("pos")
+
+
+@query(
+    f"""WITH {RECORDS_SQL}, r AS (SELECT (epoch_us(ts) // 1000) AS at_ms FROM events)
+SELECT (SELECT count(*) FROM mem) AS documents, (SELECT count(*) FROM mem JOIN stale USING (doc_id)) AS stale, (SELECT count(*) FROM mem WHERE NOT pinned AND coalesce(expires_ms <= {NOW_MS}, false)) AS expired, (SELECT count(DISTINCT {"sha256(concat_ws(chr(0), kind, scope, coalesce(scope_key, ''), " + _COLLAPSE.format("content") + "))"}) FROM mem WHERE doc_id % 9 = 0) AS tombstones,
+  (SELECT count(*) FROM r) AS retrievals, (SELECT count(*) FROM mem WHERE doc_id % 61 = 5) AS pending_deletes"""
+)
+def store_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a store: documents, stale, expired, tombstones, retrievals, pending deletions; one row of six aggregates."""
+    rows = tables.records(spark, sf_dir)
+    gone = store.stale(tables.anchors(rows), tables.files(spark, sf_dir))
+    dead = rows.filter("doc_id % 9 = 0").select(ids.fingerprint(c("kind"), c("scope"), c("scope_key"), c("content")).alias("fingerprint")).distinct()
+    counts = [
+        rows.agg(F.count("*").alias("documents"), F.count_if(lifecycle.expired(c("pinned"), c("expires_ms"), NOW_MS)).alias("expired")),
+        gone.agg(F.count("*").alias("stale")),
+        dead.agg(F.count("*").alias("tombstones")),
+        tables.table(spark, sf_dir, "events").agg(F.count("*").alias("retrievals")),
+        tables.pending_deletes(rows).agg(F.count("*").alias("pending_deletes")),
+    ]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out.select("documents", "stale", "expired", "tombstones", "retrievals", "pending_deletes")
 
 
 @query(
@@ -174,9 +199,9 @@ def _list(values) -> str:
 
 _LOWER = "lower(content)"
 _LINES = "list_transform(string_split(content, chr(10)), lambda l: regexp_replace(lower(regexp_extract(l, '" + safety.ASSIGNMENT.replace("'", "''") + "', 1)), '^[\"'']+|[\"'']+$', '', 'g'))"
-_SECRET = f"""(contains({_LOWER}, '-----begin ') AND contains({_LOWER}, 'private key-----') OR regexp_matches(content, '{safety.KNOWN_CREDENTIAL}')
+SECRET_SQL = f"""(contains({_LOWER}, '-----begin ') AND contains({_LOWER}, 'private key-----') OR regexp_matches(content, '{safety.KNOWN_CREDENTIAL}')
   OR len(list_filter({_LINES}, lambda v: length(v) >= 16 AND len(list_filter({_list(safety.PLACEHOLDERS)}, lambda p: contains(v, p))) = 0)) > 0)"""
-_INJECTED = f"""(len(list_filter({_list(safety.ENVELOPES)}, lambda p: contains(regexp_replace({_LOWER}, '{safety.CODE_SPAN}', ' ', 'g'), p))) > 0
+INJECTED_SQL = f"""(len(list_filter({_list(safety.ENVELOPES)}, lambda p: contains(regexp_replace({_LOWER}, '{safety.CODE_SPAN}', ' ', 'g'), p))) > 0
   OR len(list_filter({_list(safety.INSTRUCTIONS)}, lambda p: contains(regexp_replace({_LOWER}, '[^\\pL\\pN]+', ' ', 'g'), p))) > 0)"""
 #: Some contents get a line that the rules are about, so that every class occurs.
 _MATERIAL_SQL = """CASE doc_id % 40 WHEN 1 THEN content || chr(10) || 'export API_KEY = "abcdefghij0123456789"' WHEN 2 THEN content || chr(10) || 'password: your_password_goes_here'
@@ -194,7 +219,7 @@ def material() -> F.Column:
 _GATE_SQL = f"""WITH {RECORDS_SQL}, m AS (SELECT doc_id, importance, {_MATERIAL_SQL} AS content, doc_id % 3 <> 0 AS trusted, doc_id % 2 = 0 AS evidence,
     CASE WHEN doc_id IN (SELECT doc_id FROM superseded) THEN 'duplicate' ELSE 'novel' END AS novelty, CAST(doc_id % 11 AS DOUBLE) / 10 AS significance,
     0.4::DOUBLE * importance + 0.3::DOUBLE * (CAST(doc_id % 8 AS DOUBLE) / 8) + 0.3::DOUBLE * (CAST(doc_id % 16 AS DOUBLE) / 16) AS act FROM mem),
-s AS (SELECT *, CASE WHEN {_SECRET} THEN 'secret_leak' WHEN {_INJECTED} THEN 'injection' WHEN NOT trusted AND NOT evidence THEN 'untrusted_claim' ELSE 'safe' END AS safety FROM m)
+s AS (SELECT *, CASE WHEN {SECRET_SQL} THEN 'secret_leak' WHEN {INJECTED_SQL} THEN 'injection' WHEN NOT trusted AND NOT evidence THEN 'untrusted_claim' ELSE 'safe' END AS safety FROM m)
 SELECT doc_id, safety, CASE WHEN safety = 'secret_leak' THEN 'quarantine:secret_leak' WHEN safety = 'injection' THEN 'quarantine:injection'
   WHEN safety = 'untrusted_claim' THEN 'quarantine:untrusted_claim_without_evidence' WHEN novelty = 'duplicate' THEN 'skip:duplicate' WHEN significance < 0.5 THEN 'skip:low_significance'
   WHEN round(act, 9) < 0.5 THEN 'skip:low_actionability' ELSE 'accept' END AS decision, round(CASE WHEN trusted THEN importance ELSE least(importance, 0.6) END, 9) AS confidence FROM s"""
@@ -213,10 +238,22 @@ def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "safety", safety.capture_decision(c("safety"), c("trusted"), c("evidence"), c("novelty"), c("significance"), act).alias("decision"), F.round(safety.capture_confidence(c("importance"), c("trusted")), 9).alias("confidence"))
 
 
-@query()
+#: For texts without blank lines, as all are here: one block, which is packed by words where it is too long.
+_CHUNKS_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n', chr(10), 'g'), '^[\t-\r \x1c-\x1f\x{85}\p{Z}]+|[\t-\r \x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS whole FROM documents
+), w AS (SELECT doc_id, list_filter(regexp_split_to_array(whole, '[\t-\r \x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') AS ws FROM t WHERE length(whole) > 6000
+), e AS (SELECT doc_id, i, sum(length(ws[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+), cut_(doc_id, chunk, first, last) AS (
+  SELECT doc_id, 0, 1::BIGINT, max(i) FROM e WHERE upto - 1 <= 6000 GROUP BY doc_id
+  UNION ALL SELECT doc_id, chunk, first, last FROM (
+    SELECT c.doc_id, c.chunk + 1 AS chunk, c.last + 1 AS first, n.i AS last, row_number() OVER (PARTITION BY c.doc_id ORDER BY n.i DESC) AS best FROM cut_ c JOIN e b ON b.doc_id = c.doc_id AND b.i = c.last JOIN e n ON n.doc_id = c.doc_id AND n.i > c.last AND n.upto - b.upto - 1 <= 6000) WHERE best = 1
+), out_ AS (SELECT doc_id, 0 AS chunk, whole AS content FROM t WHERE length(whole) BETWEEN 1 AND 6000 UNION ALL SELECT doc_id, chunk, array_to_string(ws[first : last], ' ') FROM cut_ JOIN w USING (doc_id))
+SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(length(content) AS INT) AS chars, sha256(content) AS sha256 FROM out_"""
+
+
+@query(_CHUNKS_SQL)
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document, at most 6000 characters each."""
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", F.posexplode(text.chunks(c("text"))).alias("chunk", "content")).select("doc_id", "chunk", F.length("content").alias("chars"), F.sha2("content", 256).alias("sha256"))
 
 

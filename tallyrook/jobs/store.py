@@ -89,15 +89,15 @@ def delete_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH link AS (SELECT event_id AS node, CASE WHEN event_id % 50 = 0 THEN event_id WHEN event_id % 31 = 0 THEN -event_id ELSE (event_id * 7 + 3) % 20000 END AS target FROM events WHERE event_type = 'click')
-SELECT node, target, CASE WHEN node = target THEN 'self' WHEN target NOT IN (SELECT event_id FROM events) THEN 'dangling' WHEN NOT EXISTS (SELECT 1 FROM link r WHERE r.node = link.target AND r.target = link.node) THEN 'one_way' ELSE 'ok' END AS verdict FROM link"""
+    """WITH n AS (SELECT count(*) * 2 AS n FROM events), link AS (SELECT event_id AS node, CASE WHEN event_id % 50 = 0 THEN event_id WHEN event_id % 31 = 0 THEN -event_id ELSE (event_id * 7 + 3) % n END AS target FROM events, n)
+SELECT node, target, CASE WHEN node = target THEN 'self' WHEN target NOT IN (SELECT event_id FROM events) THEN 'dangling' WHEN (target, node) NOT IN (SELECT (node, target) FROM link) THEN 'one_way' ELSE 'ok' END AS verdict FROM link"""
 )
 def relation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of events to others: to itself, to nothing, not returned, or well."""
     events = tables.table(spark, sf_dir, "events")
-    i = c("event_id")
-    target = F.when(i % 50 == 0, i).when(i % 31 == 0, -i).otherwise((i * 7 + 3) % 20000)
-    link = events.filter("event_type = 'click'").select(i.alias("node"), target.alias("target"))
+    i, n = c("event_id"), 2 * events.count()
+    target = F.when(i % 50 == 0, i).when(i % 31 == 0, -i).otherwise((i * 7 + 3) % n)
+    link = events.select(i.alias("node"), target.alias("target"))
     exists = events.select(i.alias("target"), F.lit(True).alias("there"))
     back = link.select(c("node").alias("target"), c("target").alias("node"), F.lit(True).alias("back")).distinct()
     met = link.join(exists, "target", "left").join(back, ["node", "target"], "left")
@@ -105,13 +105,15 @@ def relation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("node", "target", verdict.alias("verdict"))
 
 
-_FEEDBACK_SQL = "told AS (SELECT DISTINCT user_id AS retrieval, (event_id * 31) % 97 AS record, event_type AS event FROM events)"
+_FEEDBACK_SQL = "told AS (SELECT DISTINCT user_id AS retrieval, (event_id * 31) % 97 AS record, event_type AS event FROM events WHERE (event_id * 31) % 97 % 3 <> user_id % 3)"
 
 
 @query(f"WITH {_FEEDBACK_SQL}, kept AS (SELECT * FROM told t WHERE event <> 'click' OR NOT EXISTS (SELECT 1 FROM told u WHERE u.retrieval = t.retrieval AND u.record = t.record AND u.event = 'purchase')) SELECT record, event, count(*) AS n FROM kept WHERE event <> 'signup' GROUP BY record, event")
 def feedback_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of feedback: once for a retrieval, record and event; what was used is not ignored."""
-    told = tables.table(spark, sf_dir, "events").select(c("user_id").alias("retrieval"), ((c("event_id") * 31) % 97).alias("record"), c("event_type").alias("event")).distinct()
+    """Counts of feedback: once for a retrieval, record and event; what was used is not ignored; what the retrieval did not return is refused
+    (of every three records, here, two were returned)."""
+    returned = ((c("event_id") * 31) % 97 % 3) != (c("user_id") % 3)
+    told = tables.table(spark, sf_dir, "events").filter(returned).select(c("user_id").alias("retrieval"), ((c("event_id") * 31) % 97).alias("record"), c("event_type").alias("event")).distinct()
     used = told.filter("event = 'purchase'").select("retrieval", "record")
     ignored = told.filter("event = 'click'").join(used, ["retrieval", "record"], "left_anti").select(*told.columns)
     return told.filter("event NOT IN ('click', 'signup')").unionByName(ignored).groupBy("record", "event").agg(F.count("*").alias("n"))

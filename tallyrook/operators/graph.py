@@ -205,12 +205,19 @@ def resolve(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """candidate, matches, entity, outcome of candidates (candidate, scope, name) among entities (entity, scope, name, aliases).
 
     Names match if equal, if an alias is equal, or if their words overlap by SAME_ENTITY. For that, names meet on the words of
-    their prefixes only: of words in order, as many as may be missing, and one.
+    their prefixes only: of words in the order of how rare they are, as many as may be missing, and one.
     """
-    kept = F.col("words")
-    prefix = lambda f: f.withColumn("words", F.array_sort(F.array_distinct(F.filter(F.split("name", " "), lambda x: x != "")))).withColumn("key", F.explode(F.slice(kept, F.lit(1), F.size(kept) - F.ceil(F.size(kept) * SAME_ENTITY).cast("int") + 1)))
-    left = prefix(candidates.select("candidate", "scope", "name"))
-    right = prefix(entities.select("entity", "scope", "name")).select("entity", "scope", "key", c("words").alias("other"))
+    split_ = lambda f, key: f.select(key, "scope", F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda x: x != ""))).alias("word"))
+    theirs = split_(entities, "entity")
+    often = theirs.groupBy("scope", "word").agg(F.count("*").alias("df"))
+
+    def prefix(f: DataFrame, key: str) -> DataFrame:
+        """Words of each name in the order of how rare they are, and a row for each of its first, as many as may be missing, and one."""
+        ranked = split_(f, key).join(often, ["scope", "word"], "left").groupBy(key, "scope").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("words"))
+        return ranked.withColumn("key", F.explode(F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * SAME_ENTITY).cast("int") + 1)))
+
+    left = prefix(candidates.select("candidate", "scope", "name"), "candidate")
+    right = prefix(entities.select("entity", "scope", "name"), "entity").select("entity", "scope", "key", c("words").alias("other"))
     alike = F.size(F.array_intersect("words", "other")) >= SAME_ENTITY * F.size(F.array_union("words", "other"))
     by_words = left.join(right, ["scope", "key"]).filter(alike).select("candidate", "entity")
     named = entities.select("entity", "scope", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))

@@ -78,18 +78,32 @@ def index_diff(known: DataFrame, found: DataFrame, complete: bool = True) -> Dat
 def chain_heads(links: DataFrame) -> DataFrame:
     """node, head, steps for links (node, next), each node with one next at most: chains are halved by each join.
 
-    Nodes on a cycle, or before one, have a null head.
+    Nodes that have reached a head leave the loop, so that a head of very many is no key of later joins. Nodes on a cycle, or before one,
+    have a null head.
     """
-    at = cut(links.select("node", c("next").alias("head"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done")))
+    at = cut(links.select("node", c("next").alias("head"), F.lit(1).cast("long").alias("steps")))
+    n, done = at.count(), []
     for _ in range(64):
-        ahead = at.select(c("node").alias("head"), c("head").alias("then"), c("steps").alias("more"))
-        at = cut(at.join(ahead, "head", "left").select("node", F.coalesce("then", "head").alias("head"), (c("steps") + F.coalesce("more", F.lit(0))).alias("steps"), c("then").isNull().alias("done")))
-        left = at.filter("NOT done")
-        if left.isEmpty():
+        if not n:
             break
-        if left.agg(F.min("steps")).first()[0] > at.count():  # longer than any chain: cycles only
+        # whoever is still under way has a link further on; a head without one is the end
+        ahead = at.select(c("node").alias("head"), c("head").alias("then"), c("steps").alias("more"))
+        ended = union(*done) if done else None
+        met = at.join(ahead, "head", "left")
+        if ended is not None:
+            known = ended.select(c("node").alias("head"), c("head").alias("end"), c("steps").alias("rest"))
+            met = met.join(known, "head", "left")
+            met = met.withColumns({"then": F.coalesce("then", "end"), "more": F.coalesce("more", "rest"), "over": c("end").isNotNull()})
+        else:
+            met = met.withColumn("over", F.lit(False))
+        told = cut(met.select("node", F.coalesce("then", "head").alias("head"), (c("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (c("then").isNull() | c("over")).alias("done")))
+        done.append(cut(told.filter("done").drop("done")))
+        at = cut(told.filter("NOT done").drop("done"))
+        left = at.count()
+        if not left or at.agg(F.min("steps")).first()[0] > n:  # longer than any chain: cycles only
             break
-    return at.select("node", F.when(c("done"), c("head")).alias("head"), F.when(c("done"), c("steps")).alias("steps"))
+    found = union(*done) if done else at.limit(0)
+    return found.unionByName(at.select("node", F.lit(None).cast(links.schema["next"].dataType).alias("head"), F.lit(None).cast("long").alias("steps"))) if n else found
 
 
 def symmetric(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -121,3 +135,34 @@ def numbered(rows: DataFrame, *order: str, name: str = "n") -> DataFrame:
     offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))  # as many rows as ranges
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
     return sorted_.withColumn("__place", place).join(F.broadcast(offsets), "__range").withColumn(name, (c("__offset") + c("__place")).cast("long")).drop("__range", "__place", "__offset")
+
+
+def tree_digest(rows: DataFrame, by: str, digest: str, least_digits: int = 2) -> DataFrame:
+    """by and digest: one of all digests (hexadecimal) of each `by`, whatever their order: lists of those with one prefix are digested, a
+    digit less at a time. The first prefix is as long as the table needs for lists of some hundreds."""
+    digits, most = least_digits, 256 * 16**least_digits
+    n = rows.count()
+    while n > most:
+        digits, most = digits + 1, most * 16
+    level = rows.select(by, F.substring(digest, 1, digits).alias("slot"), c(digest).alias("h"))
+    for d in range(digits, -1, -1):
+        level = level.groupBy(by, F.substring("slot", 1, d).alias("slot")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return level.select(by, c("h").alias("digest"))
+
+
+def nearest_ranks(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, n and, for each name of shares, the least value that so large a share of the values of `by` does not exceed.
+
+    Different values are counted first, sorted over ranges, and added up by range: no task has all values of one `by`.
+    """
+    counts = rows.filter(c(value).isNotNull()).groupBy(by, c(value).alias("v")).agg(F.count("*").alias("own"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = written(counts.repartitionByRange(parts, by, "v").withColumn("range", F.spark_partition_id()))
+    sums = held.groupBy(by, "range").agg(F.sum("own").alias("sum"))  # as many rows as ranges and keys
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(by, "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    totals = sums.groupBy(by).agg(F.sum("sum").alias("n"))
+    so_far = F.sum("own").over(Window.partitionBy(by, "range").orderBy("v"))
+    met = held.withColumn("upto", so_far).join(F.broadcast(offsets), [by, "range"]).join(F.broadcast(totals), by)
+    reached = {name: F.min(F.when(c("offset") + c("upto") >= F.ceil(c("n") * share), c("v"))).alias(name) for name, share in shares.items()}
+    return met.groupBy(by, "n").agg(*reached.values())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrook.operators.store import fresh_path
+
 c = F.col
 
 
@@ -20,9 +21,7 @@ def counted(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 def run_to_end(spark: SparkSession, events_path: str, schema) -> DataFrame:
     """All that the stream finds in a folder or file now, as a table in the shared folder; state and progress are kept there."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = fresh_path(spark, "stream")
     folder, _, name = events_path.rpartition("/")
     reader = spark.readStream.schema(schema)
     stream = reader.option("pathGlobFilter", name).parquet(folder) if "." in name else reader.parquet(events_path)
