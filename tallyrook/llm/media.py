@@ -126,7 +126,7 @@ def _by_sample(kind: int, x: np.ndarray, above: np.ndarray, out: np.ndarray) ->
 def _means(samples: np.ndarray) -> np.ndarray:
     """Rows of samples averaged to SIDE; where there are fewer than SIDE, rows are repeated."""
     edge = np.arange(SIDE + 1) * len(samples) // SIDE
-    return np.stack([samples[a : max(b, a + 1)].mean(axis=0, dtype=np.float64) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)])
+    return np.add.reduceat(samples, edge[:-1], axis=0, dtype=np.float64) / np.maximum(np.diff(edge), 1)[:, None]
 
 
 @lru_cache(maxsize=1)
