@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyrook import jobs
 from tallyrook.functions import ids, lifecycle, safety, text
 from tallyrook.jobs.exchange import fit_units
-from tallyrook.operators import graph, metrics, ranking, store
+from tallyrook.operators import channels, graph, metrics, ranking, store
 from tallyrook.schemas import DAY_MS
+from tallyrook.sources import files, versions
 
 
 def one(spark, **columns):
@@ -114,7 +115,8 @@ def test_fusion_and_validity(spark):
 
 def test_session_layer_wins(spark):
     rows = [(1, 1, "fact", "same  words", "repository", 0.9, 5), (1, 2, "fact", "same words", "session", 0.5, 1), (1, 3, "fact", "other", "project", 0.7, 1)]
-    kept = ranking.collapse_layers(spark.createDataFrame(rows, "qid long, doc_id long, kind string, shown string, scope string, score double, updated_ms long"))
+    frame = spark.createDataFrame(rows, "qid long, doc_id long, kind string, shown string, scope string, score double, updated_ms long")
+    kept = ranking.collapse_layers(frame.withColumn("dedup", ids.dedup_key(F.col("kind"), F.col("shown"))))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
@@ -134,12 +136,12 @@ def test_diversified():
 
 
 def test_metrics(spark):
-    asked = spark.createDataFrame([(1, True), (2, True), (3, False)], "qid long, answerable boolean")
-    relevance = spark.createDataFrame([(1, 10, 2), (1, 11, 1), (2, 20, 1)], "qid long, doc_id long, grade int")
-    perfect = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (2, 20, 0)], "qid long, doc_id long, place int")
-    nothing = spark.createDataFrame([(3, 1, 0)], "qid long, doc_id long, place int")
-    a = metrics.summary(metrics.per_query(perfect, relevance, asked).withColumn("mode", F.lit("a"))).first()
-    b = metrics.summary(metrics.per_query(nothing, relevance, asked).withColumn("mode", F.lit("b"))).first()
+    # query 1 has two relevant records, one of them of grade 2; query 2 has one
+    asked = spark.createDataFrame([(1, True, 2, 1), (2, True, 1, 0), (3, False, 0, 0)], "qid long, answerable boolean, relevant long, high long")
+    schema = "mode string, qid long, doc_id long, place int, grade int"
+    perfect, nothing = [("a", 1, 10, 0, 2), ("a", 1, 11, 1, 1), ("a", 2, 20, 0, 1)], [("b", 3, 1, 0, None)]
+    found = {r["mode"]: r for r in metrics.summary(metrics.per_query(spark.createDataFrame(perfect + nothing, schema), asked, ("a", "b"))).collect()}
+    a, b = found["a"], found["b"]
     assert (a.mrr_10, a.ndcg_10, a.recall_10, a.false_abstention, a.specificity) == (1, 1, 1, 0, 1)
     assert (b.mrr_10, b.ndcg_10, b.precision_1, b.false_abstention, b.specificity) == (0, 0, 0, 1, 0)
 
@@ -189,3 +191,48 @@ def test_extraction_takes_whole_turns(spark, tmp_path):
     rest = {10: "budget", 11: None, 12: "empty", 13: "empty"}
     assert 5000 <= left < 30_000
     assert got == [(conv, turn, taken.get(turn, 5000 if turn == 11 else 0), rest.get(turn)) for conv in (1, 2) for turn in texts]
+
+
+def test_unicode_space_and_line_ends(spark):
+    got = one(spark, a=text.collapse(F.lit("a\u3000\u00a0b")), t=text.title(F.lit("\u3000\n\u00a0x y\u2003")))
+    assert got == {"a": "a b", "t": "x y"}
+    assert text._pack("a\r\nb\r\n\r\nc", 100) == ["a\nb\n\nc"]
+
+
+def test_whole_query_inside_longer_words(spark):
+    """A query that a record contains scores 1, even where its first and last word are parts of longer ones."""
+    asked = spark.createDataFrame([(1, "oo bar ba"), (2, "none of this"), (3, "b1")], "qid long, text string")
+    rows = spark.createDataFrame([(10, "T", ["x"], "foo bar baz"), (11, "T", ["x"], "this is it"), (12, "T", ["x"], "ab12")], "doc_id long, title string, tags array<string>, content string")
+    found = rows.select("doc_id", F.explode(text.tokens(F.concat_ws(" ", "title", "content"))).alias("token"))
+    pairs = asked.select("qid").crossJoin(rows.select("doc_id"))
+    got = {(r.qid, r.doc_id): r.lexical for r in ranking.lexical_scores(pairs, asked, found, rows).collect()}
+    assert got[1, 10] == 1.0 and got[3, 12] == 1.0 and got[3, 10] == 0.0 and abs(got[2, 11] - 1 / 3) < 1e-12
+
+
+def test_versions_and_rollback(spark, tmp_path):
+    base, frame = f"{tmp_path}/t", spark.range(3)
+    versions.commit(frame, base, 0)
+    versions.commit(spark.range(5), base, 1)
+    assert versions.read(spark, base, frame.schema).count() == 5
+    versions.rollback(spark, base, 0)
+    assert versions.read(spark, base, frame.schema).count() == 3 and versions.current_version(spark, base) == 0
+
+
+def test_inverted_time_filters_are_errors():
+    for kind in ("valid", "extracted", "occurred"):
+        with pytest.raises(ValueError):
+            graph.TimeFilter(**{f"{kind}_after": 2, f"{kind}_before": 1})
+
+
+def test_too_many_queries_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(channels, "MOST_QUERIES", 1)
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, vector array<double>")
+    with pytest.raises(ValueError):
+        channels.cosine_top(v, v.withColumnRenamed("qid", "doc_id"), 5)
+
+
+def test_changed_files_are_an_error(spark, tmp_path):
+    files.write_lines(spark.createDataFrame([(1, "a")], "item_id long, text string"), f"{tmp_path}/a")
+    other = spark.createDataFrame([("part-0.json", "00")], "name string, sha256 string")
+    with pytest.raises(ValueError):
+        files.read_lines(spark, f"{tmp_path}/a", "item_id long, text string", other, "item_id")
