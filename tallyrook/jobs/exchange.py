@@ -105,7 +105,7 @@ def evidence_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.agg(F.coalesce(F.bool_or(c("text").contains(c("quote"))), F.lit(False)).alias("supported"))
 
 
-#: UTF-8 bytes of a unit and of all units of a conversation (the reference's MAX_GRAPH_TEXT_BYTES and MAX_GRAPH_TOTAL_TEXT_BYTES).
+#: UTF-8 bytes of a unit and of all units of a conversation.
 UNIT_BYTES, CONVERSATION_BYTES = 32 * 1024, 256 * 1024
 
 

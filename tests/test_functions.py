@@ -236,3 +236,17 @@ def test_changed_files_are_an_error(spark, tmp_path):
     other = spark.createDataFrame([("part-0.json", "00")], "name string, sha256 string")
     with pytest.raises(ValueError):
         files.read_lines(spark, f"{tmp_path}/a", "item_id long, text string", other, "item_id")
+
+
+def test_semantic_score_and_scopes(spark):
+    v = lambda *x: F.array(*map(F.lit, x))
+    got = one(
+        spark,
+        same=graph.semantic(v(1.0, 0.0), v(1.0, 0.0), F.lit("g"), F.lit("g")),
+        other=graph.semantic(v(1.0, 0.0), v(1.0, 0.0), F.lit("g"), F.lit("h")),
+        size=graph.semantic(v(1.0, 0.0), v(1.0), F.lit("g"), F.lit("g")),
+    )
+    assert got == {"same": 1.0, "other": 0.0, "size": 0.0}
+    rows = spark.createDataFrame([("session", "s1"), ("session", "s2"), ("project", None)], "scope string, scope_key string")
+    count = lambda *x: rows.filter(graph.scope_matches(*x)).count()
+    assert (count(None, None), count("session", None), count("session", "s1"), count(None, "")) == (3, 2, 1, 1)
