@@ -2,8 +2,9 @@
 
 A document's set is its distinct shingles of five words. Shingles are hashed into GROUPS groups, and the counts of the groups
 are a point. Two sets share at most the sum of the lesser coordinates of their points; a node of an R-tree over points
-holds, for each coordinate, the greatest below it, and the same sum with those bounds what any set below it shares. Trees
-are descended by many points of a block at once; the pairs that survive are verified on the sets themselves.
+holds, for each coordinate, the greatest below it, and the same sum with those bounds what any set below it shares. The
+tree of a chunk is built once, and descended by many points at once; the pairs that survive are verified on the sets themselves.
+After links its nodes learn the labels of what is connected now: what has a point's own label is not searched for it.
 
 Points of unrelated texts of one length are alike, so one tree over all documents would prune little; what goes into a
 tree together is decided exactly first:
@@ -12,155 +13,96 @@ tree together is decided exactly first:
    has no link. Which shingles are shared is asked through tallyrook.llm.repeats. Most documents end here.
 2. Equal sets become one class.
 3. Ordered by how few parts of the table have them, two linked sets share one of their first shingles (the prefix: what is left
-   if three quarters are missing, plus one). Each shingle's smallest class is its pivot, and all classes that share prefix
-   shingles with one pivot make a block: blocks only say which points meet. What many texts share comes late in the order, so
-   that a common passage makes no block unless it is most of a text. A large block is cut into chunks by size, each with the pivot.
-4. In a chunk, an R-tree over the points yields the candidates, a batch of points at a time, and candidates are verified unless
-   links already connect them; nodes with one component are passed over. So a chunk yields at most one link for each of its
-   classes, however many of its sets are alike. A first pass has each class in one block only, that with which it shares most; a
-   second has whole blocks, chunks and pairs of chunks, where components still differ. There a chunk is sent once for each
-   chunk of sizes within three quarters of its own that has another component.
+   if three quarters are missing, plus one). tallyrook.llm.blocks makes blocks and chunks of the classes that share some. What
+   many texts share comes late in the order, so that a common passage makes no block unless it is most of a text.
 
 No link between different sets is lost: it is given, or implied by given ones. Classes meet as rows of joins, in tasks of bounded
 size; nothing is collected but counts.
 
-Null and empty texts have no shingles and no links. Texts of fewer than five words are one shingle. Repeated rows, and
-rows with equal texts, are of one class. A null doc_id takes part, and takes the least id of its component. An empty table gives
-an empty table; extra columns are ignored.
+Words are told apart by 128 bits of their letters and shingles by 64; sets of one class share 128 bits of a digest.
+
+Null and empty texts have no shingles and no links. Texts of fewer than five words are one shingle. A very long text is one set: its task
+holds about a hundred bytes a word of it. Repeated rows, and rows with equal texts, are of one class. A null doc_id takes
+part, and takes the least id of its component. An empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
 
+from tallyrook.llm import blocks
 from tallyrook.llm import repeats as r
-from tallyrook.llm import words as w
-from tallyrook.llm.components import connected_components
-from tallyrook.llm.shared import cut, quoted, small, written
 
-SHINGLE, GROUPS = 5, 256
+GROUPS = 256
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Points in a leaf, nodes in a node, and points that search at once.
-LEAF, FANOUT, BATCH = 16, 16, 64
-#: A chunk's shingles, each set counted as if it had SET_COST more; what a task of trees takes, so counted, about.
-CHUNK, SET_COST, TASK = 1_000_000, 500, 500_000
-
-SETS = "doc_id long, mark long, n_shingles long, class long, shingles array<long>"
-
-
-class _Sets:
-    """Distinct shingles of the texts of one part, each text's together."""
-
-    def __init__(self, docs: pa.Table):
-        words = w.split(docs.column("text"), w.SPACE, lower=True)
-        n = len(words.first) - 1
-        h, inside = w.windows(words, SHINGLE)
-        at = np.flatnonzero(inside)
-        rows = words.rows()
-        lengths = np.diff(words.first)
-        short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
-        whole = np.array([w.sequence(words.hash[words.first[i] : words.first[i + 1]]) for i in short], np.uint64)
-        hashes, row = np.concatenate([h[at], whole]), np.concatenate([rows[at], short])
-        order = np.lexsort((hashes, row))
-        hashes, row = hashes[order], row[order]
-        first = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(hashes)]
-        self.hashes, self.row = hashes[first], row[first]
-        self.size = np.bincount(self.row, minlength=n)
-        self.begin = np.append(0, np.cumsum(self.size))
-        self.runs = r.Runs.of(self.hashes)
-        self.several = np.diff(np.append(self.runs.begin, len(self.hashes))) > 1
-
-    def shared(self, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each shingle, whether another text has it, and how many parts have it, roughly."""
-        elsewhere, level = r.heard(answers, 0, self.runs.hashes, bits, wide=False)
-        return self.runs.spread(elsewhere | self.several), self.runs.spread(level)
-
-
-def _classes(sets: _Sets) -> np.ndarray:
-    """A hash of each text's whole set."""
-    mixed = w.mix(sets.hashes ^ np.uint64(0xA5A5A5A55A5A5A5A))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    return w.mix(total[sets.begin[1:]] - total[sets.begin[:-1]] + sets.size.astype(np.uint64)).view(np.int64)
+#: Points in a leaf, nodes in a node.
+LEAF, FANOUT = 16, 16
 
 
-def _mark(docs: DataFrame) -> Column:
-    """A hash of a row's id and text: rows with one id and one mark are one row repeated."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+def _every(sets: blocks.ShingleSets) -> r.Runs:
+    return r.Runs.of(sets.hashes)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """A row for each of docs: SETS. Only where a link is possible is there a class, and there, once in a part, the shingles that
-    other documents have too, those that fewest parts have first."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark(docs).alias("mark"))
-    plan, dealt = r.layout(docs)
-    bits = plan.bits
-
-    def ask(key: tuple, part: pa.Table) -> pa.Table:
-        return r.question(key[0].as_py(), _Sets(part).runs.hashes, None, bits)
-
-    def tell(key: tuple, part: pa.Table, answers: pa.Table) -> pa.Table:
-        sets = _Sets(part)
-        shared, level = sets.shared(answers, bits)
-        n = len(sets.size)
-        count = np.bincount(sets.row[shared], minlength=n)
-        able = (sets.size > 0) & (100 * count >= PERCENT * sets.size)
-        classes = _classes(sets)
-        _, first = np.unique(classes, return_index=True)
-        told = np.zeros(n, bool)
-        told[first] = True
-        told &= able
-        pick = np.flatnonzero(shared & told[sets.row])
-        pick = pick[np.lexsort((sets.hashes[pick], level[pick], sets.row[pick]))]
-        offsets = np.append(0, np.cumsum(np.where(told, count, 0))).astype(np.int32)
-        shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.hashes[pick].view(np.int64)))
-        columns = [part.column("doc_id"), part.column("mark"), pa.array(sets.size.astype(np.int64)), pc.if_else(pa.array(able), pa.array(classes), None)]
-        columns.append(pc.if_else(pa.array(told), shingles, pa.nulls(n, shingles.type)))
-        return pa.Table.from_arrays(columns, ["doc_id", "mark", "n_shingles", "class", "shingles"])
-
-    answers = dealt.groupBy("part").applyInArrow(ask, r.QUESTION).groupBy("bucket").applyInArrow(r.shared_by_parts(0, flagged=False, counted=True), r.ANSWER)
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(tell, SETS)
+def _tell(sets: blocks.ShingleSets, part: pa.Table, runs: r.Runs, elsewhere: np.ndarray, level: np.ndarray) -> pa.Table:
+    """Only where a link is possible is there a class, and there the shingles that other documents have too."""
+    several = np.diff(np.append(runs.begin, len(sets.hashes))) > 1
+    shared, level = runs.spread(elsewhere | several), runs.spread(level)
+    count = np.bincount(sets.row[shared], minlength=len(sets.size))
+    able = (sets.size > 0) & (100 * count >= PERCENT * sets.size)
+    needed = -(-PERCENT * sets.size // 100)
+    at = np.flatnonzero(shared & able[sets.row])
+    at = at[blocks.rarest(sets.row[at], level[at], sets.hashes[at], np.maximum(count - needed + 1, 0))]
+    return blocks.told(sets, part, able, (sets.hashes[at], sets.row[at]), shared)
 
 
-# --- trees -------------------------------------------------------------------------------------------------------
 class CountTree:
-    """An R-tree over points of counts, of which only upper bounds matter. Its nodes also have the least size of the sets
-    below and the range of their labels: what has a point's own label is not searched for it. Points come sorted by label."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.levels = [(points, sizes, labels, labels)]
-        width = LEAF
+    """An R-tree over the points of a chunk, of which only upper bounds matter. Its nodes also have the least size of the sets
+    below and the range of their labels."""
+
+    def __init__(self, chunk: blocks.Chunk):
+        self.chunk = chunk
+        self.points = points_of(chunk.shingles, chunk.begin)
+        self.order = np.lexsort((chunk.sizes, chunk.root))
+        self.levels, width = [(self.points[self.order], chunk.sizes[self.order])], LEAF
         while len(self.levels) == 1 or len(self.levels[-1][0]) > FANOUT:
             at = np.arange(0, len(self.levels[-1][0]), width)
-            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.minimum, np.maximum), self.levels[-1], strict=True)))
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum), self.levels[-1], strict=True)))
+            width = FANOUT
+        self.updated()
+
+    def updated(self) -> None:
+        """Labels of all nodes, by what is connected now."""
+        root = self.chunk.root[self.order]
+        self.labels, width = [(root, root)], LEAF
+        for points, _ in self.levels[1:]:
+            at = np.arange(0, len(self.labels[-1][0]), width)
+            self.labels.append((np.minimum.reduceat(self.labels[-1][0], at), np.maximum.reduceat(self.labels[-1][1], at)))
             width = FANOUT
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Query and point of every pair, of different labels, that may link."""
+    def search(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both sets of every pair, of different labels, that may link."""
         n = len(self.levels[-1][0])
-        query, node = np.repeat(np.arange(len(points)), n), np.tile(np.arange(n), len(points))
+        query, node = np.repeat(asking, n), np.tile(np.arange(n), len(asking))
         for depth in range(len(self.levels) - 1, -1, -1):
-            query, node = self._kept(points, sizes, labels, query, node, *self.levels[depth])
+            query, node = self._kept(query, node, *self.levels[depth], *self.labels[depth])
             if depth:
                 width = LEAF if depth == 1 else FANOUT
                 child = (node[:, None] * width + np.arange(width)).ravel()
                 real = child < len(self.levels[depth - 1][0])
                 query, node = np.repeat(query, width)[real], child[real]
-        return query, node
+        return query, self.order[node]
 
-    @staticmethod
-    def _kept(points, sizes, labels, query, node, high, low, first, last, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-        other = (first[node] != labels[query]) | (last[node] != labels[query])
+    def _kept(self, query, node, high, low, first, last, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        root, sizes = self.chunk.root, self.chunk.sizes
+        other = (first[node] != root[query]) | (last[node] != root[query])
         query, node = query[other], node[other]
         keep = np.zeros(len(query), bool)
         for i in range(0, len(query), step):
             q, k = query[i : i + step], node[i : i + step]
-            most = np.minimum(points[q], high[k]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(self.points[q], high[k]).sum(axis=1, dtype=np.int64)
             # 100 c >= P (a + b - c) for c shared, with the least b below the node that can link with a at all
             least = np.maximum(low[k], -(-PERCENT * sizes[q] // 100))
             keep[i : i + step] = (100 + PERCENT) * most >= PERCENT * (sizes[q] + least)
@@ -174,137 +116,18 @@ def points_of(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.bincount(cells, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
 
 
-def chunk_links(labels: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, begin: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect all that links between the sets `first` and the sets `second` connect (either may be all).
-
-    labels: of what is connected already; sizes: of whole sets, of which shingles has those that others share, sorted.
-    """
-    points = points_of(shingles, begin)
-    _, root = np.unique(labels, return_inverse=True)
-    found = []
-    for i in range(0, len(first), BATCH):
-        asking = first[i : i + BATCH]
-        among = second[np.lexsort((sizes[second], root[second]))]
-        q, k = CountTree(points[among], sizes[among], root[among]).search(points[asking], sizes[asking], root[asking])
-        for a, b in zip(asking[q].tolist(), among[k].tolist(), strict=True):
-            if root[a] != root[b]:
-                x, y = shingles[begin[a] : begin[a + 1]], shingles[begin[b] : begin[b + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PERCENT * (sizes[a] + sizes[b] - common):
-                    root[root == root[b]] = root[a]
-                    found.append((a, b))
-    return found
-
-
-def _linked(rows: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Links (a, b) of chunks: rows (block, c1, c2, chunk, class, label, n, m); within c1, or between c1 and c2."""
-    weight = rows.agg(F.sum(F.col("m") + SET_COST)).first()[0] or 0
-    tasks = max(1, weight // TASK)
-    keyed = rows.join(shingles, "class").withColumn("task", F.pmod(F.xxhash64("block", "c1", "c2"), F.lit(tasks)).cast("int")).repartition(tasks, "task")
-
-    def search(task: pa.Table) -> pa.Table:
-        block, c1, c2, chunk, classes, labels, sizes = (task.column(c).to_numpy() for c in ("block", "c1", "c2", "chunk", "class", "label", "n"))
-        lists = task.column("shingles").combine_chunks()
-        values, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
-        order = np.lexsort((classes, c2, c1, block))
-        change = np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)) + 1
-        a, b = [], []
-        for own in np.split(order, change) if len(order) else []:
-            shingles = np.concatenate([values[ends[i] : ends[i + 1]] for i in own])
-            begin = np.append(0, np.cumsum(ends[own + 1] - ends[own]))
-            first, second = np.flatnonzero(chunk[own] == c1[own[0]]), np.flatnonzero(chunk[own] == c2[own[0]])
-            for x, y in chunk_links(labels[own], sizes[own], shingles, begin, first, second):
-                a.append(classes[own[x]])
-                b.append(classes[own[y]])
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return keyed.groupBy("task").applyInArrow(search, "a long, b long").distinct()
-
-
-# --- the join ----------------------------------------------------------------------------------------------------
-def _chunks(members: DataFrame) -> DataFrame:
-    """members (block, class, n, m, ...) with a chunk: stretches by size of about CHUNK shingles. Sets of one size are spread over
-    the stretch they take by a hash, so that only sizes are added up, not members."""
-    weights = members.groupBy("block", "n").agg(F.sum(F.col("m") + SET_COST).alias("own"))
-    before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = weights.withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0)))
-    spread = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / (1 << 20)
-    return members.join(placed, ["block", "n"]).withColumn("chunk", ((F.col("before") + F.col("own") * spread) / CHUNK).cast("int"))
-
-
-def class_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between classes, from sets (class, n, shingles), that connect all that are linked."""
-    m, needed = F.size("shingles"), F.expr(f"cast(div({PERCENT} * n + 99, 100) as int)")
-    prefix = sets.select("class", "n", F.explode(F.slice("shingles", F.lit(1), F.greatest(m - needed + 1, F.lit(0)))).alias("token"))
-    pivots = prefix.groupBy("token").agg(F.min(F.struct("n", "class")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    pairs = prefix.join(pivots, "token").groupBy(F.col("pivot.class").alias("block"), "class").agg(F.count("*").alias("tokens"))
-    members = cut(pairs.join(sets.select("class", "n", m.alias("m")), "class"))
-    shingles = sets.select("class", "shingles")
-
-    # First each class in one block, that with which it shares most, and with that block's pivot.
-    best = members.filter("class != block").groupBy("class").agg(F.max(F.struct("tokens", "block", "n", "m")).alias("x")).select(F.col("x.block").alias("block"), "class", "x.n", "x.m")
-    own = cut(_chunks(best).select("block", "class", "n", "m", "chunk"))
-    pivots = own.select("block", "chunk").distinct().join(sets.select(F.col("class").alias("block"), "n", m.alias("m")), "block")
-    pivot_too = pivots.select("block", F.col("block").alias("class"), "n", "m", "chunk")
-    within = own.unionByName(pivot_too).withColumns({"c1": F.col("chunk"), "c2": F.col("chunk"), "label": F.col("class")})
-    links = cut(_linked(within, shingles))
-
-    # Then whole blocks, where classes are still apart.
-    labels = connected_components(links).withColumnRenamed("node", "class")
-    labelled = members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    apart = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("block")
-    large = cut(_chunks(labelled.join(apart, "block", "left_semi")).select("block", "class", "label", "n", "m", "chunk"))
-    ranges = large.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    other = ranges.select("block", F.col("chunk").alias("c2"), F.col("low").alias("low2"), F.col("l1").alias("l3"), F.col("l2").alias("l4"))
-    several = (F.col("l1") != F.col("l2")) | (F.col("l3") != F.col("l4")) | (F.col("l1") != F.col("l3"))
-    meet = ranges.join(other, "block").filter((F.col("chunk") <= F.col("c2")) & (100 * F.col("high") >= PERCENT * F.col("low2")) & several).select("block", F.col("chunk").alias("c1"), "c2")
-    sides = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("c1", "c2"))))
-    return links.unionByName(_linked(large.join(sides, ["block", "chunk"]), shingles))
-
-
-def _least(rows: DataFrame) -> DataFrame:
-    """class and least (none, doc_id, class, mark), the least row of its component, of rows of shingle_sets(). Null ids come last."""
-    able = rows.filter(F.col("class").isNotNull())
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "mark")
-    sets = written(able.groupBy("class").agg(F.min(key).alias("least"), F.min("n_shingles").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")))
-    found = connected_components(class_links(sets.select("class", "n", "shingles"))).withColumnRenamed("node", "class")
-    of_class = sets.select("class", "least").join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = of_class.groupBy("label").agg(F.min("least").alias("least"))
-    return of_class.select("class", "label").join(least, "label").select("class", "least")
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    return blocks.shingle_sets(docs, _every, _tell)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each of docs."""
-    rows = written(shingle_sets(docs))
-    of_class = _least(rows).select("class", F.col("least.doc_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return blocks.similar_components(shingle_sets(docs), PERCENT, CountTree)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are not the least of their component (null ids last), whatever other rows have their id.
-
-    Rows with one id (or none) and one text are one row repeated, of which the least stays; but texts without words have no links,
-    and those without an id stay too.
-    """
-    rows = written(shingle_sets(docs))
-    keys = rows.select("doc_id", "mark", "class").join(_least(rows), "class")
-    gone = cut(keys.filter(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")))).select("doc_id", "mark").distinct())
-    able = rows.filter(F.col("class").isNotNull() | ((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()))
-    counts = able.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1")
-    again = cut(_of(counts, counts["mark"], gone, "left_anti").select("doc_id", "mark"))
-    kept = _of(docs, _mark(docs), small(gone), "left_anti")
-    if again.isEmpty():
-        return kept
-    again = small(again)
-    fields = F.struct(*(docs[quoted(c)] for c in docs.columns))
-    repeated = _of(kept, _mark(kept), again, "left_semi")
-    single = repeated.groupBy(repeated["doc_id"].alias("id"), _mark(repeated).alias("mark")).agg(F.min_by(fields, F.to_json(fields)).alias("least"))
-    return _of(kept, _mark(kept), again, "left_anti").unionByName(single.select("least.*"))
-
-
-def _of(rows: DataFrame, mark: Column, keys: DataFrame, how: str) -> DataFrame:
-    """A semi or anti join of rows with keys (doc_id, mark), with null ids as one."""
-    return rows.join(keys, (mark == keys["mark"]) & rows["doc_id"].cast("long").eqNullSafe(keys["doc_id"]), how)
+    """docs without the rows that are not the least of their component: see blocks.keep_one_of_each()."""
+    return blocks.keep_one_of_each(docs, shingle_sets(docs), PERCENT, CountTree)
 
 
 #: A shingle's words are joined by one blank: no word contains one.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrook.llm import bpe, chat_template, decontaminate, jaccard_join, lang_id, licenses, media, quality, sharding, substring_dedup
+from tallyrook.llm import bag_search, bottom_k, bpe, chat_template, decontaminate, jaccard_join, lang_id, licenses, media, periodic_runs, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,14 +62,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), *ranks())
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_media_columns, op3_decontamination, op4_chat_format, op5_language_id, op6_jaccard_join, op7_substring_dedup, op8_sharding, op9_license_scan, op10_byte_bpe)
-}
+    for f in (
+        op1_quality_rules, op2_media_columns, op3_decontamination, op4_chat_format, op5_language_id, op6_jaccard_join, op7_substring_dedup,
+        op8_sharding, op9_license_scan, op10_byte_bpe, op11_minhash_dedup, op12_bag_search, op13_periodic_runs,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontaminate.CONTAMINATION_SQL,
     "op4_chat_format": chat_template.CONVERSATION_SQL,
     "op6_jaccard_join": jaccard_join.COMPONENTS_SQL,
     "op7_substring_dedup": substring_dedup.REPEATS_SQL,
     "op9_license_scan": licenses.LICENSE_SQL,
+    "op11_minhash_dedup": bottom_k.NEAR_COPIES_SQL,
+    "op12_bag_search": bag_search.RANKED_SQL,
+    "op13_periodic_runs": periodic_runs.RUNS_SQL,
 }

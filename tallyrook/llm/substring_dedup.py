@@ -64,7 +64,7 @@ class _Part:
         h, inside = w.windows(self.words, WINDOW)
         span = WINDOW - BLOCK + 1
         self.windows = np.flatnonzero(inside & (anchors[span : span + len(h)] > anchors[: len(h)]))
-        other = w.rolled(w.mix(self.words.hash ^ _OTHER_STEP), WINDOW, _OTHER_STEP)[self.windows]
+        other = w.rolled(self.words.other, WINDOW, _OTHER_STEP)[self.windows]
         self.found = r.Runs.of(h[self.windows], other)
         self.other = self.found.first(other)
         self.own = self.found.each(np.minimum, self.ids[self.rows[self.windows]])

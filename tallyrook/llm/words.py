@@ -1,9 +1,10 @@
 """Words of whole Arrow string columns as 64-bit hashes, without a Python loop over words.
 
-Both word patterns of the library break at ASCII bytes only, so they can be applied to UTF-8 bytes. A word's hash is
-a polynomial over a random table of its bytes, read off one running sum per slice of the column; that of a word of more than
-LONG bytes is cut from a digest of them instead, since polynomials modulo 2 ** 64 coincide for some long words whatever
-the table. A hash depends on the bytes alone, so equal words have equal hashes in every task.
+Both word patterns of the library break at ASCII bytes only, so they can be applied to UTF-8 bytes. A word has two hashes that
+depend on its bytes alone, so equal words have equal hashes in every task. Up to SHORT bytes they are the halves of a
+128-bit number, the bytes and their count, after rounds of mixing and with that number added, so that they can't be turned
+round; beyond, the halves of a 128-bit digest. Both are 128 bits of which no part is a sum over bytes: words that share them are not to be found.
+Hashes of runs of words are folded, not added up, for the same reason.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = _U(0xD6E8FEB86659FD93)
-_BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Bytes of a slice; the longest words whose hash is a polynomial.
-SLICE, LONG = 1 << 18, 64
+#: Bytes of a slice; bytes of a word that are mixed and not digested.
+SLICE, SHORT = 1 << 18, 15
+_ROUNDS = np.arange(1, 5, dtype=np.uint64) * _STEP
+#: Of 0 to SHORT bytes, those that lie in the first and in the second eight of a word.
+_FIRST = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)], np.uint64)
+_SECOND = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)], np.uint64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,20 +40,6 @@ def _breaks(ranges: list[tuple[int, int]]) -> np.ndarray:
 SPACE = _breaks([(0x20, 0x20), (0x09, 0x0D)])
 ALNUM = _breaks([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, SLICE + 1)
-        for key, base in (("p", _BASE), ("i", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"][:n], _powers["i"][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads differences over all 64 bits."""
     h = h ^ (h >> _U(33))
@@ -65,9 +52,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of a column: hash of each, its byte range in data, and first[i]:first[i + 1], those of row i."""
+    """Words of a column: two hashes of each, its byte range in data, and first[i]:first[i + 1], those of row i."""
 
     hash: np.ndarray
+    other: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
@@ -123,20 +111,37 @@ def split(column: pa.Array | pa.ChunkedArray, between: np.ndarray, lower: bool)
         before[heads] = True
         after[heads[heads > 0] - 1] = True
         s, e = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
-        up, down = _pow(len(x) + 1)
-        total = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_BYTES[x] * up[:-1], out=total[1:])
-        own = mix((total[e] - total[s]) * down[s])
-        for i in np.flatnonzero(e - s > LONG).tolist():
-            own[i] = int.from_bytes(hashlib.blake2b(x[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
-        hashes.append(own)
+        hashes.append(_hashes(x, s, e))
         starts.append(s + begin)
         ends.append(e + begin)
         begin = stop
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     start = join(starts, np.int64)
-    first = np.searchsorted(start, at, "left")
-    return Words(join(hashes, np.uint64), start, join(ends, np.int64), first, data)
+    both = np.concatenate(hashes, axis=1) if hashes else np.zeros((2, 0), np.uint64)
+    return Words(both[0], both[1], start, join(ends, np.int64), np.searchsorted(start, at, "left"), data)
+
+
+def _hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Both hashes of the words of the bytes x."""
+    padded = np.zeros(len(x) + 16, np.uint8)
+    padded[: len(x)] = x
+    eight = np.ndarray((len(x) + 9,), "<u8", padded, strides=(1,))
+    size = np.minimum(end - start, SHORT)
+    a = eight[start] & _FIRST[size]
+    b = (eight[start + 8] & _SECOND[size]) | (size.astype(np.uint64) << _U(56))
+    first, second = a, b
+    for key in _ROUNDS:
+        a, b = b, a ^ mix(b + key)
+    out = np.stack([a ^ first, b ^ second])
+    long = np.flatnonzero(end - start > SHORT)
+    if len(long):
+        letters, known = x.tobytes(), {}
+        for i, s, e in zip(long.tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+            word = letters[s:e]
+            if word not in known:
+                known[word] = np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), np.uint64)
+            out[:, i] = known[word]
+    return out
 
 
 def _cut(data: np.ndarray, at: np.ndarray, begin: int, between: np.ndarray, lower: bool) -> int:
@@ -186,21 +191,27 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rolled(words.hash, k), rows[:n] == rows[k - 1 :] if n else np.zeros(0, bool)
 
 
+def folded(x: np.ndarray, y: np.ndarray, step: np.uint64) -> np.ndarray:
+    """A hash of each x followed by y. The inner mixing has both, so that it isn't a sum of what each gives."""
+    return mix(mix(x * step + y) + x)
+
+
 def rolled(hashes: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
-    """Hashes of all runs of k; another step gives independent ones."""
+    """Hashes of all runs of k, folded from runs of powers of two; another step gives others."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = hashes[k - 1 : k - 1 + n].copy()
-    for j in range(k - 2, -1, -1):
-        h *= step
-        h += hashes[j : j + n]
-    return mix(h + _U(k))
+    block, size, at, out = hashes, 1, 0, None
+    while True:
+        if k & size:
+            piece = block[at : at + n]
+            out = piece if out is None else folded(out, piece, step)
+            at += size
+        if 2 * size > k:
+            return mix(out + _U(k))
+        block, size = folded(block[:-size], block[size:], step), 2 * size
 
 
 def sequence(hashes: np.ndarray) -> int:
     """The hash of one whole sequence, as windows() has it for its length."""
-    h = 0
-    for x in hashes[::-1].tolist():
-        h = (h * int(_STEP) + x) & _MASK
-    return int(mix(np.array([(h + len(hashes)) & _MASK], np.uint64))[0])
+    return int(rolled(hashes, len(hashes))[0])

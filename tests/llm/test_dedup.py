@@ -5,9 +5,12 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyrook.llm import jaccard_join, registry, repeats, substring_dedup
+from tallyrook.llm import blocks, bottom_k, jaccard_join, registry, repeats, substring_dedup
+from tallyrook.llm.words import SPACE as SPACES
+from tallyrook.llm.words import rolled, sequence, split
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part string, class string, n_words string"
@@ -68,7 +71,7 @@ def lower(x):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in x or "")
 
 
-def components(rows):
+def components(rows, percent=75):
     sets = []
     for r in rows:
         ws = SPACE.findall(lower(r[1]))
@@ -82,7 +85,7 @@ def components(rows):
 
     for i, j in itertools.combinations(range(len(rows)), 2):
         both = len(sets[i] & sets[j])
-        if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+        if both and 100 * both >= percent * len(sets[i] | sets[j]):
             parent[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):
@@ -112,9 +115,9 @@ def test_no_documents(spark):
     assert jaccard_join.keep_one_of_each(none).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [6000, jaccard_join.CHUNK])
+@pytest.mark.parametrize("chunk", [6000, blocks.CHUNK])
 def test_components(spark, monkeypatch, chunk):
-    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
     rows = [*ROWS, ROWS[11], (None, ROWS[12][1], *ROWS[12][2:]), (None, "alone and without an id here", *ROWS[12][2:])]
     found = jaccard_join.similar_components(spark.createDataFrame(rows, SCHEMA))
     assert sorted(map(tuple, found.collect()), key=repr) == components(rows)
@@ -139,46 +142,122 @@ def test_one_of_each_stays_by_row(spark):
         assert {r.source for r in kept if r.text in (two, five)} == {"s1", "s7"}
 
 
-def test_tree_loses_no_pair():
-    for trial in range(20):
-        n = 300
-        centres = rng.integers(0, 4, (6, 32))
-        points = np.maximum(centres[rng.integers(0, 6, n)] + rng.integers(-1, 2, (n, 32)), 0).astype(np.int32)
-        sizes, labels = points.sum(axis=1).astype(np.int64), np.sort(rng.integers(0, 5 if trial % 2 else 300, n))
-        q, k = jaccard_join.CountTree(points, sizes, labels).search(points, sizes, labels)
-        found = set(zip(q.tolist(), k.tolist(), strict=True))
-        for i, j in itertools.permutations(range(n), 2):
-            bound = int(np.minimum(points[i], points[j]).sum())
-            links = labels[i] != labels[j] and 100 * bound >= 75 * (sizes[i] + sizes[j] - bound)
-            assert not links or (i, j) in found
-        assert all(labels[i] != labels[j] for i, j in found)
+@pytest.mark.parametrize("chunk", [6000, blocks.CHUNK])
+def test_near_copies(spark, monkeypatch, chunk):
+    """Links at 0.85 of whole sets, of texts within a sketch and far beyond it."""
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    long = text(900, 10**6)
+    more = [(2000 + i, edited(long, int(k)), *ROWS[0][2:]) for i, k in enumerate(rng.integers(1, 40, 40))]
+    rows = [*ROWS, ROWS[11], (None, ROWS[12][1], *ROWS[12][2:]), (None, "alone and without an id here", *ROWS[12][2:]), *more]
+    found = bottom_k.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == components(rows, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert bottom_k.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_chunk_links_connect_what_links_connect():
+#: Words that a polynomial modulo 2 ** 64 takes as equal.
+ALIKE = ("cccxcxccxccccxxxccccccxccccxcxxxcxccxcccxxxccxxcccxcxcxccxxcccxc", "cxxcccxccxcccxxcccxxcccccxxcccxcccxccxcxcccccxcccxcxcccccxcccxxc")
+
+
+def test_words_alike(spark):
+    """Other words are other words, in operators and stages."""
+    import corpus_pipeline
+
+    tail = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"{x} {tail}", "en", "s", 0) for i, x in enumerate(ALIKE)] + [(i + 2, f"{x} a b c d", "en", "s", 0) for i, x in enumerate(ALIKE)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.n_removed for r in substring_dedup.repeat_digests(docs).collect()} == {0}
+    few = docs.filter("doc_id > 1")
+    for found in (jaccard_join.similar_components(few), bottom_k.near_copies(few)):
+        assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(2, 2), (3, 3)]
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["near_copies"](spark, few, "").count() == 2
+    assert sorted(r.text for r in stages["repeats"](spark, docs, "").collect()) == sorted(r.text for r in docs.collect())
+
+
+def test_hashes_tell_words_apart():
+    words = [bytes(rng.integers(97, 100, n, dtype=np.uint8)).decode() for n in rng.integers(1, 40, 20_000)] + [*ALIKE, "a", "a\x00", "é", "É", "a" * 15, "a" * 16]
+    found = split(pa.array([" ".join(words[i::7]) for i in range(7)]), SPACES, lower=False)
+    spelled = [found.text(i) for i in range(len(found.hash))]
+    for hashes in (found.hash, found.other):
+        assert len({*zip(spelled, hashes.tolist(), strict=True)}) == len({*hashes.tolist()}) == len({*spelled})
+    runs = rolled(found.hash, 13)
+    assert all(sequence(found.hash[i : i + 13]) == runs[i] for i in range(0, 1000, 97))
+
+
+def test_classes_that_share_a_hash(spark, monkeypatch):
+    """Sets whose first hashes are equal are of two classes, by the second."""
+    plain = blocks.ShingleSets.classes
+    monkeypatch.setattr(blocks.ShingleSets, "classes", lambda sets: (np.ones(len(sets.size), np.int64), plain(sets)[1]))
+    rows = ROWS[:20]
+    assert sorted(map(tuple, jaccard_join.similar_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr) == components(rows)
+
+
+def chunk_of(sets, root, percent=75):
+    begin = np.append(0, np.cumsum([len(x) for x in sets]))
+    return blocks.Chunk(np.diff(begin), np.concatenate(sets), begin, root.copy(), percent)
+
+
+def families(n, most=61):
+    base = [rng.choice(2**40, 60, replace=False) for _ in range(3)]
+    sets = []
+    for _ in range(n):
+        own = set(rng.permutation(base[rng.integers(0, 3)])[: rng.integers(45, most)].tolist())
+        sets.append(np.array(sorted(own | set(rng.integers(0, 2**40, rng.integers(0, 12)).tolist()))))
+    return sets
+
+
+def alike(a, b, percent=75):
+    return 100 * len(set(a.tolist()) & set(b.tolist())) >= percent * len(set(a.tolist()) | set(b.tolist()))
+
+
+@pytest.mark.parametrize(("finder", "percent"), [(jaccard_join.CountTree, 75), (bottom_k.InvertedLists, 85)])
+def test_search_loses_no_pair(finder, percent):
+    for trial in range(6):
+        sets = families(200)
+        chunk = chunk_of(sets, np.sort(rng.integers(0, 5 if trial % 2 else 200, 200)), percent)
+        index = finder(chunk)
+        for _ in range(2):
+            a, b = index.search(np.arange(200))
+            found = set(zip(a.tolist(), b.tolist(), strict=True))
+            assert all(chunk.root[i] != chunk.root[j] for i, j in found)
+            for i, j in itertools.permutations(range(200), 2):
+                assert chunk.root[i] == chunk.root[j] or not alike(sets[i], sets[j], percent) or (i, j) in found
+            chunk.join(3, 150)
+            index.updated()
+
+
+@pytest.mark.parametrize(("finder", "percent"), [(jaccard_join.CountTree, 75), (bottom_k.InvertedLists, 85)])
+def test_chunk_links_connect_what_links_connect(finder, percent):
     for trial in range(15):
-        base = [rng.choice(2**40, 60, replace=False) for _ in range(3)]
-        sets = []
-        for _ in range(150):
-            own = set(rng.permutation(base[rng.integers(0, 3)])[: rng.integers(45, 61)].tolist())
-            sets.append(np.array(sorted(own | set(rng.integers(0, 2**40, rng.integers(0, 12)).tolist()))))
-        begin = np.append(0, np.cumsum([len(x) for x in sets]))
-        sizes, labels = np.diff(begin), np.arange(150) if trial % 2 else np.arange(150) // 2
-        half = (np.arange(75), np.arange(75, 150)) if trial % 3 else (np.arange(150), np.arange(150))
-        got = jaccard_join.chunk_links(labels, sizes, np.concatenate(sets), begin, *half)
+        sets = families(150)
+        root = np.arange(150) if trial % 2 else np.arange(150) // 2
+        left = np.arange(150) < 75 if trial % 3 else np.ones(150, bool)
+        right = ~left if trial % 3 else left
+        got = blocks.chunk_links(chunk_of(sets, root, percent), left, right, finder)
 
         def roots(links):
-            root = labels.copy()
+            out = root.copy()
             for a, b in links:
-                root[root == root[b]] = root[a]
-            return [np.flatnonzero(root == root[i])[0] for i in range(150)]
+                out[out == out[b]] = out[a]
+            return [np.flatnonzero(out == out[i])[0] for i in range(150)]
 
-        alike = lambda a, b: 100 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 75 * len(set(sets[a].tolist()) | set(sets[b].tolist()))
-        every = [(a, b) for a in half[0].tolist() for b in half[1].tolist() if a != b and alike(a, b)]
+        every = [(a, b) for a in np.flatnonzero(left).tolist() for b in np.flatnonzero(right).tolist() if a != b and alike(sets[a], sets[b], percent)]
         assert set(got) <= set(every) | {(b, a) for a, b in every} and len(got) < 150
         assert roots(got) == roots(every)
 
 
-@pytest.mark.parametrize("name", ["op6_jaccard_join", "op7_substring_dedup"])
+def test_union_sketch_estimates():
+    """Sketches of large sets: of their union's least K values, the share that both have."""
+    values = rng.choice(2**62, 4000, replace=False)
+    sets = [np.sort(values[:2000]), np.sort(np.append(values[:1500], values[2000:2500])), np.sort(values[1900:3900])]
+    index = bottom_k.InvertedLists(chunk_of(sets, np.arange(3), 85))
+    for x, y in itertools.permutations(range(3), 2):
+        union = sorted({*sets[x].tolist(), *sets[y].tolist()})[: bottom_k.K]
+        share = sum(v in sets[x] and v in sets[y] for v in union)
+        assert index.alike(x, y) == (100 * share >= bottom_k.NEEDED * bottom_k.K)
+
+
+@pytest.mark.parametrize("name", ["op6_jaccard_join", "op7_substring_dedup", "op11_minhash_dedup"])
 def test_sql(spark, sf_dir, oracle, name):
     found = registry.QUERIES[name](spark, sf_dir)
     assert sorted(map(tuple, found.collect()), key=repr) == oracle(registry.ORACLE_SQL[name], sf_dir, found.columns)
