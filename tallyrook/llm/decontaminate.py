@@ -9,8 +9,10 @@ shingles meet, lies within the document), the comparison of the words' hashes, a
 
 The benchmark is taken in blocks of windows, each with a bounded index that is broadcast; beyond one block the
 documents are passed through the blocks in turn, twice each. So the result does not depend on the bound, and nothing is
-shuffled but counts of benchmark shingles. Windows are dealt to blocks with their item, so that one that many items share
-fills no block. A passage that a third of all documents share costs no more than its places.
+shuffled but counts of benchmark shingles. Equal windows are one, with the list of its items: however many share it, a place in
+a text is compared with it once, and the lists of what a text has are united once for all texts that have the same. A window of very many
+items is dealt to blocks with parts of its list. A passage that a third of all documents share costs no more than its places.
+A very long text is held by its task as a whole, with some forty bytes a word.
 
 Null texts have no words and, as items, no windows; items without words have none; repeated items and documents are
 matched each; an empty benchmark hits nothing; an empty table of documents gives an empty table; extra columns of any name
@@ -31,8 +33,8 @@ from tallyrook.llm import words as w
 from tallyrook.llm.shared import bundled, cut, unbundled, with_new
 
 WINDOW, SHINGLE = 10, 3
-#: Windows of a block: its index holds about 250 bytes for each.
-BLOCK = 200_000
+#: Windows of a block: its index holds about 250 bytes for each, and for each ITEMS items of them; items in the list of a window, about.
+BLOCK, ITEMS, LISTED = 200_000, 4, 100_000
 NEW = ("n_words", "spans", "items")
 
 
@@ -58,6 +60,14 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).mapInArrow(run, "item string, words array<long>, shingles array<long>, wording binary")
 
 
+def _distinct(windows: DataFrame) -> tuple[DataFrame, int]:
+    """Different windows with their items (a part of them, where they are very many), and how large they are, as windows without."""
+    pairs = windows.count()
+    part = F.pmod(F.xxhash64("item"), F.lit(max(1, pairs // LISTED)))
+    found = cut(windows.groupBy("words", "shingles", "wording", part.alias("part")).agg(F.collect_set("item").alias("items")))
+    return found, found.count() + pairs // ITEMS
+
+
 def _places(found: w.Words, sizes: tuple[int, ...], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the column has wanted shingles (first word of each), and which of the sorted wanted ones."""
     at, which = [], []
@@ -121,8 +131,9 @@ class _Index:
         for j in range(WINDOW):
             has = self.size > j
             self.words[has, j] = words[begin[kept[has]] + j]
-        items, wordings = windows["item"].to_pylist(), windows["wording"].to_pylist()
-        self.items, self.wording = [items[i] for i in kept.tolist()], [wordings[i] for i in kept.tolist()]
+        known: dict[str, str] = {}
+        items, wordings = windows["items"].to_pylist(), windows["wording"].to_pylist()
+        self.items, self.wording = [[known.setdefault(x, x) for x in items[i]] for i in kept.tolist()], [wordings[i] for i in kept.tolist()]
 
     def find(self, found: w.Words, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of every occurrence in the column."""
@@ -153,12 +164,23 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def _united(before: pa.Array, row: np.ndarray, entry: np.ndarray, items: list[list[str]]) -> pa.Array:
+    """The items of each row: those before, and those of its entries; made once for all rows that have the same."""
+    own: list[set] = [set() for _ in range(len(before))]
+    for r, e in zip(row.tolist(), entry.tolist(), strict=True):
+        own[r].add(e)
+    places: dict[tuple, int] = {}
+    which = [places.setdefault((frozenset(x), tuple(old)), len(places)) for x, old in zip(own, before.to_pylist(), strict=True)]
+    united = [sorted({*old, *(i for e in entries for i in items[e])}) for entries, old in places]
+    return pa.array(united, pa.list_(pa.string())).take(pa.array(which))
+
+
 def _overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """Of bundled documents: doc_id, text, row and NEW."""
-    windows = cut(benchmark_windows(benchmark))
-    blocks = max(1, -(-windows.count() // block))
+    windows, size = _distinct(benchmark_windows(benchmark))
+    blocks = max(1, -(-size // block))
     if blocks > 1:
-        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks))))
+        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("words", "part"), F.lit(blocks))))
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
     for b in range(blocks):
         held = (windows.filter(F.col("block") == b) if blocks > 1 else windows).toArrow()  # about `block` of them
@@ -179,17 +201,15 @@ def _pass(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
             found = w.split(batch.column("text"), w.ALNUM, lower=True)
             begin, entry = index.value.find(found, sizes)
             row = np.searchsorted(found.first, begin, "right") - 1
-            new: dict[int, tuple[list, set]] = {}
-            for r, a, e in zip(row.tolist(), (begin - found.first[row]).tolist(), entry.tolist(), strict=True):
-                spans, items = new.setdefault(r, ([], set()))
-                spans.append((a, a + int(index.value.size[e])))
-                items.add(index.value.items[e])
             columns = {c: batch.column(c) for c in names}
-            spans, items = columns["spans"].to_pylist(), columns["items"].to_pylist()
-            for r, (more, also) in new.items():
-                spans[r] = _merge(more + list(zip(spans[r][::2], spans[r][1::2], strict=True)))
-                items[r] = sorted({x for x in also if x is not None} | set(items[r]))
-            columns |= {"n_words": pa.array(np.diff(found.first), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+            columns["n_words"] = pa.array(np.diff(found.first), pa.int64())
+            if len(begin):
+                spans: list[list] = [[] for _ in range(batch.num_rows)]
+                for r, a, n in zip(row.tolist(), (begin - found.first[row]).tolist(), index.value.size[entry].tolist(), strict=True):
+                    spans[r].append((a, a + n))
+                before = columns["spans"].to_pylist()
+                spans = [_merge(own + list(zip(old[::2], old[1::2], strict=True))) for own, old in zip(spans, before, strict=True)]
+                columns |= {"spans": pa.array(spans, pa.list_(pa.int64())), "items": _united(columns["items"], row, entry, index.value.items)}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return docs.mapInArrow(run, schema)

@@ -2,20 +2,21 @@
 
 One model a language, over lower-cased letters with each run of other characters as one blank. N-grams are counted on Spark
 over all learnable documents (repeated rows as often as they stand), but for one in five that is kept for calibration; so are
-the lower orders' numbers of different continuations, and the totals of contexts. Only what a task can hold goes into a
-model: of each order the most frequent n-grams, CELLS / languages of them at most. What is beyond is folded exactly into the
-weights of the contexts, so that probabilities still sum to one. For every order the models share one
-sorted array of hashed n-grams, with a row of log probabilities, one a language, already interpolated down to the
-letters; and one of hashed contexts with their back-off weights for n-grams that no language has. A text is scored by
-binary search, slice by slice, and goes to the language with the lowest cross-entropy per character.
+the lower orders' numbers of different continuations, and the totals of contexts. A model is a language's own: for every
+order a sorted array of its hashed n-grams with log probabilities, interpolated down to the letters, and one of its hashed contexts with
+back-off weights. Only what a task can hold goes into models: of each order a language's most frequent n-grams, CELLS / languages of
+them at most, whatever the sizes of other languages. What is beyond is folded exactly into the weights of the contexts, so that
+probabilities still sum to one; languages share nothing but the number of different letters. A text is scored by binary search of its
+different n-grams in each model, slice by slice, and goes to the language with the lowest cross-entropy per character.
 
 Rejection is calibrated on all kept documents: they say what cross-entropy a language's own texts have, how far they
 stray with their length, and what the same letters have in random order. A text is rejected where it lies, beyond
 straying, nearer to random letters than to the language. A language of fewer than FEW * FOLDS documents is learned from all of
-them and calibrated on all, each scored by models that were learned without its fifth, and strays as far as all languages
-together at least. A language of a single document has nothing kept: what is as random as its letters in random order is rejected.
+them and calibrated on all, each scored by models that were learned without its fifth (counted and bounded like any other), and
+strays as far as all languages together at least. A language of a single document has nothing kept: what is as random as its
+letters in random order is rejected.
 
-Null texts and those without a letter: `und`, score 0, rejected. Ties go to the first language in sorted order. With
+A very long text is scored in slices of SLICE characters. Null texts and those without a letter: `und`, score 0, rejected. Ties go to the first language in sorted order. With
 nothing to learn from, all is `und`. Repeated rows are scored each; an empty table gives an empty table; extra columns of any
 name stay in keep_identified() and identify() (where the new ones replace any of the same name) and are ignored in the digests.
 """
@@ -32,13 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+from pyspark.sql.window import Window
 
 from tallyrook.llm.shared import bundled, cut, unbundled, with_new, written
 from tallyrook.llm.words import mix, slices
 
 ORDER = 4
-#: Of each order, n-grams times languages that models hold at most; n-grams that a task holds before it hands on counts.
-CELLS, PENDING = 4_000_000, 2_000_000
+#: Of each order, n-grams that the models hold together at most; n-grams that a task holds before it hands on counts.
+CELLS, PENDING = 2_000_000, 2_000_000
 NEW = ("lang_pred", "score", "rejected", "cross_entropy")
 UNKNOWN = "und"
 #: Characters of a slice; a 16-bit code of the blank, and of letters beyond those codes.
@@ -104,7 +106,7 @@ def ngrams(codes: np.ndarray, rows: np.ndarray, order: int = ORDER) -> tuple[np.
 
 @dataclass
 class Level:
-    """n-grams of one order, sorted by hash, with log2 probabilities; contexts, sorted by hash, with log2 weights."""
+    """A language's n-grams of one order, sorted by hash, with log2 probabilities; contexts, sorted by hash, with log2 weights."""
 
     grams: np.ndarray
     prob: np.ndarray
@@ -112,40 +114,43 @@ class Level:
     weight: np.ndarray
 
 
+def log_prob(levels: list[Level], packed: np.ndarray, order: int) -> np.ndarray:
+    """log2 of a language's probability of the last character after the others. An n-gram of order 1 that it has not is an unknown character."""
+    level = levels[order - 1]
+    at, found = _find(level.grams, mix(packed))
+    out = np.where(found, level.prob[at] if len(level.prob) else 0, level.weight[0] if order == 1 else 0)
+    rest = np.flatnonzero(~found)
+    if order > 1 and len(rest):
+        at, known = _find(level.contexts, mix(packed[rest] >> _U(16)))
+        back = level.weight[at] * known if len(level.weight) else 0
+        out[rest] = log_prob(levels, packed[rest] & _U((1 << 16 * (order - 1)) - 1), order - 1) + back
+    return out
+
+
 @dataclass
 class Models:
     languages: list[str]
-    levels: list[Level]  # of order 1, 2, ...
+    levels: list[list[Level]]  # of each language, of order 1, 2, ...
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     noise: np.ndarray | None = None
 
-    def log_prob(self, packed: np.ndarray, order: int) -> np.ndarray:
+    def log_prob(self, packed: np.ndarray, order: int = ORDER) -> np.ndarray:
         """log2 of each language's probability of the last character after the others."""
-        level = self.levels[order - 1]
-        at, found = _find(level.grams, mix(packed))
-        out = level.prob[at]
-        rest = np.flatnonzero(~found)
-        if len(rest):
-            if order == 1:
-                out[rest] = level.weight[0]  # an unknown character
-            else:
-                missing = packed[rest]
-                at, known = _find(level.contexts, mix(missing >> _U(16)))
-                out[rest] = self.log_prob(missing & _U((1 << 16 * (order - 1)) - 1), order - 1) + level.weight[at] * known[:, None]
-        return out
+        return np.stack([log_prob(own, packed, order) for own in self.levels], axis=1)
 
     def entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text by language, characters scored, and whether it has a letter."""
         total = np.zeros((len(texts), len(self.languages)))
         count, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
         for codes, rows in _slices(texts):
-            packed, row = ngrams(codes, rows, len(self.levels))
+            packed, row = ngrams(codes, rows)
             letters[rows[codes != BLANK]] = True
             count += np.bincount(row, minlength=len(texts))
-            logs = self.log_prob(packed, len(self.levels))
-            for k in range(logs.shape[1]):
-                total[:, k] -= np.bincount(row, logs[:, k], len(texts))
+            once = pa.array(packed).dictionary_encode()
+            which, different = once.indices.to_numpy(), once.dictionary.to_numpy()
+            for k, own in enumerate(self.levels):
+                total[:, k] -= np.bincount(row, log_prob(own, different, ORDER)[which], len(texts))
         return total / np.maximum(count, 1)[:, None], count, letters
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, float]]:
@@ -164,6 +169,8 @@ class Models:
 
 
 def _find(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
     at = np.searchsorted(table, hashes)
     at[at == len(table)] = 0
     return at, table[at] == hashes
@@ -194,31 +201,28 @@ def all_orders(grams: np.ndarray, counts: np.ndarray, order: int = ORDER) -> lis
     return held[::-1]
 
 
-def kneser_ney(held: dict[str, list[Grams]]) -> Models:
-    """Models from each language's n-grams of order 1, 2, ...; what of a context's total is not in them goes to its back-off weight."""
-    languages = sorted(held)
+def kneser_ney(held: list[Grams], letters: int) -> list[Level]:
+    """A language's model from its n-grams of order 1, 2, ...; what of a context's total is not in them goes to its back-off weight.
+    letters: how many there are in all languages, of which, and one unknown, each is as likely at the bottom."""
     levels: list[Level] = []
-    for n in range(1, len(held[languages[0]]) + 1):
-        of = {lang: held[lang][n - 1] for lang in languages}
-        grams = np.unique(np.concatenate([x.grams for x in of.values()]))
-        contexts = np.unique(grams >> _U(16)) if n > 1 else np.zeros(1, np.uint64)
-        context = np.searchsorted(contexts, grams >> _U(16)) if n > 1 else np.zeros(len(grams), int)
-        prob, weight = np.zeros((len(grams), len(languages)), np.float32), np.zeros((len(contexts), len(languages)), np.float32)
-        below = Models(languages, levels)
-        lower = np.exp2(below.log_prob(grams & _U((1 << 16 * (n - 1)) - 1), n - 1)) if n > 1 else np.full(prob.shape, 1 / (len(grams) + 1))
-        for k, lang in enumerate(languages):
-            own = np.searchsorted(grams, of[lang].grams)
-            taken = (of[lang].counts - of[lang].discount) / of[lang].totals
-            share = np.maximum(1 - np.bincount(context[own], taken, len(contexts)), 1e-9)
-            weight[:, k] = share
-            one = lower[:, k] * share[context]
-            one[own] += taken
-            prob[:, k] = one
-        if n == 1:
-            weight = weight / (len(grams) + 1)
-        by, of_context = np.argsort(mix(grams)), np.argsort(mix(contexts))
-        levels.append(Level(mix(grams)[by], np.log2(prob)[by], mix(contexts)[of_context], np.log2(weight)[of_context]))
-    return Models(languages, levels)
+    for n, own in enumerate(held, start=1):
+        contexts, at = np.unique(own.grams >> _U(16) if n > 1 else np.zeros(len(own.grams), np.uint64), return_inverse=True)
+        lower = np.exp2(log_prob(levels, own.grams & _U((1 << 16 * (n - 1)) - 1), n - 1)) if n > 1 else 1 / (letters + 1)
+        taken = (own.counts - own.discount) / own.totals
+        share = np.maximum(1 - np.bincount(at, taken, len(contexts)), 1e-9)
+        prob = taken + lower * share[at]
+        weight = share if n > 1 else (share if len(share) else np.ones(1)) / (letters + 1)
+        by, of_context = np.argsort(mix(own.grams)), np.argsort(mix(contexts))
+        weight = weight[of_context] if n > 1 else weight
+        levels.append(Level(mix(own.grams)[by], np.log2(prob).astype(np.float32)[by], mix(contexts)[of_context], np.log2(weight).astype(np.float32)))
+    return levels
+
+
+def models_of(held: dict[str, list[Grams]]) -> Models:
+    """The models of all languages, from their n-grams of order 1, 2, ..."""
+    languages = sorted(held)
+    letters = len(np.unique(np.concatenate([held[x][0].grams for x in languages])))
+    return Models(languages, [kneser_ney(held[x], letters) for x in languages])
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -254,24 +258,20 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _gathered(counts: DataFrame, languages: int, cells: int) -> dict[str, list[Grams]]:
-    """Of each language, the n-grams of every order with exact counts, totals and discounts; at most cells / languages of an order."""
-    held: dict[str, list[Grams]] = {}
-    level, most = counts, max(cells // max(languages, 1), 1)
+def _gathered(counts: DataFrame, quota: int) -> dict[str, list[Grams]]:
+    """Of each language, the n-grams of every order with exact counts, totals and discounts; at most quota of a language and an order."""
+    held: dict[str, dict[int, Grams]] = {}
+    level, size = counts, F.floor(F.log2("n") * 64)
     for n in range(ORDER, 0, -1):
         if n < ORDER:
             level = cut(level.groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * n) - 1).alias("gram")).agg(F.count("*").alias("n")))
         of = {r["lang"]: discount(r["ones"], r["twos"]) for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
-        often = sorted(((r["size"], r["count"]) for r in level.groupBy(F.floor(F.log2("n") * 64).alias("size")).count().collect()), reverse=True)
-        least, total = often[-1][0] if often else 0, 0
-        for size, count in often:
-            total += count
-            if total > most:
-                least = size + 1
-                break
+        often = level.groupBy("lang", size.alias("size")).agg(F.count("*").alias("count"))
+        above = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("size")))
+        least = often.withColumn("above", above).filter(F.col("above") <= quota).groupBy("lang").agg(F.min("size").alias("least"))
         context = F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long")
         totals = level.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
-        kept = level.filter(F.floor(F.log2("n") * 64) >= least).withColumn("context", context)
+        kept = level.join(F.broadcast(least), "lang").filter(size >= F.col("least")).withColumn("context", context)  # a row a language
         table = kept.join(totals, ["lang", "context"]).select("lang", "gram", "n", "total").toArrow()
         lang = table["lang"].combine_chunks().dictionary_encode()
         names, at = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
@@ -286,37 +286,30 @@ def _gathered(counts: DataFrame, languages: int, cells: int) -> dict[str, list[G
     return {lang: [orders[n] for n in range(1, ORDER + 1)] for lang, orders in held.items()}
 
 
-def _local(counts: DataFrame) -> dict[str, list[Grams]]:
-    """n-grams of every order of languages of few documents."""
-    table = counts.toArrow()
-    langs, grams, ns = np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    held = {}
-    for lang in sorted(set(langs)):
-        own = np.flatnonzero(langs == lang)
-        own = own[np.argsort(grams[own])]
-        held[lang] = all_orders(grams[own], ns[own])
-    return held
-
-
 def learn(docs: DataFrame, learnable, cells: int = CELLS) -> Models:
     """Models from rows of docs (doc_id, text, lang) that the condition learnable admits."""
     fold = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).alias("fold")
     rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", fold)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     rare = sorted(lang for lang, n in sizes.items() if n < FEW * FOLDS)
-    held = _gathered(cut(_counted(rows.filter((F.col("fold") != 0) | F.col("lang").isin(rare)))), len(sizes), cells)
-    if not held:
-        return Models([], [])
-    models = kneser_ney(held)
-    kept = rows.filter((F.col("fold") == 0) & ~F.col("lang").isin(rare))
-    seen = [_scores(models, kept)] if len(rare) < len(sizes) else []
+    # A rare language is learned from all, and for its calibration once more without each fifth: under its name and the fifth's number.
     few = rows.filter(F.col("lang").isin(rare))
     if rare:
         few = written(few)
-        for k in range(FOLDS):
-            others = {lang: own for lang, own in held.items() if lang not in rare} | _local(_counted(few.filter(F.col("fold") != k)))
-            if others:
-                seen.append(_scores(kneser_ney(others), few.filter(F.col("fold") == k)))
+    taught = rows.filter((F.col("fold") != 0) & ~F.col("lang").isin(rare)).select(F.concat(F.lit("-"), "lang").alias("lang"), "text")
+    for k in range(-1, FOLDS) if rare else ():
+        taught = taught.unionByName(few.filter(F.col("fold") != k).select(F.concat(F.lit("-" if k < 0 else str(k)), "lang").alias("lang"), "text"))
+    held = _gathered(cut(_counted(taught)), max(cells // max(len(sizes), 1), 1))
+    whole = {lang[1:]: own for lang, own in held.items() if lang[0] == "-"}
+    if not whole:
+        return Models([], [])
+    models = models_of(whole)
+    kept = rows.filter((F.col("fold") == 0) & ~F.col("lang").isin(rare))
+    seen = [_scores(models, kept)] if len(rare) < len(sizes) else []
+    for k in range(FOLDS) if rare else ():
+        without = {lang: own for lang, own in whole.items() if lang not in rare} | {lang[1:]: own for lang, own in held.items() if lang[0] == str(k)}
+        if without:
+            seen.append(_scores(models_of(without), few.filter(F.col("fold") == k)))
     every = cut(reduce(DataFrame.unionByName, seen)) if seen else None
     return _calibrate(models, every, _scores(models, few) if rare else None)
 

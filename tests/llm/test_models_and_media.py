@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tallyrook.llm import bpe, lang_id, media, quality, registry, sharding
-from tallyrook.llm.lang_id import kneser_ney
+from tallyrook.llm.lang_id import models_of
 
 ODD = [None, "", " ", "a", "\n", "12 34!", "é" * 70, "x" * 64, "y" * 65, "word " * 3000, "日本語", "á 🙂 \U0001d400"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, upper string"
@@ -125,7 +125,7 @@ def test_probabilities_sum_to_one():
         g = np.unique(rng.integers(97, 103, (60, 4)), axis=0).astype(np.uint64)
         packed = g[:, 0] << np.uint64(48) | g[:, 1] << np.uint64(32) | g[:, 2] << np.uint64(16) | g[:, 3]
         counts[lang] = (np.sort(packed), rng.integers(1, 5, len(packed)))
-    models = kneser_ney({lang: lang_id.all_orders(*own) for lang, own in counts.items()})
+    models = models_of({lang: lang_id.all_orders(*own) for lang, own in counts.items()})
     letters = np.unique(np.concatenate([c[0] & np.uint64(0xFFFF) for c in counts.values()]))
     for context in [*(counts["a"][0][:5] >> np.uint64(16)), np.uint64(0x7A007A007A)]:
         p = np.exp2(models.log_prob((context << np.uint64(16)) | np.append(letters, np.uint64(0x41)), 4))
@@ -162,6 +162,22 @@ def test_rare_languages_reject(spark):
         assert [p[0] == lang and not p[2] for p in models.predict([prose(lang), *(t for x, t in learned if x == lang)])].count(False) == 0
 
 
+def test_rare_languages_keep_their_models(spark):
+    """A language's model doesn't depend on how much others have, though models are cut; and it is told from one of the same letters."""
+    rng = np.random.default_rng(6)
+    stems = {lang: ["".join(rng.choice(list("aeioklmnrst"), n)) for n in rng.integers(2, 8, 60)] for lang in ("aa", "bb", "cc")}
+    prose = lambda lang, n=60: " ".join(rng.choice(stems[lang], n))
+    rare, held_out = [("aa", prose("aa")) for _ in range(60)], [prose("aa") for _ in range(40)]
+    found = []
+    for many in (60, 2000):
+        learned = rare + [(lang, prose(lang)) for lang in ("bb", "cc") for _ in range(many)]
+        docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(learned)], "doc_id long, lang string, text string")
+        found.append(lang_id.learn(docs, docs["doc_id"] >= 0, cells=3000))
+        assert np.mean([p[0] == "aa" and not p[2] for p in found[-1].predict(held_out)]) > 0.97
+    for a, b in zip(found[0].levels[0], found[1].levels[0], strict=True):
+        assert len(a.grams) <= 1000 and (a.grams == b.grams).all() and np.allclose(a.prob, b.prob)
+
+
 def test_one_document_without_an_id_is_learned(spark):
     docs = spark.createDataFrame([(None, "aa", "kalo mira tesun doba")] * 3, "doc_id long, lang string, text string")
     models = lang_id.learn(docs, docs["lang"] == "aa")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyrook.llm import chat_template as ct
 from tallyrook.llm import decontaminate, licenses, registry
@@ -59,6 +60,21 @@ def contamination(texts, items):
     return out
 
 
+def test_items_that_share_a_window(spark, monkeypatch):
+    """A window is one, however many items have it, and whatever parts their list is dealt in."""
+    window = " ".join(f"b{i}" for i in range(10))
+    items = spark.createDataFrame([(i, window if i % 2 else f"{window} and {i}") for i in range(200)] + [(None, window)], "item_id long, text string")
+    held, size = decontaminate._distinct(decontaminate.benchmark_windows(items))
+    assert held.filter(F.size("items") > 150).count() == 1 and size == held.count() + (101 + 300) // decontaminate.ITEMS
+    docs = spark.createDataFrame([(i, f"x{i} {window} z") for i in range(20)] + [(20, None)], "doc_id long, text string")
+    for listed in (decontaminate.LISTED, 50):
+        monkeypatch.setattr(decontaminate, "LISTED", listed)
+        for block in (20, decontaminate.BLOCK):
+            found = decontaminate.find_overlaps(docs, items, block).collect()
+            assert all(r["items"] == sorted(map(str, range(200))) and r.spans == [1, 11] for r in found if r.doc_id < 20)
+            assert next(r["items"] for r in found if r.doc_id == 20) == []
+
+
 @pytest.mark.parametrize("block", [3, decontaminate.BLOCK])
 def test_contamination(spark, block):
     long = [f"w{i}" for i in range(25)]
