@@ -127,6 +127,26 @@ def shingle_sets(docs: DataFrame, asked: Callable, tell: Callable) -> DataFrame:
 
 
 # --- chunks ------------------------------------------------------------------------------------------------------
+class Lists:
+    """Owners by value, of values with an owner each."""
+
+    def __init__(self, values: np.ndarray, owner: np.ndarray, n: int):
+        runs = r.Runs.of(values)
+        self.members, self.first, self.n = owner[runs.order], np.append(runs.begin, len(values)), n
+        self.list = runs.spread(np.arange(len(runs.hashes)))
+
+    def overlaps(self, at: np.ndarray) -> np.ndarray:
+        """How many of the values at these places each owner has."""
+        own = self.list[at]
+        begin, many = self.first[own], self.first[own + 1] - self.first[own]
+        places = np.repeat(begin - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        return np.bincount(self.members[places], minlength=self.n)
+
+
+#: So many pairs of one set are verified one by one.
+FEW = 4
+
+
 @dataclass
 class Chunk:
     """Sets of a chunk: the size of each whole set, its shingles from begin[i] to begin[i + 1], and root, of what is connected."""
@@ -136,10 +156,21 @@ class Chunk:
     begin: np.ndarray
     root: np.ndarray
     percent: int
-
-    def linked(self, a: int, b: int) -> bool:
-        common = len(np.intersect1d(self.shingles[self.begin[a] : self.begin[a + 1]], self.shingles[self.begin[b] : self.begin[b + 1]], assume_unique=True))
-        return 100 * common >= self.percent * (self.sizes[a] + self.sizes[b] - common)
+    lists: Lists | None = None
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles x shares with each of the others: one by one, or many by lists of the sets that have each shingle."""
+        own = self.shingles[self.begin[x] : self.begin[x + 1]]
+        if len(others) <= FEW:
+            return np.array([len(np.intersect1d(own, self.shingles[self.begin[y] : self.begin[y + 1]], assume_unique=True)) for y in others], np.int64)
+        if self.lists is None:
+            self.lists = Lists(self.shingles, np.repeat(np.arange(len(self.sizes)), np.diff(self.begin)), len(self.sizes))
+        return self.lists.overlaps(np.arange(self.begin[x], self.begin[x + 1]))[others]
+
+    def linked(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others x links with."""
+        common = self.common(x, others)
+        return others[100 * common >= self.percent * (self.sizes[x] + self.sizes[others] - common)]
 
     def join(self, a: int, b: int) -> None:
         self.root[self.root == self.root[b]] = self.root[a]
@@ -148,8 +179,8 @@ class Chunk:
 def chunk_links(chunk: Chunk, left: np.ndarray, right: np.ndarray, finder: type, batch: int = 64) -> list[tuple[int, int]]:
     """Links that connect all that links between sets of the left and of the right connect (masks; both may be all).
 
-    finder(chunk) is an index of the chunk's sets, whose search(asking) gives pairs (of asking, of the chunk) that may link. After links it
-    is told by updated(), as the labels have changed.
+    finder(chunk) is an index of the chunk's sets, whose search(asking) gives pairs (of asking, of the chunk) that may link, of each set the
+    likeliest first. After links it is told by updated(), as the labels have changed.
     """
     index, found = finder(chunk), []
     done = np.zeros(len(chunk.sizes), bool)
@@ -163,10 +194,16 @@ def chunk_links(chunk: Chunk, left: np.ndarray, right: np.ndarray, finder: type,
         a, b = index.search(asking)
         sides = (left[a] & right[b]) | (right[a] & left[b])
         before = len(found)
-        for x, y in zip(a[sides].tolist(), b[sides].tolist(), strict=True):
-            if chunk.root[x] != chunk.root[y] and chunk.linked(x, y):
-                chunk.join(x, y)
-                found.append((x, y))
+        a, b = a[sides], b[sides]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        heads = np.flatnonzero(np.diff(a, prepend=-1))
+        for x, ys in zip(a[heads].tolist(), np.split(b, heads[1:]), strict=False):  # without pairs, one empty piece and no x
+            for some in (ys[:FEW], ys[FEW:]):  # the likeliest come first, and mostly connect the rest
+                for y in chunk.linked(x, some[chunk.root[some] != chunk.root[x]]).tolist():
+                    if chunk.root[x] != chunk.root[y]:
+                        chunk.join(x, y)
+                        found.append((x, y))
         if len(found) > before:
             index.updated()
 

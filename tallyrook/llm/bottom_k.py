@@ -70,45 +70,42 @@ class InvertedLists:
     """Of a chunk, the sets by retained value."""
 
     def __init__(self, chunk: blocks.Chunk):
-        self.chunk = chunk
-        self.kept = np.minimum(chunk.sizes, K)
+        self.chunk, n = chunk, len(chunk.sizes)
+        kept = np.minimum(chunk.sizes, K)
         at = retained(chunk.sizes, chunk.begin)
-        self.sketch = np.append(0, np.cumsum(self.kept))
-        self.values = chunk.shingles.view(np.uint64)[at]
-        self.owner = np.repeat(np.arange(len(self.kept)), self.kept)
-        runs = r.Runs.of(self.values)
-        self.members, self.first = self.owner[runs.order], np.append(runs.begin, len(at))
-        self.list = runs.spread(np.arange(len(runs.hashes)))
+        owner = np.repeat(np.arange(n), kept)
+        self.begin = np.append(0, np.cumsum(kept))
+        values = chunk.shingles.view(np.uint64)[at]
+        self.lists = blocks.Lists(values, owner, n)
+        self.sketches = np.full((n, K), np.iinfo(np.uint64).max)
+        self.sketches[owner, np.arange(len(owner)) - self.begin[owner]] = values
 
     def updated(self) -> None:
         """Labels are read as they are."""
 
     def search(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both sets of every pair, of different labels, whose estimate is enough."""
+        """Both sets of every pair, of different labels, whose estimate is enough; of each set, the largest overlaps first."""
         a, b, root = [], [], self.chunk.root
         for x in asking.tolist():
-            own = self.list[self.sketch[x] : self.sketch[x + 1]]
-            begin, many = self.first[own], self.first[own + 1] - self.first[own]
-            at = np.repeat(begin - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-            overlap = np.bincount(self.members[at], minlength=len(root))
-            found = np.flatnonzero((overlap >= least_shared(self.chunk.sizes)) & (root != root[x]))
-            found = [y for y in found.tolist() if overlap[y] and self.alike(x, y)]
-            a += [x] * len(found)
-            b += found
-        return np.array(a, np.int64), np.array(b, np.int64)
-
-    def alike(self, x: int, y: int) -> bool:
-        """Whether the union sketch of two sets lets them pass."""
-        both = np.concatenate([self.values[self.sketch[i] : self.sketch[i + 1]] for i in (x, y)])
-        both.sort()
-        again = both[1:] == both[:-1]
-        distinct = len(both) - int(again.sum())
-        size, common = distinct, int(again.sum())
-        if size > K:
-            size, order = K, np.cumsum(np.append(True, ~again))
-            common = int((again & (order[:-1] <= K)).sum())
-        exact = self.chunk.sizes[x] <= K and self.chunk.sizes[y] <= K and distinct <= K
-        return 100 * common >= (PERCENT if exact else NEEDED) * size
+            overlap = self.lists.overlaps(np.arange(self.begin[x], self.begin[x + 1]))
+            found = np.flatnonzero((overlap >= np.maximum(least_shared(self.chunk.sizes), 1)) & (root != root[x]))
+            found = found[self.alike(x, found)]
+            found = found[np.argsort(-overlap[found], kind="stable")]
+            a.append(np.full(len(found), x))
+            b.append(found)
+        return np.concatenate(a), np.concatenate(b)
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Whether the union sketches of x with others let them pass."""
+        sizes = self.chunk.sizes
+        both = np.sort(np.concatenate([np.tile(self.sketches[x], (len(others), 1)), self.sketches[others]], axis=1), axis=1)
+        real = both[:, 1:] != np.iinfo(np.uint64).max
+        again = (both[:, 1:] == both[:, :-1]) & real
+        place = 1 + np.cumsum(~again & real, axis=1)  # of the different values, from 1
+        distinct = place[:, -1]
+        common = (again & (place <= K)).sum(axis=1)
+        exact = (sizes[x] <= K) & (sizes[others] <= K) & (distinct <= K)
+        return 100 * common >= np.where(exact, PERCENT, NEEDED) * np.minimum(distinct, K)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
