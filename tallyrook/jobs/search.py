@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,10 @@ from tallyrook.operators import channels, metrics, ranking, store
 from tallyrook.operators.store import written
 from tallyrook.functions import text
 from tallyrook.schemas import BUDGET_CHARS, CANDIDATES, MAX_RESULTS, NOW_MS
-from tallyrook.sources import tables
+from tallyrook.sources import tables, versions
 from tallyrook.sources.tables import RECORDS_SQL
+from tallyrook.sources.text_index import TextIndex
+from tallyrook.sources.vector_index import VectorIndex, recall
 
 c = F.col
 
@@ -30,20 +35,42 @@ def dense_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).join(vectors(spark, sf_dir).withColumnRenamed("doc_id", "qid"), "qid").select("qid", "vector")
 
 
-def postings(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, int, float]:
-    """Words of the records' search texts that some question has."""
-    whole = rows.select("doc_id", text.search_text(c("title"), c("kind"), c("tags"), c("content")).alias("content"))
-    return channels.postings(whole, channels.query_words(questions(spark, sf_dir)).select("token").distinct())
+def search_texts(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", text.search_text(c("title"), c("kind"), c("tags"), c("content")).alias("text"))
+
+
+def _base(spark: SparkSession, sf_dir: str, table: str, kind: str) -> str:
+    """Where an index of a table is, as the table is now: its name holds the paths, sizes and times of the table's files."""
+    path = f"{sf_dir}/{table}.parquet"
+    signature = versions.Files(spark, path).signature(path)
+    return f"{store.shared_folder(spark).rstrip('/')}/{kind}-{hashlib.sha256(chr(10).join(signature).encode()).hexdigest()[:32]}"
+
+
+def text_index_of(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ()) -> TextIndex:
+    """The index of the records' search texts (of some kinds), built where there is none yet for the table as it is now."""
+    index = TextIndex(spark, _base(spark, sf_dir, "documents", "-".join(["words", *kinds])))
+    if index.log.head() is None:
+        rows = tables.records(spark, sf_dir)
+        with contextlib.suppress(versions.Conflict):  # another session was first: its index is as good
+            index.add(search_texts(rows.filter(c("kind").isin(*kinds)) if kinds else rows))
+    return index
+
+
+def vector_index_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    index = VectorIndex(spark, _base(spark, sf_dir, "embeddings", "vectors"))
+    if index.log.head() is None:
+        index.build(vectors(spark, sf_dir))
+    return index
 
 
 def hay_words(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id and token of postings() whose word stands in title, tags or content, not in the labels of a search text alone."""
+    """doc_id and token of words of search texts (with tf) whose word stands in title, tags or content, not in the labels of a search text alone."""
     label = (c("token") == c("kind")).cast("int") + c("token").isin("kind", "tags").cast("int")
     return found.join(rows.select("doc_id", "kind"), "doc_id").filter(c("tf") > label).select("doc_id", "token")
 
 
 def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels.bm25(questions(spark, sf_dir), postings(spark, sf_dir, tables.records(spark, sf_dir)), CANDIDATES)
+    return text_index_of(spark, sf_dir).search(questions(spark, sf_dir), CANDIDATES)
 
 
 def dense_channel(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
@@ -66,13 +93,15 @@ def search(spark: SparkSession, sf_dir: str, mode: str, graph_ranks: DataFrame |
     rows = tables.records(spark, sf_dir)
     rows = rows.filter(c("kind").isin(*filters["kinds"])) if filters.get("kinds") else rows
     asked = questions(spark, sf_dir)
-    held = postings(spark, sf_dir, rows)
+    index = text_index_of(spark, sf_dir, filters.get("kinds", ())) if mode != "dense" else None
     dense = dense_channel(spark, sf_dir, rows if filters.get("kinds") else None) if mode != "lexical" else None
-    lexical = channels.bm25(asked, held, CANDIDATES) if mode != "dense" else None
+    lexical = index.search(asked, CANDIDATES) if index else None
     keys = F.sha2(F.concat_ws("\0", "kind", text.collapse(text.excerpt(c("content")))), 256)
     live = with_feedback(spark, sf_dir, eligible(spark, sf_dir, **filters)).withColumn("dedup", keys).drop("content", "tags", "title")
     met = ranking.merge(dense, lexical).join(live, "doc_id")
-    found = ranking.scored(ranking.lexical_scores(written(met), asked, hay_words(held[0], rows), rows), mode, NOW_MS)
+    if index:  # words count in these modes only
+        met = ranking.lexical_scores(written(met), asked, hay_words(index.words_of(asked), rows), rows)
+    found = ranking.scored(met, mode, NOW_MS)
     if graph_ranks is not None:
         found = ranking.with_graph(found, graph_ranks, live)
     return ranking.collapse_layers(found)
@@ -198,6 +227,39 @@ def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_channel(spark, sf_dir).select("qid", "doc_id", "similarity", "rank")
 
 
+@query()
+def vector_index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each tenth vector in the cells that it probes, with the recall of each against the exact search."""
+    own = vectors(spark, sf_dir)
+    asked = own.filter("doc_id % 10 = 0").select(c("doc_id").alias("qid"), "vector")
+    found = written(vector_index_of(spark, sf_dir).search(asked, 10))
+    return found.join(recall(found, channels.cosine_top(asked, own, 10), 10), "qid").select("qid", "doc_id", "similarity", "rank", "recall")
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """An index of the records in two segments, of which each seventh record was deleted, merged."""
+    index = TextIndex(spark, store.fresh_path(spark, "words"))
+    texts = search_texts(tables.records(spark, sf_dir))
+    index.add(texts.filter("doc_id % 2 = 0"))
+    index.add(texts.filter("doc_id % 2 = 1"))
+    index.delete(texts.filter("doc_id % 7 = 3").select("doc_id"))
+    return index
+
+
+@query(f"WITH {RECORDS_SQL}, {channels_sql('doc_id % 7 <> 3')} SELECT qid, doc_id, score, CAST(rank AS INT) AS rank FROM lex")
+def text_index_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of an index whose records came in two segments and of which some were deleted."""
+    return _changed_index(spark, sf_dir).search(questions(spark, sf_dir), CANDIDATES)
+
+
+@query(f"WITH {RECORDS_SQL}, {channels_sql('doc_id % 7 <> 3')} SELECT qid, doc_id, score, CAST(rank AS INT) AS rank FROM lex")
+def text_index_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a merge."""
+    index = _changed_index(spark, sf_dir)
+    index.merge()
+    return index.search(questions(spark, sf_dir), CANDIDATES)
+
+
 #: Greedy packing as a recursion: of each query's rows that are left, the best goes in if it fits, and goes either way.
 _PACK_SQL = f"""item AS (
   SELECT qid, doc_id, score, CAST(length(title) + length(shown) + coalesce(list_sum(list_transform(tags, lambda t: length(t))), 0) + 320 AS BIGINT) AS size,
@@ -231,7 +293,7 @@ def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results each query gets, and why it gets none."""
     asked = questions(spark, sf_dir)
     rows = tables.records(spark, sf_dir)
-    met = asked.join(dense_queries(spark, sf_dir), "qid", "left_semi").select("qid").unionByName(channels.query_words(asked).join(postings(spark, sf_dir, rows)[0].select("token").distinct(), "token").select("qid"))
+    met = asked.join(dense_queries(spark, sf_dir), "qid", "left_semi").select("qid").unionByName(channels.query_words(asked).join(text_index_of(spark, sf_dir).words_of(asked).select("token").distinct(), "token").select("qid"))
     return ranking.outcome(asked, search_packed(spark, sf_dir), met, rows)
 
 

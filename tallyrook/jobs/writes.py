@@ -75,8 +75,8 @@ def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after the requests, committed as a version and read again."""
     base = store.fresh_path(spark, "store")
     before = held(spark, sf_dir)
-    versions.commit(before, base, 0)
-    versions.commit(_stored(spark, sf_dir)[1], base, 1)
+    first = versions.commit(before, base)
+    versions.commit(_stored(spark, sf_dir)[1], base, after=first)
     return versions.read(spark, base, before.schema).select("id", "created_ms", "updated_ms", "pinned", c("superseded_by").isNotNull().alias("superseded"))
 
 
@@ -124,7 +124,7 @@ def record_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.records(spark, sf_dir)
     base = store.fresh_path(spark, "store")
     kept = records.optimised(rows, NOW_MS).select("doc_id", "updated_ms")
-    versions.commit(kept, base, 0, files=max(1, kept.rdd.getNumPartitions() // 4))
+    versions.commit(kept, base, files=max(1, kept.rdd.getNumPartitions() // 4))
     return versions.read(spark, base, kept.schema)
 
 
@@ -241,11 +241,11 @@ def generation_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new generation of vectors (the first 32 dimensions, at norm 1): written, checked whole, and switched to only if every vector is sound."""
     base = store.fresh_path(spark, "vectors")
     old = tables.embeddings(spark, sf_dir).select("vec_id", "vector", F.lit("g1").alias("generation"))
-    versions.commit(old, base, 0)
+    first = versions.commit(old, base)
     new = store.written(old.select("vec_id", channels.renormalised(c("vector"), 32).alias("vector"), F.lit("g2").alias("generation")))
     checked = new.agg(F.count("*").alias("n"), F.count_if(channels.sound(c("vector"), 32)).alias("sound")).first()
     if (checked["n"], checked["sound"]) == (old.count(),) * 2:
-        versions.commit(new, base, 1)
+        versions.commit(new, base, after=first)
     now = versions.read(spark, base, old.schema)
     return now.select("vec_id", "generation", F.size("vector").alias("dimensions"), F.round(F.get("vector", 0), 6).alias("first_value"), F.round(channels.dot(c("vector"), c("vector")), 6).alias("norm"))
 

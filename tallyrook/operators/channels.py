@@ -1,4 +1,4 @@
-"""Candidate channels of a search: BM25 over words, and exact cosine similarity over vectors."""
+"""Candidate channels of a search: words of queries (see sources/text_index.py for BM25), and exact cosine similarity over vectors."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrook.functions.text import tokens
-from tallyrook.operators.store import small, written
 
 K1, B = 1.2, 0.75
 
@@ -27,30 +26,6 @@ def query_words(queries: DataFrame) -> DataFrame:
     return held.select("qid", F.explode("tokens").alias("token"), F.size("tokens").alias("words"))
 
 
-def postings(docs: DataFrame, wanted: DataFrame, text: str = "content") -> tuple[DataFrame, int, float]:
-    """doc_id, size, token and tf of the wanted tokens, written once to the shared folder; the number of docs and their mean size."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)
-    split_ = docs.select("doc_id", words.alias("words")).withColumn("size", F.size("words"))
-    n, mean = split_.agg(F.count("*"), F.avg("size")).first()
-    met = split_.select("doc_id", "size", F.explode("words").alias("token")).join(small(wanted), "token", "left_semi")
-    return written(met.groupBy("doc_id", "size", "token").agg(F.count("*").alias("tf"))), n, mean or 1.0
-
-
-def bm25(queries: DataFrame, held: tuple[DataFrame, int, float], k: int, digits: int = 6) -> DataFrame:
-    """qid, doc_id, score, rank from queries (qid, text) and postings().
-
-    Scores are rounded so that ranks do not hang on the order of sums.
-    """
-    found, n, mean = held
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = small(query_words(queries).join(df, "token").select("qid", "token", weight.alias("weight")))
-    tf = F.col("tf")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
-    scored = found.join(terms, "token").groupBy("qid", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
-    return ranked(scored, "score", k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -68,6 +43,14 @@ def sound(vector: Column, dimensions: int, tolerance: float = 0.02) -> Column:
     return F.coalesce((F.size(vector) == dimensions) & finite & (F.abs(F.sqrt(dot(vector, vector)) - 1) <= tolerance), F.lit(False))
 
 
+def _cut(a: int, score: np.ndarray, of: np.ndarray, k: int, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The k best of each row by score, then id, where there are more than `most`."""
+    if score.shape[1] <= most:
+        return a, score, of
+    order = np.lexsort((of, -score), axis=-1)[:, :k]
+    return a, np.take_along_axis(score, order, axis=1), np.take_along_axis(of, order, axis=1)
+
+
 #: Queries of a dense search at most: each is compared with every vector.
 MOST_QUERIES = 20_000
 
@@ -86,20 +69,23 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_, q = held.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids_]
+        blocks = [(a, np.zeros((len(q[a : a + block]), 0)), np.zeros((len(q[a : a + block]), 0), np.int64)) for a in range(0, len(ids_), block)]
         for batch in batches:
-            if not len(ids_) or not batch.num_rows:
+            if not batch.num_rows:
                 continue
             own = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            for a in range(0, len(ids_), block):
+            by = np.argsort(own)
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)[by]
+            for i, (a, score, of) in enumerate(blocks):
                 likeness = np.clip(np.round((q[a : a + block] @ v.T + 1) / 2, digits), 0, 1)
-                for i, row in enumerate(likeness):
-                    score, of = np.append(best[a + i][0], row), np.append(best[a + i][1], own)
-                    kept = np.lexsort((of, -score))[:k]
-                    best[a + i] = score[kept], of[kept]
-        for qid, (score, of) in zip(ids_.tolist(), best, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), qid), pa.int64()), pa.array(of, pa.int64()), pa.array(score, pa.float64())], ["qid", "doc_id", "similarity"])
+                columns = np.tile(np.arange(len(own)), (len(likeness), 1))
+                if len(own) > k:  # the best of the batch, ties by id: by one whole number each
+                    keys = np.round(likeness * 10**digits).astype(np.int64) * len(own) - np.arange(len(own))
+                    columns = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+                score = np.append(score, np.take_along_axis(likeness, columns, axis=1), axis=1)
+                blocks[i] = _cut(a, score, np.append(of, own[by][columns], axis=1), k, 3 * k)
+        for a, score, of in (_cut(*x, k, k) for x in blocks):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_[a : a + block], score.shape[1])), pa.array(of.ravel()), pa.array(score.ravel())], ["qid", "doc_id", "similarity"])
 
     size = len(rows[0]["vector"]) if rows else 0  # vectors of another dimension have no likeness
     return ranked(vectors.filter(F.size("vector") == size).select("doc_id", "vector").mapInArrow(run, "qid long, doc_id long, similarity double"), "similarity", k)

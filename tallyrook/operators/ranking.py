@@ -35,7 +35,7 @@ def haystack(title: Column, tags: Column, content: Column) -> Column:
 def lexical_scores(pairs: DataFrame, queries: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
     """pairs (qid, doc_id, ...) with lexical: 1 where the query stands in the record, else the share of its words that do.
 
-    found: doc_id and token of words that records have (see channels.postings); records: doc_id, title, kind, tags, content. Words are
+    found: doc_id and token of words that records have (see sources/text_index.py); records: doc_id, title, kind, tags, content. Words are
     counted by joins. Texts are read only for pairs where all words meet but the first and the last, which may be parts of longer ones.
     """
     words = query_words(queries)

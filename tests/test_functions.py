@@ -10,7 +10,7 @@ from tallyrook.functions import ids, lifecycle, safety, text
 from tallyrook.jobs.exchange import fit_units
 from tallyrook.operators import channels, graph, metrics, ranking, store
 from tallyrook.schemas import DAY_MS
-from tallyrook.sources import files, versions
+from tallyrook.sources import files
 
 
 def one(spark, **columns):
@@ -209,15 +209,6 @@ def test_whole_query_inside_longer_words(spark):
     assert got[1, 10] == 1.0 and got[3, 12] == 1.0 and got[3, 10] == 0.0 and abs(got[2, 11] - 1 / 3) < 1e-12
 
 
-def test_versions_and_rollback(spark, tmp_path):
-    base, frame = f"{tmp_path}/t", spark.range(3)
-    versions.commit(frame, base, 0)
-    versions.commit(spark.range(5), base, 1)
-    assert versions.read(spark, base, frame.schema).count() == 5
-    versions.rollback(spark, base, 0)
-    assert versions.read(spark, base, frame.schema).count() == 3 and versions.current_version(spark, base) == 0
-
-
 def test_inverted_time_filters_are_errors():
     for kind in ("valid", "extracted", "occurred"):
         with pytest.raises(ValueError):
