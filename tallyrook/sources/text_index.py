@@ -29,7 +29,7 @@ from tallyrook.sources.versions import Log
 
 c = F.col
 #: Documents of a range, and of the ranges that a task goes through, about.
-RANGE, TASK = 1024, 65_536
+RANGE, TASK = 512, 65_536
 POSTINGS = "range int, token string, docs array<long>, tfs array<int>, sizes array<int>, max_tf int, min_size int"
 
 
@@ -59,9 +59,9 @@ class TextIndex:
         folder, content = f"segments/{uuid.uuid4().hex}", dict(now)
         journal = self.log.begin(number, [folder], {"folder": folder})
         try:
-            n, length = sized.agg(F.count("*"), F.sum("size")).first()
-            found = _terms(sized, max(1, -(-n // RANGE)))
-            _grouped(found).write.parquet(f"{self.base}/{folder}")
+            n = docs.count()
+            _grouped(_terms(sized, max(1, -(-n // RANGE)))).write.parquet(f"{self.base}/{folder}")
+            length = self._segment(folder).agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0]
         except BaseException:
             self.log.abandon(journal)
             raise
@@ -87,7 +87,8 @@ class TextIndex:
         """One segment of all that is left."""
         number, now = self._now()
         docs, length = self._totals(now)
-        rows = self._exploded(now).withColumn("range", _range(max(1, -(-docs // RANGE)))).select("range", "token", "doc_id", "tf", "size").repartition("range")
+        rows = self._exploded(now).withColumn("range", _range(max(1, -(-docs // RANGE)))).select("range", "token", "doc_id", "tf", "size")
+        rows = rows.repartition(_parts(self.spark, -(-docs // RANGE)), "range")
         folder = f"segments/{uuid.uuid4().hex}"
         return self._commit(number, folder, {"segments": [{"folder": folder, "docs": docs, "length": length}], "deletions": []}, _grouped(rows))
 
@@ -96,11 +97,14 @@ class TextIndex:
         docs, length = (sum(s[key] for s in now["segments"]) - sum(d[key] for d in now["deletions"]) for key in ("docs", "length"))
         return docs, length
 
+    def _segment(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.base}/{folder}")
+
     def _deleted(self, folder: str) -> DataFrame:
         return self.spark.read.schema("token string, doc_id long, size int, folder string, range int").parquet(f"{self.base}/{folder}")
 
     def _postings(self, now: dict) -> DataFrame:
-        rows = [self.spark.read.schema(POSTINGS).parquet(f"{self.base}/{s['folder']}").withColumn("folder", F.lit(s["folder"])) for s in now["segments"]]
+        rows = [self._segment(s["folder"]).withColumn("folder", F.lit(s["folder"])) for s in now["segments"]]
         return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], f"{POSTINGS}, folder string")
 
     def _deletions(self, now: dict) -> DataFrame | None:
@@ -135,7 +139,7 @@ class TextIndex:
         terms = asked.join(df, "token").filter("df > 0").select("qid", "token", weight.alias("weight"))
         tasks = max(min(self.spark.sparkContext.defaultParallelism, -(-docs // RANGE)), docs // TASK, 1)
         task = F.pmod(F.xxhash64("folder", "range"), F.lit(tasks)).cast("int").alias("task")
-        keyed = met.select(task, "folder", "range", "token", "docs", "tfs", "sizes", "max_tf", "min_size").groupBy("task")
+        keyed = met.select(task, "folder", "range", "token", "docs", "tfs", "sizes", "max_tf", "min_size").repartition(tasks, "task").groupBy("task")
         dead = None if gone is None else gone.select(task, "folder", "doc_id").distinct().groupBy("task")
         out = []
         for block in _blocks(terms):
@@ -168,9 +172,14 @@ def _range(ranges: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")
 
 
+def _parts(spark: SparkSession, ranges: int) -> int:
+    """Tasks that ranges are dealt to: a range each while there are few, TASK documents each at last."""
+    return max(1, min(ranges, max(4 * spark.sparkContext.defaultParallelism, ranges * RANGE // TASK)))
+
+
 def _terms(sized: DataFrame, ranges: int) -> DataFrame:
     """range, token, doc_id, tf, size; dealt by range once, which both aggregations above it need."""
-    dealt = sized.withColumn("range", _range(ranges)).repartition("range")
+    dealt = sized.withColumn("range", _range(ranges)).repartition(_parts(sized.sparkSession, ranges), "range")
     return dealt.select("range", "doc_id", "size", F.explode("words").alias("token")).groupBy("range", "token", "doc_id", "size").agg(F.count("*").cast("int").alias("tf"))
 
 
