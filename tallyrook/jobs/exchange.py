@@ -38,22 +38,6 @@ def snapshot_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("doc_id", verdict.alias("verdict"))
 
 
-@query(
-    f"""WITH {RECORDS_SQL}, u AS (SELECT *, {_ID} AS old_id, CASE WHEN doc_id % 3 = 0 THEN content || ' updated' ELSE content END AS new_content, CASE WHEN doc_id % 5 = 0 THEN 'fact' ELSE kind END AS new_kind, doc_id % 7 = 0 AS stale FROM mem)
-SELECT doc_id, CASE WHEN scope = 'repository' OR locked THEN 'refused' WHEN stale THEN 'conflict' WHEN new_id = old_id THEN 'in_place' ELSE 'superseded' END AS outcome, CASE WHEN NOT (scope = 'repository' OR locked OR stale) AND new_id <> old_id THEN new_id END AS new_id
-FROM (SELECT *, 'mem_' || substr(sha256(concat_ws(chr(0), new_kind, scope, coalesce(scope_key, ''), new_content)), 1, 32) AS new_id FROM u)"""
-)
-def record_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates: refused, in conflict with a newer revision, in place, or as a new record that supersedes the old."""
-    i = c("doc_id")
-    old = ids.memory_id(c("kind"), c("scope"), c("scope_key"), c("content"))
-    content = F.when(i % 3 == 0, F.concat("content", F.lit(" updated"))).otherwise(c("content"))
-    new = ids.memory_id(F.when(i % 5 == 0, "fact").otherwise(c("kind")), c("scope"), c("scope_key"), content)
-    refused, stale, same = (c("scope") == "repository") | c("locked"), i % 7 == 0, old == new
-    outcome = F.when(refused, "refused").when(stale, "conflict").when(same, "in_place").otherwise("superseded")
-    return tables.records(spark, sf_dir).select("doc_id", outcome.alias("outcome"), F.when(~refused & ~stale & ~same, new).alias("new_id"))
-
-
 @query(
     f"""WITH {GRAPH_SQL}, rows_ AS (SELECT 1 AS section, entity AS id FROM ent UNION ALL SELECT 2, CAST(relation AS VARCHAR) FROM rel UNION ALL SELECT 3, CAST(fact AS VARCHAR) FROM fct UNION ALL SELECT DISTINCT 4, CAST(observation AS VARCHAR) FROM obs)
 SELECT section, id, n, n // 100 AS page FROM (SELECT *, row_number() OVER (ORDER BY section, id) - 1 AS n FROM rows_)"""

@@ -67,6 +67,90 @@ def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir)[0]
 
 
+@query(f"WITH {_STORE_SQL} SELECT fp AS fingerprint FROM dead WHERE fp NOT IN (SELECT {_FP(*(f'req.{x}' for x in _OWN))} FROM req JOIN met USING (request) WHERE refused IS NULL AND revive)")
+def tombstones_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tombstones that are left when requests have revived records."""
+    dead = tables.records(spark, sf_dir).filter("doc_id % 9 = 0").select(ids.fingerprint(*map(c, _OWN)).alias("fingerprint")).distinct()
+    return records.tombstones_left(requests(spark, sf_dir), _stored(spark, sf_dir)[0], dead)
+
+
+def _changeable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records by id (of copies that share one, the first), with successors."""
+    rows = tables.records(spark, sf_dir).withColumn("id", ids.memory_id(*map(c, _OWN)))
+    head = tables.superseded(rows).join(rows.select(c("doc_id").alias("superseded_by"), c("id").alias("successor")), "superseded_by").select("doc_id", "successor")
+    whole = rows.join(head, "doc_id", "left").select(
+        "doc_id", "id", "kind", "scope", "scope_key", "content", "title", "importance", "tags", (c("updated_ms") - DAY_MS).alias("created_ms"), "updated_ms", "pinned", "locked",
+        F.when(c("locked"), "held").alias("lock_reason"), F.when(c("successor") != c("id"), c("successor")).alias("superseded_by"), F.array().cast("array<string>").alias("supersedes"),
+    )
+    return whole.groupBy("id").agg(F.min_by(F.struct(*(x for x in whole.columns if x != "id")), "doc_id").alias("x")).select("id", "x.*")
+
+
+def _update_requests(rows: DataFrame) -> DataFrame:
+    """Two requests for some records: other content, kind, pins, locks, with the revision that was read or an older one; and some for none."""
+    i = c("doc_id")
+    never = lambda kind: F.lit(None).cast(kind)
+    first = rows.select(
+        i.alias("request"), F.when(i % 31 == 30, "mem_none").otherwise(c("id")).alias("id"), F.when(i % 7 == 0, c("updated_ms") - 1).when(i % 7 < 5, c("updated_ms")).alias("revision"),
+        F.when(i % 11 == 1, "lock").when(i % 11 == 2, "unlock").alias("action"), F.when(i % 11 == 1, "asked for").alias("reason"), F.when(i % 3 == 0, F.concat("content", F.lit(" updated"))).when(i % 3 == 1, "one text").alias("content"),
+        never("string").alias("title"), F.when(i % 5 == 0, "fact").when(i % 37 == 1, "rumour").alias("kind"), F.when(i % 4 == 0, 0.75).alias("importance"), never("array<string>").alias("tags"), F.when(i % 13 == 0, True).alias("pinned"),
+    )
+    again = rows.filter(i % 6 == 0).select(
+        (i + 10_000_000).alias("request"), "id", c("updated_ms").alias("revision"), never("string").alias("action"), never("string").alias("reason"), F.concat("content", F.lit(" later")).alias("content"),
+        F.lit("later").alias("title"), never("string").alias("kind"), never("double").alias("importance"), never("array<string>").alias("tags"), never("boolean").alias("pinned"),
+    )
+    return first.unionByName(again)
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = store.written(_changeable(spark, sf_dir))
+    dead = rows.filter("doc_id % 9 = 0").select(ids.fingerprint(c("kind"), c("scope"), c("scope_key"), F.concat("content", F.lit(" later"))).alias("fingerprint"))
+    return records.updated(_update_requests(rows), rows.drop("doc_id"), dead, NOW_MS)
+
+
+_UPDATE_SQL = f"""{RECORDS_SQL}, ided AS (SELECT *, {_MID(*_OWN)} AS id FROM mem
+), whole AS (
+  SELECT i.doc_id, i.id, i.kind, i.scope, i.scope_key, i.content, i.title, i.importance, i.updated_ms - {DAY_MS} AS created_ms, i.updated_ms, i.pinned, i.locked, CASE WHEN h.id <> i.id THEN h.id END AS superseded_by
+  FROM ided i LEFT JOIN superseded s ON s.doc_id = i.doc_id LEFT JOIN ided h ON h.doc_id = s.superseded_by QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY i.doc_id) = 1
+), asked AS (
+  SELECT doc_id AS request, CASE WHEN doc_id % 31 = 30 THEN 'mem_none' ELSE id END AS id, CASE WHEN doc_id % 7 = 0 THEN updated_ms - 1 WHEN doc_id % 7 < 5 THEN updated_ms END AS revision,
+    CASE WHEN doc_id % 11 = 1 THEN 'lock' WHEN doc_id % 11 = 2 THEN 'unlock' END AS action, CASE WHEN doc_id % 3 = 0 THEN content || ' updated' WHEN doc_id % 3 = 1 THEN 'one text' END AS n_content, NULL AS n_title,
+    CASE WHEN doc_id % 5 = 0 THEN 'fact' WHEN doc_id % 37 = 1 THEN 'rumour' END AS n_kind, CASE WHEN doc_id % 4 = 0 THEN 0.75 END AS n_importance, CASE WHEN doc_id % 13 = 0 THEN true END AS n_pinned FROM whole
+  UNION ALL SELECT doc_id + 10000000, id, updated_ms, NULL, content || ' later', 'later', NULL, NULL, NULL FROM whole WHERE doc_id % 6 = 0
+), m AS (
+  SELECT request, asked.id, revision, action, n_content, n_kind, n_title, n_importance, n_pinned, w.id IS NULL AS missing, w.updated_ms, w.superseded_by, w.scope, w.scope_key, w.locked, w.pinned, w.created_ms,
+    coalesce(n_content, w.content) AS content, coalesce(n_kind, w.kind) AS kind, coalesce(n_title, w.title) AS title, coalesce(n_importance, w.importance) AS importance FROM asked LEFT JOIN whole w ON w.id = asked.id
+), t AS (SELECT *, {_MID("kind", "scope", "scope_key", "content")} AS target, {_FP("kind", "scope", "scope_key", "content")} AS fp FROM m
+), dead AS (SELECT {_FP("kind", "scope", "scope_key", "content || ' later'")} AS fp FROM whole WHERE doc_id % 9 = 0
+), r AS (
+  SELECT *, CASE WHEN missing THEN 'not_found' WHEN revision <> updated_ms THEN 'conflict' WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN scope = 'repository' THEN 'repository_managed'
+    WHEN action = 'unlock' AND (n_content IS NOT NULL OR n_title IS NOT NULL OR n_kind IS NOT NULL OR n_importance IS NOT NULL OR n_pinned IS NOT NULL) THEN 'unlock_with_changes'
+    WHEN locked AND coalesce(action, '') <> 'unlock' AND (n_content IS NOT NULL OR n_kind IS NOT NULL OR n_pinned IS NOT NULL) THEN 'locked'
+    WHEN trim(content) = '' THEN 'empty_content' WHEN length(content) > 6000 THEN 'content_too_long' WHEN contains(content, chr(0)) THEN 'nul' WHEN kind NOT IN ({_KINDS}) THEN 'unknown_kind'
+    WHEN fp IN (SELECT fp FROM dead) THEN 'tombstoned' WHEN target <> id AND target IN (SELECT id FROM whole) THEN 'exists' END AS code FROM t
+), r1 AS (SELECT * REPLACE (CASE WHEN code IS NULL AND request <> min(CASE WHEN code IS NULL THEN request END) OVER (PARTITION BY id) THEN 'conflict' ELSE code END AS code) FROM r
+), r2 AS (SELECT * REPLACE (CASE WHEN code IS NULL AND request <> min(CASE WHEN code IS NULL THEN request END) OVER (PARTITION BY target) THEN 'exists' ELSE code END AS code) FROM r1
+), ok AS (SELECT * FROM r2 WHERE code IS NULL)"""
+
+
+@query(f"WITH {_UPDATE_SQL} SELECT request, id, coalesce(code, CASE WHEN target <> id THEN 'superseded_by_new' ELSE 'in_place' END) AS outcome, CASE WHEN code IS NULL AND target <> id THEN target END AS new_id FROM r2")
+def record_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates by revision: refused, in conflict with a newer revision, in place, or as a new record that supersedes the old."""
+    return _updated(spark, sf_dir)[0]
+
+
+@query(
+    f"""WITH {_UPDATE_SQL} SELECT target AS id, kind, title, importance, created_ms, {NOW_MS}::BIGINT AS updated_ms, coalesce(n_pinned, pinned) AS pinned, CASE action WHEN 'lock' THEN true WHEN 'unlock' THEN false ELSE locked END AS locked, NULL AS superseded_by, CASE WHEN target <> id THEN id ELSE '' END AS supersedes FROM ok
+UNION ALL SELECT w.id, w.kind, w.title, w.importance, w.created_ms, CASE WHEN ok.id IS NOT NULL THEN {NOW_MS}::BIGINT ELSE w.updated_ms END, w.pinned, w.locked, coalesce(ok.target, w.superseded_by), '' FROM whole w LEFT JOIN ok ON ok.id = w.id WHERE ok.id IS NULL OR ok.target <> ok.id"""
+)
+def updated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after the updates, committed after the version that they have read."""
+    table = _updated(spark, sf_dir)[1]
+    base = store.fresh_path(spark, "store")
+    read = versions.commit(_changeable(spark, sf_dir).drop("doc_id"), base)
+    versions.commit(table, base, after=read)
+    return versions.read(spark, base, table.schema).select("id", "kind", "title", "importance", "created_ms", "updated_ms", "pinned", "locked", "superseded_by", F.array_join("supersedes", ",").alias("supersedes"))
+
+
 @query(
     f"""WITH {_STORE_SQL}, new AS (SELECT met.id, coalesce(created_ms, {NOW_MS}) AS created_ms, {NOW_MS}::BIGINT AS updated_ms, coalesce(pinned, false) AS pinned FROM met JOIN firsts USING (id) WHERE refused IS NULL AND request = last)
 SELECT id, created_ms, updated_ms, pinned, false AS superseded FROM new UNION ALL SELECT id, created_ms, updated_ms, pinned, superseded_by IS NOT NULL FROM held WHERE id NOT IN (SELECT id FROM new)"""

@@ -76,6 +76,70 @@ def stored(requests: DataFrame, records: DataFrame, tombstones: DataFrame, now_m
     return outcomes, records.join(new, "id", "left_anti").select(*new.columns).unionByName(new)
 
 
+def tombstones_left(requests: DataFrame, outcomes: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """tombstones (fingerprint, ...) without those that requests with revive, as stored() has taken them, have lifted."""
+    own = ids.fingerprint(c("kind"), c("scope"), c("scope_key"), c("content"))
+    taken = outcomes.filter(c("outcome").isin("inserted", "updated")).select("request")
+    lifted = requests.filter("revive").join(taken, "request", "left_semi").select(own.alias("fingerprint")).distinct()
+    return tombstones.join(lifted, "fingerprint", "left_anti")
+
+
+_RECORD = ("id", "kind", "scope", "scope_key", "content", "title", "importance", "tags", "created_ms", "updated_ms", "pinned", "locked", "lock_reason", "superseded_by", "supersedes")
+_PATCH = ("content", "title", "kind", "importance", "tags", "pinned")
+
+
+def updated(requests: DataFrame, records: DataFrame, tombstones: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The outcome (request, id, outcome, new_id) of each request to change a record, and the table of records after all of them.
+
+    requests: request (their order), id, revision (the updated_ms that was read; null: whatever there is), action (lock, unlock or null),
+    reason, and new values, null where there is none; records: _RECORD; tombstones: fingerprint. Rows are merged whole. A record whose
+    identity changes is a new one that keeps when it was made, and supersedes the old one, which points to it and is touched. Of several
+    requests for one record the first that can be granted is; for the others it has changed since it was read. A new identity that is
+    there already, or that an earlier request takes, is refused.
+    """
+    asked = requests.select("request", "id", "revision", "action", "reason", *(c(x).alias(f"new_{x}") for x in _PATCH))
+    met = asked.join(records.select(*_RECORD, F.lit(True).alias("there")), "id", "left")
+    changes = F.filter(F.array(*(F.when(c(f"new_{x}").isNotNull(), F.lit(x)) for x in _PATCH)), lambda x: x.isNotNull())
+    merged = met.withColumn("changes", changes).withColumns({x: F.coalesce(f"new_{x}", x) for x in _PATCH if x != "pinned"})
+    own = (c("kind"), c("scope"), c("scope_key"), c("content"))
+    named = merged.withColumns({"target": ids.memory_id(*own), "fingerprint": ids.fingerprint(*own)})
+    dead = tombstones.select("fingerprint", F.lit(True).alias("dead")).distinct()
+    known = records.select(c("id").alias("target"), F.lit(True).alias("taken"))
+    wrong = update_reject(c("action"), c("reason"), c("changes"), F.coalesce("locked", F.lit(False)), c("scope"), c("new_pinned"))
+    bad = request_reject(c("content"), c("title"), c("kind"), c("importance"), c("tags"))
+    refused = (
+        F.when(c("there").isNull(), "not_found")
+        .when(c("revision").isNotNull() & (c("revision") != c("updated_ms")), "conflict")
+        .when(c("superseded_by").isNotNull(), "superseded")
+        .when(c("scope") == "repository", "repository_managed")
+        .when(wrong.isNotNull(), wrong)
+        .when(bad.isNotNull(), bad)
+        .when(c("dead"), "tombstoned")
+        .when((c("target") != c("id")) & c("taken"), "exists")
+    )
+    told = store.cut(named.join(dead, "fingerprint", "left").join(known, "target", "left").withColumn("refused", refused))
+    first = told.filter("refused IS NULL").groupBy("id").agg(F.min("request").alias("first"))
+    one = told.join(first, "id", "left").withColumn("refused", F.when(c("refused").isNull() & (c("request") != c("first")), "conflict").otherwise(c("refused"))).drop("first")
+    owner = one.filter("refused IS NULL").groupBy("target").agg(F.min("request").alias("owner"))
+    last = store.cut(one.join(owner, "target", "left").withColumn("refused", F.when(c("refused").isNull() & (c("request") != c("owner")), "exists").otherwise(c("refused"))))
+    moved = c("target") != c("id")
+    outcome = F.when(c("refused").isNotNull(), c("refused")).when(moved, "superseded_by_new").otherwise("in_place")
+    outcomes = last.select("request", "id", outcome.alias("outcome"), F.when(c("refused").isNull() & moved, c("target")).alias("new_id"))
+    granted = last.filter("refused IS NULL")
+    locked = F.when(c("action") == "lock", True).when(c("action") == "unlock", False).otherwise(c("locked"))
+    reason = F.when(c("action") == "lock", c("reason")).when(c("action") == "unlock", F.lit(None)).otherwise(c("lock_reason"))
+    now = F.lit(now_ms).cast("long")
+    given = {
+        "id": c("target"), "updated_ms": now, "pinned": F.coalesce("new_pinned", "pinned"), "locked": locked, "lock_reason": reason,
+        "superseded_by": F.lit(None).cast("string"), "supersedes": F.when(moved, F.array("id")).otherwise(c("supersedes")),
+    }
+    new = granted.select(*(given.get(x, c(x)).alias(x) for x in _RECORD))
+    back = granted.select("id", F.when(moved, c("target")).alias("successor"))
+    held = records.select(*_RECORD).join(back, "id", "left").join(new.select("id", F.lit(True).alias("replaced")), "id", "left").filter("replaced IS NULL")
+    touched = {"superseded_by": F.coalesce("successor", "superseded_by"), "updated_ms": F.when(c("successor").isNotNull(), now).otherwise(c("updated_ms"))}
+    return outcomes, held.select(*(touched.get(x, c(x)).alias(x) for x in _RECORD)).unionByName(new)
+
+
 def delete_refused(scope: Column, locked: Column) -> Column:
     return lifecycle.lock_rule(F.lit("delete"), scope, locked)
 

@@ -241,3 +241,30 @@ def test_semantic_score_and_scopes(spark):
     rows = spark.createDataFrame([("session", "s1"), ("session", "s2"), ("project", None)], "scope string, scope_key string")
     count = lambda *x: rows.filter(graph.scope_matches(*x)).count()
     assert (count(None, None), count("session", None), count("session", "s1"), count(None, "")) == (3, 2, 1, 1)
+
+
+def test_updates_merge_rows(spark):
+    """Revisions, successors with back-links, locks, the first of two requests, and identities that are there already."""
+    from tallyrook.functions import ids
+    from tallyrook.operators import records
+
+    F = records.F
+    kinds = "kind string, scope string, scope_key string, content string, title string, importance double, tags array<string>, created_ms long, updated_ms long, pinned boolean, locked boolean, lock_reason string, superseded_by string, supersedes array<string>"
+    row = lambda content, scope="project", locked=False: ("fact", scope, None, content, "t", 0.5, ["x"], 1, 10, False, locked, None, None, [])
+    held = spark.createDataFrame([row("one"), row("two"), row("three", locked=True), row("four", "repository")], kinds)
+    held = held.withColumn("id", ids.memory_id(F.col("kind"), F.col("scope"), F.col("scope_key"), F.col("content")))
+    of = {r.content: r.id for r in held.collect()}
+    ask = lambda n, who, revision=10, action=None, reason=None, content=None, importance=None, pinned=None: (n, of.get(who, "mem_none"), revision, action, reason, content, None, None, importance, None, pinned)
+    requests = [ask(1, "one", content="one more"), ask(2, "one", importance=0.9), ask(3, "two", revision=9), ask(4, "two", None, importance=0.7), ask(5, "three", content="x"), ask(6, "four"), ask(7, "gone"), ask(8, "three", action="unlock")]
+    named = spark.createDataFrame(requests, "request long, id string, revision long, action string, reason string, content string, title string, kind string, importance double, tags array<string>, pinned boolean")
+    dead = spark.createDataFrame([], "fingerprint string")
+    outcomes, table = records.updated(named, held, dead, 99)
+    assert {r.request: r.outcome for r in outcomes.collect()} == {1: "superseded_by_new", 2: "conflict", 3: "conflict", 4: "in_place", 5: "locked", 6: "repository_managed", 7: "not_found", 8: "in_place"}
+    after = {r.content: r for r in table.collect()}
+    assert len(after) == 5 and after["one"].superseded_by == after["one more"].id and after["one"].updated_ms == 99
+    assert (after["one more"].supersedes, after["one more"].created_ms, after["one more"].tags) == ([of["one"]], 1, ["x"])
+    assert (after["two"].importance, after["two"].updated_ms, after["three"].locked, after["four"].updated_ms) == (0.7, 99, False, 10)
+    taken = records.updated(spark.createDataFrame([ask(1, "one", content="two")], named.schema), held, dead, 99)[0].first()
+    assert taken.outcome == "exists"
+    gone = held.filter("content = 'one'").select(ids.fingerprint(F.col("kind"), F.col("scope"), F.col("scope_key"), F.lit("again")).alias("fingerprint"))
+    assert records.updated(spark.createDataFrame([ask(1, "one", content="again")], named.schema), held, gone, 99)[0].first().outcome == "tombstoned"
