@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tallyrook.functions import ids
@@ -11,7 +12,7 @@ from tallyrook.jobs.catalog import query
 from tallyrook.jobs.records import _COLLAPSE
 from tallyrook.operators import channels, records, store
 from tallyrook.schemas import DAY_MS, KINDS, NOW_MS
-from tallyrook.sources import files, tables, versions
+from tallyrook.sources import files, generations, tables, versions
 from tallyrook.sources.tables import RECORDS_SQL, table
 
 c = F.col
@@ -322,18 +323,83 @@ def ingest_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vec_id, 'g2' AS generation, len(v) AS dimensions, round(v[1] / norm, 6) AS first_value, round(list_inner_product(list_transform(v, lambda x: x / norm), list_transform(v, lambda x: x / norm)), 6) AS norm FROM n"""
 )
 def generation_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new generation of vectors (the first 32 dimensions, at norm 1): written, checked whole, and switched to only if every vector is sound."""
-    base = store.fresh_path(spark, "vectors")
-    old = tables.embeddings(spark, sf_dir).select("vec_id", "vector", F.lit("g1").alias("generation"))
-    first = versions.commit(old, base)
-    new = store.written(old.select("vec_id", channels.renormalised(c("vector"), 32).alias("vector"), F.lit("g2").alias("generation")))
-    checked = new.agg(F.count("*").alias("n"), F.count_if(channels.sound(c("vector"), 32)).alias("sound")).first()
-    if (checked["n"], checked["sound"]) == (old.count(),) * 2:
-        versions.commit(new, base, after=first)
-    now = versions.read(spark, base, old.schema)
+    """A new generation of vectors (the first 32 dimensions, at norm 1), in a switch that is taken up anew before each of its steps."""
+    base, schema = _with_vectors(spark, sf_dir)
+    _switch(spark, base, "to_g2", 32).begin("g2", schema, "vec_id", 32)
+    while _switch(spark, base, "to_g2", 32).step() not in generations.TERMINAL:
+        pass
+    now = generations.vectors(spark, base).withColumn("generation", F.lit(generations.active(spark, base)["generation"]))
     return now.select("vec_id", "generation", F.size("vector").alias("dimensions"), F.round(F.get("vector", 0), 6).alias("first_value"), F.round(channels.dot(c("vector"), c("vector")), 6).alias("norm"))
 
 
+def _with_vectors(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
+    """A versioned table of the vectors, in a few files, and its schema."""
+    base = store.fresh_path(spark, "vectors")
+    old = tables.embeddings(spark, sf_dir).select("vec_id", "vector")
+    versions.commit(old.repartition(3), base)
+    return base, old.schema
+
+
+def _switch(spark: SparkSession, base: str, name: str, dimensions: int) -> generations.Switch:
+    return generations.Switch(spark, base, name, lambda rows: rows.select("vec_id", channels.renormalised(c("vector"), dimensions).alias("vector")))
+
+
+_PATH = "queued,validating,reindexing,reindexing,reindexing,verifying"
+
+
+@query(
+    f"""WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 50 <> 3) AS kept FROM embeddings)
+SELECT 'finished' AS run, '{_PATH},committing,succeeded' AS phases, CAST(NULL AS VARCHAR) AS code, 'g2' AS active, n AS vectors FROM n
+UNION ALL SELECT 'same_generation', 'queued,validating,failed', 'SAME_GENERATION', 'g2', n FROM n
+UNION ALL SELECT 'unsound', '{_PATH},failed', 'TARGET_VECTOR_INVALID', 'g2', n FROM n
+UNION ALL SELECT 'incomplete', '{_PATH},failed', CASE WHEN kept < n THEN 'TARGET_INCOMPLETE' END, 'g2', n FROM n
+UNION ALL SELECT 'cancelled', 'queued,validating,reindexing,cancel_requested,cancelled', NULL, 'g2', n FROM n
+UNION ALL SELECT 'second', '{_PATH},committing,succeeded', NULL, 'g3', n FROM n
+UNION ALL SELECT 'rolled_back', '', NULL, 'g2', n FROM n
+UNION ALL SELECT 'written_meanwhile', 'queued,validating,reindexing,failed', 'SOURCE_CHANGED', 'g2', n FROM n"""
+)
+def generation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Switches of one table, one after the other: their phases, why they failed, the generation that is active after each, and its vectors."""
+    base, schema = _with_vectors(spark, sf_dir)
+    out = []
+
+    def report(run: str, switch: generations.Switch | None) -> None:
+        path = switch.history() if switch else []
+        now = generations.active(spark, base)["generation"]
+        out.append(generations.vectors(spark, base).agg(F.lit(run).alias("run"), F.lit(",".join(x["phase"] for x in path)).alias("phases"), F.lit(path[-1].get("code") if path else None).cast("string").alias("code"), F.lit(now).alias("active"), F.count("*").alias("vectors")))
+
+    def begun(run: str, generation: str, embed: generations.Embed | None = None) -> generations.Switch:
+        own = _switch(spark, base, run, 32)
+        own.embed = embed or own.embed
+        return own.begin(generation, schema, "vec_id", 32, batch_bytes=1)
+
+    half = lambda rows: rows.select("vec_id", F.transform(channels.renormalised(c("vector"), 32), lambda x: x / 2).alias("vector"))
+    less = lambda rows: rows.filter("vec_id % 50 <> 3").select("vec_id", channels.renormalised(c("vector"), 32).alias("vector"))
+    for run, generation, embed in (("finished", "g2", None), ("same_generation", "g2", None), ("unsound", "g3", half), ("incomplete", "g3", less)):
+        own = begun(run, generation, embed)
+        own.run()
+        report(run, own)
+    own = begun("cancelled", "g3")
+    while own.now().content["phase"] != "reindexing":
+        own.step()
+    own.cancel()
+    own.run()
+    report("cancelled", own)
+    own = begun("second", "g3")
+    own.run()
+    report("second", own)
+    generations.roll_back(spark, base)
+    report("rolled_back", None)
+    own = begun("written_meanwhile", "g4")
+    while own.now().content["phase"] != "reindexing":
+        own.step()
+    at = versions.current_version(spark, base)
+    versions.commit(versions.read(spark, base, schema), base, after=at)
+    own.run()
+    report("written_meanwhile", own)
+    return store.union(*out)
+
+
 _SNAPSHOT = "id string, doc_id long, kind string, scope string, scope_key string, title string, content string, tags array<string>, updated_ms long, superseded_by long"
 
 

@@ -1,4 +1,4 @@
-"""Logs and versions, the text index against plain BM25, and the vector index against the exact search."""
+"""Logs, versions and generations, the text index against plain BM25, and the vector index against the exact search."""
 
 import json
 import math
@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrook.operators import channels
-from tallyrook.sources import text_index, vector_index, versions
+from tallyrook.sources import generations, text_index, vector_index, versions
 
 rng = np.random.default_rng(3)
 
@@ -171,3 +171,105 @@ def test_vector_index(spark, sf_dir, tmp_path, monkeypatch):
     now = {(r.qid, r.doc_id) for r in index.search(queries, 10).collect()}
     assert (10, 10**6 + 10) in now and not any(d == 20 for _, d in now)
     assert index.search(queries.limit(0), 10).count() == 0
+
+
+# --- generations -------------------------------------------------------------------------------------------------
+@pytest.fixture
+def rows_table(spark, tmp_path):
+    """A table of 40 rows in four files, and what opens a switch of it."""
+    base = f"{tmp_path}/t"
+    schema = "id long, x array<double>"
+    frame = spark.createDataFrame([(i, [float(i), 1.0, float(i % 5)]) for i in range(40)], schema)
+    versions.commit(frame.repartition(4), base)
+    made = []
+
+    def embed(rows):
+        made.append(sorted(rows.inputFiles()))
+        return rows.select("id", channels.renormalised(F.col("x"), 3).alias("vector"))
+
+    return base, frame, made, lambda name="one": generations.Switch(spark, base, name, embed)
+
+
+def begun(rows_table, generation="g1", name="one", **options):
+    base, frame, _, opened = rows_table
+    return opened(name).begin(generation, frame.schema, "id", 3, batch_bytes=1, **options)
+
+
+def test_switch_restarts_after_every_phase(spark, rows_table, monkeypatch):
+    """A kill before, within and after each batch, and between the switch and its entry: one table, and no batch twice."""
+    base, _, made, opened = rows_table
+    begun(rows_table)
+    opened().step(), opened().step()
+    made.clear()
+    opened().step()
+    claim = versions.Log.claim
+
+    def killed(log, after, content):
+        if content.get("batch") == 2:
+            raise RuntimeError("killed")
+        return claim(log, after, content)
+
+    monkeypatch.setattr(versions.Log, "claim", killed)
+    with pytest.raises(RuntimeError):  # the second batch is written, its entry isn't
+        opened().step()
+    monkeypatch.setattr(versions.Log, "claim", claim)
+    while opened().now().content["phase"] != "committing":
+        opened().step()
+    assert len(made) == 5 and made[1] == made[2] and sorted({f for x in made for f in x}) == sorted(f for x in made[:1] + made[2:] for f in x)
+    assert generations.active(spark, base) is None
+    monkeypatch.setattr(generations.Switch, "_end", lambda self, at: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):  # switched, not yet said
+        opened().step()
+    monkeypatch.undo()
+    assert opened().now().content["phase"] == "committing" and generations.active(spark, base)["generation"] == "g1"
+    versions.commit(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "id long, x array<double>"), base, after=0)  # after the switch: it stays
+    assert opened().run() == "succeeded" and generations.active(spark, base)["generation"] == "g1"
+    assert generations.vectors(spark, base).count() == 40
+
+
+def test_switch_is_fenced(spark, rows_table):
+    """A write at any phase before the switch aborts it and its files go; a rollback of rows counts as a write."""
+    base, frame, _, opened = rows_table
+    for n, phase in enumerate(("queued", "validating", "reindexing", "verifying", "committing")):
+        own = begun(rows_table, name=phase)
+        with pytest.raises(versions.Conflict):
+            begun(rows_table, name="another")
+        while own.now().content["phase"] != phase:
+            own.step()
+        if n % 2:
+            versions.rollback(spark, base, 0)
+        else:
+            versions.commit(frame.repartition(4), base, after=versions.current_version(spark, base))
+        assert opened(phase).run() == "failed" and own.now().content["code"] == "SOURCE_CHANGED"
+        assert generations.active(spark, base) is None and not own.log.files.exists(f"{base}/{own._folder(own.now().content)}")
+
+
+def test_switch_probes_and_previous(spark, rows_table):
+    base, frame, _, opened = rows_table
+    pair = lambda v, i: spark.createDataFrame([(0, v, i)], "qid long, vector array<double>, id long")
+    assert begun(rows_table, name="a").run(pair([0.0, 1.0, 0.0], 39)) == "failed" and opened("a").now().content["code"] == "PROBE_FAILED"
+    assert begun(rows_table, name="b").run(pair([0.0, 1.0, 0.0], 0)) == "succeeded"
+    assert begun(rows_table, "g2", "c", keep_previous=False).run() == "succeeded"
+    with pytest.raises(ValueError):
+        generations.roll_back(spark, base)
+    assert begun(rows_table, "g3", "d").run() == "succeeded" and generations.active(spark, base)["generation"] == "g3"
+    generations.roll_back(spark, base)
+    assert generations.active(spark, base)["generation"] == "g2" and generations.vectors(spark, base).count() == 40
+    assert begun(rows_table, "g4", "e").run() == "succeeded"
+    versions.commit(frame, base, after=0)
+    with pytest.raises(ValueError):  # the rows are others now
+        generations.roll_back(spark, base)
+    assert begun(rows_table, "g5", "f").run() == "succeeded"
+
+
+def test_switch_of_an_empty_table(spark, tmp_path):
+    frame = spark.createDataFrame([], "id long, x array<double>")
+    versions.commit(frame, f"{tmp_path}/e")
+    own = generations.Switch(spark, f"{tmp_path}/e", "s", lambda rows: rows.select("id", F.col("x").alias("vector")))
+    assert own.begin("g1", frame.schema, "id", 3).run() == "failed" and own.now().content["code"] == "NO_ROWS"
+
+
+def test_digest_of_rows(spark):
+    rows = [(i % 7, None if i % 3 else f"t{i}") for i in range(50)]
+    a, b, less = (spark.createDataFrame(x, "k long, t string") for x in (rows, rows[::-1], rows[:-1] + rows[:1]))
+    assert generations.digest(a) == generations.digest(b.repartition(5)) != generations.digest(less)
