@@ -24,10 +24,10 @@ def live(spark: SparkSession, sf_dir: str, time: graph.TimeFilter | None = None)
 
 _NAMED = lambda rows: f"""SELECT qid, id, round(max(CASE WHEN field = text THEN 1.0 WHEN contains(field, text) THEN 0.75 ELSE 0.6::DOUBLE * len(list_filter(string_split(text, ' '), lambda w: list_contains(string_split(field, ' '), w))) / len(string_split(text, ' ')) END), 9) AS score
   FROM gq, (SELECT id, unnest(fields) AS field FROM ({rows})) GROUP BY ALL HAVING score > 0"""
-SEARCH_SQL = f"""{GRAPH_SQL}, live_ent AS (SELECT * FROM ent WHERE entity IN (SELECT id FROM ok_entity)
+_SEARCH = lambda near="": f"""{GRAPH_SQL}, live_ent AS (SELECT * FROM ent WHERE entity IN (SELECT id FROM ok_entity)
 ), by_name AS ({_NAMED("SELECT entity AS id, list_concat([name, type], aliases) AS fields FROM live_ent")}
 ), by_rel AS ({_NAMED("SELECT relation AS id, [predicate] AS fields FROM ok_relation")}
-), seeds AS (SELECT qid, entity, max(score) AS score FROM (SELECT qid, id AS entity, score FROM by_name UNION ALL SELECT qid, unnest([subject, object]), score FROM by_rel JOIN ok_relation ON relation = id) GROUP BY ALL
+), seeds AS (SELECT qid, entity, max(score) AS score FROM (SELECT qid, id AS entity, score FROM by_name UNION ALL SELECT qid, unnest([subject, object]), score FROM by_rel JOIN ok_relation ON relation = id{near}) GROUP BY ALL
 ), adj AS (
   SELECT node, neighbour FROM (SELECT relation, subject AS node, object AS neighbour FROM ok_relation UNION ALL SELECT relation, object, subject FROM ok_relation)
   QUALIFY row_number() OVER (PARTITION BY node ORDER BY relation, neighbour) <= 32
@@ -40,7 +40,13 @@ SEARCH_SQL = f"""{GRAPH_SQL}, live_ent AS (SELECT * FROM ent WHERE entity IN (SE
 ), best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id, kind) - 1 AS place FROM every QUALIFY place < 64
 ), memories AS (SELECT 'entity' AS kind, id, min(doc_id) AS memory FROM cur_entity GROUP BY id UNION ALL SELECT 'fact', CAST(id AS VARCHAR), min(doc_id) FROM cur_fact GROUP BY id
   UNION ALL SELECT 'observation', CAST(observation AS VARCHAR), min(doc_id) FROM obs JOIN cur_fact ON id = fact GROUP BY observation
-), found AS (SELECT qid, place, best.kind, best.id, CAST(score AS DOUBLE) AS score, memory FROM best LEFT JOIN memories USING (kind, id))"""
+), found AS (SELECT qid, place, best.kind, best.id, CAST(score AS DOUBLE) AS score, memory FROM best LEFT JOIN memories USING (kind, id))"""
+SEARCH_SQL = _SEARCH()
+_LIKE = "round(least(greatest((list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) + 1) / 2, 0), 1), 9)"
+#: Of two of three customers and suppliers the vector is of the active generation; every one of them is near to a query, the best 64 count.
+_NEAR = f"""SELECT qid, entity, {_LIKE} AS score FROM gq JOIN embeddings q ON q.vec_id = qid, live_ent JOIN embeddings v ON v.vec_id = key
+  WHERE type IN ('customer', 'supplier') AND key % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key, type) <= 64"""
+MEANT_SQL = _SEARCH(f" UNION ALL SELECT * FROM ({_NEAR}) WHERE score > 0")
 
 
 @query(f"WITH {GRAPH_SQL} SELECT doc_id, unit, revision, eligible, remote FROM src")
@@ -81,6 +87,31 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir)[0]
 
 
+def meaning(spark: SparkSession, sf_dir: str) -> graph.Meaning:
+    return graph.Meaning(*held.meaning(spark, sf_dir), "g2")
+
+
+_BY = """SELECT CAST(qid AS INT) AS qid, entity, score, coalesce(n.score_n, 0) AS semantic, CASE WHEN n.score_n IS NULL THEN 'words' WHEN w.qid IS NULL THEN 'vector' ELSE 'both' END AS found_by
+FROM seeds LEFT JOIN (SELECT qid, entity, score AS score_n FROM near) n USING (qid, entity) LEFT JOIN (SELECT DISTINCT qid, entity FROM (SELECT qid, id AS entity FROM by_name UNION ALL SELECT qid, unnest([subject, object]) FROM by_rel JOIN ok_relation ON relation = id)) w USING (qid, entity)"""
+
+
+@query(f"WITH {MEANT_SQL}, near AS ({_NEAR}) {_BY}")
+def graph_seeds_by_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that a query names or is near to by vectors of the active generation, with scores and what found them."""
+    own, asked, meant = live(spark, sf_dir), held.queries(spark, sf_dir), meaning(spark, sf_dir)
+    near = store.cut(graph.near(meant, own.entities)).withColumnRenamed("score", "semantic")
+    words = graph.seeds(asked, own.entities, own.relations)
+    both = words.join(near, ["qid", "entity"], "full_outer")
+    by = F.when(c("semantic").isNull(), "words").when(c("score").isNull(), "vector").otherwise("both")
+    return both.select("qid", "entity", F.greatest("score", "semantic").alias("score"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"), by.alias("found_by"))
+
+
+@query(f"WITH {MEANT_SQL} SELECT CAST(qid AS INT) AS qid, CAST(place AS INT) AS place, kind, id, score, memory FROM found")
+def graph_search_by_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each query finds where its seeds are by words and by vectors."""
+    return store.cut(graph.results(held.queries(spark, sf_dir), live(spark, sf_dir), meaning=meaning(spark, sf_dir)))
+
+
 @query(f"WITH {SEARCH_SQL} SELECT qid, memory AS doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY min(place), memory) - 1 AS INT) AS rank FROM found WHERE memory IS NOT NULL GROUP BY qid, memory")
 def graph_memory_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records behind a graph search, in the order of its results."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrook.functions import text
-from tallyrook.operators.channels import dot
+from tallyrook.operators.channels import cosine_top, dot
 from tallyrook.operators.store import cut, small
 from tallyrook.schemas import FANOUT, GRAPH_DEPTH, GRAPH_RESULTS, SAME_ENTITY
 
@@ -140,12 +140,37 @@ def semantic(query: Column, passage: Column, active: Column, generation: Column)
     return F.when(fits, F.least(F.greatest((dot(query, passage) + 1) / 2, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
-def seeds(queries: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """qid, entity, score of the entities that a query names, by name, type or alias, or whose relations it names."""
+@dataclass
+class Meaning:
+    """What a search knows of meanings: vectors of queries (qid, vector) and of entities (entity, number, vector, generation), of norm 1,
+    and the generation that is active. `number` is an entity's own whole number: among alike ones the least comes first."""
+
+    queries: DataFrame
+    entities: DataFrame
+    active: str
+
+
+def near(meaning: Meaning, entities: DataFrame, most: int = GRAPH_RESULTS) -> DataFrame:
+    """qid, entity, score (semantic(), above 0) of the `most` entities nearest to each query that has a vector.
+
+    Every entity with a vector is a seed of every such query; those beyond the best `most` can't come among a search's `most` results, so
+    each task cuts to these before anything is exchanged. Vectors of another generation or dimension count for nothing.
+    """
+    own = meaning.entities.filter((c("generation") == meaning.active) & (c("generation") != "")).join(entities.select("entity"), "entity", "left_semi")
+    best = cosine_top(meaning.queries, own.select(c("number").alias("doc_id"), "vector"), most).filter("similarity > 0")
+    return best.join(own.select("entity", c("number").alias("doc_id")), "doc_id").select("qid", "entity", c("similarity").alias("score"))
+
+
+def seeds(queries: DataFrame, entities: DataFrame, relations: DataFrame, meaning: Meaning | None = None) -> DataFrame:
+    """qid, entity, score of the entities that a query names, by name, type or alias, or whose relations it names; and, with meaning, of those
+    near to it. The greatest score counts."""
     own = named(queries, entities, "entity", [F.array("name", "type"), c("aliases")])
     by = named(queries, relations, "relation", [F.array(*(text.normal_name(c(x)) for x in ("predicate",)))])
     ends = by.join(relations, "relation").select("qid", F.explode(F.array("subject", "object")).alias("entity"), "score")
-    return own.unionByName(ends).groupBy("qid", "entity").agg(F.max("score").alias("score"))
+    every = own.unionByName(ends)
+    if meaning is not None:
+        every = every.unionByName(near(meaning, entities))
+    return every.groupBy("qid", "entity").agg(F.max("score").alias("score"))
 
 
 def adjacency(relations: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -167,10 +192,11 @@ def bounded_search(seeds_: DataFrame, relations: DataFrame, depth: int = 2, fano
     return found
 
 
-def results(queries: DataFrame, live: Eligible, most: int = GRAPH_RESULTS, depth: int = GRAPH_DEPTH, fanout: int = FANOUT) -> DataFrame:
+def results(queries: DataFrame, live: Eligible, most: int = GRAPH_RESULTS, depth: int = GRAPH_DEPTH, fanout: int = FANOUT, meaning: Meaning | None = None) -> DataFrame:
     """qid, place, kind, id, score and memory (the least record of its current evidence) of what a search finds, best first: entities
-    within reach of the seeds, facts and observations that the query names. At most `most` a query."""
-    reached = bounded_search(seeds(queries, live.entities, live.relations), live.relations, depth, fanout).select("qid", F.lit("entity").alias("kind"), c("entity").alias("id"), "score")
+    within reach of the seeds, facts and observations that the query names. At most `most` a query, which is GRAPH_RESULTS or less."""
+    start = cut(seeds(queries, live.entities, live.relations, meaning)) if meaning else seeds(queries, live.entities, live.relations)
+    reached = bounded_search(start, live.relations, depth, fanout).select("qid", F.lit("entity").alias("kind"), c("entity").alias("id"), "score")
     facts = named(queries, live.facts, "fact", [F.array("text", "context", "type")])
     seen = named(queries, live.observations, "observation", [F.array("statement")])
     of = lambda rows, kind: rows.select("qid", F.lit(kind).alias("kind"), c(kind).cast("string").alias("id"), "score")

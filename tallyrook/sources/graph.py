@@ -102,6 +102,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.unionByName(nations).unionByName(kinds)
 
 
+def meaning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of queries (qid, vector) and of customers and suppliers (entity, number, vector, generation): two of three are of g2."""
+    held = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    own = entities(spark, sf_dir).filter("type IN ('customer', 'supplier')").join(held, "key")
+    number = c("key") * 2 + F.when(c("type") == "supplier", 1).otherwise(0)
+    of = own.select("entity", number.alias("number"), "vector", F.when(c("key") % 3 == 0, "g1").otherwise("g2").alias("generation"))
+    return queries(spark, sf_dir).join(held.withColumnRenamed("key", "qid"), "qid").select("qid", "vector"), of
+
+
 # --- the same in SQL ---------------------------------------------------------------------------------------------
 _NAME = lambda x: f"trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')))"
 _ONE = lambda t, key, letter, label, kind: f"SELECT '{letter}' || {key} AS entity, CAST({key} AS BIGINT) AS key, {_NAME(label)} AS name, '{kind}' AS type, ['{kind} ' || {key}] AS aliases FROM {t}"

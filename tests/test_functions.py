@@ -268,3 +268,19 @@ def test_updates_merge_rows(spark):
     assert taken.outcome == "exists"
     gone = held.filter("content = 'one'").select(ids.fingerprint(F.col("kind"), F.col("scope"), F.col("scope_key"), F.lit("again")).alias("fingerprint"))
     assert records.updated(spark.createDataFrame([ask(1, "one", content="again")], named.schema), held, gone, 99)[0].first().outcome == "tombstoned"
+
+
+def test_graph_seeds_by_vectors(spark):
+    """A seed by vector alone; another generation or dimension counts for nothing; words keep the greater score; ties go to the least number."""
+    entities = spark.createDataFrame([(e, n, "thing", []) for e, n in (("a", "alpha"), ("b", "beta"), ("c", "gamma"), ("d", "delta"), ("e", "eps"), ("f", "zeta"))], "entity string, name string, type string, aliases array<string>")
+    relations = spark.createDataFrame([("r", "a", "uses", "d")], "relation string, subject string, predicate string, object string")
+    queries = spark.createDataFrame([(1, "alpha"), (2, "nothing else")], "qid int, text string")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], "qid int, vector array<double>")
+    held = [("a", 9, [1.0, 0.0], "g2"), ("b", 2, [1.0, 0.0], "g2"), ("c", 3, [1.0, 0.0], "g1"), ("d", 4, [1.0, 0.0, 0.0], "g2"), ("e", 1, [0.6, 0.8], "g2"), ("gone", 0, [1.0, 0.0], "g2")]
+    vectors = spark.createDataFrame(held, "entity string, number long, vector array<double>, generation string")
+    meaning = graph.Meaning(asked, vectors, "g2")
+    found = {(r.qid, r.entity): r.score for r in graph.seeds(queries, entities, relations, meaning).collect()}
+    assert found == {(1, "a"): 1.0, (1, "b"): 0.5, (1, "e"): 0.9, (2, "a"): 1.0, (2, "b"): 1.0, (2, "e"): 0.8, (3, "e"): 0.2}
+    top = {(r.qid, r.entity) for r in graph.near(meaning, entities, 1).collect()}
+    assert top == {(1, "e"), (2, "b"), (3, "e")}
+    assert graph.near(graph.Meaning(asked, vectors, ""), entities).isEmpty() and graph.near(graph.Meaning(asked.limit(0), vectors, "g2"), entities).isEmpty()
