@@ -7,14 +7,14 @@ from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrook.functions import ids, text
 from tallyrook.jobs.catalog import query
 from tallyrook.jobs.records import _COLLAPSE
-from tallyrook.operators import store
+from tallyrook.operators import candidates, store
 from tallyrook.sources import graph as held
 from tallyrook.sources import tables
 from tallyrook.sources.graph import GRAPH_SQL, entities, relations
@@ -84,9 +84,50 @@ def evidence_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.collapse(F.coalesce("text", F.lit(""))).alias("text"))
     own = t.filter("role = 'assistant' AND length(text) >= 3").select("conv_id", "turn", F.substring("text", 1, 40).alias("quote"))
     theirs = t.filter("role = 'user' AND length(text) >= 8").select("conv_id", (c("turn") + 1).alias("turn"), F.substring("text", 5, 30).alias("quote"))
-    said = t.filter("role = 'user'").select("conv_id", "text")
-    met = own.unionByName(theirs).join(said, "conv_id", "left").groupBy("conv_id", "turn", "quote")
-    return met.agg(F.coalesce(F.bool_or(c("text").contains(c("quote"))), F.lit(False)).alias("supported"))
+    quotes = store.cut(own.unionByName(theirs).distinct())
+    proven = candidates.quoted(quotes, t.filter("role = 'user'"), "conv_id", ("turn",)).withColumn("proven", F.lit(True))
+    return quotes.join(proven, ["conv_id", "quote"], "left").select("conv_id", "turn", "quote", c("proven").isNotNull().alias("supported"))
+
+
+_PAYLOADS = ("sound", "unknown_key", "proven", "unproven", "repeated_key", "not_json", "many", "no_anchor", "importance", "unclosed", "silent")
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id, turn, (conv_id * 7 + turn) % {len(_PAYLOADS)} AS k, {_COLLAPSE.format("min(coalesce(text, ''))")} AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+), u AS (SELECT conv_id, turn, {_COLLAPSE.format("coalesce(text, '')")} AS text FROM conversations WHERE role = 'user'
+), b AS (SELECT m.conv_id, m.turn, k, said, coalesce(min(text), '') AS before FROM m LEFT JOIN u ON u.conv_id = m.conv_id AND u.turn = m.turn - 1 GROUP BY ALL
+), q AS (SELECT *, trim(CASE k WHEN 2 THEN substr(before, 3, 40) ELSE 'never ' || substr(said, 1, 30) END) AS quote FROM b
+), r AS (SELECT q.conv_id, q.turn, k, said, length(quote) >= 3 AND coalesce(bool_or(contains(text, quote)), false) AS ok FROM q LEFT JOIN u USING (conv_id) GROUP BY q.conv_id, q.turn, k, said, quote
+), c AS (SELECT *, CASE k {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PAYLOADS))} END AS made FROM r)
+SELECT conv_id, turn, CASE WHEN made NOT IN ('not_json', 'unclosed') THEN CAST(n AS INT) END AS n, CASE WHEN made IN ('proven', 'unproven') THEN CASE WHEN NOT ok THEN 'evidence' END WHEN made = 'many' THEN CASE WHEN n > 2 THEN 'beyond' END WHEN made <> 'sound' THEN made END AS code,
+  CASE WHEN made = 'sound' OR (made = 'many' AND n < 3) OR (made IN ('proven', 'unproven') AND ok) THEN 'n' || n || ' ' || substr(said, 1, 20) END AS title
+FROM c, range(5) t(n) WHERE made <> 'silent' AND (n = 0 OR made = 'many')"""
+)
+def curated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads in what assistants say, made from each message and the one before it: their candidates, accepted or refused with a code."""
+    t = table(spark, sf_dir, "conversations")
+    said = t.filter("role = 'assistant'").groupBy("conv_id", "turn").agg(text.collapse(F.min(F.coalesce("text", F.lit("")))).alias("said"))
+    users = t.filter("role = 'user'").select("conv_id", "turn", text.collapse(F.coalesce("text", F.lit(""))).alias("text"))
+    before = users.groupBy("conv_id", (c("turn") + 1).alias("turn")).agg(F.min("text").alias("before"))
+    m = said.join(before, ["conv_id", "turn"], "left").withColumns({"before": F.coalesce("before", F.lit("")), "k": (c("conv_id") * 7 + c("turn")) % len(_PAYLOADS)})
+    is_ = {x: c("k") == i for i, x in enumerate(_PAYLOADS)}
+    of_user = is_["proven"] | is_["unproven"]
+
+    def one(n: Column) -> Column:
+        title = F.concat(F.lit("n"), n.cast("string"), F.lit(" "), F.substring("said", 1, 20))
+        quote = F.when(is_["proven"], F.substring("before", 3, 40)).when(is_["unproven"], F.concat(F.lit("never "), F.substring("said", 1, 30)))
+        fields = {"title": title, "content": F.concat(F.lit("about "), F.substring("said", 1, 200)), "kind": F.when(of_user, "preference").when(is_["no_anchor"], "fact").otherwise("pattern"), "taxonomy": F.when(of_user, "user_preference"),
+                  "importance": F.when(is_["importance"], 0.9).otherwise(0.5), "tags": F.array(F.lit("one"), F.lit("two")), "code_paths": F.array().cast("array<string>"), "evidence_quote": quote, "secret": F.when(is_["unknown_key"], 1)}
+        json = F.to_json(F.struct(*(x.alias(k) for k, x in fields.items())))
+        return F.when(is_["repeated_key"], F.replace(json, F.lit('"tags"'), F.lit('"kind":"gotcha","tags"'))).otherwise(json)
+
+    each = F.transform(F.sequence(F.lit(0), F.when(is_["many"], 4).otherwise(0)), one)
+    payload = F.concat(F.lit("["), F.array_join(each, ","), F.when(is_["not_json"], "] and more").otherwise("]"))
+    close = F.when(is_["unclosed"], "").otherwise(candidates.CLOSE)
+    whole = F.when(is_["silent"], c("said")).otherwise(F.concat("said", F.lit(candidates.OPEN + "\n"), payload, F.lit("\n"), close))
+    keys = ["conv_id", "turn"]
+    found = store.cut(candidates.parsed(m.select(*keys, whole.alias("text")), keys))
+    return candidates.judged(found, users, keys, "conv_id", ("turn",)).select(*keys, "n", "code", F.when(c("accepted"), c("title")).alias("title"))
 
 
 #: UTF-8 bytes of a unit and of all units of a conversation.

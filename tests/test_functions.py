@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyrook import jobs
 from tallyrook.functions import ids, lifecycle, safety, text
 from tallyrook.jobs.exchange import fit_units
-from tallyrook.operators import channels, graph, metrics, ranking, store
+from tallyrook.operators import candidates, channels, graph, metrics, ranking, store
 from tallyrook.schemas import DAY_MS
 from tallyrook.sources import files
 
@@ -284,3 +284,51 @@ def test_graph_seeds_by_vectors(spark):
     top = {(r.qid, r.entity) for r in graph.near(meaning, entities, 1).collect()}
     assert top == {(1, "e"), (2, "b"), (3, "e")}
     assert graph.near(graph.Meaning(asked, vectors, ""), entities).isEmpty() and graph.near(graph.Meaning(asked.limit(0), vectors, "g2"), entities).isEmpty()
+
+
+def test_candidates_are_parsed_strictly(spark):
+    """A code for each refusal; repeated keys at any depth, constants that JSON lacks and what follows the array are refused."""
+    import json
+
+    good = {"title": "t", "content": "c", "kind": "pattern", "importance": 0.5, "tags": ["x"], "code_paths": []}
+    of = lambda **more: {k: v for k, v in (good | more).items() if v is not ...}
+    user = {"taxonomy": "user_goal", "kind": "fact", "evidence_quote": "  I want  it "}
+    cases = [
+        (good, None), (of(extra=1), "unknown_key"), ([], "not_object"), (None, "not_object"), (of(taxonomy="nothing"), "taxonomy"), (of(taxonomy=None), "taxonomy"), (of(taxonomy="code_style"), None),
+        (of(kind="summary"), "kind"), (of(kind=..., importance=9), "kind"), (of(kind=["fact"]), "kind"), (of(taxonomy="user_goal"), "kind"), (of(**user), None), (of(**user | {"evidence_quote": "ab"}), "evidence"),
+        (of(**user | {"evidence_quote": "x" * 501}), "evidence"), (of(**user | {"evidence_quote": 3}), "evidence"), (of(title=""), "title"), (of(title="\U0001f600" * 81), "title"), (of(title="\U0001f600" * 80), None),
+        (of(content="x" * 6001), "content"), (of(importance=True), "importance"), (of(importance=0.61), "importance"), (of(importance=-1), "importance"), (of(importance="0"), "importance"), (of(tags=[""]), "tags"),
+        (of(tags=["x"] * 13), "tags"), (of(tags="x"), "tags"), (of(code_paths=["x" * 513]), "code_paths"), (of(code_paths=...), "code_paths"), (of(kind="fact"), "no_anchor"), (of(kind="fact", code_paths=["a"]), None),
+    ]
+    whole = lambda x: f"said {candidates.OPEN}\ufeff {x} \n{candidates.CLOSE} {candidates.CLOSE}"
+    texts = [whole(json.dumps([x for x, _ in cases])), whole('[{"title": "a", "title": "b"}, {"tags": [{"a": 1, "a": 1}]}]'), whole("[NaN]"), whole("[1,]"), whole("[] []"), whole("{}"), whole("[" * 100_000), candidates.OPEN + "[]", "nothing", None, ""]
+    texts += [candidates.OPEN + "junk" + candidates.CLOSE + whole("[]"), whole(json.dumps([good | {"title": "\ud800x"}]))]
+    found = candidates.parsed(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"]).collect()
+    by = lambda i: [(r.n, r.code) for r in sorted(found, key=lambda r: (r.id, r.n or 0)) if r.id == i]
+    assert by(0) == [(n, code) for n, (_, code) in enumerate(cases)]
+    assert by(1) == [(0, "repeated_key"), (1, "repeated_key")]
+    assert [by(i) for i in range(2, 11)] == [[(None, "not_json")]] * 3 + [[(None, "not_array")], [(None, "not_json")], [(None, "unclosed")], [], [], []]
+    assert by(11) == [] and by(12) == [(0, None)] and next(r for r in found if r.id == 12).title == "\ufffdx"
+    assert next(r for r in found if r.quote).quote == "I want it"
+
+
+def test_first_three_candidates_and_evidence(spark):
+    held = [(1, n, None, None) for n in range(2)] + [(1, 2, "title", None), (1, 3, None, "not said"), (1, 4, None, "he said"), (1, 5, None, None)]
+    found = spark.createDataFrame(held, "id int, n int, code string, quote string").withColumn("who", F.lit(7))
+    said = spark.createDataFrame([(7, "what  he\tsaid"), (8, "not said"), (7, None)], "who int, text string")
+    got = {r.n: (r.code, r.accepted) for r in candidates.judged(found, said, ["id"], "who").collect()}
+    assert got == {0: (None, True), 1: (None, True), 2: ("title", False), 3: ("evidence", False), 4: (None, True), 5: ("beyond", False)}
+    assert candidates.judged(found.limit(0), said, ["id"], "who").isEmpty()
+
+
+def test_quotes_in_texts_of_a_hot_group(spark, monkeypatch):
+    """Many quotes and texts of one group, in several tasks, against brute force; nulls, empty texts and other groups."""
+    monkeypatch.setattr(candidates, "QUOTES", 7)
+    monkeypatch.setattr(candidates, "TEXTS", 11)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join("ab c"[i] for i in rng.integers(0, 4, n))
+    quotes = [(int(g), word(int(n))) for g, n in zip(rng.integers(0, 3, 120) // 2, rng.integers(1, 7, 120), strict=True)] + [(0, ""), (0, None), (None, "a"), (5, "a"), (0, "\U0001f600 é")]
+    texts = [(int(g), i, word(30)) for i, g in enumerate(rng.integers(0, 3, 90) // 2)] * 2 + [(0, 900, None), (0, 901, ""), (6, 902, "a"), (None, 903, "a"), (0, 904, "x\U0001f600 éa")]
+    got = {tuple(r) for r in candidates.quoted(spark.createDataFrame(quotes, "g int, quote string"), spark.createDataFrame(texts, "g int, k int, text string"), "g", ("k",)).collect()}
+    assert got == {(g, q) for g, q in quotes if q and g is not None and any(h == g and t and q in t for h, _, t in texts)}
+    assert 20 < len(got) < len(set(quotes))
