@@ -231,6 +231,32 @@ def run_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.run_receipts(runs, known).withColumnRenamed("order", "seq")
 
 
+_PARTS = """SELECT run, substr(slot, 1, {0}) AS slot, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {1} GROUP BY 1, 2"""
+
+
+@query(
+    f"""WITH part AS (SELECT o_orderkey AS run, 'run' AS section, '{{"id":' || o_orderkey || ',"state":"' || o_orderstatus || '"}}' AS json FROM orders
+  UNION ALL SELECT l_orderkey, 'facts', '{{"at":{{"line":' || l_linenumber || ',"quantity":' || CAST(l_quantity AS BIGINT) || ',"rate":' || CASE WHEN l_discount = 0 THEN '0' ELSE CAST(l_discount AS VARCHAR) END || '}},"marks":["' || least(l_returnflag, l_linestatus) || '","' || greatest(l_returnflag, l_linestatus) || '"]}}' FROM lineitem
+), h AS (SELECT run, sha256(section || chr(0) || json) AS h, h AS slot FROM part), l4 AS ({_PARTS.format(4, "h")}), l2 AS ({_PARTS.format(2, "l4")}), l0 AS ({_PARTS.format(0, "l2")})
+, n AS (SELECT run, count(*) AS parts, coalesce(bool_or(run % 19 = 0 AND section = 'run'), false) AS twice FROM part GROUP BY run)
+SELECT run, parts, CASE WHEN NOT twice THEN l0.h END AS digest, CASE WHEN twice THEN 'repeated_key' END AS reject FROM n JOIN l0 USING (run)"""
+)
+def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of runs from JSON that is written in many ways: keys in other orders, numbers in other spellings, lists turned round."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    again = F.when(c("o_orderkey") % 19 == 0, F.lit(', "id": 1')).otherwise("")
+    head = F.format_string('{"state": "%s", "id": %d.0%s}', "o_orderstatus", "o_orderkey", again)
+    line, quantity = c("l_linenumber"), c("l_quantity").cast("long")
+    spelled = F.when(line % 3 == 0, quantity.cast("string")).when(line % 3 == 1, F.concat(quantity.cast("string"), F.lit(".00"))).otherwise(F.concat((quantity / 10).cast("string"), F.lit("E+1")))
+    at = F.when(line % 2 == 0, F.format_string('{"rate": %s, "line": %d, "quantity": %s}', c("l_discount").cast("string"), line, spelled)).otherwise(
+        F.format_string('{"quantity":%s,"line":%d,"rate":%s0}', spelled, line, c("l_discount").cast("string"))
+    )
+    marks = F.when(line % 2 == 0, F.format_string('["%s", "%s"]', "l_returnflag", "l_linestatus")).otherwise(F.format_string('["%s","%s"]', "l_linestatus", "l_returnflag"))
+    fact = F.when(line % 4 < 2, F.format_string('{"marks": %s, "at": %s}', marks, at)).otherwise(F.format_string(' {"\\u0061t":%s,"marks":%s} ', at, marks))
+    of = lambda rows, run, section, json: rows.select(c(run).alias("run"), F.lit(section).alias("section"), json.alias("json"))
+    return extraction.run_digests(of(orders, "o_orderkey", "run", head).unionByName(of(lines, "l_orderkey", "facts", fact)), ("marks",))
+
+
 @query(
     f"""WITH {jobs.SEARCH_SQL}, ev AS (SELECT DISTINCT 'entity' AS kind, id, doc_id FROM cur_entity UNION SELECT 'fact', CAST(id AS VARCHAR), doc_id FROM cur_fact UNION SELECT 'observation', CAST(observation AS VARCHAR), doc_id FROM obs JOIN cur_fact ON id = fact
 ), some_ AS (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY doc_id) AS n FROM ev QUALIFY n <= 8

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyrook.functions import ids, safety
+from tallyrook.functions import canonical, ids, safety
 from tallyrook.operators import store
 from tallyrook.schemas import EVIDENCE, MOST, NAME_CHARS, PREDICATES, QUOTE_CHARS
 
@@ -196,6 +196,21 @@ def observation_outcome(action: Column, statement: Column, found: Column, restor
     )
 
 
+def run_digests(material: DataFrame, unordered: tuple[str, ...] = ()) -> DataFrame:
+    """run, parts, digest and reject of runs' material (run, section, json): one digest however its parts are ordered, dealt to rows or written.
+
+    A part that is said twice counts twice. Where any part is refused there is no digest, and reject is the least of the codes; a null part is
+    `missing`. Runs may have any number of parts: these are digested level by level.
+    """
+    told = material.withColumn("__told", canonical.canonical(c("json"), unordered))
+    reject = F.when(c("json").isNull(), "missing").otherwise(c("__told.reject"))
+    part = F.sha2(F.concat_ws("\0", "section", "__told.json"), 256)
+    parts = store.written(told.select("run", part.alias("h"), reject.alias("reject")))
+    counted = parts.groupBy("run").agg(F.count("*").alias("parts"), F.min("reject").alias("reject"))
+    met = counted.join(store.stable_digest(parts, "run", "h"), "run")
+    return met.select("run", "parts", F.when(c("reject").isNull(), c("digest")).alias("digest"), "reject")
+
+
 def run_receipts(runs: DataFrame, known: DataFrame) -> DataFrame:
     """run, order and outcome of runs (run, order, digest): a run id stands for one material. Equal material is committed once, other is an error."""
     first = runs.groupBy("run").agg(F.min_by("digest", "order").alias("first"), F.min("order").alias("first_order"))

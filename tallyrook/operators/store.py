@@ -150,6 +150,15 @@ def tree_digest(rows: DataFrame, by: str, digest: str, least_digits: int = 2) ->
     return level.select(by, c("h").alias("digest"))
 
 
+def stable_digest(rows: DataFrame, by: str, digest: str) -> DataFrame:
+    """by and digest: one of all digests (hexadecimal, repeats too) of each `by`, whatever their order. Unlike tree_digest's it depends on
+    nothing but these, so that it can be kept and compared later: lists are digested by their first 4 digits, then 2, then all."""
+    level = rows.select(by, F.substring(digest, 1, 4).alias("slot"), c(digest).alias("h"))
+    for digits in (4, 2, 0):
+        level = level.groupBy(by, F.substring("slot", 1, digits).alias("slot")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return level.select(by, c("h").alias("digest"))
+
+
 def nearest_ranks(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """by, n and, for each name of shares, the least value that so large a share of the values of `by` does not exceed.
 
