@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyrook.functions import ids, text
+from tallyrook.functions import ids, markdown, text
 from tallyrook.jobs.catalog import query
 from tallyrook.jobs.records import _COLLAPSE
 from tallyrook.operators import candidates, store
 from tallyrook.sources import graph as held
-from tallyrook.sources import tables
+from tallyrook.sources import discovery, tables
 from tallyrook.sources.graph import GRAPH_SQL, entities, relations
 from tallyrook.sources.tables import RECORDS_SQL, table
 
@@ -249,3 +249,50 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text.filled("passage: {text}", text=c("content")), 256).alias("passage_sha256"),
         text.normal_name(c("title")).alias("name"),
     )
+
+
+@query(
+    r"""WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<title>.*?</title>|<style>.*?</style>|<script>.*?</script>|<!--.*?-->', '', 'g') AS html FROM pages)
+, x AS (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS said, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS target, len(regexp_extract_all(html, '<li>')) AS items, regexp_replace(regexp_replace(html, '<[^>]*>|&(amp|lt|gt|quot|copy|middot);?', '', 'g'), '\P{L}', '', 'g') AS letters FROM b)
+SELECT page_id, array_to_string(list_transform(h, lambda x: '# ' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), chr(10)) AS headings, len(said) AS links, sha256(array_to_string(list_transform(range(1, len(said) + 1), lambda i: regexp_replace(regexp_replace(regexp_replace(regexp_replace(said[i], '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') || ' ' || target[i]), chr(10))) AS links_sha256, items, sha256(letters) AS letters_sha256,
+  CASE WHEN letters = '' THEN 'empty' END AS reject FROM x"""
+)
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown, and what of their structure reads back from it: headings, links, items, and all letters."""
+    pages = table(spark, sf_dir, "pages").select("page_id", markdown.html_markdown(c("html")).alias("text"))
+    told = pages.withColumn("o", markdown.outline(c("text")))
+    letters = F.regexp_replace(F.regexp_replace("text", r"\]\([^)\s]*\)", ""), r"\P{L}", "")
+    links = F.transform("o.links", lambda x: F.concat_ws(" ", x["text"], x["target"]))
+    return told.select(
+        "page_id", F.array_join("o.headings", "\n").alias("headings"), F.size("o.links").cast("long").alias("links"), F.sha2(F.array_join(links, "\n"), 256).alias("links_sha256"), "o.items",
+        F.sha2(letters, 256).alias("letters_sha256"), markdown.extraction_reject(c("text")).alias("reject"),
+    )
+
+
+_TREE = {
+    ".gitignore": "*.html\n# note\nb1?/\n!b13/\ns4/**/b2\n",
+    "s1/.gitignore": "!*.html\n/l1/\n",
+    "s2/.ignore": "*.html\n!.draft*\n",
+    "s2/l0/.gitignore": "!*.html\n",
+    "s0/l2/.gitignore": "*[05].md\n!*10.md\n",
+}
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id AS i, doc_id % 5 AS s, doc_id // 5 % 3 AS l, doc_id // 7 % 20 AS b, doc_id % 11 = 0 AS draft, ['md', 'html', 'txt', 'PDF'][1 + doc_id % 4] AS suffix FROM documents
+), p AS (SELECT *, CASE WHEN i % 97 = 0 THEN '../' ELSE '' END || 's' || s || '/l' || l || '/b' || b || '/' || CASE WHEN draft THEN '.draft' ELSE 'd' END || i || '.' || suffix AS path FROM f
+), v AS (SELECT path, CASE WHEN i % 97 = 0 THEN 'unsafe_path' WHEN (s = 3 AND l = 2) OR (b >= 10 AND b <> 13) OR (s = 4 AND b = 2) OR (s = 1 AND l = 1) THEN 'pruned'
+    WHEN s = 0 AND l = 2 AND suffix = 'md' AND (i % 5 = 0) AND NOT i % 100 = 10 THEN 'ignored' WHEN suffix = 'html' AND NOT (s = 1 OR (s = 2 AND draft)) THEN 'ignored'
+    WHEN draft AND NOT (s = 2 OR (s = 1 AND suffix = 'html') OR (s = 0 AND l = 2 AND suffix = 'md' AND i % 100 = 10)) THEN 'hidden' WHEN suffix = 'txt' THEN 'unsupported' ELSE 'found' END AS verdict FROM p
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{x}', 'hidden')" for x in _TREE)}, ('s3/l2', 'link')))
+SELECT path, verdict, CASE WHEN verdict = 'found' THEN row_number() OVER (PARTITION BY verdict ORDER BY path) - 1 END AS n, (SELECT count(*) FROM v WHERE verdict = 'found') > 1000 AS refused FROM v"""
+)
+def document_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree with ignore files at several levels: which of them an index takes, in what order, and whether they are too many."""
+    i = c("doc_id")
+    suffix = F.get(F.array(*map(F.lit, ("md", "html", "txt", "PDF"))), (i % 4).cast("int"))
+    folder = F.format_string("s%d/l%d/b%d/", i % 5, F.expr("doc_id div 5") % 3, F.expr("doc_id div 7") % 20)
+    path = F.concat(F.when(i % 97 == 0, "../").otherwise(""), folder, F.when(i % 11 == 0, ".draft").otherwise("d"), i.cast("string"), F.lit("."), suffix)
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("text"))
+    rules = spark.createDataFrame([*((at, "file", said) for at, said in _TREE.items()), ("s3/l2", "link", None)], files.schema)
+    return discovery.limited(discovery.discovered(files.unionByName(rules)))
