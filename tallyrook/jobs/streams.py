@@ -10,8 +10,9 @@ from tallyrook.jobs.catalog import query
 from tallyrook.jobs.records import INJECTED_SQL, SECRET_SQL
 from tallyrook.operators import queue
 from tallyrook.schemas import NOW_MS
+from tallyrook.sources.graph import millis
 from tallyrook.sources.tables import table
-from tallyrook.streaming import capture, feedback
+from tallyrook.streaming import capture, feedback, timers
 
 c = F.col
 
@@ -59,6 +60,42 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.kept(spark, turns, decision).select("conv_id", "turn", "role", F.sha2("content", 256).alias("sha256"))
 
 
+#: How late events may come, how long a run is put off, and how long a recall stays open, in milliseconds.
+_LATE, _PUT_OFF, _OPEN = 6 * 3_600_000, 3_600_000, 12 * 3_600_000
+_EVENTS_SQL = f"e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), w AS (SELECT max(ms) - {_LATE} AS now FROM e)"
+
+
+def _ended(spark: SparkSession, sf_dir: str, processor: timers.Debounced | timers.Recalls) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    stream = capture.opened(spark, path, spark.read.parquet(path).schema)
+    return timers.ended(spark, stream, processor, millis("ts"), c("event_id"), c("event_type"), f"{_LATE} milliseconds")
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENTS_SQL}, run(user_id, opened_ms) AS (
+  SELECT user_id, min(ms) FROM e GROUP BY user_id
+  UNION ALL SELECT run.user_id, min(ms) FROM run JOIN e ON e.user_id = run.user_id AND e.ms > run.opened_ms + {_PUT_OFF} GROUP BY run.user_id)
+SELECT user_id, opened_ms, opened_ms + {_PUT_OFF} AS ended_ms, count(*) AS n, 'run' AS how FROM run JOIN e USING (user_id), w WHERE ms BETWEEN opened_ms AND opened_ms + {_PUT_OFF} AND opened_ms + {_PUT_OFF} <= now GROUP BY user_id, opened_ms"""
+)
+def coalesced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of upkeep that a stream of events asks for: put off, one for all that asked meanwhile, started by timers."""
+    return _ended(spark, sf_dir, timers.Debounced(_PUT_OFF, "user_id"))
+
+
+@query(
+    f"""WITH {_EVENTS_SQL}, x AS (SELECT *, event_type IN ('view', 'purchase', 'error') AS counts FROM e
+), g AS (SELECT *, count(*) FILTER (counts) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS g FROM x
+), o AS (SELECT user_id, ms, event_type, lead(ms) OVER q AS next_ms, lead(event_type) OVER q AS next_type, g FROM g WHERE counts WINDOW q AS (PARTITION BY user_id ORDER BY ms, event_id)
+), t AS (SELECT o.*, next_ms IS NULL OR next_ms > o.ms + {_OPEN} AS over FROM o WHERE event_type = 'view'
+), r AS (SELECT t.user_id, t.ms AS opened_ms, CASE WHEN over THEN t.ms + {_OPEN} ELSE next_ms END AS ended_ms, CASE WHEN over THEN 'expired' WHEN next_type = 'view' THEN 'replaced' WHEN next_type = 'purchase' THEN 'closed' ELSE 'discarded' END AS how, count(*) FILTER (g.ms <= t.ms + {_OPEN}) AS n
+  FROM t JOIN g ON g.user_id = t.user_id AND g.g = t.g GROUP BY ALL)
+SELECT user_id, opened_ms, ended_ms, n, how FROM r, w WHERE ended_ms <= now"""
+)
+def recall_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each recall of a session ended: closed, discarded, replaced by the next, or given up by its timer."""
+    return _ended(spark, sf_dir, timers.Recalls(_OPEN, "user_id", ("view",), ("purchase",), ("error",)))
+
+
 _SESSIONS_SQL = """s AS (SELECT c_custkey AS session, CASE WHEN c_custkey % 50 = 1 THEN c_custkey + 1 WHEN c_custkey % 50 = 2 THEN c_custkey - 1 WHEN c_custkey % 31 = 0 THEN -c_custkey WHEN c_custkey % 7 <> 0 AND c_custkey // 4 > 0 THEN c_custkey // 4 END AS parent FROM customer
 ), walk(session, here, path, root) AS (
   SELECT session, session, [session], NULL::BIGINT FROM s
@@ -120,7 +157,5 @@ def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def job_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs after the oldest ended ones are dropped to make room."""
-    from tallyrook.sources.graph import millis
-
     state = F.when(c("o_orderstatus") == "F", "completed").when(c("o_orderstatus") == "O", "queued").otherwise("failed")
     return queue.pruned(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("job"), state.alias("state"), millis("o_orderdate").alias("updated_ms"))).select("job", "state")
