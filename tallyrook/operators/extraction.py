@@ -200,7 +200,7 @@ def run_digests(material: DataFrame, unordered: tuple[str, ...] = ()) -> DataFra
     """run, parts, digest and reject of runs' material (run, section, json): one digest however its parts are ordered, dealt to rows or written.
 
     A part that is said twice counts twice. Where any part is refused there is no digest, and reject is the least of the codes; a null part is
-    `missing`. Runs may have any number of parts: these are digested level by level.
+    `missing`; parts without a run are left out. Runs may have any number of parts: these are digested level by level.
     """
     told = material.withColumn("__told", canonical.canonical(c("json"), unordered))
     reject = F.when(c("json").isNull(), "missing").otherwise(c("__told.reject"))

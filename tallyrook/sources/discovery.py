@@ -123,7 +123,7 @@ def compiled(files: list[tuple[str, str, str]], at: str) -> str | None:
         if name != RULES[-1] and len(where) < floor:
             continue
         below = _quoted(f"{where}/") if where else ""
-        for said in map(rule, reversed(text.removeprefix("﻿").split("\n"))):
+        for said in map(rule, reversed(text.removeprefix("\ufeff").split("\n"))):
             if said:
                 parts.append(f"(?={below}{said[0]}\\z)" if said[1] else f"{below}{said[0]}\\z")
     return f"(?s)\\A(?:{'|'.join(parts)})" if parts else None
