@@ -4,7 +4,10 @@ A segment is a folder of rows (range, token, docs, tfs, sizes, max_tf, min_size)
 documents, dealt by a hash of their ids, so that the best of a range can be cut where it is scored. max_tf and min_size bound what the token can give
 to any document there. What makes up the index is told by a log (sources/versions.py): segments and deletions, with their totals. Adding
 documents writes one segment and one entry and touches no other file; deleting some writes their ids and what they take from the tokens'
-counts; a merge writes one segment of what is left.
+counts; a merge writes one segment of what is left, in which each range is one or a few of the old ones, as they lie: lists of documents are
+exchanged, never a row for each document and word.
+
+A range is built by one call over its own documents, and a task of ranges has PART documents at any size of the table.
 
 A search reads the postings of its words only. Ranges are dealt to tasks as a whole; a task goes through its ranges, those with the largest bounds
 first, skips a query where the bounds say that no document can come among its k best so far, and hands on k rows a query at most. So what
@@ -29,7 +32,9 @@ from tallyrook.sources.versions import Log
 
 c = F.col
 #: Documents of a range, and of the ranges that a task goes through, about.
-RANGE, TASK = 512, 65_536
+RANGE, TASK = 512, 32_768
+#: Documents of a task that builds or merges ranges, about; ids of documents that are broadcast, at most.
+PART, IDS = 4096, 1_000_000
 POSTINGS = "range int, token string, docs array<long>, tfs array<int>, sizes array<int>, max_tf int, min_size int"
 
 
@@ -55,23 +60,25 @@ class TextIndex:
     def add(self, docs: DataFrame) -> int:
         """A segment of docs (doc_id, text): ids that no segment has. Null texts are empty."""
         number, now = self._now()
-        sized = docs.select(c("doc_id").cast("long"), words(F.coalesce(c("text"), F.lit(""))).alias("words")).withColumn("size", F.size("words"))
+        split = docs.select(c("doc_id").cast("long"), words(F.coalesce(c("text"), F.lit(""))).alias("words"))
         folder, content = f"segments/{uuid.uuid4().hex}", dict(now)
         journal = self.log.begin(number, [folder], {"folder": folder})
         try:
             n = docs.count()
-            _grouped(_terms(sized, max(1, -(-n // RANGE)))).write.parquet(f"{self.base}/{folder}")
+            ranges = _ranges(n)
+            dealt = split.withColumn("range", _range(ranges)).repartition(_parts(self.spark, ranges), "range")
+            dealt.groupBy("range").applyInArrow(_built, POSTINGS).write.parquet(f"{self.base}/{folder}")
             length = self._segment(folder).agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0]
         except BaseException:
             self.log.abandon(journal)
             raise
-        content["segments"] = [*now["segments"], {"folder": folder, "docs": n, "length": length or 0}]
+        content["segments"] = [*now["segments"], {"folder": folder, "docs": n, "length": length or 0, "ranges": ranges}]
         return self.log.finish(journal, number, content)
 
     def delete(self, ids: DataFrame) -> int:
         """Deletes documents (doc_id) that are there."""
         number, now = self._now()
-        live = self._exploded(now).join(small(ids.select(c("doc_id").cast("long")).distinct()), "doc_id", "left_semi")
+        live = self._exploded(now).join(small(ids.select(c("doc_id").cast("long")).distinct(), IDS), "doc_id", "left_semi")
         folder = f"deletions/{uuid.uuid4().hex}"
         journal = self.log.begin(number, [folder], {"folder": folder})
         try:
@@ -87,10 +94,17 @@ class TextIndex:
         """One segment of all that is left."""
         number, now = self._now()
         docs, length = self._totals(now)
-        rows = self._exploded(now).withColumn("range", _range(max(1, -(-docs // RANGE)))).select("range", "token", "doc_id", "tf", "size")
-        rows = rows.repartition(_parts(self.spark, -(-docs // RANGE)), "range")
+        ranges = _ranges(docs)
+        at, parts = _merged_range(now["segments"], ranges), _parts(self.spark, ranges)
+        rows = self._postings(now).withColumn("range", at).repartition(parts, "range")
+        gone = self._deletions(now)
+        if gone is None:
+            merged = rows.groupBy("range").applyInArrow(_merged, POSTINGS)
+        else:
+            dead = gone.select("folder", at.alias("range"), "doc_id").distinct().repartition(parts, "range")
+            merged = rows.groupBy("range").cogroup(dead.groupBy("range")).applyInArrow(_merged_without, POSTINGS)
         folder = f"segments/{uuid.uuid4().hex}"
-        return self._commit(number, folder, {"segments": [{"folder": folder, "docs": docs, "length": length}], "deletions": []}, _grouped(rows))
+        return self._commit(number, folder, {"segments": [{"folder": folder, "docs": docs, "length": length, "ranges": ranges}], "deletions": []}, merged)
 
     # --- reads -------------------------------------------------------------------------------------------------------
     def _totals(self, now: dict) -> tuple[int, int]:
@@ -111,17 +125,20 @@ class TextIndex:
         rows = [self._deleted(d["folder"]) for d in now["deletions"]]
         return reduce(DataFrame.unionByName, rows) if rows else None
 
-    def _exploded(self, now: dict) -> DataFrame:
-        """doc_id, token, tf, size, folder, range of what is not deleted."""
-        each = F.explode(F.arrays_zip("docs", "tfs", "sizes"))
-        rows = self._postings(now).select("token", "folder", "range", each.alias("x")).select(c("x.docs").alias("doc_id"), "token", c("x.tfs").alias("tf"), c("x.sizes").alias("size"), "folder", "range")
+    def _exploded(self, now: dict, postings: DataFrame | None = None) -> DataFrame:
+        """doc_id, token, tf, size, folder, range of what is not deleted, of all postings or of some."""
+        each = F.inline(F.arrays_zip("docs", "tfs", "sizes")).alias("doc_id", "tf", "size")
+        rows = (self._postings(now) if postings is None else postings).select("token", "folder", "range", each).select("doc_id", "token", "tf", "size", "folder", "range")
         gone = self._deletions(now)
-        return rows if gone is None else rows.join(small(gone.select("doc_id", "folder").distinct()), ["doc_id", "folder"], "left_anti")
+        return rows if gone is None else rows.join(small(gone.select("doc_id", "folder").distinct(), IDS), ["doc_id", "folder"], "left_anti")
 
-    def words_of(self, queries: DataFrame) -> DataFrame:
-        """doc_id, token, tf and size of the words that queries (qid, text) have."""
+    def words_of(self, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+        """doc_id, token, tf and size of the words that queries (qid, text) have, in all documents or in docs (doc_id)."""
         number, now = self._now()
-        return self._exploded(now).join(small(query_words(queries).select("token").distinct()), "token", "left_semi").select("doc_id", "token", "tf", "size")
+        met = self._postings(now).join(small(query_words(queries).select("token").distinct()), "token", "left_semi")
+        rows = self._exploded(now, met)
+        rows = rows if docs is None else rows.join(small(docs.select("doc_id").distinct(), IDS), "doc_id", "left_semi")
+        return rows.select("doc_id", "token", "tf", "size")
 
     def search(self, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
         """qid, doc_id, score, rank of queries (qid, text), by BM25 over what is not deleted. Scores are rounded, so that ranks do not
@@ -168,25 +185,73 @@ def _blocks(terms: DataFrame) -> Iterator[tuple[list[int], list[tuple[list[str],
         yield qids, held
 
 
+def _ranges(docs: int) -> int:
+    return max(1, -(-docs // RANGE))
+
+
 def _range(ranges: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")
 
 
 def _parts(spark: SparkSession, ranges: int) -> int:
-    """Tasks that ranges are dealt to: a range each while there are few, TASK documents each at last."""
-    return max(1, min(ranges, max(4 * spark.sparkContext.defaultParallelism, ranges * RANGE // TASK)))
-
-
-def _terms(sized: DataFrame, ranges: int) -> DataFrame:
-    """range, token, doc_id, tf, size; dealt by range once, which both aggregations above it need."""
-    dealt = sized.withColumn("range", _range(ranges)).repartition(_parts(sized.sparkSession, ranges), "range")
-    return dealt.select("range", "doc_id", "size", F.explode("words").alias("token")).groupBy("range", "token", "doc_id", "size").agg(F.count("*").cast("int").alias("tf"))
-
-
-def _grouped(terms: DataFrame) -> DataFrame:
-    lists = terms.groupBy("range", "token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "size"))).alias("x"))
-    rows = lists.select("range", "token", c("x.doc_id").alias("docs"), c("x.tf").alias("tfs"), c("x.size").alias("sizes"))
-    return rows.withColumns({"max_tf": F.array_max("tfs"), "min_size": F.array_min("sizes")}).sortWithinPartitions("token")
+    """Tasks that ranges are dealt to: a range each while there are few, PART documents each at last."""
+    return max(1, min(ranges, max(4 * spark.sparkContext.defaultParallelism, ranges * RANGE // PART)))
+
+
+def _merged_range(segments: list[dict], ranges: int) -> Column:
+    """Where a range of a segment's folder goes: the ranges of all segments follow each other, and as many documents of them are one."""
+    total, before, at = max(sum(s["docs"] for s in segments), 1), 0, F.lit(0)
+    for s in segments:
+        place = before + c("range") * (s["docs"] / s.get("ranges", _ranges(s["docs"])))
+        at = F.when(c("folder") == s["folder"], F.least(F.floor(place * (ranges / total)), F.lit(ranges - 1))).otherwise(at)
+        before += s["docs"]
+    return at.cast("int")
+
+
+def _lists(at: int, tokens: pa.Array, token: np.ndarray, docs: np.ndarray, tfs: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """POSTINGS of a range, by token, from entries: a place in tokens, a document, how often, and the document's size."""
+    place = np.empty(len(tokens), np.int64)
+    place[pc.sort_indices(tokens).to_numpy()] = np.arange(len(tokens))
+    order = np.lexsort((docs, place[token]))
+    token, docs, tfs, sizes = token[order], docs[order], tfs[order], sizes[order]
+    begin = np.flatnonzero(np.diff(token, prepend=-1))
+    ends = pa.array(np.append(begin, len(token)), pa.int32())
+    most, least = (f.reduceat(x, begin) if len(begin) else x for f, x in ((np.maximum, tfs), (np.minimum, sizes)))
+    columns = [pa.array(np.full(len(begin), at), pa.int32()), tokens.take(pa.array(token[begin])), *(pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((docs, pa.int64()), (tfs, pa.int32()), (sizes, pa.int32()))), pa.array(most, pa.int32()), pa.array(least, pa.int32())]
+    return pa.Table.from_arrays(columns, ["range", "token", "docs", "tfs", "sizes", "max_tf", "min_size"])
+
+
+def _built(docs: pa.Table) -> pa.Table:
+    """POSTINGS of a range's documents (doc_id, words, range)."""
+    lists = docs.column("words").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    (ids, size), row = np.unique(np.stack([docs.column("doc_id").to_numpy(), sizes]), axis=1, return_inverse=True)  # a row that is repeated is one
+    key, count = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(row.ravel(), sizes), return_counts=True)
+    token, at = np.divmod(key, max(len(ids), 1))
+    return _lists(docs.column("range")[0].as_py(), coded.dictionary, token, ids[at], count, size[at])
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    return _merged_without(rows, None)
+
+
+def _merged_without(rows: pa.Table, gone: pa.Table | None) -> pa.Table:
+    """POSTINGS of rows of one new range, with their folders, without what is gone (folder, doc_id)."""
+    if not rows.num_rows:
+        return pa.schema([("range", pa.int32()), ("token", pa.string()), *((x, pa.list_(kind)) for x, kind in (("docs", pa.int64()), ("tfs", pa.int32()), ("sizes", pa.int32()))), ("max_tf", pa.int32()), ("min_size", pa.int32())]).empty_table()
+    lists = rows.column("docs").combine_chunks()
+    many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    docs, tfs, sizes = (rows.column(x).combine_chunks().flatten().to_numpy() for x in ("docs", "tfs", "sizes"))
+    coded, folders = (pc.dictionary_encode(rows.column(x).combine_chunks()) for x in ("token", "folder"))
+    token, folder = (np.repeat(x.indices.to_numpy(), many) for x in (coded, folders))
+    alive = np.ones(len(docs), bool)
+    if gone is not None and gone.num_rows:
+        of = np.array(gone.column("folder").to_pylist(), object)
+        for i, name in enumerate(folders.dictionary.to_pylist()):
+            own = np.flatnonzero(folder == i)
+            alive[own] = ~np.isin(docs[own], gone.column("doc_id").to_numpy()[of == name])
+    return _lists(rows.column("range")[0].as_py(), coded.dictionary, token[alive], docs[alive], tfs[alive], sizes[alive])
 
 
 def _part(tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:

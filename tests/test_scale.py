@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tallyrook.operators import store
+from tallyrook.sources import text_index
 
 
 def test_digest_of_many_rows_goes_by_the_same_prefixes(spark):
@@ -32,3 +33,43 @@ def test_circles_end_a_walk_by_the_longest_chain_not_by_the_table(spark, monkeyp
     assert len(found) == 5021 and all(found[x] == (None, None) for x in [*range(5000), 6000])
     assert all(found[x] == (-(x // 4 * 4 + 3), 4 - x % 4) for x in range(5000, 5020))
     assert len(cuts) <= 6  # chains of 4 links take 3 rounds; 13 rounds of doubling once followed for the circles
+
+
+def words_index(spark, base, parts):
+    index = text_index.TextIndex(spark, base)
+    for part in parts:
+        index.add(spark.createDataFrame(part, "doc_id long, text string"))
+    return index
+
+
+def test_a_merge_and_a_build_exchange_no_row_for_each_word(spark, tmp_path, monkeypatch):
+    """Ranges go as they lie: a merge explodes no list; a range is built by one call."""
+    monkeypatch.setattr(text_index, "RANGE", 20)
+    texts = [(i, " ".join(f"w{(i * j) % 17}x" for j in range(1, 12))) for i in range(300)]
+    index = words_index(spark, f"{tmp_path}/t", [texts[:200], texts[200:205], texts[205:]])
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long"))
+    plans, exploded = [], text_index.TextIndex._exploded
+    monkeypatch.setattr(text_index.TextIndex, "_exploded", lambda self, *a: plans.append(1) or exploded(self, *a))
+    index.merge()
+    assert not plans
+    held = index._postings(index._now()[1])
+    each = held.select("range", "token", F.size("docs").alias("n"), F.explode("docs").alias("doc_id"))
+    assert each.select("doc_id").distinct().count() == 200 and each.groupBy("token", "doc_id").count().filter("count > 1").isEmpty()
+    sizes = [r["n"] for r in each.groupBy("range").agg(F.count_distinct("doc_id").alias("n")).collect()]
+    assert len(sizes) == 10 and max(sizes) <= 60
+    fresh = words_index(spark, f"{tmp_path}/u", [[x for x in texts if x[0] % 3]])
+    queries = spark.createDataFrame([(1, "w3x w5x"), (2, "w16x w1x w2x")], "qid long, text string")
+    assert sorted(map(tuple, index.search(queries, 50).collect())) == sorted(map(tuple, fresh.search(queries, 50).collect()))
+
+
+def test_tasks_of_an_index_grow_in_number_with_the_documents(spark):
+    """Once 48 tasks, whatever they held, up to 65,536 documents each."""
+    ranges = 3_000_000 // text_index.RANGE
+    assert ranges * text_index.RANGE / text_index._parts(spark, ranges) <= 2 * text_index.PART <= 8192
+
+
+def test_words_of_some_documents(spark, tmp_path):
+    index = words_index(spark, f"{tmp_path}/t", [[(1, "ab cd"), (2, "ab ab"), (3, "cd ef")]])
+    queries = spark.createDataFrame([(1, "ab cd")], "qid long, text string")
+    found = index.words_of(queries, spark.createDataFrame([(2,), (3,), (3,)], "doc_id long"))
+    assert sorted(map(tuple, found.collect())) == [(2, "ab", 2, 2), (3, "cd", 1, 2)]
