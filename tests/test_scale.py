@@ -2,8 +2,10 @@
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tallyrook.functions import text
 from tallyrook.operators import graph, store
 from tallyrook.sources import text_index
 
@@ -86,3 +88,12 @@ def test_entities_of_one_name_are_not_listed_for_each_candidate(spark, monkeypat
     assert all(rows[i] == (400, None, "ambiguous") for i in range(300)) and rows[300] == (2, None, "ambiguous") and rows[304] == (400, None, "ambiguous")
     assert (rows[301], rows[302], rows[303], rows[305], rows[306]) == ((1, 7, "resolved"), (1, 401, "resolved"), (0, None, "new"), (1, 402, "resolved"), (1, 400, "resolved"))
     assert sizes and max(sizes) < 20
+
+
+def test_pages_of_a_batch_are_read_slice_by_slice(monkeypatch):
+    """A whole batch was a pandas series of strings, and its texts another."""
+    sizes, array = [], pa.array
+    pages = array([None if i % 7 == 0 else f"<p>a {i}</p><script>x</script><p>b</p>" for i in range(2 * text.PAGES + 3)])
+    monkeypatch.setattr(text.pa, "array", lambda x, kind: sizes.append(len(x)) or array(x, kind))
+    found = text._html.func(pages).to_pylist()
+    assert found == ["" if i % 7 == 0 else f"a {i}\nb" for i in range(len(pages))] and max(sizes) <= text.PAGES
