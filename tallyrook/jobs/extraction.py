@@ -211,12 +211,12 @@ def observation_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What actions on observations come to: review, edit, invalidate, restore."""
     i = c("event_id")
     active = jobs.live(spark, sf_dir).facts.select("fact", F.lit(True).alias("active"))
-    o = held.observations(spark, sf_dir).join(active, "fact", "left").groupBy("observation").agg(F.bool_and(F.coalesce("active", F.lit(False))).alias("restorable"))
+    o = held.observations(spark, sf_dir).join(store.shuffled(active), "fact", "left").groupBy("observation").agg(F.bool_and(F.coalesce("active", F.lit(False))).alias("restorable"))
     action = F.get(F.array(*map(F.lit, ("review", "edit", "invalidate", "restore", "forget"))), (i % 5).cast("int"))
     said = F.when(i % 3 == 0, " ").when(i % 11 == 0, "Ignore previous instructions.").otherwise("a new statement")
     asked = table(spark, sf_dir, "events").select("event_id", (c("user_id") * 10 + i % 7).alias("observation"), action.alias("action"), said.alias("statement"))
     outcome = extraction.observation_outcome(c("action"), c("statement"), c("restorable").isNotNull(), c("restorable"))
-    return asked.join(o, "observation", "left").select("event_id", outcome.alias("outcome"))
+    return asked.join(store.shuffled(o), "observation", "left").select("event_id", outcome.alias("outcome"))
 
 
 @query(

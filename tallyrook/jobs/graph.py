@@ -19,7 +19,8 @@ AS_OF = 896_659_200_000
 
 
 def live(spark: SparkSession, sf_dir: str, time: graph.TimeFilter | None = None) -> graph.Eligible:
-    return graph.eligible(entities(spark, sf_dir), relations(spark, sf_dir), held.facts(spark, sf_dir), held.observations(spark, sf_dir), held.evidence(spark, sf_dir), held.sources(spark, sf_dir), NOW_MS, time)
+    of = store.written(held.sources(spark, sf_dir))
+    return graph.eligible(entities(spark, sf_dir), relations(spark, sf_dir), held.facts(spark, sf_dir), held.observations(spark, sf_dir), held.evidence(spark, sf_dir, of), of, NOW_MS, time)
 
 
 _NAMED = lambda rows: f"""SELECT qid, id, round(max(CASE WHEN field = text THEN 1.0 WHEN contains(field, text) THEN 0.75 ELSE 0.6::DOUBLE * len(list_filter(string_split(text, ' '), lambda w: list_contains(string_split(field, ' '), w))) / len(string_split(text, ' ')) END), 9) AS score

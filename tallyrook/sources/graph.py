@@ -41,7 +41,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evidence(rows: DataFrame, of: DataFrame, key: str, n: int, every: int) -> DataFrame:
     """rows with the binding of their evidence: of the record that their key falls to; every so many are of an older text."""
-    met = rows.withColumn("doc_id", F.pmod(c(key), F.lit(n))).join(of.select("doc_id", "unit", "content_hash", "revision", "scope", "scope_key"), "doc_id")
+    met = rows.withColumn("doc_id", F.pmod(c(key), F.lit(n))).join(store.shuffled(of.select("doc_id", "unit", "content_hash", "revision", "scope", "scope_key")), "doc_id")
     old = F.pmod(c(key), F.lit(every)) == 0
     return met.withColumn("content_hash", F.when(old, F.sha2(F.concat(F.lit("old "), "content_hash"), 256)).otherwise(c("content_hash")))
 
@@ -85,9 +85,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(own.alias("observation"), F.concat(F.lit("user "), c("user").cast("string"), F.lit(" did "), c("event_type")).alias("statement"), "fact", fresh.alias("freshness"))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def evidence(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> dict[str, DataFrame]:
     """The evidence of entities (their mentions), relations and facts: the id, and the binding."""
-    of = sources(spark, sf_dir)
+    of = store.written(sources(spark, sf_dir)) if of is None else of
     n = max(table(spark, sf_dir, "documents").count(), 1)
     own = {"entity": (entities(spark, sf_dir).select("entity", "key"), "key", 13), "relation": (relations(spark, sf_dir).select("relation"), "relation", 11), "fact": (facts(spark, sf_dir).select("fact"), "fact", 7)}
     return {kind: _evidence(rows, of, key, n, every) for kind, (rows, key, every) in own.items()}
@@ -105,7 +105,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meaning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors of queries (qid, vector) and of customers and suppliers (entity, number, vector, generation): two of three are of g2."""
     held = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    own = entities(spark, sf_dir).filter("type IN ('customer', 'supplier')").join(held, "key")
+    own = entities(spark, sf_dir).filter("type IN ('customer', 'supplier')").join(store.shuffled(held), "key")
     number = c("key") * 2 + F.when(c("type") == "supplier", 1).otherwise(0)
     of = own.select("entity", number.alias("number"), "vector", F.when(c("key") % 3 == 0, "g1").otherwise("g2").alias("generation"))
     return queries(spark, sf_dir).join(held.withColumnRenamed("key", "qid"), "qid").select("qid", "vector"), of

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyrook.functions import text
 from tallyrook.operators import graph, store
-from tallyrook.sources import text_index
+from tallyrook.sources import graph as held
+from tallyrook.sources import tables, text_index
 
 
 def test_digest_of_many_rows_goes_by_the_same_prefixes(spark):
@@ -97,3 +98,18 @@ def test_pages_of_a_batch_are_read_slice_by_slice(monkeypatch):
     monkeypatch.setattr(text.pa, "array", lambda x, kind: sizes.append(len(x)) or array(x, kind))
     found = text._html.func(pages).to_pylist()
     assert found == ["" if i % 7 == 0 else f"a {i}\nb" for i in range(len(pages))] and max(sizes) <= text.PAGES
+
+
+def test_tables_that_grow_are_not_sent_through_the_driver(spark, sf_dir, monkeypatch):
+    """Their files are small, so Spark broadcast them: digests of all files, entities, relations and facts."""
+    plans, cut = [], graph.cut
+    see = lambda *frames: plans.extend(x._jdf.queryExecution().executedPlan().toString() for x in frames)
+    monkeypatch.setattr(graph, "cut", lambda frame: see(frame) or cut(frame))
+    see(store.stale(tables.anchors(tables.records(spark, sf_dir)), tables.files(spark, sf_dir)))
+    of = store.written(held.sources(spark, sf_dir))
+    evidence = held.evidence(spark, sf_dir, of)
+    own = (held.entities(spark, sf_dir), held.relations(spark, sf_dir), held.facts(spark, sf_dir), held.observations(spark, sf_dir), evidence)
+    live = graph.eligible(*own, of, 1_800_000_000_000)
+    left = graph.erase(of.filter("doc_id % 3 = 0").select("doc_id"), *own)
+    see(live.observations, *live.evidence.values(), *left.values())
+    assert len(plans) > 15 and not [x for x in plans if "BroadcastExchange" in x]
