@@ -196,18 +196,33 @@ def observation_outcome(action: Column, statement: Column, found: Column, restor
     )
 
 
+#: Parts of a run that are digested as one list, at most.
+FEW_PARTS = 32
+
+
 def run_digests(material: DataFrame, unordered: tuple[str, ...] = ()) -> DataFrame:
     """run, parts, digest and reject of runs' material (run, section, json): one digest however its parts are ordered, dealt to rows or written.
 
     A part that is said twice counts twice. Where any part is refused there is no digest, and reject is the least of the codes; a null part is
-    `missing`; parts without a run are left out. Runs may have any number of parts: these are digested level by level.
+    `missing`; parts without a run are left out. Runs may have any number of parts: those of more than FEW_PARTS are digested level by level,
+    by exchanges, others in one exchange of their parts.
     """
-    told = material.withColumn("__told", canonical.canonical(c("json"), unordered))
-    reject = F.when(c("json").isNull(), "missing").otherwise(c("__told.reject"))
-    part = F.sha2(F.concat_ws("\0", "section", "__told.json"), 256)
-    parts = store.written(told.select("run", part.alias("h"), reject.alias("reject")))
-    counted = parts.groupBy("run").agg(F.count("*").alias("parts"), F.min("reject").alias("reject"))
-    met = counted.join(store.stable_digest(parts, "run", "h"), "run")
+    material = material.filter(c("run").isNotNull())
+    many = store.small(material.groupBy("run").count().filter(c("count") > FEW_PARTS).select("run"))
+
+    def parts(rows: DataFrame) -> DataFrame:
+        told = rows.withColumn("__told", canonical.canonical(c("json"), unordered))
+        reject = F.when(c("json").isNull(), "missing").otherwise(c("__told.reject"))
+        part = F.sha2(F.concat_ws("\0", "section", "__told.json"), 256)
+        return told.select("run", part.alias("h"), reject.alias("reject"))
+
+    counts = F.count("*").alias("parts"), F.min("reject").alias("reject")
+    some = not many.isEmpty()
+    listed = parts(material.join(many, "run", "left_anti") if some else material).groupBy("run").agg(*counts, F.collect_list("h").alias("hs"))
+    met = store.stable_digest_of(c("hs"), listed, "digest").drop("hs")
+    if some:
+        large = store.written(parts(material.join(many, "run", "left_semi")))
+        met = met.unionByName(large.groupBy("run").agg(*counts).join(store.stable_digest(large, "run", "h"), "run"))
     return met.select("run", "parts", F.when(c("reject").isNull(), c("digest")).alias("digest"), "reject")
 
 

@@ -5,8 +5,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyrook.functions import text
-from tallyrook.operators import graph, store
+from tallyrook.functions import canonical, text
+from tallyrook.operators import extraction, graph, store
 from tallyrook.sources import graph as held
 from tallyrook.sources import tables, text_index
 
@@ -113,3 +113,25 @@ def test_tables_that_grow_are_not_sent_through_the_driver(spark, sf_dir, monkeyp
     left = graph.erase(of.filter("doc_id % 3 = 0").select("doc_id"), *own)
     see(live.observations, *live.evidence.values(), *left.values())
     assert len(plans) > 15 and not [x for x in plans if "BroadcastExchange" in x]
+
+
+def test_runs_of_few_parts_are_digested_in_one_exchange(spark, monkeypatch):
+    """All parts were written, read twice and exchanged at every level."""
+    rows = [(run, "s", f'{{"b": {i % 3}.0, "a": {run}}}') for run, n in ((1, 1), (2, 2), (3, extraction.FEW_PARTS), (4, 40), (5, 90)) for i in range(n)] + [(2, "s", None), (None, "s", "1")]
+    material = spark.createDataFrame(rows, "run long, section string, json string")
+    whole = sorted(map(tuple, extraction.run_digests(material).collect()))
+    monkeypatch.setattr(extraction, "FEW_PARTS", 0)
+    assert whole == sorted(map(tuple, extraction.run_digests(material).collect())) and [x[1] for x in whole] == [1, 3, extraction.FEW_PARTS or 32, 40, 90]
+    assert [x[3] for x in whole] == [None, "missing", None, None, None] and whole[1][2] is None
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "written", None)
+    plan = extraction.run_digests(material.filter("run < 4"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_short_text_is_read_once_a_worker(monkeypatch):
+    seen, one = [], canonical.canonical_text
+    monkeypatch.setattr(canonical, "canonical_text", lambda *a: seen.append(1) or one(*a))
+    canonical._told_lately.cache_clear()
+    found = [canonical._told_lately(x, frozenset()) for x in ['{"b":1.0, "a":2}', "{", '{"b":1.0, "a":2}', "{"]]
+    assert found == [('{"a":2,"b":1}', None), (None, "not_json")] * 2 and len(seen) == 2
