@@ -102,10 +102,11 @@ def _update_requests(rows: DataFrame) -> DataFrame:
     return first.unionByName(again)
 
 
-def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcomes, the table after the updates, and the one that they have read."""
     rows = store.written(_changeable(spark, sf_dir))
     dead = rows.filter("doc_id % 9 = 0").select(ids.fingerprint(c("kind"), c("scope"), c("scope_key"), F.concat("content", F.lit(" later"))).alias("fingerprint"))
-    return records.updated(_update_requests(rows), rows.drop("doc_id"), dead, NOW_MS)
+    return *records.updated(_update_requests(rows), rows.drop("doc_id"), dead, NOW_MS), rows.drop("doc_id")
 
 
 _UPDATE_SQL = f"""{RECORDS_SQL}, ided AS (SELECT *, {_MID(*_OWN)} AS id FROM mem
@@ -145,9 +146,9 @@ UNION ALL SELECT w.id, w.kind, w.title, w.importance, w.created_ms, CASE WHEN ok
 )
 def updated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after the updates, committed after the version that they have read."""
-    table = _updated(spark, sf_dir)[1]
+    _, table, before = _updated(spark, sf_dir)
     base = store.fresh_path(spark, "store")
-    read = versions.commit(_changeable(spark, sf_dir).drop("doc_id"), base)
+    read = versions.commit(before, base)
     versions.commit(table, base, after=read)
     return versions.read(spark, base, table.schema).select("id", "kind", "title", "importance", "created_ms", "updated_ms", "pinned", "locked", "superseded_by", F.array_join("supersedes", ",").alias("supersedes"))
 

@@ -107,17 +107,19 @@ def updated(requests: DataFrame, records: DataFrame, tombstones: DataFrame, now_
     known = records.select(c("id").alias("target"), F.lit(True).alias("taken"))
     wrong = update_reject(c("action"), c("reason"), c("changes"), F.coalesce("locked", F.lit(False)), c("scope"), c("new_pinned"))
     bad = request_reject(c("content"), c("title"), c("kind"), c("importance"), c("tags"))
-    refused = (
+    alone = (
         F.when(c("there").isNull(), "not_found")
         .when(c("revision").isNotNull() & (c("revision") != c("updated_ms")), "conflict")
         .when(c("superseded_by").isNotNull(), "superseded")
         .when(c("scope") == "repository", "repository_managed")
         .when(wrong.isNotNull(), wrong)
         .when(bad.isNotNull(), bad)
-        .when(c("dead"), "tombstoned")
-        .when((c("target") != c("id")) & c("taken"), "exists")
     )
-    told = store.cut(named.join(dead, "fingerprint", "left").join(known, "target", "left").withColumn("refused", refused))
+    # Whole rows are merged and written once; what becomes of a request is found from its keys, and granted ones meet their rows at the end.
+    whole = store.written(named.withColumn("alone", alone).select("request", "action", "reason", "target", "fingerprint", "alone", "new_pinned", *_RECORD))
+    refused = F.when(c("alone").isNotNull(), c("alone")).when(c("dead"), "tombstoned").when((c("target") != c("id")) & c("taken"), "exists")
+    keys = whole.select("request", "id", "target", "fingerprint", "alone")
+    told = store.cut(keys.join(dead, "fingerprint", "left").join(known, "target", "left").select("request", "id", "target", refused.alias("refused")))
     first = told.filter("refused IS NULL").groupBy("id").agg(F.min("request").alias("first"))
     one = told.join(first, "id", "left").withColumn("refused", F.when(c("refused").isNull() & (c("request") != c("first")), "conflict").otherwise(c("refused"))).drop("first")
     owner = one.filter("refused IS NULL").groupBy("target").agg(F.min("request").alias("owner"))
@@ -125,7 +127,7 @@ def updated(requests: DataFrame, records: DataFrame, tombstones: DataFrame, now_
     moved = c("target") != c("id")
     outcome = F.when(c("refused").isNotNull(), c("refused")).when(moved, "superseded_by_new").otherwise("in_place")
     outcomes = last.select("request", "id", outcome.alias("outcome"), F.when(c("refused").isNull() & moved, c("target")).alias("new_id"))
-    granted = last.filter("refused IS NULL")
+    granted = whole.join(last.filter("refused IS NULL").select("request", "id"), ["request", "id"], "left_semi")
     locked = F.when(c("action") == "lock", True).when(c("action") == "unlock", False).otherwise(c("locked"))
     reason = F.when(c("action") == "lock", c("reason")).when(c("action") == "unlock", F.lit(None)).otherwise(c("lock_reason"))
     now = F.lit(now_ms).cast("long")

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyrook.functions import canonical, text
+from tallyrook.jobs import writes
 from tallyrook.operators import extraction, graph, store
 from tallyrook.sources import graph as held
 from tallyrook.sources import tables, text_index
@@ -135,3 +136,12 @@ def test_a_short_text_is_read_once_a_worker(monkeypatch):
     canonical._told_lately.cache_clear()
     found = [canonical._told_lately(x, frozenset()) for x in ['{"b":1.0, "a":2}', "{", '{"b":1.0, "a":2}', "{"]]
     assert found == [('{"a":2,"b":1}', None), (None, "not_json")] * 2 and len(seen) == 2
+
+
+def test_updates_are_decided_without_texts(spark, sf_dir, monkeypatch):
+    """Merged rows, old and new texts and all, went through four joins and two checkpoints; the table was made twice."""
+    kept, made, cut, changeable = [], [], store.cut, writes._changeable
+    monkeypatch.setattr(store, "cut", lambda frame: kept.append(frame.columns) or cut(frame))
+    monkeypatch.setattr(writes, "_changeable", lambda *a: made.append(1) or changeable(*a))
+    assert writes.updated_records(spark, sf_dir).count() > 0 and made == [1]
+    assert len(kept) > 1 and not [x for x in kept if "content" in x]
