@@ -149,7 +149,8 @@ FEW = 4
 
 @dataclass
 class Chunk:
-    """Sets of a chunk: the size of each whole set, its shingles from begin[i] to begin[i + 1], and root, of what is connected."""
+    """Sets of a chunk: the size of each whole set, its shingles from begin[i] to begin[i + 1], and root, of what is connected. left and
+    right: masks of the sets whose links with each other are asked for (both may be all); where there are none, all links are."""
 
     sizes: np.ndarray
     shingles: np.ndarray
@@ -157,6 +158,13 @@ class Chunk:
     root: np.ndarray
     percent: int
     lists: Lists | None = None
+    left: np.ndarray | None = None
+    right: np.ndarray | None = None
+
+    def meet(self, x: int) -> np.ndarray:
+        """Which sets have another label than x and stand on a side that x asks."""
+        apart = self.root != self.root[x]
+        return apart if self.left is None else apart & ((self.left[x] & self.right) | (self.right[x] & self.left))
 
     def common(self, x: int, others: np.ndarray) -> np.ndarray:
         """How many shingles x shares with each of the others: one by one, or many by lists of the sets that have each shingle."""
@@ -180,13 +188,15 @@ def chunk_links(chunk: Chunk, left: np.ndarray, right: np.ndarray, finder: type,
     """Links that connect all that links between sets of the left and of the right connect (masks; both may be all).
 
     finder(chunk) is an index of the chunk's sets, whose search(asking) gives pairs (of asking, of the chunk) that may link, of each set the
-    likeliest first. After links it is told by updated(), as the labels have changed.
+    likeliest first. After links it is told by updated(), as the labels have changed. A pair of different labels has a set outside the largest
+    component, one on the left and one on the right: when all sets of one of these three have asked, all pairs have met.
     """
+    chunk.left, chunk.right = left, right
     index, found = finder(chunk), []
     done = np.zeros(len(chunk.sizes), bool)
     while True:
         roots, counts = np.unique(chunk.root, return_counts=True)
-        waiting = np.flatnonzero(~done & (chunk.root != roots[np.argmax(counts)]))
+        waiting = min((np.flatnonzero(~done & some) for some in (chunk.root != roots[np.argmax(counts)], left, right)), key=len)
         if not len(waiting):
             return found
         asking = waiting[: batch if found or done.any() else 1]
@@ -208,8 +218,23 @@ def chunk_links(chunk: Chunk, left: np.ndarray, right: np.ndarray, finder: type,
             index.updated()
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each node with the least of those that the links connect it with, where that is another."""
+    least: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while least.setdefault(x, x) != x:
+            least[x] = x = least[least[x]]
+        return x
+
+    for x, y in links:
+        x, y = top(x), top(y)
+        least[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in least if top(x) != x]
+
+
 def _linked(rows: DataFrame, shingles: DataFrame, percent: int, finder: type) -> DataFrame:
-    """Links (a, b) of chunks: rows (block, c1, c2, side, class, label, n, m), side 0 with side 1, or 2 for both."""
+    """Links (a, b) of chunks, of each chunk as stars: rows (block, c1, c2, side, class, label, n, m), side 0 with side 1, or 2 for both."""
     weight = rows.agg(F.sum(F.col("m") + SET_COST)).first()[0] or 0
     tasks = max(1, weight // TASK)
     keyed = rows.join(shingles, "class").withColumn("task", F.pmod(F.xxhash64("block", "c1", "c2"), F.lit(tasks)).cast("int")).repartition(tasks, "task")
@@ -226,9 +251,10 @@ def _linked(rows: DataFrame, shingles: DataFrame, percent: int, finder: type) ->
             if root.any():
                 begin = np.append(0, np.cumsum(ends[own + 1] - ends[own]))
                 chunk = Chunk(sizes[own], np.concatenate([values[ends[i] : ends[i + 1]] for i in own]), begin, root, percent)
-                for x, y in chunk_links(chunk, side[own] != 1, side[own] != 0, finder):
-                    a.append(classes[own[x]])
-                    b.append(classes[own[y]])
+                of = classes[own].tolist()
+                for x, y in stars([(of[x], of[y]) for x, y in chunk_links(chunk, side[own] != 1, side[own] != 0, finder)]):
+                    a.append(x)
+                    b.append(y)
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return keyed.groupBy("task").applyInArrow(search, "a long, b long").distinct()
@@ -275,7 +301,7 @@ def class_links(sets: DataFrame, percent: int, finder: type) -> DataFrame:
     columns = ["block", "c1", "c2", "class", "label", "n", "m"]
     asking = outside.join(meet, ["block", "c1"]).select(*columns, F.lit(0).alias("side"))
     asked = every.join(meet, ["block", "c2"]).select(*columns, F.lit(1).alias("side"))
-    return links.unionByName(_linked(asking.unionByName(asked), shingles, percent, finder))
+    return labels.select(F.col("class").alias("a"), F.col("label").alias("b")).unionByName(_linked(asking.unionByName(asked), shingles, percent, finder))
 
 
 # --- components of documents -------------------------------------------------------------------------------------

@@ -6,8 +6,9 @@ the share of it that both retain estimates their Jaccard similarity.
 
 1. Sketches are compared over all documents through tallyrook.llm.repeats: a document of whose retained values too few stand in other
    sketches has no link, and most documents end here. Equal sets become one class.
-2. A pair that the estimate lets pass shares NEEDED of a sketch's values, so two such sketches share one of their rarest (the prefix); sets
-   that share some come into one block (tallyrook.llm.blocks). A passage that many texts have makes no block unless it is most of a sketch.
+2. A pair that the estimate lets pass shares NEEDED of a sketch's values, and more where sets are little larger than sketches (surely_shared),
+   so two such sketches share one of their rarest (the prefix); sets that share some come into one block (tallyrook.llm.blocks). A passage that
+   many texts have makes no block unless it is most of a sketch.
 3. In a chunk of a block, inverted lists say for each retained value which sketches have it. A set that asks gathers the lists of its
    values; the overlaps, counted, give candidates, the union sketch filters them, and the whole sets verify them.
 
@@ -38,9 +39,18 @@ K, NEEDED = 128, 60
 
 
 def least_shared(sizes: np.ndarray) -> np.ndarray:
-    """How many of its retained values a set of each size shares at least with another, if the estimate lets the pair pass."""
+    """How many of its retained values a set of each size shares at least with another that it links with, if the estimate lets the pair pass."""
     whole = 100 * sizes <= PERCENT * K  # whatever links with it is retained whole too
-    return -(-np.where(whole, PERCENT, NEEDED) * np.minimum(sizes, K) // 100)
+    passing = -(-np.where(whole, PERCENT, NEEDED) * np.minimum(sizes, K) // 100)
+    smallest, largest = -(-PERCENT * sizes // 100), 100 * sizes // PERCENT  # between these the bound falls from some size on, and rises up to it
+    return np.maximum(passing, np.minimum(surely_shared(sizes, smallest), surely_shared(sizes, largest)))
+
+
+def surely_shared(sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many retained values two sets of these sizes share at least, if they link: of the sketch that ends first, all that the
+    other set has is in the other's sketch too. For sets of many times K, nothing (or less)."""
+    common = -(-PERCENT * (sizes + others) // (100 + PERCENT))
+    return common - np.maximum(np.maximum(sizes, others) - K, 0)
 
 
 def retained(sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -77,6 +87,7 @@ class InvertedLists:
         self.begin = np.append(0, np.cumsum(kept))
         values = chunk.shingles.view(np.uint64)[at]
         self.lists = blocks.Lists(values, owner, n)
+        self.least = np.maximum(least_shared(chunk.sizes), 1)
         self.sketches = np.full((n, K), np.iinfo(np.uint64).max)
         self.sketches[owner, np.arange(len(owner)) - self.begin[owner]] = values
 
@@ -84,11 +95,11 @@ class InvertedLists:
         """Labels are read as they are."""
 
     def search(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both sets of every pair, of different labels, whose estimate is enough; of each set, the largest overlaps first."""
-        a, b, root = [], [], self.chunk.root
+        """Both sets of every pair that may meet (Chunk.meet), whose estimate is enough; of each set, the largest overlaps first."""
+        a, b, sizes = [], [], self.chunk.sizes
         for x in asking.tolist():
             overlap = self.lists.overlaps(np.arange(self.begin[x], self.begin[x + 1]))
-            found = np.flatnonzero((overlap >= np.maximum(least_shared(self.chunk.sizes), 1)) & (root != root[x]))
+            found = np.flatnonzero((overlap >= self.least) & (overlap >= surely_shared(sizes[x], sizes)) & self.chunk.meet(x))
             found = found[self.alike(x, found)]
             found = found[np.argsort(-overlap[found], kind="stable")]
             a.append(np.full(len(found), x))

@@ -20,17 +20,21 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return found.filter("a != b").distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each node is linked with one smaller node only, or with larger ones only."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger")))
+    nodes = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return not nodes.agg(F.max((F.col("smaller") + F.col("larger") > 1).cast("int"))).first()[0]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node and label, the least node that it is linked to over any number of links, for each node of links (a, b long).
 
-    A round halves distances, so few rounds are needed; each is written to the shared folder. Nulls are no nodes.
+    A round halves distances, so few rounds are needed, and none for links that say the labels already; each is written to the shared
+    folder. Nulls are no nodes.
     """
-    links = cut(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct())
-    sign = None
-    while True:
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    links = cut(links.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    while not _stars(links):
         links = cut(_star(_star(links, large=True), large=False))
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == sign or not now[0]:
-            break
-        sign = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tallyrook.llm import blocks, bottom_k, jaccard_join, registry, repeats, substring_dedup
+from tallyrook.llm import components as components_of
 from tallyrook.llm.words import SPACE as SPACES
 from tallyrook.llm.words import rolled, sequence, split
 
@@ -246,6 +247,60 @@ def test_chunk_links_connect_what_links_connect(finder, percent):
         assert roots(got) == roots(every)
 
 
+def test_no_two_sets_of_one_passage_are_estimated(monkeypatch):
+    """Sets of which most is one passage share many retained values, but fewer than sets of their sizes that link: none comes to its sketch's union."""
+    passage = rng.choice(2**62, 110, replace=False)
+    sets = [np.sort(np.append(passage, rng.choice(2**62, 36, replace=False))) for _ in range(80)]
+    index, met = bottom_k.InvertedLists(chunk_of(sets, np.arange(80), 85)), []
+    monkeypatch.setattr(index, "alike", lambda x, others: met.append(len(others)) or np.ones(len(others), bool))
+    assert len(index.search(np.arange(80))[0]) == 0 and sum(met) == 0
+
+
+def test_retained_values_that_linked_sets_share():
+    """Bounds hold for sets that just link, at any size, and the bound of one set for all sizes that it can link with."""
+    for _ in range(400):
+        common, more = int(rng.integers(1, 400)), int(rng.integers(0, 60))
+        own = int(rng.integers(0, more + 1))
+        values = rng.permutation(10**6)[: common + more]
+        a, b = np.sort(values[: common + own]), np.sort(np.append(values[:common], values[common + own :]))
+        if 100 * common >= 85 * (common + more):
+            shared = len(np.intersect1d(a[: bottom_k.K], b[: bottom_k.K]))
+            assert shared >= bottom_k.surely_shared(np.int64(len(a)), np.int64(len(b)))
+    for n in range(1, 700):
+        every = np.arange(-(-85 * n // 100), 100 * n // 85 + 1)
+        bound = bottom_k.surely_shared(np.full(len(every), n), every).min()
+        old = -(-(85 if 100 * n <= 85 * bottom_k.K else bottom_k.NEEDED) * min(n, bottom_k.K) // 100)
+        assert bottom_k.least_shared(np.array([n]))[0] == max(bound, old)
+
+
+def test_only_sides_that_ask_meet():
+    """Of two sides, sets of one side don't search each other, and the smaller side asks."""
+    sets, asked = families(150), []
+
+    class Finder(bottom_k.InvertedLists):
+        def search(self, asking):
+            a, b = super().search(asking)
+            asked.extend(asking.tolist())
+            assert not (left[a] & left[b]).any() and not (right[a] & right[b]).any()
+            return a, b
+
+    left = np.arange(150) % 10 == 0
+    right = ~left
+    blocks.chunk_links(chunk_of(sets, np.arange(150), 85), left, right, Finder)
+    assert len(asked) <= 16
+
+
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    rounds, plain = [], components_of._star
+    monkeypatch.setattr(components_of, "_star", lambda *args, **named: rounds.append(1) or plain(*args, **named))
+    links = blocks.stars([(9, 4), (4, 7), (7, 2), (30, 31), (5, 5)])
+    assert sorted(links) == [(4, 2), (7, 2), (9, 2), (31, 30)]
+    found = components_of.connected_components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(2, 2), (4, 2), (7, 2), (9, 2), (30, 30), (31, 30)] and not rounds
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(None, 3)], "a long, b long")
+    assert {(r.label) for r in components_of.connected_components(chain).collect()} == {0} and rounds
+
+
 def test_union_sketch_estimates():
     """Sketches of large sets: of their union's least K values, the share that both have."""
     values = rng.choice(2**62, 4000, replace=False)
