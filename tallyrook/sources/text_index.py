@@ -32,7 +32,7 @@ from tallyrook.sources.versions import Log
 
 c = F.col
 #: Documents of a range, and of the ranges that a task goes through, about.
-RANGE, TASK = 512, 32_768
+RANGE, TASK = 512, 16_384
 #: Documents of a task that builds or merges ranges, about; ids of documents that are broadcast, at most.
 PART, IDS = 4096, 1_000_000
 POSTINGS = "range int, token string, docs array<long>, tfs array<int>, sizes array<int>, max_tf int, min_size int"

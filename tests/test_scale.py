@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyrook.functions import canonical, text
-from tallyrook.jobs import writes
-from tallyrook.operators import extraction, graph, store
+from tallyrook.jobs import search, writes
+from tallyrook.operators import channels, extraction, graph, store
 from tallyrook.sources import graph as held
 from tallyrook.sources import tables, text_index
 
@@ -145,3 +145,21 @@ def test_updates_are_decided_without_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(writes, "_changeable", lambda *a: made.append(1) or changeable(*a))
     assert writes.updated_records(spark, sf_dir).count() > 0 and made == [1]
     assert len(kept) > 1 and not [x for x in kept if "content" in x]
+
+
+def test_metrics_search_each_channel_once(spark, sf_dir, monkeypatch):
+    """Modes score one table of candidates: words and vectors are searched once, and a mode has what its own search returns."""
+    asked, words, vectors_ = [], text_index.TextIndex.search, channels.cosine_top
+    monkeypatch.setattr(text_index.TextIndex, "search", lambda *args, **named: asked.append("words") or words(*args, **named))
+    monkeypatch.setattr(channels, "cosine_top", lambda *args, **named: asked.append("vectors") or vectors_(*args, **named))
+    returned, _, _ = search._evaluation(spark, sf_dir)
+    assert sorted(asked) == ["vectors", "words"]
+    own = search.search(spark, sf_dir, "lexical").select("qid", "doc_id", "score")
+    best = {tuple(x) for x in own.collect()}
+    got = {(r.qid, r.doc_id, r.score) for r in returned.filter("mode = 'lexical'").collect()}
+    assert got and got <= best
+
+
+def test_a_search_task_has_a_bounded_number_of_documents():
+    """Of larger tables a search has more tasks, not larger ones: each about 16,384 documents, in whole ranges."""
+    assert text_index.TASK <= 16_384 and text_index.TASK % text_index.RANGE == 0
