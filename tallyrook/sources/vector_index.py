@@ -4,10 +4,11 @@ Centres are fitted by k-means on at most SAMPLE vectors (a documented sample; ab
 vector is indexed, in the cell of its nearest centre. A cell of more than PART vectors is dealt into parts, so that no task holds a hot one.
 What makes up the index is told by a log (sources/versions.py): centres, segments and deletions.
 
-A search finds each query's nearest centres and joins queries with the parts of these cells only; a task multiplies the queries that
-probe its part with the vectors there, and hands on k rows a query. How many cells a query probes is measured when centres are
-fitted: as many as hold RECALL of the NEAR nearest neighbours of some sampled vectors, so that vectors without clusters are probed more widely. The
-exact way is operators/channels.py cosine_top(), and recall() compares both.
+A search deals the parts of cells to blocks of bounded size. A query's vector goes once to each block that holds cells it probes, with the names
+of these cells, in Arrow batches of bounded size; a task has a block of queries and one of vectors, multiplies cell by cell and hands on k rows a query.
+How many cells a query probes is measured when centres are fitted: as many as hold RECALL of the NEAR nearest neighbours of some sampled vectors, so that
+vectors without clusters are probed more widely. The exact way is operators/channels.py cosine_top() or, for any number of queries, cosine_top_blocks();
+recall() compares both.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrook.operators.channels import ranked
+from tallyrook.operators.channels import best_of, block_rows, matrix, ranked, vector_rows
 from tallyrook.operators.store import small
 from tallyrook.sources.versions import Log
 
 c = F.col
 #: Vectors that centres are fitted on, centres, vectors of a part; vectors whose neighbours tell how many cells are probed.
 SAMPLE, CENTRES, PART, ASKED = 20_000, 4096, 20_000, 400
+#: Pairs of a query and a block of a cell that it probes, of which a task makes rows at once.
+PROBES = 1 << 18
 #: The share of a sampled vector's nearest neighbours that its probes are to hold, and how many neighbours.
 RECALL, NEAR = 0.96, 10
 VECTORS = "cell int, part int, doc_id long, vector array<double>"
@@ -39,7 +42,7 @@ def fit_centres(vectors: np.ndarray, cells: int, rounds: int = 12, seed: int = 7
     rng = np.random.default_rng(seed)
     centres = vectors[rng.choice(len(vectors), cells, replace=False)]
     for _ in range(rounds):
-        own = np.concatenate([(vectors[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(vectors), 4096)])
+        own = cells_of(vectors, centres, 4096)
         total = np.zeros_like(centres)
         np.add.at(total, own, vectors)
         norm = np.linalg.norm(total, axis=1)
@@ -59,8 +62,52 @@ def probes_for(vectors: np.ndarray, centres: np.ndarray) -> int:
     return int(np.ceil(np.quantile(np.take_along_axis(place, own[near], axis=1), RECALL))) + 1 if near.size else 1
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def cells_of(vectors: np.ndarray, centres: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """The nearest centre of each vector."""
+    return np.concatenate([(vectors[i : i + rows] @ centres.T).argmax(axis=1) for i in range(0, len(vectors), rows)])
+
+
+def dealt(counts: list[int], rows: int) -> list[tuple[int, int]]:
+    """For parts of so many vectors, in order: the block that each is in, of about so many rows, and over how many blocks from there on it is spread, if it is larger."""
+    block, filled, found = 0, 0, []
+    for n in counts:
+        if filled and filled + n > rows:
+            block, filled = block + 1, 0
+        pieces = max(1, -(-n // rows))
+        found.append((block, pieces))
+        block, filled = (block, filled + n) if pieces == 1 else (block + pieces, 0)
+    return found
+
+
+def asked_of(batch: pa.RecordBatch, centres: np.ndarray, many: int, first: np.ndarray, blocks: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
+    """block, qid, cells and vector: a row for each query (qid, vector) of the batch and each block that has some of the `many` cells nearest to it, in batches
+    of so many rows at most. The blocks of cell i are blocks[first[i] : first[i + 1]]."""
+    vectors, number = matrix(batch.column("vector")), np.diff(first)
+    slice_ = max(1, PROBES // (many * max(1, number.max(initial=1))))
+    for a in range(0, len(vectors), slice_):
+        near = np.argpartition(-(vectors[a : a + slice_] @ centres.T), many - 1, axis=1)[:, :many]
+        times = number[near.ravel()]
+        query, cell = np.repeat(np.repeat(np.arange(len(near)), many), times), np.repeat(near.ravel(), times)
+        block = blocks[first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)]
+        by = np.lexsort((cell, block, query))
+        query, cell, block = query[by], cell[by], block[by]
+        starts = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (block[1:] != block[:-1]))[: len(query)])
+        ends = np.append(starts, len(query))
+        for i in range(0, len(starts), rows):
+            at, to = starts[i : i + rows], ends[i : i + rows + 1]
+            cells = pa.ListArray.from_arrays(pa.array(to - to[0], pa.int32()), pa.array(cell[to[0] : to[-1]], pa.int32()))
+            take = pa.array(a + query[at])
+            yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int32()), batch.column("qid").take(take), cells, batch.column("vector").take(take)], ["block", "qid", "cells", "vector"])
+
+
+def by_cell(queries: pa.Table, vectors: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each cell of the vectors (cell): the places of the queries (cells) that probe it, and of its vectors."""
+    lists = queries.column("cells").combine_chunks()
+    cell, query = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    own = vectors.column("cell").to_numpy()
+    by, at = np.argsort(cell, kind="stable"), np.argsort(own, kind="stable")
+    for x in np.unique(own):
+        yield (query[by[slice(*np.searchsorted(cell, (x, x + 1), sorter=by))]], at[slice(*np.searchsorted(own, (x, x + 1), sorter=at))])
 
 
 class VectorIndex:
@@ -77,7 +124,7 @@ class VectorIndex:
             raise ValueError("there are no vectors to fit centres on")
         sizes = rows.column("vector").combine_chunks().value_lengths().to_numpy()
         size = int(np.bincount(sizes).argmax())
-        held = _matrix(rows.column("vector").combine_chunks().filter(pa.array(sizes == size)))
+        held = matrix(rows.column("vector").combine_chunks().filter(pa.array(sizes == size)))
         centres = fit_centres(held, min(CENTRES, max(1, math.isqrt(n)), len(held)))
         content = {"centres": f"centres/{uuid.uuid4().hex}", "size": size, "probes": probes_for(held, centres), "segments": [], "deletions": []}
         frame = self.spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(centres)], "cell int, centre array<double>")
@@ -88,7 +135,7 @@ class VectorIndex:
 
     def centres(self) -> np.ndarray:
         rows = self.spark.read.schema("cell int, centre array<double>").parquet(f"{self.base}/{self.log.head().content['centres']}").orderBy("cell").toArrow()
-        return _matrix(rows.column("centre").combine_chunks())
+        return matrix(rows.column("centre").combine_chunks())
 
     def add(self, vectors: DataFrame) -> int:
         """A segment of more vectors, with ids that no segment has."""
@@ -98,7 +145,7 @@ class VectorIndex:
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    own = (_matrix(batch.column("vector")) @ centres.value.T).argmax(axis=1)
+                    own = cells_of(matrix(batch.column("vector")), centres.value)
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column("doc_id"), batch.column("vector")], ["cell", "doc_id", "vector"])
 
         found = vectors.filter(F.size("vector") == head.content["size"]).select(c("doc_id").cast("long"), "vector").mapInArrow(nearest, "cell int, doc_id long, vector array<double>")
@@ -128,38 +175,30 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int, digits: int = 9, probes: int | None = None) -> DataFrame:
         """qid, doc_id, similarity (0 to 1), rank of the k best in the cells that queries (qid, vector of norm 1) probe."""
-        centres = self.centres()
-        many = min(len(centres), probes or self.log.head().content["probes"])
-        held = self.spark.sparkContext.broadcast(centres)
+        now, centres = self.log.head().content, self.centres()
+        size, many = now["size"], min(len(centres), probes or now["probes"])
+        asked, rows, names = queries.filter(F.size("vector") == size).select(c("qid").cast("long"), "vector"), self.vectors(), ["cell", "segment", "part"]
+        parts = rows.groupBy(*names).count().orderBy(*names).toArrow()  # a row a part: some for each centre and segment
+        counts = parts.column("count").to_pylist()
+        of = dealt(counts, vector_rows(sum(counts), size, self.spark.sparkContext.defaultParallelism))
+        where = self.spark.createDataFrame([(*x.values(), *y) for x, y in zip(parts.select(names).to_pylist(), of, strict=True)], "cell int, segment string, part int, block int, pieces int")
+        pairs = np.array(sorted({(cell, b) for cell, (block, pieces) in zip(parts.column("cell").to_pylist(), of, strict=True) for b in range(block, block + pieces)}), np.int64).reshape(-1, 2)
+        held = self.spark.sparkContext.broadcast((centres, many, np.searchsorted(pairs[:, 0], np.arange(len(centres) + 1)), pairs[:, 1], block_rows(size)))
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    near = np.argpartition(-(_matrix(batch.column("vector")) @ held.value.T), many - 1, axis=1)[:, :many]
-                    take = pa.array(np.repeat(np.arange(batch.num_rows), many))
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("qid").take(take), batch.column("vector").take(take)], ["cell", "qid", "vector"])
-
-        size = self.log.head().content["size"]
-        asked = queries.filter(F.size("vector") == size).select(c("qid").cast("long"), "vector").mapInArrow(probed, "cell int, qid long, vector array<double>")
-        rows = self.vectors()
-        parts = rows.select(*(c(x).alias(x) for x in ("cell", "segment", "part"))).distinct()
-        asked = asked.join(parts, "cell")
+                    yield from asked_of(batch, *held.value)
 
         def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"qid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-            q, v = (_matrix(t.column("vector").combine_chunks()) for t in (left, right))
-            ids, qids, out = right.column("doc_id").to_numpy(), left.column("qid").to_numpy(), []
-            for a in range(0, len(q), 256):
-                alike = np.clip(np.round((q[a : a + 256] @ v.T + 1) / 2, digits), 0, 1)
-                for i, row in enumerate(alike):
-                    some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                    some = some[np.lexsort((ids[some], -row[some]))[:k]]
-                    out.append((np.full(len(some), qids[a + i]), ids[some], row[some]))
-            return pa.table({name: pa.array(np.concatenate([x[i] for x in out])) for i, name in enumerate(("qid", "doc_id", "similarity"))})
-
-        keys = ["cell", "segment", "part"]
-        found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(score, "qid long, doc_id long, similarity double")
+            return best_of(left, right, k, digits, by_cell)
+
+        mine = max(1, -(-asked.count() // block_rows(size)))
+        met = asked.mapInArrow(probed, "block int, qid long, cells array<int>, vector array<double>").withColumn("mine", F.pmod(F.xxhash64("qid", "vector"), F.lit(mine)).cast("int"))
+        spread = (c("block") + F.pmod(F.hash("doc_id"), c("pieces"))).cast("int")  # parts are dealt by another hash
+        there = rows.join(F.broadcast(where), names).select("cell", "doc_id", "vector", spread.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(mine - 1))).alias("mine"))
+        keys = ["mine", "block"]
+        found = met.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(score, "qid long, doc_id long, similarity double")
         return ranked(found, "similarity", k)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrook.jobs import search
 from tallyrook.operators import channels
 from tallyrook.sources import generations, text_index, vector_index, versions
 
@@ -173,6 +174,84 @@ def test_vector_index(spark, sf_dir, tmp_path, monkeypatch):
     assert index.search(queries.limit(0), 10).count() == 0
 
 
+def some_vectors(spark, first, n, size=5, of=60):
+    """n vectors of norm 1, of which many are equal, with ids from first on."""
+    own = np.random.default_rng(size).normal(size=(of, size))
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    return spark.createDataFrame([(first + i, own[i * i % of].tolist()) for i in range(n)], "doc_id long, vector array<double>")
+
+
+def test_blocks_give_the_rows_of_the_exact_search(spark, monkeypatch):
+    """Ties go by id across blocks and tiles; other dimensions have no likeness, nor has what is not finite; fewer vectors than k; no query."""
+    held, asked = some_vectors(spark, 0, 700), some_vectors(spark, 100, 90).withColumnRenamed("doc_id", "qid")
+    expect = sorted(map(tuple, channels.cosine_top(asked, held, 12).collect()))
+    for block, least in ((8 << 20, 1024), (8 * 5 * 40, 1), (8 * 5 * 5, 1)):
+        monkeypatch.setattr(channels, "BLOCK", block)
+        monkeypatch.setattr(channels, "LEAST", least)
+        assert sorted(map(tuple, channels.cosine_top_blocks(asked, held, 12).collect())) == expect
+    odd = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [float("nan")] * 5), (-3, None), (-4, [])], held.schema)
+    assert sorted(map(tuple, channels.cosine_top_blocks(asked, held.union(odd), 12).collect())) == expect
+    few = channels.cosine_top_blocks(asked, held.filter("doc_id < 3"), 12)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, channels.cosine_top(asked, held.filter("doc_id < 3"), 12).collect())) and few.count() == 270
+    assert channels.cosine_top_blocks(asked.limit(0), held, 12).count() == channels.cosine_top_blocks(asked, held.limit(0), 12).count() == 0
+
+
+def test_best_of_many_tiles(monkeypatch):
+    """Against a sort of everything: equal vectors in tiles that are smaller than k, and larger."""
+    own = np.round(rng.normal(size=(40, 4)), 1)
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    q, v, ids = own[rng.integers(0, 40, 30)], own[rng.integers(0, 40, 500)], rng.permutation(500)
+    alike = np.clip(np.round((q @ v.T + 1) / 2, 9), 0, 1)
+    expect = {(i, ids[j], alike[i, j]) for i in range(30) for j in np.lexsort((ids, -alike[i]))[:20]}
+    tables = [text_index.pa.table({name: list(range(30)) if name == "qid" else ids, "vector": list(x)}) for name, x in (("qid", q), ("doc_id", v))]
+    for tile in ((7, 11), (16, 64), (256, 2048)):
+        monkeypatch.setattr(channels, "TILE", tile)
+        found = channels.best_of(*tables, 20, 9)
+        assert found.num_rows == 600 and {tuple(x.values()) for x in found.to_pylist()} == expect
+
+
+def test_parts_are_dealt_to_blocks_of_bounded_size():
+    counts = [3, 4, 5, 1, 30, 2, 9, 10, 1]
+    found = vector_index.dealt(counts, 10)
+    held = {}
+    for n, (block, pieces) in zip(counts, found):
+        for b in range(block, block + pieces):
+            held[b] = held.get(b, 0) + n / pieces
+    assert max(held.values()) <= 10 and sorted(held) == list(range(len(held))) and found[4][1] == 3 and len(held) == 9
+
+
+def test_a_query_goes_once_to_a_block_in_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A batch of queries came out with a row, and a vector, for each cell that each probes: 88,000 rows here, gigabytes on a large table."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    index = vector_index.VectorIndex(spark, f"{tmp_path}/v")
+    index.build(vectors)
+    sizes, real = [], type(vectors).mapInArrow
+
+    def sized(frame, run, schema, *more, **named):
+        each = lambda batches: (text_index.pa.RecordBatch.from_arrays([text_index.pa.array([x.num_rows])], ["n"]) for x in run(batches))
+        sizes.extend(r["n"] for r in real(frame, each, "n long").collect())
+        return real(frame, run, schema, *more, **named)
+
+    monkeypatch.setattr(type(vectors), "mapInArrow", sized)
+    queries = vectors.withColumnRenamed("doc_id", "qid")
+    found = index.search(queries, 3, probes=10**6)
+    assert max(sizes) <= 16_384 and 2000 <= sum(sizes) <= 2000 * 8
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, channels.cosine_top_blocks(queries, vectors, 3).collect()))
+    # the same where blocks are small, so that a cell lies in several
+    monkeypatch.setattr(channels, "BLOCK", 8 * 64 * 20)
+    monkeypatch.setattr(channels, "LEAST", 1)
+    sizes.clear()
+    again = index.search(queries.filter("qid < 100"), 3, probes=10**6)
+    assert max(sizes) <= 20 and sorted(map(tuple, again.collect())) == sorted(map(tuple, found.filter("qid < 100").collect()))
+
+
+def test_candidates_of_the_vector_index_for_any_number_of_queries(spark, sf_dir, monkeypatch):
+    """The exact search beside it took 20,000 queries at most, so it failed on tables of more than 200,000 vectors."""
+    monkeypatch.setattr(channels, "MOST_QUERIES", 10)
+    found = search.vector_index_candidates(spark, sf_dir)
+    assert found.agg(F.avg("recall")).first()[0] >= 0.9 and found.select("qid").distinct().count() == 50
+
+
 # --- generations -------------------------------------------------------------------------------------------------
 @pytest.fixture
 def rows_table(spark, tmp_path):
